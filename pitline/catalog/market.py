@@ -79,17 +79,22 @@ _family("forward_returns", [f"forward_{k}d" for k in px_ops.LABEL_WINDOWS], px_o
     "benchmark_by_day",
     with_ctes(
         "SELECT c.date, COALESCE(b.history_days, 0) AS bench_history_days, "
-        + ", ".join(f"ROUND(b.return_{k}d, 8) + 0.0 AS bench_return_{k}d" for k in RETURN_KS)
+        + ", ".join(f"ROUND(b.return_{k}d, 10) + 0.0 AS bench_return_{k}d" for k in RETURN_KS)
         + ", "
-        + ", ".join(f"ROUND(a.forward_{k}d, 8) + 0.0 AS bench_forward_{k}d" for k in px_ops.LABEL_WINDOWS)
+        + ", ".join(f"ROUND(a.forward_{k}d, 10) + 0.0 AS bench_forward_{k}d" for k in px_ops.LABEL_WINDOWS)
         + " FROM cal c ASOF LEFT JOIN bf b ON b.date <= c.date ASOF LEFT JOIN bf a ON a.date >= c.date",
         "cal",
         "bf",
     ),
 )
 def benchmark_by_day(spark, d):
-    df = px_ops.benchmark_by_day(calendar(spark, d), bench(spark, d))
-    return rounded(df.withColumn("bench_history_days", big(F.col("bench_history_days"))))
+    df = px_ops.benchmark_by_day(calendar(spark, d), bench(spark, d)).select(
+        "date",
+        big(F.coalesce("state.history_days", F.lit(0))).alias("bench_history_days"),
+        *[F.col(f"state.return_{k}d").alias(f"bench_return_{k}d") for k in RETURN_KS],
+        *[F.col(f"ahead.forward_{k}d").alias(f"bench_forward_{k}d") for k in px_ops.LABEL_WINDOWS],
+    )
+    return rounded(df)
 
 
 _ABNORMAL = ["event_key", "symbol", "announcement_session_type", "feature_cutoff_date", "reaction_start_date", "reaction_class"]
@@ -175,7 +180,7 @@ def reaction_class_counts(spark, d):
     "price_as_of_announcement",
     with_ctes(
         """
-SELECT a.document_id, p.date AS price_date, ROUND(p.close, 8) AS close
+SELECT a.document_id, p.date AS price_date, ROUND(p.close, 10) AS close
 FROM ann a ASOF LEFT JOIN px p ON p.symbol = a.symbol AND p.date <= CAST(a.announcement_datetime AS DATE)""",
         "ann",
         "px",
@@ -194,7 +199,7 @@ def price_as_of_announcement(spark, d):
     "price_after_announcement",
     with_ctes(
         """
-SELECT a.document_id, p.date AS price_date, ROUND(p.close, 8) AS close
+SELECT a.document_id, p.date AS price_date, ROUND(p.close, 10) AS close
 FROM ann a ASOF LEFT JOIN px p ON p.symbol = a.symbol AND p.date >= CAST(a.announcement_datetime AS DATE)""",
         "ann",
         "px",
@@ -215,8 +220,8 @@ def price_after_announcement(spark, d):
     "backfill_prev_close",
     with_ctes(
         """
-SELECT symbol, date, ROUND(lag(close) OVER (PARTITION BY symbol ORDER BY date), 8) AS prev_close,
-       ROUND(close * volume, 8) AS traded_value FROM px""",
+SELECT symbol, date, ROUND(lag(close) OVER (PARTITION BY symbol ORDER BY date), 10) AS prev_close,
+       ROUND(close * volume, 10) AS traded_value FROM px""",
         "px",
     ),
 )

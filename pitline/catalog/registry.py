@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-DIGITS = 8
+DIGITS = 10
 
 
 def query(name: str, oracle: str | None = None):

@@ -8,10 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def flag_string(conditions: Mapping[str, Column], empty: str = "OK") -> Column:
-    """Names of the true conditions in mapping order, joined by ``|``; ``empty`` when none holds."""
-    joined = F.concat_ws("|", *[F.when(cond, F.lit(name)) for name, cond in conditions.items()])
-    return F.when(joined == "", F.lit(empty)).otherwise(joined)
+def flag_string(conditions: Mapping[str, str], empty: str = "OK") -> Column:
+    """Names of the conditions (SQL text) that hold, in mapping order, joined by ``|``; ``empty`` when none does."""
+    names = ", ".join(f"CASE WHEN {condition} THEN '{name}' END" for name, condition in conditions.items())
+    return F.expr(f"coalesce(nullif(concat_ws('|', {names}), ''), '{empty}')")
 
 
 def truthy_text(value: Column) -> Column:

@@ -1,8 +1,12 @@
-"""Reporting period from filing text."""
+"""Reporting period from filing text.
+
+The work is laid out as successive projections, so that each regular expression is evaluated once per row; nested
+into one expression, every later reference would repeat all earlier ones.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitline.functions import patterns as P
@@ -16,74 +20,66 @@ def repair_glued_words(text: Column) -> Column:
 
 
 def period_phrase(text: Column) -> Column:
-    """The date text of the first period pattern that matches; NULL when none does."""
-    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in P.PERIOD_PATTERNS]
-    return F.coalesce(*found)
-
-
-def _month_number(name: Column) -> Column:
-    start = F.substring(name, 1, 3)
-    numbers = F.when(start == "jan", 1)
-    for month, number in list(P.MONTH_NUMBERS.items())[1:]:
-        numbers = numbers.when(start == month, number)
-    return numbers
-
-
-def _date(year: Column, month: Column, day: Column) -> Column:
-    text = F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string"))
-    complete = year.isNotNull() & month.isNotNull() & day.isNotNull()
-    return F.when(complete, F.try_to_date(text, "y-M-d"))
-
+    """The date text of the first period pattern that matches; NULL when none does.
 
-def _int(text: Column) -> Column:
-    return F.nullif(text, F.lit("")).try_cast("int")
+    Every pattern needs the word "ended", so texts without it skip all of them.
+    """
+    found = F.lit("")
+    for pattern in reversed(P.PERIOD_PATTERNS):
+        # regexp_extract gives '' without a match; rlike first keeps a single evaluation per reference
+        found = F.when(F.rlike(text, F.lit(pattern)), F.regexp_extract(text, pattern, 1)).otherwise(found)
+    return F.when(F.contains(text, F.lit("ended")), F.nullif(found, F.lit("")))
 
 
-def parse_period_phrase(phrase: Column) -> Column:
-    """Date of a matched phrase: dotted numbers, day and month name in either order, or month and year only.
+def with_period(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add ``name``, the reporting period end stated in column ``text`` or NULL, and the phrase it was read from.
 
-    A month without a day means its last day. Two-digit years pivot at 69. An impossible date gives NULL.
+    Phrases are dotted numbers, a day and a month name in either order, or month and year (the month's last day).
+    Two-digit years pivot at 69. An impossible date gives NULL; the fiscal token is only consulted without a phrase.
     """
-    dotted = r"^(\d{1,2})\.(\d{1,2})\.(\d{2,4})$"
-    y = F.regexp_extract(phrase, dotted, 3)
-    short = _int(y)
-    year = F.when(F.length(y) == 4, short).when(
-        F.length(y) == 2, F.when(short >= 69, short + 1900).otherwise(short + 2000)
+    kept = df.columns
+    phrase = f"{name}_phrase"
+    repaired = df.withColumn("__text", repair_glued_words(F.lower(F.col(text))))
+    found = repaired.withColumn(phrase, period_phrase(F.col("__text")))
+    parts = found.selectExpr("*", *_phrase_parts(phrase))
+    numbers = parts.selectExpr(
+        *kept,
+        phrase,
+        "__dotted",
+        "__month_only",
+        "try_cast(__y AS int) + CASE WHEN length(__y) = 4 THEN 0 WHEN length(__y) <> 2 THEN NULL"
+        " WHEN try_cast(__y AS int) >= 69 THEN 1900 ELSE 2000 END AS __year",
+        f"CASE WHEN __dotted THEN try_cast(__m AS int) ELSE nullif((instr('{P.MONTH_ABBREVIATIONS}', __m) + 2) div 3, 0) END"
+        " AS __month",
+        "CASE WHEN __month_only THEN 1 ELSE try_cast(__d AS int) END AS __day",
+        "try_cast(__q AS int) AS __quarter",
+        "try_cast(__fy AS int) + 2000 AS __fy",
     )
-    by_dots = _date(year, _int(F.regexp_extract(phrase, dotted, 2)), _int(F.regexp_extract(phrase, dotted, 1)))
-
-    name = F.regexp_extract(phrase, r"([a-z]{3,})", 1)
-    month = _month_number(F.regexp_extract(F.regexp_replace(phrase, r"(\d)(?:st|nd|rd|th)", "$1"), r"([a-z]{3,})", 1))
-    year_named = _int(F.regexp_extract(phrase, r"(\d{4})$", 1))
-    day_first = _int(F.regexp_extract(phrase, r"^(\d{1,2})", 1))
-    day_after = _int(F.regexp_extract(phrase, r"^[a-z]+\s+(\d{1,2})(?:,|\s|\d{4}$)", 1))
-    month_only = phrase.rlike(r"^[a-z]+\s+\d{4}$")
-    named = (
-        F.when(month_only, F.last_day(_date(year_named, month, F.lit(1))))
-        .when(day_first.isNotNull(), _date(year_named, month, day_first))
-        .otherwise(_date(year_named, month, day_after))
+    stated = "try_to_date(concat_ws('-', __year, __month, __day), 'y-M-d')"
+    fiscal = (
+        "CASE __quarter WHEN 1 THEN make_date(__fy - 1, 6, 30) WHEN 2 THEN make_date(__fy - 1, 9, 30)"
+        " WHEN 3 THEN make_date(__fy - 1, 12, 31) WHEN 4 THEN make_date(__fy, 3, 31) END"
     )
-    return F.when(phrase.rlike(dotted), by_dots).when(name != "", named)
-
-
-def fiscal_token_period(text: Column) -> Column:
-    """Quarter end of a 'q3 fy24' token; fiscal years end in March."""
-    quarter = _int(F.regexp_extract(text, P.FISCAL_TOKEN, 1))
-    year = _int(F.regexp_extract(text, P.FISCAL_TOKEN, 2)) + 2000
-    return (
-        F.when(quarter == 1, F.make_date(year - 1, F.lit(6), F.lit(30)))
-        .when(quarter == 2, F.make_date(year - 1, F.lit(9), F.lit(30)))
-        .when(quarter == 3, F.make_date(year - 1, F.lit(12), F.lit(31)))
-        .when(quarter == 4, F.make_date(year, F.lit(3), F.lit(31)))
+    return numbers.selectExpr(
+        *kept,
+        phrase,
+        f"CASE WHEN {phrase} IS NULL THEN {fiscal} WHEN __year IS NULL OR __month IS NULL OR __day IS NULL THEN NULL"
+        f" WHEN __month_only THEN last_day({stated}) ELSE {stated} END AS {name}",
     )
 
 
-def extract_period(text: Column) -> Column:
-    """Reporting period end stated in the text, or NULL.
 
-    The first pattern that matches decides even when its date is impossible; the fiscal token is only consulted
-    when no pattern matches.
-    """
-    repaired = repair_glued_words(F.lower(text))
-    phrase = period_phrase(repaired)
-    return F.when(phrase.isNotNull(), parse_period_phrase(phrase)).otherwise(fiscal_token_period(repaired))
+def _phrase_parts(phrase: str) -> list[str]:
+    """Day, month and year text of a phrase, and the parts of a fiscal token for texts without one."""
+    token = P.FISCAL_TOKEN.replace("\\", "\\\\")
+    return [
+        rf"{phrase} rlike '^\\d+\\.' AS __dotted",
+        rf"{phrase} rlike '^[a-z]+\\s+\\d{{4}}$' AS __month_only",
+        rf"regexp_extract({phrase}, '(\\d+)$', 1) AS __y",
+        rf"CASE WHEN {phrase} rlike '^\\d+\\.' THEN regexp_extract({phrase}, '\\.(\\d+)\\.', 1)"
+        rf" ELSE regexp_extract({phrase}, '(?:^|[^a-z\\d]|\\d(?:st|nd|rd|th)?)\\s*(?!st|nd|rd|th)([a-z]{{3}})', 1) END AS __m",
+        rf"CASE WHEN {phrase} rlike '^\\d' THEN regexp_extract({phrase}, '^(\\d+)', 1)"
+        rf" ELSE regexp_extract({phrase}, '^[a-z]+\\s+(\\d{{1,2}}?)(?:,|\\s|(?=\\d{{4}}$))', 1) END AS __d",
+        f"regexp_extract(__text, '{token}', 1) AS __q",
+        f"regexp_extract(__text, '{token}', 2) AS __fy",
+    ]

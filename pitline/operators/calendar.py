@@ -53,21 +53,21 @@ def day_lookup(calendar: DataFrame) -> DataFrame:
 
     Columns: day, is_trading_day, idx and trade_date of the last trading day at or before ``day``, and the
     trading days before and after that one. The final row stands for any later day (see :func:`at_day`).
+    Further calendar columns give ``x``, ``prev_x`` and ``next_x`` for those same three trading days.
     """
     order = Window.orderBy("date")
-    placed = calendar.select(
-        "date",
-        "idx",
-        F.lag("date").over(order).alias("prev_date"),
-        F.lead("date").over(order).alias("next_date"),
-    )
+    facts = [c for c in calendar.columns if c not in ("date", "idx")]
+    shifted = {
+        f"{side}_{c}": shift(c).over(order) for c in ["date", *facts] for side, shift in (("prev", F.lag), ("next", F.lead))
+    }
+    placed = calendar.withColumns(shifted)
     until = F.coalesce(F.date_sub(F.col("next_date"), 1), F.date_add(F.col("date"), 1))
     days = placed.select(
         F.explode(F.sequence(F.col("date"), until, F.expr("INTERVAL 1 DAY"))).alias("day"),
-        F.col("idx"),
+        "idx",
         F.col("date").alias("trade_date"),
-        "prev_date",
-        "next_date",
+        *facts,
+        *shifted,
     )
     return days.withColumn("is_trading_day", F.col("day") == F.col("trade_date"))
 
@@ -108,6 +108,23 @@ def clock_session(ts: Column) -> Column:
     )
 
 
+def place_events(events: DataFrame, lookup: DataFrame, on: str, non_trading_lag: int = 1) -> DataFrame:
+    """Join ``lookup`` at the announcement day and decide which of its trading days apply.
+
+    Adds the lookup columns, announcement_session_type, ``own_close`` (the announcement day's close is already known
+    history) and ``same_day`` (the reaction starts on the announcement day).
+    """
+    placed = at_day(events, lookup, F.col(on))
+    kind, trading = F.col("announcement_session_type"), F.coalesce("is_trading_day", F.lit(False))
+    own_close = (kind == "post_market") & trading
+    if non_trading_lag == 0:
+        own_close = own_close | (kind == "non_trading_day")
+    session = session_type(F.col(on), F.col("is_trading_day"))
+    return placed.withColumn("announcement_session_type", session).withColumns(
+        {"own_close": own_close, "same_day": (kind == "pre_market") & trading}
+    )
+
+
 def event_dates(events: DataFrame, calendar: DataFrame, on: str, non_trading_lag: int = 1) -> DataFrame:
     """Add announcement_session_type, feature_cutoff_date and reaction_start_date.
 
@@ -115,19 +132,15 @@ def event_dates(events: DataFrame, calendar: DataFrame, on: str, non_trading_lag
     reaction starts that day only before the open of a trading day, else on the next trading day. With
     ``non_trading_lag=0`` a weekend announcement may use the close of the last trading day before it.
     """
-    placed = at_day(events, day_lookup(calendar), F.col(on))
-    session = session_type(F.col(on), F.col("is_trading_day"))
-    placed = placed.withColumn("announcement_session_type", session)
-    kind = F.col("announcement_session_type")
-    use_own_close = (kind == "post_market") & F.col("is_trading_day")
-    if non_trading_lag == 0:
-        use_own_close = use_own_close | (kind == "non_trading_day")
-    same_day = (kind == "pre_market") & F.col("is_trading_day")
-    return placed.withColumn(
-        "feature_cutoff_date", F.when(use_own_close, F.col("trade_date")).otherwise(F.col("prev_date"))
-    ).withColumn(
-        "reaction_start_date", F.when(same_day, F.col("trade_date")).otherwise(F.col("next_date"))
-    ).drop("is_trading_day", "idx", "trade_date", "prev_date", "next_date")
+    placed = place_events(events, day_lookup(calendar), on, non_trading_lag)
+    return placed.select(*events.columns, "announcement_session_type", *cutoff_and_reaction())
+
+
+def cutoff_and_reaction() -> list[Column]:
+    return [
+        F.when(F.col("own_close"), F.col("trade_date")).otherwise(F.col("prev_date")).alias("feature_cutoff_date"),
+        F.when(F.col("same_day"), F.col("trade_date")).otherwise(F.col("next_date")).alias("reaction_start_date"),
+    ]
 
 
 def add_embargo(df: DataFrame, calendar: DataFrame, on: str, days: int, name: str = "embargo_date") -> DataFrame:
@@ -137,7 +150,7 @@ def add_embargo(df: DataFrame, calendar: DataFrame, on: str, days: int, name: st
     target = F.least(F.coalesce(F.col("__e_idx"), F.lit(-1)) + F.lit(days), last_idx)
     placed = placed.withColumn("__target", F.when(F.col(on).isNotNull(), target))
     ends = calendar.select(F.col("date").alias(name), F.col("idx").alias("__target"))
-    helpers = [f"__e_{c}" for c in ("idx", "trade_date", "prev_date", "next_date", "is_trading_day")]
+    helpers = [c for c in placed.columns if c.startswith("__e_")]
     return placed.drop(*helpers).join(F.broadcast(ends), "__target", "left").drop("__target")
 
 
@@ -149,5 +162,5 @@ def count_between(df: DataFrame, calendar: DataFrame, start: str, end: str, name
     # the last position before ``end``: its own position, less one when ``end`` itself trades
     to_idx = F.coalesce(F.col("__n_idx") - F.col("__n_is_trading_day").cast("int"), F.lit(-1))
     gap = F.greatest(to_idx - from_idx, F.lit(0))
-    helpers = [f"__{p}_{c}" for p in "sn" for c in ("idx", "trade_date", "prev_date", "next_date", "is_trading_day")]
+    helpers = [c for c in placed.columns if c.startswith(("__s_", "__n_"))]
     return placed.withColumn(name, F.when(F.col(start).isNotNull() & F.col(end).isNotNull(), gap)).drop(*helpers)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pitline.functions.dates import clock_time, fiscal_quarter, quarter_end, whole_days
 from pitline.functions.flags import flag_string, truthy_text
 from pitline.functions.patterns import FOLLOWUP_TYPES, HUMAN_PRIMARY_TYPES, PRIMARY_TYPES
-from pitline.functions.period import extract_period
+from pitline.functions.period import with_period
 from pitline.functions.text import (
     classify_documents,
     is_candidate,
@@ -50,12 +50,11 @@ def classify_filings(filings: DataFrame) -> DataFrame:
             "has_xbrl": truthy_text(F.col("hasXbrl")),
         }
     ).where(is_candidate(F.col("search_text")))
-    dated = texts.withColumns(
+    dated = with_period(texts, "search_text", "period_extracted").withColumns(
         {
             "earnings_type": legacy_earnings_type(F.col("search_text")),
             "document_type_legacy": legacy_document_type(F.col("search_text")),
             "reporting_scope": reporting_scope(F.col("search_text")),
-            "period_extracted": extract_period(F.col("search_text")),
         }
     )
     dated = dated.withColumns(
@@ -78,7 +77,8 @@ def reassign_periods(docs: DataFrame, tolerance_days: int = 14, suspicious_days:
     Applies to follow-ups whose period is a fallback or ends more than ``suspicious_days`` after the filing, and to
     primary results with a fallback period. Only anchors of the same symbol within ``tolerance_days`` count; the
     earlier anchor wins a tie, then the smaller document id. Adds the result as ``period_ended`` /
-    ``period_from_fallback`` and refreshes the fiscal label and event key.
+    ``period_from_fallback`` and refreshes the fiscal label and event key. ``docs`` is read three times: stage it
+    first when it is costly.
     """
     primary = F.col("document_type").isin(*PRIMARY_TYPES)
     fallback = F.col("period_from_fallback")
@@ -251,18 +251,17 @@ def roll_up(docs: DataFrame) -> DataFrame:
 
 
 def event_quality_flags() -> Column:
-    days, human = F.col("days_from_period_end"), F.col("human_primary_result_count")
     return flag_string(
         {
-            "MISSING_PERIOD_END": F.col("period_ended").isNull(),
-            "MISSING_RESULT": human == 0,
-            "MULTIPLE_HUMAN_PRIMARY_RESULTS": human > 1,
-            "ANNOUNCEMENT_BEFORE_PERIOD_END": days < 0,
-            "VERY_LATE_FILING": days > 90,
-            "DUPLICATE_DOCUMENT": F.col("dup_urls") > 0,
-            "UNCLASSIFIED_DOCUMENT": F.col("unclassified") > 0,
-            "HUMAN_PRIMARY_RESULT_BEFORE_PERIOD_END": F.col("human_primary_suspicious_dates") > 0,
-            "MANY_PRE_ANNOUNCEMENTS": F.col("all_suspicious_dates") > 5,
+            "MISSING_PERIOD_END": "period_ended IS NULL",
+            "MISSING_RESULT": "human_primary_result_count = 0",
+            "MULTIPLE_HUMAN_PRIMARY_RESULTS": "human_primary_result_count > 1",
+            "ANNOUNCEMENT_BEFORE_PERIOD_END": "days_from_period_end < 0",
+            "VERY_LATE_FILING": "days_from_period_end > 90",
+            "DUPLICATE_DOCUMENT": "dup_urls > 0",
+            "UNCLASSIFIED_DOCUMENT": "unclassified > 0",
+            "HUMAN_PRIMARY_RESULT_BEFORE_PERIOD_END": "human_primary_suspicious_dates > 0",
+            "MANY_PRE_ANNOUNCEMENTS": "all_suspicious_dates > 5",
         }
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitline.functions.flags import flag_string
-from pitline.operators.calendar import event_dates
+from pitline.operators.calendar import cutoff_and_reaction, day_lookup, place_events
 
 RETURN_WINDOWS = (1, 3, 5, 10, 20, 60)
 VOLATILITY_WINDOWS = (5, 20, 60)
@@ -49,36 +49,32 @@ def one_row_per_day(prices: DataFrame, order_by: str, values: Sequence[str] = ("
     return usable.groupBy("symbol", "date").agg(last).select("symbol", "date", "v.*")
 
 
-def _over(by: Sequence[str], on: str):
-    return Window.partitionBy(*by).orderBy(on)
-
-
-def _trailing(w, k: int, include_current: bool = True):
-    return w.rowsBetween(-(k - 1), 0) if include_current else w.rowsBetween(-k, -1)
+def _window(by: Sequence[str], on: str) -> str:
+    return f"PARTITION BY {', '.join(by)} ORDER BY {on}"
 
 
 def with_history(series: DataFrame, by: Sequence[str] = ("symbol",), on: str = "date") -> DataFrame:
-    return series.withColumn("history_days", F.row_number().over(_over(by, on)))
+    return series.selectExpr("*", f"row_number() OVER ({_window(by, on)}) AS history_days")
 
 
 def with_returns(series: DataFrame, by: Sequence[str] = ("symbol",), on: str = "date") -> DataFrame:
     """Return over k observations; NULL until k+1 observations exist."""
-    w = _over(by, on)
-    back = {f"return_{k}d": F.try_divide("close", F.lag("close", k).over(w)) - 1 for k in RETURN_WINDOWS}
-    return series.withColumns(back)
+    w = _window(by, on)
+    return series.selectExpr(
+        "*", *[f"try_divide(close, lag(close, {k}) OVER ({w})) - 1 AS return_{k}d" for k in RETURN_WINDOWS]
+    )
 
 
 def with_volatility(series: DataFrame, by: Sequence[str] = ("symbol",), on: str = "date") -> DataFrame:
     """Annualised sample deviation of the last k one-observation returns (needs ``return_1d``, ``history_days``)."""
-    w = _over(by, on)
-    return series.withColumns(
-        {
-            f"volatility_{k}d": F.when(
-                F.col("history_days") > k,
-                F.stddev_samp("return_1d").over(_trailing(w, k)) * F.sqrt(F.lit(float(DAYS_PER_YEAR))),
-            )
+    w = _window(by, on)
+    return series.selectExpr(
+        "*",
+        *[
+            f"CASE WHEN history_days > {k} THEN stddev_samp(return_1d) OVER ({w} ROWS BETWEEN {k - 1} PRECEDING AND"
+            f" CURRENT ROW) * sqrt({DAYS_PER_YEAR}) END AS volatility_{k}d"
             for k in VOLATILITY_WINDOWS
-        }
+        ],
     )
 
 
@@ -88,54 +84,71 @@ def with_volume_features(series: DataFrame, by: Sequence[str] = ("symbol",), on:
     Volumes skip their own gaps, so the window runs over the rows that have one (same shuffle: the partitioning by
     ``by`` already clusters the finer key) and the result is carried forward onto rows without a volume.
     """
-    known = series.withColumn("__gap", F.col("volume").isNull())
-    w = _over([*by, "__gap"], on)
-    known = known.withColumn("__n", F.row_number().over(w))
-    stats = {}
-    for k in VOLUME_WINDOWS:
-        before = _trailing(w, k, include_current=False)
-        stats[f"__mean_{k}"] = F.avg("volume").over(before)
-        stats[f"__std_{k}"] = F.stddev_samp("volume").over(before)
-    known = known.withColumns(stats)
-    fields = []
-    for k in VOLUME_WINDOWS:
-        mean, std, enough = F.col(f"__mean_{k}"), F.col(f"__std_{k}"), F.col("__n") >= k
-        fields.append(F.when(enough & (mean > 0), F.col("volume") / mean).alias(f"volume_ratio_{k}d"))
-        fields.append(F.when(enough & (std > 0), (F.col("volume") - mean) / std).alias(f"volume_zscore_{k}d"))
-    carried = F.last(F.when(~F.col("__gap"), F.struct(*fields)), ignorenulls=True).over(
-        _over(by, on).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = _window([*by, "__gap"], on)
+    stats = [
+        f"{fn}(volume) OVER ({w} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) AS __{fn}_{k}"
+        for k in VOLUME_WINDOWS
+        for fn in ("avg", "stddev_samp")
+    ]
+    fields = ", ".join(
+        f"'volume_ratio_{k}d', CASE WHEN __n >= {k} AND __avg_{k} > 0 THEN volume / __avg_{k} END,"
+        f" 'volume_zscore_{k}d', CASE WHEN __n >= {k} AND __stddev_samp_{k} > 0"
+        f" THEN (volume - __avg_{k}) / __stddev_samp_{k} END"
+        for k in VOLUME_WINDOWS
+    )
+    known = series.selectExpr("*", "volume IS NULL AS __gap").selectExpr(
+        "*", f"row_number() OVER ({w}) AS __n", *stats
     )
-    return known.withColumn("__vol", carried).select(*series.columns, "__vol.*")
+    carried = known.selectExpr(
+        "*",
+        f"last(CASE WHEN NOT __gap THEN named_struct({fields}) END, true)"
+        f" OVER ({_window(by, on)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __vol",
+    )
+    return carried.select(*series.columns, "__vol.*")
 
 
+# A sliding frame is re-evaluated row by row, at a cost of its width. Longer averages and highs are therefore put
+# together from adjacent shorter blocks with lag(): exact for highs, and free of cancellation for sums.
 def with_ma_distance(series: DataFrame, by: Sequence[str] = ("symbol",), on: str = "date") -> DataFrame:
-    """Relative distance from the k-observation average, current one included."""
-    w = _over(by, on)
-    means = series.withColumns({f"__ma_{k}": F.avg("close").over(_trailing(w, k)) for k in MA_WINDOWS})
-    return means.withColumns(
-        {
-            f"distance_from_{k}dma": F.when(
-                (F.col("history_days") >= k) & (F.col(f"__ma_{k}") > 0),
-                (F.col("close") - F.col(f"__ma_{k}")) / F.col(f"__ma_{k}"),
-            )
+    """Relative distance from the 20, 50 and 200-observation average, current one included."""
+    w = _window(by, on)
+    blocks = series.selectExpr(
+        "*", f"sum(close) OVER ({w} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS __s10"
+    )
+    blocks = blocks.selectExpr("*", _chain("__s10", "+", [0, 10], w, "__s20"), _chain("__s10", "+", [0, 10, 20, 30, 40], w, "__s50"))
+    blocks = blocks.selectExpr("*", _chain("__s50", "+", [0, 50, 100, 150], w, "__s200"))
+    return blocks.selectExpr(
+        *series.columns,
+        *[
+            f"CASE WHEN history_days >= {k} AND __s{k} > 0 THEN (close - __s{k} / {k}) / (__s{k} / {k}) END"
+            f" AS distance_from_{k}dma"
             for k in MA_WINDOWS
-        }
-    ).drop(*[f"__ma_{k}" for k in MA_WINDOWS])
+        ],
+    )
 
 
 def with_drawdown(series: DataFrame, by: Sequence[str] = ("symbol",), on: str = "date") -> DataFrame:
-    """Relative distance from the k-observation high, current one included."""
-    w = _over(by, on)
-    highs = series.withColumns({f"__hi_{k}": F.max("close").over(_trailing(w, k)) for k in DRAWDOWN_WINDOWS})
-    return highs.withColumns(
-        {
-            f"drawdown_from_{k}d_high": F.when(
-                (F.col("history_days") >= k) & (F.col(f"__hi_{k}") > 0),
-                (F.col("close") - F.col(f"__hi_{k}")) / F.col(f"__hi_{k}"),
-            )
+    """Relative distance from the 20, 60 and 252-observation high, current one included."""
+    w = _window(by, on)
+    highs = series.selectExpr(
+        "*", f"max(close) OVER ({w} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS __h20"
+    )
+    highs = highs.selectExpr("*", _chain("__h20", ",", [0, 20, 40], w, "__h60"))
+    highs = highs.selectExpr("*", _chain("__h60", ",", [0, 60, 120, 180, 192], w, "__h252"))
+    return highs.selectExpr(
+        *series.columns,
+        *[
+            f"CASE WHEN history_days >= {k} AND __h{k} > 0 THEN (close - __h{k}) / __h{k} END"
+            f" AS drawdown_from_{k}d_high"
             for k in DRAWDOWN_WINDOWS
-        }
-    ).drop(*[f"__hi_{k}" for k in DRAWDOWN_WINDOWS])
+        ],
+    )
+
+
+def _chain(column: str, joiner: str, lags: Sequence[int], w: str, name: str) -> str:
+    """Lagged copies of a block value, added (``+``) or compared for the greatest (``,``)."""
+    parts = f" {joiner} ".join(column if k == 0 else f"lag({column}, {k}) OVER ({w})" for k in lags)
+    return f"greatest({parts}) AS {name}" if joiner == "," else f"{parts} AS {name}"
 
 
 def price_features(series: DataFrame, by: Sequence[str] = ("symbol",), on: str = "date") -> DataFrame:
@@ -146,9 +159,9 @@ def price_features(series: DataFrame, by: Sequence[str] = ("symbol",), on: str =
 
 def with_forward_returns(series: DataFrame, by: Sequence[str] = ("symbol",), on: str = "date") -> DataFrame:
     """Return from each row's close to the close k observations later (``forward_kd``)."""
-    w = _over(by, on)
-    return series.withColumns(
-        {f"forward_{k}d": F.try_divide(F.lead("close", k).over(w), F.col("close")) - 1 for k in LABEL_WINDOWS}
+    w = _window(by, on)
+    return series.selectExpr(
+        "*", *[f"try_divide(lead(close, {k}) OVER ({w}), close) - 1 AS forward_{k}d" for k in LABEL_WINDOWS]
     )
 
 
@@ -164,7 +177,8 @@ def reaction_class(abnormal_1d: Column, abnormal_3d: Column) -> Column:
 
 
 def benchmark_by_day(calendar: DataFrame, bench: DataFrame) -> DataFrame:
-    """Per trading day the benchmark's state at or before it and its forward returns from the first day at or after.
+    """Calendar with the benchmark's ``state`` at or before each day and its forward returns (``ahead``) from the
+    first benchmark day at or after it.
 
     One row per calendar day, so the single-partition windows are bounded by the calendar, not by the prices.
     """
@@ -172,20 +186,12 @@ def benchmark_by_day(calendar: DataFrame, bench: DataFrame) -> DataFrame:
     series = with_forward_returns(with_returns(with_history(one, ["__k"]), ["__k"]), ["__k"])
     state = F.struct(F.col("history_days"), *RETURN_COLUMNS)
     ahead = F.struct(*[f"forward_{k}d" for k in LABEL_WINDOWS])
-    days = calendar.select("date").join(
-        series.select("date", state.alias("state"), ahead.alias("ahead")), "date", "left"
-    )
+    days = calendar.join(series.select("date", state.alias("state"), ahead.alias("ahead")), "date", "left")
     span = (Window.unboundedPreceding, Window.currentRow)
     up, down = Window.orderBy("date").rowsBetween(*span), Window.orderBy(F.desc("date")).rowsBetween(*span)
-    filled = days.withColumn("state", F.last("state", ignorenulls=True).over(up)).withColumn(
+    return days.withColumn("state", F.last("state", ignorenulls=True).over(up)).withColumn(
         "ahead", F.last("ahead", ignorenulls=True).over(down)
     )
-    return filled.select(
-        "date",
-        F.coalesce("state.history_days", F.lit(0)).alias("bench_history_days"),
-        *[F.col(f"state.{c}").alias(f"bench_{c}") for c in RETURN_COLUMNS],
-        *[F.col(f"ahead.forward_{k}d").alias(f"bench_forward_{k}d") for k in LABEL_WINDOWS],
-    )
 
 
 def _price_state(events: DataFrame, prices: DataFrame) -> DataFrame:
@@ -209,42 +215,36 @@ def _price_state(events: DataFrame, prices: DataFrame) -> DataFrame:
     rows = prices.select("symbol", "date", "close", "volume", F.lit(0).alias("kind")).unionByName(
         markers, allowMissingColumns=True
     )
+    # one explicit shuffle: every window and the regrouping below cluster by symbol or something finer
+    rows = rows.repartition("symbol")
     series = with_forward_returns(price_features(rows, ["symbol", "kind"]), ["symbol", "kind"])
-    is_price = F.col("kind") == 0
-    forward = [f"forward_{k}d" for k in LABEL_WINDOWS]
-    span = (Window.unboundedPreceding, Window.currentRow)
-    by_symbol = Window.partitionBy("symbol")
-    placed = (
-        series.withColumn(
-            "back",
-            F.last(F.when(is_price, F.struct("history_days", *PRICE_FEATURES)), ignorenulls=True).over(
-                by_symbol.orderBy("date", "kind").rowsBetween(*span)
-            ),
-        )
-        .withColumn(
-            "ahead",
-            F.last(F.when(is_price, F.struct(*forward)), ignorenulls=True).over(
-                by_symbol.orderBy(F.desc("date"), "kind").rowsBetween(*span)
-            ),
-        )
-        .withColumn("has_prices", F.max(is_price).over(by_symbol))
+    state = ", ".join(["history_days", *PRICE_FEATURES])
+    ahead = ", ".join(f"forward_{k}d" for k in LABEL_WINDOWS)
+    running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    placed = series.selectExpr(
+        "symbol",
+        "event_key",
+        "event",
+        "kind",
+        "date",
+        f"last(CASE WHEN kind = 0 THEN struct({state}) END, true)"
+        f" OVER (PARTITION BY symbol ORDER BY date, kind {running}) AS back",
+        f"last(CASE WHEN kind = 0 THEN struct({ahead}) END, true)"
+        f" OVER (PARTITION BY symbol ORDER BY date DESC, kind {running}) AS ahead",
+        "max(kind = 0) OVER (PARTITION BY symbol) AS has_prices",
     )
     merged = (
-        placed.where(~is_price)
+        placed.where("kind > 0")
         .groupBy("symbol", "event_key")
         .agg(
-            F.first("event", ignorenulls=True).alias("event"),
-            F.first(F.when((F.col("kind") == 1) & F.col("date").isNotNull(), F.col("back")), ignorenulls=True).alias("back"),
-            F.first(F.when((F.col("kind") == 2) & F.col("date").isNotNull(), F.col("ahead")), ignorenulls=True).alias("ahead"),
-            F.max("has_prices").alias("has_prices"),
+            F.expr("first(event, true) AS event"),
+            F.expr("first(CASE WHEN kind = 1 AND date IS NOT NULL THEN back END, true) AS back"),
+            F.expr("first(CASE WHEN kind = 2 AND date IS NOT NULL THEN ahead END, true) AS ahead"),
+            F.expr("max(has_prices) AS has_prices"),
         )
     )
-    return merged.select(
-        "event.*",
-        "has_prices",
-        F.coalesce("back.history_days", F.lit(0)).alias("price_history_days"),
-        *[f"back.{c}" for c in PRICE_FEATURES],
-        *[f"ahead.{c}" for c in forward],
+    return merged.selectExpr(
+        "event.*", "has_prices", "coalesce(back.history_days, 0) AS price_history_days", "back", "ahead"
     )
 
 
@@ -261,30 +261,35 @@ def event_market_features(
     Events that cannot be used get a ``skip_reason`` and are dropped unless ``keep_skipped``. Labels need the stock
     and the benchmark return; otherwise all three columns of that horizon are NULL.
     """
-    dated = event_dates(events.where(F.col(on).isNotNull()), calendar, on)
-    state = _price_state(dated, prices)
-    days = benchmark_by_day(calendar, bench)
-    at_cutoff = days.select(
-        F.col("date").alias("feature_cutoff_date"),
-        F.col("bench_history_days").alias("benchmark_history_days"),
-        *[f"bench_{c}" for c in RETURN_COLUMNS],
-    )
-    at_reaction = days.select(F.col("date").alias("reaction_start_date"), *[f"bench_forward_{k}d" for k in LABEL_WINDOWS])
-    # both sides hold one row per calendar day (bounded by calendar.MAX_DAYS)
-    joined = state.join(F.broadcast(at_cutoff), "feature_cutoff_date", "left").join(
-        F.broadcast(at_reaction), "reaction_start_date", "left"
+    lookup = day_lookup(benchmark_by_day(calendar, bench))
+    placed = place_events(events.where(F.col(on).isNotNull()), lookup, on)
+    dated = placed.select(
+        *events.columns,
+        "announcement_session_type",
+        *cutoff_and_reaction(),
+        F.when(F.col("own_close"), F.col("state")).otherwise(F.col("prev_state")).alias("bench_state"),
+        F.when(F.col("same_day"), F.col("ahead")).otherwise(F.col("next_ahead")).alias("bench_ahead"),
     )
-    relative = {
-        f"relative_return_{k}d": F.col(f"return_{k}d") - F.col(f"bench_return_{k}d") for k in RETURN_WINDOWS
-    }
-    labels = {}
+    relative = [f"back.return_{k}d - bench_state.return_{k}d AS relative_return_{k}d" for k in RETURN_WINDOWS]
+    labels = []
     for k in LABEL_WINDOWS:
-        stock, base = F.col(f"forward_{k}d"), F.col(f"bench_forward_{k}d")
-        both = stock.isNotNull() & base.isNotNull()
-        labels[f"abnormal_return_{k}d"] = stock - base
-        labels[f"return_{k}d_after"] = F.when(both, stock)
-        labels[f"benchmark_return_{k}d_after"] = F.when(both, base)
-    full = joined.withColumns(relative | labels).withColumns(
+        stock, base = f"ahead.forward_{k}d", f"bench_ahead.forward_{k}d"
+        labels += [
+            f"{stock} - {base} AS abnormal_return_{k}d",
+            f"CASE WHEN {base} IS NOT NULL THEN {stock} END AS return_{k}d_after",
+            f"CASE WHEN {stock} IS NOT NULL THEN {base} END AS benchmark_return_{k}d_after",
+        ]
+    carried = [*events.columns, "announcement_session_type", "feature_cutoff_date", "reaction_start_date"]
+    wide = _price_state(dated, prices).selectExpr(
+        *carried,
+        "has_prices",
+        "price_history_days",
+        "coalesce(bench_state.history_days, 0) AS benchmark_history_days",
+        *[f"back.{c}" for c in PRICE_FEATURES],
+        *relative,
+        *labels,
+    )
+    full = wide.withColumns(
         {
             "reaction_class": reaction_class(F.col("abnormal_return_1d"), F.col("abnormal_return_3d")),
             "quality_flags": history_flags(),
@@ -313,9 +318,9 @@ def event_market_features(
 
 def history_flags() -> Column:
     """Missing features by name, then LIMITED (< 60) and VERY_LIMITED (< 252) history."""
-    conditions = {f"INSUFFICIENT_HISTORY_{c}": F.col(c).isNull() for c in HISTORY_FLAGGED}
-    conditions["LIMITED_HISTORY"] = F.col("price_history_days") < 60
-    conditions["VERY_LIMITED_HISTORY"] = F.col("price_history_days") < 252
+    conditions = {f"INSUFFICIENT_HISTORY_{c}": f"{c} IS NULL" for c in HISTORY_FLAGGED}
+    conditions["LIMITED_HISTORY"] = "price_history_days < 60"
+    conditions["VERY_LIMITED_HISTORY"] = "price_history_days < 252"
     return flag_string(conditions)
 
 
@@ -326,5 +331,5 @@ def skip_reason() -> Column:
         .when(F.col("reaction_start_date").isNull(), "no_reaction_start")
         .when(~F.col("has_prices"), "no_price_history")
         .when(F.col("price_history_days") < 2, "insufficient_history")
-        .when(F.coalesce("benchmark_history_days", F.lit(0)) < 2, "no_benchmark")
+        .when(F.col("benchmark_history_days") < 2, "no_benchmark")
     )

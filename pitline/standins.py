@@ -153,3 +153,80 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
         money(off).alias("operating_cash_flow"),
         money(off - tx * 2).alias("free_cash_flow"),
     )
+
+
+# Raw filing templates by order key modulo 24: (announcement text, details). {dash}, {long}, {ordinal}, {abbr},
+# {dots}, {month} and {token} stand for spellings of the previous quarter end.
+FILING_TEMPLATES = [
+    ("Financial Results for the quarter ended {dash}", "Consolidated unaudited financial results"),
+    ("Financial Result Updates", "Submitted standalone financial results for the period ended {long}"),
+    ("Integrated Filing - Financial", "XBRL filing for quarter ended {dots}"),
+    ("Media Release on Quarterly Results", "Press release about {token} results"),
+    ("Investor Presentation on Q4 Results", "Earnings presentation slides"),
+    ("Transcript of Earnings Call", "Transcript of analysts/institutional investor call"),
+    ("Audio Recording of Earnings Call", "Recording of analysts call"),
+    ("Schedule of Analyst/Institutional Investor Meet", "Concall schedule for Q4 results"),
+    ("Outcome of Board Meeting", "Board approved non-consolidated financial results for the quarter and half year ended {ordinal}"),
+    ("Board Meeting Intimation", "Meeting of board of directors scheduled"),
+    ("Limited Review Report", "Independent auditor review report"),
+    ("Updates", "concall held on Monday"),
+    ("Closure of Trading Window", "Trading window closed until financial results for the year ended {dash}"),
+    ("Option to submit quarterly financial results", "Intimation of option to submit financial results"),
+    ("Copy of Newspaper Publication", "Newspaper advertisement of audited financial results for the year ended {month}"),
+    ("General Updates", "Machine readable copy of financial results"),
+    ("Clarification on Financial Results", "Reply to clarification on standalone and consolidated financial results"),
+    ("Results update", "results update for the quarter, see financialresults"),
+    ("Unaudited FinancialResults", "unauditedresults for thequarter ended {abbr}"),
+    ("Results for the Quarterand nine months ended {ordinal}", "Standalone accounts"),
+    ("Change in Directorate", "Appointment of director"),
+    ("Annual report", "standalone and consolidated accounts; concall recording of the annual call"),
+    ("Financial Results media release", "board meeting held on {long}"),
+    ("Financial Results presentation", "corrigendum to financial results for the period ended 31-Feb-2000"),
+]
+
+
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw announcement rows as an exchange delivers them, one in fifty delivered twice."""
+    orders = read_table(spark, sf_dir, "orders")
+    companies = read_table(spark, sf_dir, "supplier").select(F.count(F.lit(1)) + 2).scalar()
+    key = F.col("o_orderkey")
+    announced = F.col("o_orderdate") + F.make_dt_interval(mins=((key * 37) % 1440).cast("int"))
+    rows = orders.select(
+        key.alias("row_no"),
+        F.concat(F.lit("S"), (F.col("o_custkey") % companies).cast("string")).alias("symbol"),
+        announced.alias("at"),
+        previous_quarter_end(F.col("o_orderdate").cast("date")).alias("p"),
+        F.explode(F.sequence(F.lit(1), F.when(key % 50 == 0, 2).otherwise(1))).alias("copy"),
+    )
+    p = F.col("p")
+    spellings = {
+        "{dash}": F.date_format(p, "dd-MMM-yyyy"),
+        "{long}": F.date_format(p, "MMMM d, yyyy"),
+        "{ordinal}": F.concat(
+            F.dayofmonth(p).cast("string"), F.when(F.dayofmonth(p) == 31, "st ").otherwise("th "), F.date_format(p, "MMMM yyyy")
+        ),
+        "{abbr}": F.date_format(p, "MMM d, yyyy"),
+        "{dots}": F.date_format(p, "dd.MM.yyyy"),
+        "{month}": F.date_format(p, "MMMM yyyy"),
+        "{token}": F.concat(F.lit("Q"), F.quarter(p).cast("string"), F.lit(" FY"), F.date_format(p, "yy")),
+    }
+
+    def text(position: int) -> Column:
+        template = F.element_at(
+            F.array(*[F.lit(t[position]) for t in FILING_TEMPLATES]), (F.col("row_no") % len(FILING_TEMPLATES) + 1).cast("int")
+        )
+        for mark, spelling in spellings.items():
+            template = F.replace(template, F.lit(mark), spelling)
+        return template
+
+    stamp = F.date_format("at", "dd-MMM-yyyy HH:mm:ss")
+    name = F.when(F.col("row_no") % 24 == 11, "Transcript_Q4").otherwise("document")
+    return rows.select(
+        "symbol",
+        text(0).alias("desc"),
+        text(1).alias("attchmntText"),
+        F.concat(F.lit("https://filings.example/"), name, F.lit("_"), (F.col("row_no") % 5).cast("string"), F.lit(".pdf")).alias("attchmntFile"),
+        F.when(F.col("row_no") % 97 == 0, "not a date").otherwise(stamp).alias("an_dt"),
+        stamp.alias("exchdisstime"),
+        F.when(F.col("row_no") % 3 == 0, "True").when(F.col("row_no") % 3 == 1, "yes").otherwise("-").alias("hasXbrl"),
+    )
