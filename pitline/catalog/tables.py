@@ -8,6 +8,7 @@ from pitline import standins
 from pitline.operators import events as event_ops
 from pitline.operators import prices as px_ops
 from pitline.operators.calendar import trading_calendar
+from pitline.plans.dataset import model_table
 
 
 def prices(spark: SparkSession, d: str) -> DataFrame:
@@ -33,3 +34,15 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 def market(spark: SparkSession, d: str) -> DataFrame:
     return px_ops.event_market_features(events(spark, d), prices(spark, d), bench(spark, d), calendar(spark, d))
+
+
+def model(spark: SparkSession, d: str) -> DataFrame:
+    """The model-ready table over all events with a period before mid-2001."""
+    return model_table(
+        events(spark, d),
+        prices(spark, d),
+        bench(spark, d),
+        calendar(spark, d),
+        standins.fundamentals(spark, d),
+        period_cutoff="2001-06-30",
+    )

@@ -10,7 +10,8 @@ _INF = float("inf")
 
 def finite(value: Column) -> Column:
     """``value`` with NaN and ±infinity turned into NULL."""
-    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(_INF)), value)
+    # NaN sorts above infinity, so one comparison covers both
+    return F.when(F.abs(value) < F.lit(_INF), value)
 
 
 def is_infinite(value: Column) -> Column:
@@ -19,7 +20,7 @@ def is_infinite(value: Column) -> Column:
 
 def safe_divide(num: Column, den: Column) -> Column:
     """``num / den``; NULL when either side is missing or infinite, the divisor is zero, or the result overflows."""
-    return finite(F.try_divide(finite(num.cast("double")), finite(den.cast("double"))))
+    return finite(F.try_divide(num.cast("double"), finite(den.cast("double"))))
 
 
 def growth(current: Column, previous: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from pitline.functions.dates import minute_of_day
 
 MAX_DAYS = 200_000  # more than 500 years of days
+TAIL_DAYS = 3_653  # how far past the last trading day a date is still placed (ten years)
 MARKET_OPEN_MINUTE = 9 * 60 + 15
 MARKET_CLOSE_MINUTE = 15 * 60 + 30
 
@@ -49,10 +50,10 @@ def calendar_from_data(df: DataFrame, on: str, buffer_days: int = 30) -> DataFra
 
 
 def day_lookup(calendar: DataFrame) -> DataFrame:
-    """Every calendar day from the first trading day to one past the last, with its place in the calendar.
+    """Every calendar day from the first trading day to ``TAIL_DAYS`` past the last, with its place in the calendar.
 
     Columns: day, is_trading_day, idx and trade_date of the last trading day at or before ``day``, and the
-    trading days before and after that one. The final row stands for any later day (see :func:`at_day`).
+    trading days before and after that one; last_idx is the end of the calendar.
     Further calendar columns give ``x``, ``prev_x`` and ``next_x`` for those same three trading days.
     """
     order = Window.orderBy("date")
@@ -60,11 +61,12 @@ def day_lookup(calendar: DataFrame) -> DataFrame:
     shifted = {
         f"{side}_{c}": shift(c).over(order) for c in ["date", *facts] for side, shift in (("prev", F.lag), ("next", F.lead))
     }
-    placed = calendar.withColumns(shifted)
-    until = F.coalesce(F.date_sub(F.col("next_date"), 1), F.date_add(F.col("date"), 1))
+    placed = calendar.withColumns(shifted | {"last_idx": F.max("idx").over(Window.partitionBy())})
+    until = F.coalesce(F.date_sub(F.col("next_date"), 1), F.date_add(F.col("date"), TAIL_DAYS))
     days = placed.select(
         F.explode(F.sequence(F.col("date"), until, F.expr("INTERVAL 1 DAY"))).alias("day"),
         "idx",
+        "last_idx",
         F.col("date").alias("trade_date"),
         *facts,
         *shifted,
@@ -75,14 +77,12 @@ def day_lookup(calendar: DataFrame) -> DataFrame:
 def at_day(df: DataFrame, lookup: DataFrame, day: Column, prefix: str = "") -> DataFrame:
     """Join the calendar position of ``day`` onto ``df`` (columns get ``prefix``).
 
-    Days past the end use the lookup's final row; days before the first trading day find nothing. An equality
-    join against a table bounded by calendar days: the left side is not shuffled.
+    Days before the first trading day find nothing. An equality join against a table bounded by calendar days: the
+    left side is not shuffled.
     """
-    last_day = lookup.select(F.max("day")).scalar()
     named = lookup.select(*[F.col(c).alias(f"{prefix}{c}") for c in lookup.columns])
-    keyed = df.withColumn("__day", F.when(day.isNotNull(), F.least(day.cast("date"), last_day)))
-    joined = keyed.join(F.broadcast(named), F.col("__day") == F.col(f"{prefix}day"), "left")
-    return joined.drop("__day", f"{prefix}day")
+    keyed = df.withColumn("__day", day.cast("date"))
+    return keyed.join(F.broadcast(named), F.col("__day") == F.col(f"{prefix}day"), "left").drop("__day", f"{prefix}day")
 
 
 def session_type(ts: Column, is_trading_day: Column) -> Column:
@@ -145,9 +145,8 @@ def cutoff_and_reaction() -> list[Column]:
 
 def add_embargo(df: DataFrame, calendar: DataFrame, on: str, days: int, name: str = "embargo_date") -> DataFrame:
     """The ``days``-th trading day strictly after ``on``, or the last trading day if the calendar ends earlier."""
-    last_idx = calendar.select(F.max("idx")).scalar()
     placed = at_day(df, day_lookup(calendar), F.col(on), "__e_")
-    target = F.least(F.coalesce(F.col("__e_idx"), F.lit(-1)) + F.lit(days), last_idx)
+    target = F.least(F.coalesce(F.col("__e_idx"), F.lit(-1)) + F.lit(days), F.col("__e_last_idx"))
     placed = placed.withColumn("__target", F.when(F.col(on).isNotNull(), target))
     ends = calendar.select(F.col("date").alias(name), F.col("idx").alias("__target"))
     helpers = [c for c in placed.columns if c.startswith("__e_")]

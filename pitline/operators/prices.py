@@ -280,7 +280,14 @@ def event_market_features(
             f"CASE WHEN {stock} IS NOT NULL THEN {base} END AS benchmark_return_{k}d_after",
         ]
     carried = [*events.columns, "announcement_session_type", "feature_cutoff_date", "reaction_start_date"]
-    wide = _price_state(dated, prices).selectExpr(
+    state = _price_state(dated, prices)
+    if not keep_skipped:
+        # the same conditions as skip_reason(), on plain columns, ahead of the wide projection
+        state = state.where(
+            "feature_cutoff_date IS NOT NULL AND reaction_start_date IS NOT NULL AND has_prices"
+            " AND price_history_days >= 2 AND bench_state.history_days >= 2"
+        )
+    wide = state.selectExpr(
         *carried,
         "has_prices",
         "price_history_days",
@@ -293,7 +300,6 @@ def event_market_features(
         {
             "reaction_class": reaction_class(F.col("abnormal_return_1d"), F.col("abnormal_return_3d")),
             "quality_flags": history_flags(),
-            "skip_reason": skip_reason(),
         }
     )
     passed_through = [c for c in events.columns if c not in ("symbol", "event_key")]
@@ -312,8 +318,8 @@ def event_market_features(
         *sorted(c for c in LABEL_COLUMNS if c.endswith("_after")),
     ]
     if keep_skipped:
-        return full.select(*ordered, "skip_reason")
-    return full.where(F.col("skip_reason").isNull()).select(*ordered)
+        return full.select(*ordered, skip_reason().alias("skip_reason"))
+    return full.select(*ordered)
 
 
 def history_flags() -> Column:

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pitline.operators import events as event_ops
+from pitline.operators.fundamentals import attach_point_in_time, attach_price, with_metrics, with_valuation
+from pitline.operators.history import HISTORY_COLUMNS, HORIZONS, with_prior_history
+from pitline.operators.prices import event_market_features
+from pitline.plans.roles import ordered_columns
 from pitline.session import stage
 
 
@@ -18,3 +23,27 @@ def filings_to_documents(filings: DataFrame, source: str = "exchange_announcemen
 
 def filings_to_events(filings: DataFrame) -> DataFrame:
     return event_ops.roll_up(filings_to_documents(filings))
+
+
+def model_table(
+    events: DataFrame,
+    prices: DataFrame,
+    bench: DataFrame,
+    calendar: DataFrame,
+    statements: DataFrame,
+    period_cutoff: str | None = None,
+) -> DataFrame:
+    """Events with market, fundamental, valuation and own-history features and labels, in role order.
+
+    History is computed over all events, including those without prices; periods at or after ``period_cutoff`` are
+    left out at the end.
+    """
+    market = event_market_features(events, prices, bench, calendar)
+    funded = attach_point_in_time(market, with_metrics(statements))
+    valued = with_valuation(attach_price(funded, prices)).drop("price")
+    labels = market.select("event_key", *[f"abnormal_return_{h}d" for h in HORIZONS], "reaction_class")
+    history = with_prior_history(events.join(labels, "event_key", "left")).select("event_key", *HISTORY_COLUMNS)
+    full = valued.join(history, "event_key", "left")
+    if period_cutoff is not None:
+        full = full.where(F.col("period_ended") < F.lit(period_cutoff).cast("date"))
+    return full.select(*ordered_columns(full.columns))

@@ -23,6 +23,15 @@ def local_session(cores: str = "8", name: str = "pitline") -> SparkSession:
     )
 
 
+def configure(spark: SparkSession) -> None:
+    """Session settings the wide tables need.
+
+    Constraint inference rewrites every known predicate for every alias; on tables with well over a hundred derived
+    columns its set of predicates grows exponentially and planning takes longer than the query.
+    """
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

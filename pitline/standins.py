@@ -55,7 +55,7 @@ def benchmark_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed filings, one per order, for as many companies as there are suppliers plus two without prices."""
     orders = read_table(spark, sf_dir, "orders")
-    companies = read_table(spark, sf_dir, "supplier").select(F.count(F.lit(1)) + 2).scalar()
+    companies = read_table(spark, sf_dir, "supplier").count() + 2
     key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     minute = (key * 37) % 1440
     period = (
@@ -188,7 +188,7 @@ FILING_TEMPLATES = [
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw announcement rows as an exchange delivers them, one in fifty delivered twice."""
     orders = read_table(spark, sf_dir, "orders")
-    companies = read_table(spark, sf_dir, "supplier").select(F.count(F.lit(1)) + 2).scalar()
+    companies = read_table(spark, sf_dir, "supplier").count() + 2
     key = F.col("o_orderkey")
     announced = F.col("o_orderdate") + F.make_dt_interval(mins=((key * 37) % 1440).cast("int"))
     rows = orders.select(
