@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["market", "filings", "fundamentals"]
+MODULES = ["market", "filings", "fundamentals", "training"]
 
 
 def load_all() -> None:

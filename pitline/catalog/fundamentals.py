@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pitline import standins
 from pitline.catalog.ctes import QUARTER_END, define, with_ctes
 from pitline.catalog.registry import big, query, rounded, sql_round
-from pitline.catalog.tables import events, market, model, prices
+from pitline.catalog.tables import build_model, events, labelled, prices
 from pitline.operators import fundamentals as fund_ops
 from pitline.operators import history as hist_ops
 from pitline.plans.roles import feature_manifest
@@ -138,7 +138,7 @@ def fundamental_metrics(spark, d):
     ),
 )
 def pit_fundamentals(spark, d):
-    df = fund_ops.attach_point_in_time(market(spark, d), fund_ops.with_metrics(standins.fundamentals(spark, d)))
+    df = fund_ops.attach_point_in_time(labelled(spark, d), fund_ops.with_metrics(standins.fundamentals(spark, d)))
     return rounded(
         df.select(
             "event_key", "fundamental_period_end_date", "fundamental_estimated_available_date", "fundamental_pit_status",
@@ -149,7 +149,7 @@ def pit_fundamentals(spark, d):
 
 @query("valuation", with_ctes(f"SELECT event_key, {sql_round(fund_ops.VALUATION_COLUMNS, 6)} FROM val", "val"))
 def valuation(spark, d):
-    funded = fund_ops.attach_point_in_time(market(spark, d), fund_ops.with_metrics(standins.fundamentals(spark, d)))
+    funded = fund_ops.attach_point_in_time(labelled(spark, d), fund_ops.with_metrics(standins.fundamentals(spark, d)))
     valued = fund_ops.with_valuation(fund_ops.attach_price(funded, prices(spark, d)))
     return rounded(valued.select("event_key", *fund_ops.VALUATION_COLUMNS), 6)
 
@@ -159,7 +159,7 @@ _DOUBLE_HISTORY = [c for c in hist_ops.HISTORY_COLUMNS if not c.endswith(("count
 
 def _history(spark, d, columns):
     ev = events(spark, d)
-    labels = market(spark, d).select("event_key", *[f"abnormal_return_{h}d" for h in (1, 3, 5)], "reaction_class")
+    labels = labelled(spark, d).select("event_key", *[f"abnormal_return_{h}d" for h in (1, 3, 5)], "reaction_class")
     df = hist_ops.with_prior_history(ev.join(labels, "event_key", "left"))
     ints = {c: big(F.col(c)) for c in ("prior_earnings_count", "prior_days_since_last", "prior_reaction_streak")}
     return rounded(df.withColumns(ints).select("event_key", *columns))
@@ -198,7 +198,7 @@ FROM k WINDOW w AS (PARTITION BY symbol ORDER BY period_ended NULLS FIRST, event
 )
 def prior_history_known_labels(spark, d):
     ev = events(spark, d)
-    labels = market(spark, d).select("event_key", "reaction_start_date", *[f"abnormal_return_{h}d" for h in (1, 3, 5)], "reaction_class")
+    labels = labelled(spark, d).select("event_key", "reaction_start_date", *[f"abnormal_return_{h}d" for h in (1, 3, 5)], "reaction_class")
     known = F.coalesce(F.date_add("reaction_start_date", 14) <= F.lit("2001-01-01").cast("date"), F.lit(False))
     df = hist_ops.with_prior_history(ev.join(labels, "event_key", "left").withColumn("known", known), known_before="known")
     return rounded(df.select("event_key", "prior_abn_ret_5d_mean_4"))
@@ -212,7 +212,7 @@ def prior_history_known_labels(spark, d):
     ),
 )
 def model_table(spark, d):
-    df = model(spark, d)
+    df = build_model(spark, d)
     return df.select(
         "event_key", "reaction_class", big(F.col("prior_earnings_count")).alias("prior_earnings_count"),
         *[(F.round(c, 10) + F.lit(0.0)).alias(c) for c in ("return_5d", "fund_roe", "abnormal_return_3d")],

@@ -8,7 +8,9 @@ from pitline import standins
 from pitline.operators import events as event_ops
 from pitline.operators import prices as px_ops
 from pitline.operators.calendar import trading_calendar
+from pitline.operators.splits import temporal_split
 from pitline.plans.dataset import model_table
+from pitline.session import stage
 
 
 def prices(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +38,23 @@ def market(spark: SparkSession, d: str) -> DataFrame:
     return px_ops.event_market_features(events(spark, d), prices(spark, d), bench(spark, d), calendar(spark, d))
 
 
-def model(spark: SparkSession, d: str) -> DataFrame:
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _staged(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """A table several queries read: written once per session to the shared checkpoint folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STAGED:
+        _STAGED[key] = stage(build())
+    return _STAGED[key]
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Staged market features and labels."""
+    return _staged(spark, d, "market", lambda: market(spark, d))
+
+
+def build_model(spark: SparkSession, d: str) -> DataFrame:
     """The model-ready table over all events with a period before mid-2001."""
     return model_table(
         events(spark, d),
@@ -46,3 +64,12 @@ def model(spark: SparkSession, d: str) -> DataFrame:
         standins.fundamentals(spark, d),
         period_cutoff="2001-06-30",
     )
+
+
+def model(spark: SparkSession, d: str) -> DataFrame:
+    """Staged model table, the input of splits, preprocessing and audits."""
+    return _staged(spark, d, "model", lambda: build_model(spark, d))
+
+
+def split_model(spark: SparkSession, d: str) -> DataFrame:
+    return temporal_split(model(spark, d), standins.TRAIN_END, standins.VAL_END)
