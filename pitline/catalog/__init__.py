@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["market", "filings", "fundamentals", "training"]
+MODULES = ["market", "filings", "fundamentals", "training", "audits", "ingest"]
 
 
 def load_all() -> None:

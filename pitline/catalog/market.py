@@ -57,12 +57,12 @@ def session_counts(spark, d):
 def _family(name: str, columns: list[str], *steps):
     cte = "pf" if "volume" in columns[0] else "pf0"
 
-    @query(name, with_ctes(f"SELECT symbol, date, {sql_round(columns)} FROM {cte}", cte))
+    @query(name, with_ctes(f"SELECT symbol, date, {sql_round(columns, 12)} FROM {cte}", cte))
     def run(spark, d):
         df = prices(spark, d)
         for step in steps:
             df = step(df)
-        return rounded(df.select("symbol", "date", *columns))
+        return rounded(df.select("symbol", "date", *columns), 12)
 
     return run
 

@@ -68,8 +68,8 @@ def embargo_verify(spark, d):
     with_ctes(
         f"""
 , {_WK},
-cand AS (SELECT CAST(last_day(DATE '1996-12-31' + to_months(CAST(3 * k AS INTEGER))) AS DATE) AS t FROM range(0, 12) r(k)),
-edge AS (SELECT t, LEAST(CAST(t + INTERVAL 1 MONTH + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE), DATE '{VAL_END}') AS v, (SELECT MAX(feature_cutoff_date) FROM mls WHERE period_ended <= t) AS m FROM cand WHERE t < DATE '{VAL_END}'),
+cand AS (SELECT CASE WHEN k <= 3 THEN last_day(CAST(DATE '1996-12-31' + to_months(CAST(3 * k AS INTEGER)) AS DATE)) ELSE CAST(DATE '1997-09-30' + to_months(CAST(3 * (k - 3) AS INTEGER)) AS DATE) END AS t FROM range(0, 14) r(k)),
+edge AS (SELECT t, LEAST(CAST(t + INTERVAL 1 MONTH + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE), DATE '{VAL_END}') AS v, (SELECT MAX(feature_cutoff_date) FROM mls WHERE period_ended <= t) AS m FROM cand WHERE t + INTERVAL 1 MONTH <= DATE '{VAL_END}'),
 st AS (SELECT *, (SELECT date FROM wk WHERE i = (SELECT MIN(i) FROM wk WHERE date > m) + 4) AS s FROM edge),
 f AS (SELECT t, s, v, m, (SELECT COUNT(*) FROM mls WHERE period_ended <= t) AS tr, (SELECT COUNT(*) FROM mls WHERE period_ended > t AND period_ended <= v AND feature_cutoff_date >= s) AS vr,
   (SELECT MIN(feature_cutoff_date) FROM mls WHERE period_ended > t AND period_ended <= v AND feature_cutoff_date >= s) AS vm FROM st)
@@ -164,7 +164,7 @@ def _scaled(kind: str) -> str:
         v = f"COALESCE({c}, (SELECT quantile_cont({c}, 0.5) FROM mls WHERE split = 'train'))"
         parts.append(f"{v} AS {c}")
         if kind == "robust":
-            centre, scale = f"(SELECT quantile_cont({c}, 0.5) FROM filled WHERE split = 'train')", f"(SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM filled WHERE split = 'train')"
+            centre, scale = f"(SELECT quantile_cont({c}, 0.5) FROM filled WHERE split = 'train')", f"(SELECT COALESCE(NULLIF(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 0), 1) FROM filled WHERE split = 'train')"
         else:
             centre, scale = f"(SELECT avg({c}) FROM filled WHERE split = 'train')", f"(SELECT stddev_pop({c}) FROM filled WHERE split = 'train')"
         cols.append(f"ROUND(({c} - {centre}) / {scale}, 6) + 0.0 AS {c}")

@@ -75,7 +75,8 @@ def missingness(df: DataFrame, columns: Sequence[str], period: str = "period_end
     for i, c in enumerate(columns):
         aggs.append(f"avg({isnull(c)}) AS a{i}")
         aggs += [f"avg(CASE WHEN split = '{s}' THEN {isnull(c)} END) AS a{i}_{s}" for s in SPLITS]
-        aggs.append(f"corr({isnull(c)}, cast(unix_date({period}) AS double)) AS r{i}")
+        day = f"cast(unix_date({period}) AS double)"
+        aggs.append(f"try_divide(covar_pop({isnull(c)}, {day}), stddev_pop({isnull(c)}) * stddev_pop({day})) AS r{i}")
     entries = ", ".join(
         f"struct('{c}' AS feature, '{feature_group(c)}' AS feature_group, a{i} AS overall, a{i}_train AS train, a{i}_val AS val,"
         f" a{i}_test AS test, CASE WHEN a{i} > 0 AND a{i} < 1 THEN r{i} END AS time_correlation)"

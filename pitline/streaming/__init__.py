@@ -1,0 +1 @@
+"""Intentionally empty: the event-study operators are batch; late filings are absorbed by the event roll-up."""
