@@ -22,13 +22,14 @@ def repair_glued_words(text: Column) -> Column:
 def period_phrase(text: Column) -> Column:
     """The date text of the first period pattern that matches; NULL when none does.
 
-    Every pattern needs the word "ended", so texts without it skip all of them.
+    Every pattern needs the word "ended" with the start of a date after it; texts without that skip all of them.
     """
     found = F.lit("")
     for pattern in reversed(P.PERIOD_PATTERNS):
         # regexp_extract gives '' without a match; rlike first keeps a single evaluation per reference
         found = F.when(F.rlike(text, F.lit(pattern)), F.regexp_extract(text, pattern, 1)).otherwise(found)
-    return F.when(F.contains(text, F.lit("ended")), F.nullif(found, F.lit("")))
+    dated = F.contains(text, F.lit("ended")) & F.rlike(text, F.lit(P.ENDED_BEFORE_DATE))
+    return F.when(dated, F.nullif(found, F.lit("")))
 
 
 def with_period(df: DataFrame, text: str, name: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import chain
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +15,16 @@ from pitline.functions import patterns as P
 _UNIX_LINES = "(?d)"  # '.', '^' and '$' treat only \n as a line break
 
 
-def matches_any(text: Column, patterns: Sequence[str]) -> Column:
-    """True when any pattern is found; all alternatives go to the regex engine as one expression."""
-    return F.coalesce(F.rlike(text, F.lit(_UNIX_LINES + "|".join(f"(?:{p})" for p in patterns))), F.lit(False))
+def matches_any(text: Column, patterns: Sequence[str], words: Sequence[str] = ()) -> Column:
+    """True when any pattern is found; all alternatives go to the regex engine as one expression.
+
+    ``words`` are literals of which every pattern needs at least one: a plain substring search then spares most
+    texts the regular expression.
+    """
+    found = F.coalesce(F.rlike(text, F.lit(_UNIX_LINES + "|".join(f"(?:{p})" for p in patterns))), F.lit(False))
+    if not words:
+        return found
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in words]) & found
 
 
 def trimmed(text: Column) -> Column:
@@ -58,8 +67,8 @@ def legacy_document_type(text: Column) -> Column:
 def reporting_scope(text: Column) -> Column:
     """consolidated, standalone, both or unknown; an explicit non-consolidated cancels consolidated."""
     t = F.lower(text)
-    consolidated = matches_any(t, [P.CONSOLIDATED]) & ~matches_any(t, [P.NON_CONSOLIDATED])
-    standalone = matches_any(t, [P.STANDALONE])
+    consolidated = matches_any(t, [P.CONSOLIDATED], ["consolidated"]) & ~matches_any(t, [P.NON_CONSOLIDATED], ["consolidated"])
+    standalone = matches_any(t, [P.STANDALONE], ["standalone"])
     return (
         F.when(consolidated & standalone, "both")
         .when(consolidated, "consolidated")
@@ -70,16 +79,21 @@ def reporting_scope(text: Column) -> Column:
 
 def is_financial_results(text: Column) -> Column:
     phrase = f"{P.RESULTS_PHRASE}(?!{P.RESULTS_PHRASE_NOT_BEFORE})"
-    return ~matches_any(text, P.RESULTS_EXCLUDED) & matches_any(text, [phrase, *P.RESULTS_OTHER])
+    excluded = matches_any(
+        text,
+        P.RESULTS_EXCLUDED,
+        ["release", "readable", "legible", "filing", "submit", "clarification", "newspaper", "extract", "update"],
+    )
+    return F.contains(text, F.lit("result")) & matches_any(text, [phrase, *P.RESULTS_OTHER]) & ~excluded
 
 
 def is_result_update(text: Column) -> Column:
-    other_outcome = matches_any(text, [P.BOARD_OUTCOME_PHRASE]) & ~matches_any(text, [P.MENTIONS_RESULT])
-    return ~other_outcome & matches_any(text, P.RESULT_UPDATE)
+    other_outcome = matches_any(text, [P.BOARD_OUTCOME_PHRASE], ["outcome"]) & ~matches_any(text, [P.MENTIONS_RESULT])
+    return matches_any(text, P.RESULT_UPDATE, ["update", "outcome", "submission"]) & ~other_outcome
 
 
 def is_followup_filing(text: Column) -> Column:
-    return matches_any(text, [P.MENTIONS_RESULT]) & matches_any(text, P.FOLLOWUP)
+    return matches_any(text, [P.MENTIONS_RESULT], ["result"]) & matches_any(text, P.FOLLOWUP)
 
 
 def category_description(document_type: Column) -> Column:
@@ -106,17 +120,17 @@ def classify_documents(
     signals = {
         "__results": is_financial_results(o),
         "__update": is_result_update(o),
-        "__integrated": matches_any(o, P.INTEGRATED),
-        "__media": matches_any(a, P.MEDIA_RELEASE),
-        "__presentation": matches_any(a, P.INVESTOR_PRESENTATION),
-        "__transcript": matches_any(a, P.CALL_TRANSCRIPT),
-        "__recording": matches_any(a, P.CALL_RECORDING),
-        "__schedule": matches_any(a, P.CALL_SCHEDULE),
-        "__outcome": matches_any(a, P.BOARD_OUTCOME) & ~is_financial_results(a) & ~is_result_update(a),
-        "__notice": matches_any(a, P.BOARD_NOTICE),
-        "__review": matches_any(a, P.LIMITED_REVIEW),
-        "__window": matches_any(a, P.TRADING_WINDOW),
-        "__option": matches_any(a, P.OPTION_TO_SUBMIT),
+        "__integrated": matches_any(o, P.INTEGRATED, ["filing", "xbrl"]),
+        "__media": matches_any(a, P.MEDIA_RELEASE, ["media", "press"]),
+        "__presentation": matches_any(a, P.INVESTOR_PRESENTATION, ["presentation"]),
+        "__transcript": matches_any(a, P.CALL_TRANSCRIPT, ["transcript"]),
+        "__recording": matches_any(a, P.CALL_RECORDING, ["recording", "audio"]),
+        "__schedule": matches_any(a, P.CALL_SCHEDULE, ["schedule", "intimation", "investor"]),
+        "__outcome": matches_any(a, P.BOARD_OUTCOME, ["board"]) & ~is_financial_results(a) & ~is_result_update(a),
+        "__notice": matches_any(a, P.BOARD_NOTICE, ["board"]),
+        "__review": matches_any(a, P.LIMITED_REVIEW, ["review"]),
+        "__window": matches_any(a, P.TRADING_WINDOW, ["trading"]),
+        "__option": matches_any(a, P.OPTION_TO_SUBMIT, ["submit"]),
         "__followup": is_followup_filing(a),
     }
     seen = texts.withColumns(signals)

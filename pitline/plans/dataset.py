@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitline.operators import events as event_ops
 from pitline.operators.fundamentals import attach_point_in_time, attach_price, with_metrics, with_valuation
-from pitline.operators.history import HISTORY_COLUMNS, HORIZONS, with_prior_history
+from pitline.operators.history import HORIZONS, with_prior_history
 from pitline.operators.prices import event_market_features
 from pitline.plans.roles import ordered_columns
 from pitline.session import stage
@@ -36,14 +36,19 @@ def model_table(
     """Events with market, fundamental, valuation and own-history features and labels, in role order.
 
     History is computed over all events, including those without prices; periods at or after ``period_cutoff`` are
-    left out at the end.
+    left out at the end. Unusable events stay in the table, without labels, until history is done, so the market
+    features are computed once.
     """
-    market = event_market_features(events, prices, bench, calendar)
-    funded = attach_point_in_time(market, with_metrics(statements))
-    valued = with_valuation(attach_price(funded, prices)).drop("price")
-    labels = market.select("event_key", *[f"abnormal_return_{h}d" for h in HORIZONS], "reaction_class")
-    history = with_prior_history(events.join(labels, "event_key", "left")).select("event_key", *HISTORY_COLUMNS)
-    full = valued.join(history, "event_key", "left")
+    announced = "result_announcement_datetime"
+    market = event_market_features(events, prices, bench, calendar, keep_skipped=True)
+    silent = events.where(F.col(announced).isNull()).withColumn("skip_reason", F.lit("no_announcement"))
+    everyone = market.unionByName(silent, allowMissingColumns=True)
+    usable = F.col("skip_reason").isNull()
+    labels = [*[f"abnormal_return_{h}d" for h in HORIZONS], "reaction_class"]
+    labelled = everyone.withColumns({c: F.when(usable, F.col(c)) for c in labels})
+    with_history = with_prior_history(labelled).where(usable).drop("skip_reason")
+    funded = attach_point_in_time(with_history, with_metrics(statements))
+    full = with_valuation(attach_price(funded, prices)).drop("price")
     if period_cutoff is not None:
         full = full.where(F.col("period_ended") < F.lit(period_cutoff).cast("date"))
     return full.select(*ordered_columns(full.columns))
