@@ -176,7 +176,10 @@ def _linear(name: str, scaler: str) -> None:
     def run(spark, d):
         df = split_model(spark, d)
         fitted = preprocess.create_preprocessor("linear", scaler=scaler).fit(df.where("split = 'train'"), _FEATURES)
-        return rounded(fitted.transform(df, keep=["event_key", "split"]).select("event_key", "split", *_FEATURES), 6)
+        out = fitted.transform(df, keep=["event_key", "split"])
+        # a feature without any training value has no median and is dropped by the fit
+        dropped = {c: F.lit(None).cast("double") for c in _FEATURES if c not in fitted.features}
+        return rounded((out.withColumns(dropped) if dropped else out).select("event_key", "split", *_FEATURES), 6)
 
 
 _linear("median_impute_robust_scale", "robust")
