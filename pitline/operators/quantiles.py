@@ -79,9 +79,9 @@ def ks_distance(df: DataFrame, feature: str, value: str, sample: str, first: str
     )
     centre = both.groupBy("feature").agg(F.expr("percentile_approx(v, array(0.25D, 0.5D, 0.75D), 1000)").alias("q"))
     scaled = counts.join(F.broadcast(centre), "feature").selectExpr(
-        "feature", "v", "na", "nb", "(v - q[1]) / greatest(q[2] - q[0], 1e-300D) AS z"
+        "feature", "v", "na", "nb", "(v - q[1]) / greatest(q[2] - q[0], 1e-12D) AS z"
     )
-    binned = scaled.selectExpr("feature", "v", "na", "nb", "cast(sign(z) * floor(256 * ln(1 + 8 * abs(z))) AS bigint) AS bin")
+    binned = scaled.selectExpr("feature", "v", "na", "nb", "cast(sign(z) * floor(256 * ln(1 + 8 * least(abs(z), 1e300D))) AS bigint) AS bin")
     per_bin = binned.groupBy("feature", "bin").agg(F.sum("na").alias("ba"), F.sum("nb").alias("bb"))
     order = "PARTITION BY feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     offsets = per_bin.selectExpr(

@@ -27,8 +27,8 @@ def normalize_types(history: DataFrame) -> DataFrame:
     return history.withColumns(typed).dropna(subset=["date", "symbol", "close"])
 
 
-def append_new_days(history: DataFrame, path: str) -> DataFrame:
-    """Append only days the target does not hold yet and return the appended rows' day list.
+def append_new_days(history: DataFrame, path: str) -> None:
+    """Append only the days the target does not hold yet.
 
     The rows are clustered by day before the write, so each day becomes few files; the days already present come
     from partition values, without reading data files.
@@ -41,6 +41,4 @@ def append_new_days(history: DataFrame, path: str) -> DataFrame:
         new = history.join(F.broadcast(present), "date", "left_anti")
     except AnalysisException:
         pass  # nothing written yet
-    days = new.select("date").distinct()
     new.repartition("date").write.partitionBy("date").mode("append").parquet(path)
-    return days
