@@ -31,7 +31,6 @@ LEAF, FANOUT = 8, 8
 COUNTED_AT_ONCE = 2_000_000
 
 POST = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("rare", pa.list_(pa.int64())), ("frequent", pa.list_(pa.int64()))])
-SETS = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("items", pa.binary())])
 FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("g", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("cls", pa.int64())])
 
 
@@ -202,10 +201,13 @@ def _bits(items: list[np.ndarray]) -> int:
     return 1 << min(17, max(8, int(4 * max(map(len, items)) - 1).bit_length()))
 
 
-def _by_size(rows: pa.Table) -> tuple[list[int], list[np.ndarray]]:
-    pairs = {c: np.frombuffer(x, np.uint64) for c, x in zip(rows["cls"].to_pylist(), rows["items"].to_pylist(), strict=True)}
-    ids = sorted(pairs, key=lambda c: (len(pairs[c]), c))
-    return ids, [pairs[c] for c in ids]
+def _by_size(rows: pa.Table, cache: WordHash, width: int) -> tuple[list[int], list[np.ndarray]]:
+    """Classes of the rows and their sets, smallest first; a class that comes twice counts once."""
+    at = {c: k for k, c in enumerate(rows["cls"].to_pylist())}
+    texts = utf8(rows["text"].combine_chunks())
+    sets = {c: shingle_set(texts[k], cache, width) for c, k in at.items()}
+    ids = sorted(sets, key=lambda c: (len(sets[c]), c))
+    return ids, [sets[c] for c in ids]
 
 
 def _found(edges: list, others: list) -> pa.RecordBatch:
@@ -217,12 +219,12 @@ def _found(edges: list, others: list) -> pa.RecordBatch:
     )
 
 
-def _within(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+def _within(batches: Iterator[pa.RecordBatch], threshold: int, width: int) -> Iterator[pa.RecordBatch]:
     """Links inside each tree; of groups with several trees also the classes that aren't linked to the hub."""
-    edges, others = [], []
+    cache, edges, others = WordHash(), [], []
     for rows in sorted_groups(batches, ["g", "node"]):
         g, node = rows["g"][0].as_py(), rows["node"][0].as_py()
-        ids, items = _by_size(rows)
+        ids, items = _by_size(rows, cache, width)
         if len(ids) > 1:
             tree, merged = Tree(items, _bits(items)), Merged()
             edges += traverse(tree, ids, tree, ids, merged, threshold)
@@ -234,14 +236,14 @@ def _within(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
     yield _found(edges, others)
 
 
-def _across(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], threshold: int, width: int) -> Iterator[pa.RecordBatch]:
     """Links between the visitors and the residents of each tree pair."""
-    edges = []
+    cache, edges = WordHash(), []
     for rows in sorted_groups(batches, ["g", "node", "origin"]):
         visits = rows["visits"].to_numpy(zero_copy_only=False).astype(bool)
         one, two = rows.filter(pa.array(visits)), rows.filter(pa.array(~visits))
         if one.num_rows and two.num_rows:
-            (ids_one, items_one), (ids_two, items_two) = _by_size(one), _by_size(two)
+            (ids_one, items_one), (ids_two, items_two) = _by_size(one, cache, width), _by_size(two, cache, width)
             bits = _bits(items_one + items_two)
             edges += traverse(Tree(items_one, bits), ids_one, Tree(items_two, bits), ids_two, Merged(), threshold)
         if len(edges) > 50_000:
@@ -250,32 +252,32 @@ def _across(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
     yield _found(edges, [])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """One row per class of the task; repeated rows of a class's first document are passed over."""
-    cache, seen = WordHash(), set()
-    for batch in batches:
-        classes = batch.column(batch.schema.get_field_index("cls")).to_pylist()
-        new = [k for k, c in enumerate(classes) if c not in seen and not seen.add(c)]
-        texts = batch.column(batch.schema.get_field_index("text")).take(pa.array(new, pa.int64()))
-        items = [shingle_set(t, cache, width) for t in utf8(texts)]
-        yield batch_of(SETS, cls=[classes[k] for k in new], n=[len(x) for x in items], items=[x.tobytes() for x in items])
-
-
 # ---- the join ----
 
 
-def _members(posts: DataFrame) -> DataFrame:
-    """``(g, cls)``: every class with the hubs of the buckets it shares with another class.
+def _members(posts: DataFrame, threshold: int) -> DataFrame:
+    """``(g, cls, n)``: every class with the hubs of the buckets it shares with a class of fitting size.
 
-    The bucket of a rare shingle is a window over few rows. A frequent shingle's hub is a map-side combined minimum, and as
-    there are at most FREQUENT of them, the hubs are broadcast: its bucket is never gathered anywhere.
+    The bucket of a rare shingle, a window over few rows, is cut wherever the next larger class is too large for the one
+    before; each piece with two classes or more has its smallest class as hub. A frequent shingle's bucket is never
+    gathered: its hubs are map-side combined minima, one for each size band and the next. As there are at most FREQUENT
+    such shingles and sizes span few bands, these hubs are broadcast.
     """
-    rare = posts.select("cls", F.explode("rare").alias("token"))
-    low, high = F.min("cls").over(Window.partitionBy("token")), F.max("cls").over(Window.partitionBy("token"))
-    near = rare.select("cls", low.alias("g"), high.alias("top")).where("g <> top").select("g", "cls")
-    late = posts.select("cls", F.explode("frequent").alias("token"))
-    hubs = late.groupBy("token").agg(F.min("cls").alias("g"), F.max("cls").alias("top")).where("g <> top").select("token", "g")
-    return near.unionByName(late.join(F.broadcast(hubs), "token").select("g", "cls")).distinct()
+    rare = posts.select("cls", "n", F.explode("rare").alias("token"))
+    bucket = Window.partitionBy("token").orderBy("n", "cls")
+    before, after = F.lag("n").over(bucket), F.lead("n").over(bucket)
+    cut = rare.select(
+        "token", "cls", "n",
+        (before.isNull() | (100 * before < threshold * F.col("n"))).alias("first"),
+        (after.isNull() | (100 * F.col("n") < threshold * after)).alias("final"),
+    ).where("not (first and final)")
+    near = cut.select("cls", "n", F.last(F.when(F.col("first"), F.col("cls")), ignorenulls=True).over(bucket).alias("g"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / threshold) if threshold < 100 else 1.0) - 1e-9)
+    late = posts.select("cls", "n", F.explode("frequent").alias("token"), band.alias("band"))
+    late = late.select("cls", "n", "token", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    hubs = late.groupBy("token", "band").agg(F.min("cls").alias("g"), F.max("cls").alias("top")).where("g <> top").select("token", "band", "g")
+    both = near.unionByName(late.join(F.broadcast(hubs), ["token", "band"]).select("cls", "n", "g"))
+    return both.select("g", "cls", "n").distinct()
 
 
 def _sized(members: DataFrame, threshold: int, tree: int) -> DataFrame:
@@ -312,16 +314,18 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, width: int = 5, tre
         lambda it: _postings(it, width, threshold, order.value), "doc_id long, th long, cls long, n int, rare array<long>, frequent array<long>"))
     classes = posts.where("cls is not null").groupBy("cls").agg(
         F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "th")).alias("first"), F.max("n").alias("n"), F.min("doc_id").alias("least"))
-    members = stage(_sized(_members(posts.where("cls is not null")).join(classes.select("cls", "n"), "cls"), threshold, tree))
+    members = stage(_sized(_members(posts.where("cls is not null"), threshold), threshold, tree))
 
-    wanted = members.select("cls").distinct().join(classes, "cls").select("cls", "first.doc_id", "first.th")
+    firsts = classes.select("cls", "first.doc_id", "first.th")
     texts = keyed.withColumn("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
-    sets = stage(wanted.join(texts, ["doc_id", "th"]).select("cls", "text").mapInArrow(lambda it: _sets(it, width), "cls long, n int, items binary"))
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        return rows.join(firsts, "cls").join(texts, ["doc_id", "th"]).drop("doc_id", "th")
 
     trees = members.select("g", "node", "cls")
     hubs = trees.where("node >= 0").select("g", "node").distinct().select("g", "node", F.col("g").alias("cls"))
-    rows = trees.unionByName(hubs).join(sets, "cls").select("g", "node", "cls", "items")
-    found = stage(_dealt(rows, "g", "node").mapInArrow(lambda it: _within(it, threshold), "u long, v long, g long, node long, n int, cls long"))
+    rows = _dealt(with_texts(trees.unionByName(hubs)), "g", "node")
+    found = stage(rows.mapInArrow(lambda it: _within(it, threshold, width), "u long, v long, g long, node long, n int, cls long"))
 
     others = found.where("cls is not null").select("g", F.col("node").alias("origin"), "n", "cls").distinct()
     nodes = members.where("node >= 0").groupBy("g", "node").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -330,11 +334,14 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, width: int = 5, tre
         .where((F.col("origin") != F.col("node")) & (100 * F.col("n") >= threshold * F.col("low")) & (100 * F.col("high") >= threshold * F.col("n")))
         .select("g", "node", "origin", "cls", F.lit(1).alias("visits"))
     )
-    hosts = visits.select("g", "node", "origin").distinct().join(trees, ["g", "node"]).select("g", "node", "origin", "cls", F.lit(0).alias("visits"))
-    pairs = visits.unionByName(hosts).join(sets, "cls").select("g", "node", "origin", "visits", "cls", "items")
-    more = _dealt(pairs, "g", "node", "origin").mapInArrow(lambda it: _across(it, threshold), "u long, v long, g long, node long, n int, cls long")
-
-    component = connected_components(found.where("u is not null").select("u", "v").unionByName(more.select("u", "v")))
+    edges = found.where("u is not null").select("u", "v")
+    if not visits.isEmpty():
+        hosts = visits.select("g", "node", "origin").distinct().join(trees, ["g", "node"]).select("g", "node", "origin", "cls", F.lit(0).alias("visits"))
+        met = _dealt(with_texts(visits.unionByName(hosts)), "g", "node", "origin")
+        more = met.mapInArrow(lambda it: _across(it, threshold, width), "u long, v long, g long, node long, n int, cls long")
+        edges = edges.unionByName(more.select("u", "v"))
+
+    component = connected_components(edges)
     named = classes.select("cls", "least").join(component, F.col("cls") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = named.join(smallest, "component").select("cls", "component_id")
