@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitline.llm import signature_tree
+from pitline.llm import blob_ledger, host_quality, signature_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": signature_tree.op1_ngram_jaccard_join,
+    "op4_secret_scan": blob_ledger.op4_secret_scan,
+    "op5_host_quality_rules": host_quality.op5_host_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_secret_scan": blob_ledger.OP4_SQL,
+    "op5_host_quality_rules": host_quality.OP5_SQL,
+}
