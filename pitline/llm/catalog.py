@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitline.llm import blob_ledger, host_quality, signature_tree
+from pitline.llm import blob_ledger, host_quality, signature_tree, spaced_seeds, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": signature_tree.op1_ngram_jaccard_join,
+    "op2_benchmark_decontamination": spaced_seeds.op2_benchmark_decontamination,
     "op4_secret_scan": blob_ledger.op4_secret_scan,
     "op5_host_quality_rules": host_quality.op5_host_quality_rules,
+    "op10_byte_bpe": word_bpe.op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
