@@ -7,6 +7,7 @@ hit the words on its diagonal are compared: a window that agrees often enough is
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitline.llm.common import WordHash, batch_of, mix, utf8, word_hashes
+from pitline.llm.common import WordHash, batch_of, mix, word_hashes
 from pitline.session import read_table, stage
 
 #: Together they hit every window of 10 to 20 words in which at most a fifth is substituted (tests try all patterns).
@@ -58,6 +59,14 @@ def best_window(agree: np.ndarray) -> tuple[int, int, int]:
     return at, int(sums[at]), width
 
 
+PUNCTUATION = bytes.maketrans(bytes(string.punctuation, "ascii"), b" " * len(string.punctuation))
+
+
+def plain_words(text: str | None, cache: WordHash) -> np.ndarray:
+    """Hashes of the words, letters in lower case and ASCII punctuation taken as space."""
+    return word_hashes((text or "").lower().encode().translate(PUNCTUATION), cache)
+
+
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -65,7 +74,7 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHash()
     for batch in batches:
-        words = [word_hashes((t or b"").lower(), cache) for t in utf8(_column(batch, "text"))]
+        words = [plain_words(t, cache) for t in _column(batch, "text").to_pylist()]
         found = [all_seeds(w) for w in words]
         yield batch_of(INDEX, item_id=_column(batch, "item_id"), words=[w.view(np.int64) for w in words], hashes=[h.view(np.int64) for h, _ in found], offsets=[o for _, o in found])
 
@@ -75,8 +84,8 @@ def _hits(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.
     cache = WordHash()
     for batch in batches:
         rows = {f.name: [] for f in HITS}
-        for key, doc_id, text in zip(_column(batch, "key").to_pylist(), _column(batch, "doc_id").to_pylist(), utf8(_column(batch, "text")), strict=True):
-            words = word_hashes((text or b"").lower(), cache)
+        for key, doc_id, text in zip(_column(batch, "key").to_pylist(), _column(batch, "doc_id").to_pylist(), _column(batch, "text").to_pylist(), strict=True):
+            words = plain_words(text, cache)
             hashes, offsets = all_seeds(words)
             bit = hashes >> np.uint64(64 - BITMAP)
             known = (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
@@ -132,7 +141,8 @@ def doc_key(doc_id: str = "doc_id", text: str = "text"):
 def overlaps(docs: DataFrame, tests: DataFrame, agree: int = AGREE) -> DataFrame:
     """``key, doc_id, item_id, word_start, n_matched, n_window``: documents that hold a passage of a test text.
 
-    A passage overlaps when, of min(20, its length) aligned words (A-Z lower-cased), ``agree`` per cent are equal; every
+    A passage overlaps when, of min(20, its length) aligned words (lower case, without ASCII
+    punctuation), ``agree`` per cent are equal; every
     such window of ten words or more is found as long as at least 80 per cent agree. One row per document, test text and
     alignment that qualifies, with its best window. Test texts shorter than SHORTEST words, null and blank texts overlap
     with nothing. Equal rows of ``docs`` count once; rows that share a doc_id but not the text are told apart by ``key``
