@@ -5,7 +5,8 @@ order (rare ones first), so two linked classes share at least one posted shingle
 with the same hub (their bucket's smallest class) form the members of that hub, and these go into signature trees: leaves
 hold classes of similar size, every node the OR of its members' token bitmaps and their range of sizes. A dual traversal
 drops node pairs whose largest possible overlap can't reach the threshold, or that are one component already; pairs of
-classes that are left are verified on their whole sets.
+classes that are left are verified on their whole sets. Signatures alone go into the first walk; texts are sent only for
+the members that it leaves a possible partner.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ TREE = 512
 LEAF, FANOUT = 8, 8
 COUNTED_AT_ONCE = 2_000_000
 
-POST = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("rare", pa.list_(pa.int64())), ("frequent", pa.list_(pa.int64()))])
+POST = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("rare", pa.list_(pa.int64())), ("frequent", pa.list_(pa.int64())), ("signature", pa.binary())])
+MEMBERS = pa.schema([("g", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("node", pa.int64())])
 FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("g", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("cls", pa.int64())])
 
 
@@ -92,11 +94,12 @@ def _postings(batches: Iterator[pa.RecordBatch], width: int, threshold: int, ord
             items = shingle_set(text, cache, width)
             n = len(items)
             cls = class_of(items) if n else None
-            rare = late = none
+            rare, late, signature = none, none, None
             if n and cls not in seen:
                 if len(seen) > 5_000_000:
                     seen.clear()
                 seen.add(cls)
+                signature = bitmap(items, 1 << max(6, int(2 * n - 1).bit_length())).tobytes()
                 length = n - (-(-threshold * n // 100)) + 1
                 at = np.searchsorted(values, items)
                 at[at == len(values)] = 0
@@ -108,6 +111,7 @@ def _postings(batches: Iterator[pa.RecordBatch], width: int, threshold: int, ord
             rows["n"].append(n)
             rows["rare"].append(signed(rare))
             rows["frequent"].append(signed(late))
+            rows["signature"].append(signature)
         rows["doc_id"], rows["th"] = batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("th"))
         yield batch_of(POST, **rows)
 
@@ -115,17 +119,26 @@ def _postings(batches: Iterator[pa.RecordBatch], width: int, threshold: int, ord
 # ---- trees ----
 
 
+def bitmap(items: np.ndarray, bits: int) -> np.ndarray:
+    """One bit per leading bits of a shingle's hash; ``bits`` is a power of two, 64 at least."""
+    at = np.unique(items >> np.uint64(65 - bits.bit_length()))
+    row = np.zeros(bits // 64, np.uint64)
+    np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return row
+
+
+def halved(row: np.ndarray) -> np.ndarray:
+    """The bitmap of half as many bits: each new bit is the OR of two neighbours."""
+    bits = np.unpackbits(row.view(np.uint8), bitorder="little").reshape(-1, 2).any(axis=1)
+    packed = np.packbits(bits, bitorder="little")
+    return np.pad(packed, (0, -len(packed) % 8)).view(np.uint64)
+
+
 class Tree:
-    """Classes in order of size; level 0 are single classes, each level above holds the OR of up to FANOUT nodes."""
-
-    def __init__(self, items: list[np.ndarray], bits: int):
-        self.items = items
-        size = np.array([len(x) for x in items])
-        words = np.zeros((len(items), bits // 64), np.uint64)
-        shift = np.uint64(64 - bits.bit_length() + 1)
-        for row, x in zip(words, items, strict=True):
-            at = np.unique(x >> shift)
-            np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    """Classes in order of size; level 0 are single classes, each level above holds the OR of up to FANOUT nodes, their
+    range of sizes, and the most shingles that fell on a bit another shingle of the same class had set."""
+
+    def __init__(self, words: np.ndarray, size: np.ndarray):
         excess = size - np.bitwise_count(words).sum(axis=1)
         self.levels = [(words, size, size, excess)]
         step = LEAF
@@ -135,6 +148,10 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(words, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(excess, cut)))
             step = FANOUT
 
+    @classmethod
+    def of_sets(cls, items: list[np.ndarray], bits: int) -> Tree:
+        return cls(np.stack([bitmap(x, bits) for x in items]), np.array([len(x) for x in items]))
+
     def below(self, level: int, k: int) -> range:
         step = LEAF if level == 1 else FANOUT
         return range(k * step, min((k + 1) * step, len(self.levels[level - 1][0])))
@@ -173,19 +190,15 @@ def possible(one: tuple, i: int, two: tuple, js: np.ndarray, threshold: int) ->
     return js[fits & ((100 + threshold) * shared >= threshold * (low[i] + their_low[js]))]
 
 
-def traverse(one: Tree, ids_one: list[int], two: Tree, ids_two: list[int], merged: Merged, threshold: int) -> Iterator[tuple[int, int]]:
-    """Links that join components, from a depth-first walk over node pairs; ``one is two`` walks each pair once."""
+def traverse(one: Tree, two: Tree, threshold: int) -> Iterator[tuple[int, int]]:
+    """Pairs of classes that the bounds leave, from a depth-first walk over node pairs; ``one is two`` walks each once."""
     same = one is two
     stack = [(len(one.levels) - 1, 0, len(two.levels) - 1, 0)]
     while stack:
         la, i, lb, j = stack.pop()
         if la == 0 and lb == 0:
-            if same and i >= j or merged.find(ids_one[i]) == merged.find(ids_two[j]):
-                continue
-            a, b = one.items[i], two.items[j]
-            if enough(overlap(a, b), len(a), len(b), threshold):
-                merged.join(ids_one[i], ids_two[j])
-                yield ids_one[i], ids_two[j]
+            if not same or i < j:
+                yield i, j
             continue
         down_a = la >= lb and la > 0
         down_b = lb >= la and lb > 0
@@ -197,6 +210,32 @@ def traverse(one: Tree, ids_one: list[int], two: Tree, ids_two: list[int], merge
                 stack.append((la - down_a, x, lb - down_b, y))
 
 
+def links(one: Tree, ids_one: list[int], items_one: list, two: Tree, ids_two: list[int], items_two: list, merged: Merged, threshold: int) -> Iterator[tuple[int, int]]:
+    """Verified links that join components; pairs that are one component already are passed over."""
+    for i, j in traverse(one, two, threshold):
+        if merged.find(ids_one[i]) != merged.find(ids_two[j]):
+            a, b = items_one[i], items_two[j]
+            if enough(overlap(a, b), len(a), len(b), threshold):
+                merged.join(ids_one[i], ids_two[j])
+                yield ids_one[i], ids_two[j]
+
+
+def promising(widths: np.ndarray, rows: list[np.ndarray], size: np.ndarray, threshold: int) -> np.ndarray:
+    """Which classes, in order of size, have a partner that their signatures allow. Classes of fitting size have signatures
+    of the same width or of the next; each width is walked with the next one folded onto it."""
+    out = np.zeros(len(rows), bool)
+    for width in np.unique(widths).tolist():
+        at = np.flatnonzero((widths == width) | (widths == 2 * width))
+        if len(at) > 1:
+            folded = np.stack([rows[k] if widths[k] == width else halved(rows[k]) for k in at.tolist()])
+            tree = Tree(folded, size[at])
+            for i, j in traverse(tree, tree, threshold):
+                a, b = at[i], at[j]
+                if widths[a] == width or widths[b] == width:
+                    out[a] = out[b] = True
+    return out
+
+
 def _bits(items: list[np.ndarray]) -> int:
     return 1 << min(17, max(8, int(4 * max(map(len, items)) - 1).bit_length()))
 
@@ -226,8 +265,8 @@ def _within(batches: Iterator[pa.RecordBatch], threshold: int, width: int) -> It
         g, node = rows["g"][0].as_py(), rows["node"][0].as_py()
         ids, items = _by_size(rows, cache, width)
         if len(ids) > 1:
-            tree, merged = Tree(items, _bits(items)), Merged()
-            edges += traverse(tree, ids, tree, ids, merged, threshold)
+            tree, merged = Tree.of_sets(items, _bits(items)), Merged()
+            edges += links(tree, ids, items, tree, ids, items, merged, threshold)
             if node >= 0:
                 others += [(g, node, len(x), c) for c, x in zip(ids, items, strict=True) if merged.find(c) != merged.find(g)]
         if len(edges) + len(others) > 50_000:
@@ -245,13 +284,34 @@ def _across(batches: Iterator[pa.RecordBatch], threshold: int, width: int) -> It
         if one.num_rows and two.num_rows:
             (ids_one, items_one), (ids_two, items_two) = _by_size(one, cache, width), _by_size(two, cache, width)
             bits = _bits(items_one + items_two)
-            edges += traverse(Tree(items_one, bits), ids_one, Tree(items_two, bits), ids_two, Merged(), threshold)
+            edges += links(Tree.of_sets(items_one, bits), ids_one, items_one, Tree.of_sets(items_two, bits), ids_two, items_two, Merged(), threshold)
         if len(edges) > 50_000:
             yield _found(edges, [])
             edges = []
     yield _found(edges, [])
 
 
+def _prune(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """Members that keep a possible partner in their tree."""
+    kept = {f.name: [] for f in MEMBERS}
+    for rows in sorted_groups(batches, ["g"]):
+        first = {c: k for k, c in enumerate(rows["cls"].to_pylist())}
+        size = rows["n"].to_numpy()
+        order = sorted(first, key=lambda c: (size[first[c]], c))
+        at = [first[c] for c in order]
+        signatures = rows["signature"].to_pylist()
+        maps = [np.frombuffer(signatures[k], np.uint64) for k in at]
+        stay = promising(np.array([len(x) * 64 for x in maps]), maps, size[at], threshold)
+        for cls, k, yes in zip(order, at, stay.tolist(), strict=True):
+            if yes:
+                for name, value in zip(MEMBERS.names, (rows["g"][0].as_py(), cls, int(size[k]), -1), strict=True):
+                    kept[name].append(value)
+        if len(kept["g"]) > 50_000:
+            yield batch_of(MEMBERS, **kept)
+            kept = {f.name: [] for f in MEMBERS}
+    yield batch_of(MEMBERS, **kept)
+
+
 # ---- the join ----
 
 
@@ -311,10 +371,14 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, width: int = 5, tre
     order = spark.sparkContext.broadcast(frequent_shingles(base.select("text"), width))
     keyed = base.withColumn("th", F.xxhash64("text"))
     posts = stage(keyed.select("doc_id", "th", "text").mapInArrow(
-        lambda it: _postings(it, width, threshold, order.value), "doc_id long, th long, cls long, n int, rare array<long>, frequent array<long>"))
+        lambda it: _postings(it, width, threshold, order.value), "doc_id long, th long, cls long, n int, rare array<long>, frequent array<long>, signature binary"))
     classes = posts.where("cls is not null").groupBy("cls").agg(
         F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "th")).alias("first"), F.max("n").alias("n"), F.min("doc_id").alias("least"))
-    members = stage(_sized(_members(posts.where("cls is not null"), threshold), threshold, tree))
+    sized = stage(_sized(_members(posts.where("cls is not null"), threshold), threshold, tree))
+    signatures = posts.where("signature is not null").select("cls", "signature")
+    small = _dealt(sized.where("node = -1").join(signatures, "cls").select("g", "cls", "n", "signature"), "g")
+    pruned = small.mapInArrow(lambda it: _prune(it, threshold), "g long, cls long, n int, node long")
+    members = stage(pruned.unionByName(sized.where("node >= 0")))
 
     firsts = classes.select("cls", "first.doc_id", "first.th")
     texts = keyed.withColumn("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
