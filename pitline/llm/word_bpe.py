@@ -16,7 +16,6 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
@@ -24,18 +23,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitline.llm.common import batch_of, sorted_groups
-from pitline.session import read_table, stage
+from pitline.llm.common import batch_of
+from pitline.session import read_table, shared_folder
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: A block ends with the document that brings it to this many pre-tokens.
-BLOCK = 3_000_000
+BLOCK = 6_000_000
 #: Distinct words a task remembers while encoding; beyond it, memory is freed and a word may be encoded again.
 REMEMBERED = 2_000_000
 SENT_BYTES = 32 << 20
 
-ROWS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("slot", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("payload", pa.binary())])
-ROWS_SQL = "kind int, block long, slot int, doc_ids array<long>, sizes array<int>, payload binary"
+ROWS = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("body", pa.binary()), ("words", pa.binary())])
+ROWS_SQL = "block long, slot int, doc_ids array<long>, sizes array<int>, body binary, words binary"
+ANSWERS = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("ids", pa.binary())])
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
 
@@ -77,40 +77,53 @@ def unpack(payload: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
+def framed(first: bytes, second: bytes) -> bytes:
+    return len(first).to_bytes(4, "little") + first + second
+
+
+def unframed(payload: bytes) -> tuple[bytes, bytes]:
+    cut = 4 + int.from_bytes(payload[:4], "little")
+    return payload[4:cut], payload[cut:]
+
+
+def pieces(sizes: bytes, joined) -> list:
+    ends = np.cumsum(unpack(sizes)).tolist()
+    return [joined[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def pack_words(words: list[bytes]) -> bytes:
-    sizes = pack(np.array([len(w) for w in words], np.uint32))
-    return len(sizes).to_bytes(4, "little") + sizes + zstandard.compress(b"".join(words), 3)
+    return framed(pack(np.array([len(w) for w in words], np.uint32)), zstandard.compress(b"".join(words), 9))
 
 
 def unpack_words(payload: bytes) -> list[bytes]:
-    cut = 4 + int.from_bytes(payload[:4], "little")
-    ends = np.cumsum(unpack(payload[4:cut])).tolist()
-    text = zstandard.decompress(payload[cut:])
-    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    sizes, joined = unframed(payload)
+    return pieces(sizes, zstandard.decompress(joined))
 
 
 # ---- blocks ----
 
 
 def _close(words: Numbering, docs: list[tuple[int | None, np.ndarray]], slots: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a block: one with its documents, and one per slot with the words dealt to it. Words are numbered by
-    slot, then by how often they occur, which is how the slots' answers are laid end to end later."""
+    """The rows of a block: one with its documents, and one per slot with the words dealt to it, in alphabetical order.
+    Positions hold words by their rank of use, small numbers mostly; ``places`` tells which word of the slots' words, laid
+    end to end, has a rank."""
     block = uuid.uuid4().int >> 65
-    spelled = [w.encode() for w in words]
-    numbers = np.concatenate([d[1] for d in docs])
-    uses = np.bincount(numbers, minlength=len(spelled))
+    spelled = sorted(words)
+    before = np.fromiter(map(words.__getitem__, spelled), np.int64, len(spelled))
+    spelled = [w.encode() for w in spelled]
     slot = np.fromiter((xxhash.xxh3_64_intdigest(w) % slots for w in spelled), np.int64, len(spelled))
-    by_use = np.argsort(-uses, kind="stable")
-    new = np.empty(len(spelled), np.uint32)
-    new[by_use] = np.arange(len(spelled))
-    yield batch_of(ROWS, kind=[0], block=[block], slot=[-1], doc_ids=[[d[0] for d in docs]], sizes=[[len(d[1]) for d in docs]], payload=[pack(new[numbers])])
-    order = by_use[np.argsort(slot[by_use], kind="stable")]
+    order = np.argsort(slot, kind="stable")
+    numbers = np.concatenate([d[1] for d in docs])
+    by_use = np.argsort(-np.bincount(numbers, minlength=len(spelled)), kind="stable")
+    rank, place = np.empty((2, len(spelled)), np.uint32)
+    rank[by_use] = np.arange(len(spelled))
+    place[before[order]] = np.arange(len(spelled))
+    body = framed(pack(place[by_use]), pack(rank[numbers]))
+    yield batch_of(ROWS, block=[block], slot=[None], doc_ids=[[d[0] for d in docs]], sizes=[[len(d[1]) for d in docs]], body=[body], words=[None])
     cuts = np.flatnonzero(np.diff(slot[order], prepend=-1, append=slots)).tolist()
     for a, b in zip(cuts, cuts[1:], strict=False):
-        yield batch_of(
-            ROWS, kind=[1], block=[block], slot=[int(slot[order[a]])], doc_ids=[None], sizes=[new[order[a:b]].astype(np.int32)],
-            payload=[pack_words([spelled[k] for k in order[a:b].tolist()])],
-        )
+        dealt = pack_words([spelled[k] for k in order[a:b].tolist()])
+        yield batch_of(ROWS, block=[block], slot=[int(slot[order[a]])], doc_ids=[None], sizes=[None], body=[None], words=[dealt])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], slots: int, block: int) -> Iterator[pa.RecordBatch]:
@@ -136,8 +149,8 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
     encode = encoder(path)._encode_single_piece
     known: dict[bytes, list[int]] = {}
     for batch in batches:
-        rows = {f.name: [] for f in ROWS}
-        for block, slot, numbers, payload in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("block", "slot", "sizes", "payload")), strict=True):
+        answers = []
+        for payload in batch.column(2).to_pylist():
             ids = []
             for word in unpack_words(payload):
                 got = known.get(word)
@@ -146,51 +159,59 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
                         known.clear()
                     got = known[word] = encode(word)
                 ids.append(got)
-            counts = pack(np.array([len(x) for x in ids], np.uint32))
-            flat = pack(np.fromiter((i for x in ids for i in x), np.uint32))
-            for name, value in zip(ROWS.names, (1, block, slot, None, numbers, len(counts).to_bytes(4, "little") + counts + flat), strict=True):
-                rows[name].append(value)
-        yield batch_of(ROWS, **rows)
+            answers.append(framed(pack(np.array([len(x) for x in ids], np.uint32)), pack(np.fromiter((i for x in ids for i in x), np.uint32))))
+        yield batch_of(ANSWERS, block=batch.column(0), slot=batch.column(1), ids=answers)
 
 
 # ---- documents ----
 
 
 def _assemble(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Documents of each block, from its positions and its words' ids."""
     table = token_bytes(path)
-    for rows in sorted_groups(batches, ["block"]):
-        body = rows.filter(pc.equal(rows["kind"], 0)).to_pylist()[0]
-        n_words = sum(len(x) for x in rows.filter(pc.equal(rows["kind"], 1))["sizes"].to_pylist())
-        spelled: list[list[int]] = [[]] * n_words
-        for kind, numbers, payload in zip(rows["kind"].to_pylist(), rows["sizes"].to_pylist(), rows["payload"].to_pylist(), strict=True):
-            if kind == 1:
-                cut = 4 + int.from_bytes(payload[:4], "little")
-                ends = np.cumsum(unpack(payload[4:cut])).tolist()
-                flat = unpack(payload[cut:]).tolist()
-                for number, a, b in zip(numbers, [0, *ends], ends, strict=False):
-                    spelled[number] = flat[a:b]
-        lengths = np.array([len(x) for x in spelled], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        flat = np.fromiter((i for x in spelled for i in x), "<u4")
-        as_bytes = [b"".join(map(table.__getitem__, x)) for x in spelled]
-        del spelled
-        numbers = unpack(body["payload"])
-        at, out, sent = 0, {f.name: [] for f in ENCODED}, 0
-        for doc_id, size in zip(body["doc_ids"], body["sizes"], strict=True):
-            mine = numbers[at : at + size]
-            at += size
-            per = lengths[mine]
-            ends = np.cumsum(per)
-            total = int(ends[-1]) if size else 0
-            ids = flat[np.arange(total) + np.repeat(starts[mine] - (ends - per), per)].tobytes()
-            decoded = b"".join(map(as_bytes.__getitem__, mine.tolist()))
-            for name, value in zip(ENCODED.names, (doc_id, total, ids, decoded), strict=True):
-                out[name].append(value)
-            sent += len(ids) + len(decoded)
-            if sent > SENT_BYTES:
-                yield batch_of(ENCODED, **out)
-                out, sent = {f.name: [] for f in ENCODED}, 0
-        yield batch_of(ENCODED, **out)
+    for batch in batches:
+        for k in range(batch.num_rows):
+            block = batch.slice(k, 1).to_pylist()[0]
+            spelled: list[list[int]] = []
+            for answer in sorted(block["answers"] or [], key=lambda x: x["slot"]):
+                sizes, ids = unframed(answer["ids"])
+                spelled += pieces(sizes, unpack(ids).tolist())
+            place, numbers = map(unpack, unframed(block["body"]))
+            yield from _documents([spelled[p] for p in place.tolist()], numbers, block["doc_ids"], block["sizes"], table)
+
+
+def _documents(spelled: list[list[int]], numbers: np.ndarray, doc_ids: list, sizes: list[int], table: list[bytes]) -> Iterator[pa.RecordBatch]:
+    lengths = np.array([len(x) for x in spelled], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    flat = np.fromiter((i for x in spelled for i in x), "<u4")
+    as_bytes = [b"".join(map(table.__getitem__, x)) for x in spelled]
+    at, out, sent = 0, {f.name: [] for f in ENCODED}, 0
+    for doc_id, size in zip(doc_ids, sizes, strict=True):
+        mine = numbers[at : at + size]
+        at += size
+        per = lengths[mine]
+        ends = np.cumsum(per)
+        total = int(ends[-1]) if size else 0
+        ids = flat[np.arange(total) + np.repeat(starts[mine] - (ends - per), per)].tobytes()
+        decoded = b"".join(map(as_bytes.__getitem__, mine.tolist()))
+        for name, value in zip(ENCODED.names, (doc_id, total, ids, decoded), strict=True):
+            out[name].append(value)
+        sent += len(ids) + len(decoded)
+        if sent > SENT_BYTES:
+            yield batch_of(ENCODED, **out)
+            out, sent = {f.name: [] for f in ENCODED}, 0
+    yield batch_of(ENCODED, **out)
+
+
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``block``, so that a join on it doesn't send it again. The table's
+    name is only needed to say so; it goes at once, and the files stay for the reader."""
+    spark = df.sparkSession
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "block").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, block: int = BLOCK) -> DataFrame:
@@ -203,13 +224,15 @@ def encode_documents(docs: DataFrame, path: str | None = None, block: int = BLOC
     """
     path = path or public_tokenizers.path(RANKS)
     spark = docs.sparkSession
-    slots = min(4096, max(32, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = min(4096, max(32, parts))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = stage(base.mapInArrow(lambda it: _blocks(it, slots, block), ROWS_SQL), "kind")
-    words = blocks.where("kind = 1").select("block", "slot", "sizes", "payload")
-    answers = words.repartition("slot").mapInArrow(lambda it: _encode_words(it, path), ROWS_SQL)
-    both = blocks.where("kind = 0").select(*answers.columns).unionByName(answers)
-    return both.repartition("block").sortWithinPartitions("block", "slot").mapInArrow(lambda it: _assemble(it, path), "doc_id long, n_tokens long, ids binary, decoded binary")
+    blocks = _bucketed(base.mapInArrow(lambda it: _blocks(it, slots, block), ROWS_SQL), parts)
+    words = blocks.where("words is not null").select("block", "slot", "words")
+    answers = words.repartition("slot").mapInArrow(lambda it: _encode_words(it, path), "block long, slot int, ids binary")
+    of_block = answers.repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("slot", "ids")).alias("answers"))
+    bodies = blocks.where("body is not null").select("block", "doc_ids", "sizes", "body")
+    return bodies.join(of_block.hint("shuffle_hash"), "block", "left").mapInArrow(lambda it: _assemble(it, path), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
