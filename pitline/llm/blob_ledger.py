@@ -119,6 +119,18 @@ def redact(text: Column, spans: Column, mark: str = MARK) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
+def without_secrets(docs: DataFrame, mark: str = MARK) -> DataFrame:
+    """``docs`` with every secret replaced by the mark, and ``n_chars``, where there is one, counted anew in changed rows."""
+    found, _ = find_secrets(docs)
+    changed = F.size("spans") > 0
+    clean = {"text": F.when(changed, redact(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))}
+    out = found.withColumns(clean)
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
 def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from pitline.llm import blob_ledger, host_quality, signature_tree, spaced_seeds, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": blob_ledger.op4_secret_scan,
     "op5_host_quality_rules": host_quality.op5_host_quality_rules,
     "op10_byte_bpe": word_bpe.op10_byte_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

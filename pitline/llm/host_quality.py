@@ -109,6 +109,27 @@ def quality_verdicts(docs: DataFrame, host: str = "source", max_rate: float = MA
     )
 
 
+def passing_documents(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns as they are.
+
+    The counts of the first pass only serve the hosts' verdicts; the second drops failing rows where they are read, and
+    rejected hosts, few rows, by a join, so texts aren't shuffled to meet their own counts.
+    """
+    rows = docs.select(F.col(host).cast("string").alias("host"), F.lit(0).alias("doc_id"), "text")
+    counted = stage(rows.mapInArrow(_signal_batches, "host string, doc_id int, " + ", ".join(f"{c} long" for c in COUNTS)))
+    checked = counted.withColumns({f"failed_{k}": v for k, v in rule_failures().items()})
+    rejected = stage(host_verdicts(checked, max_rate).where(~F.col("host_kept")).select(F.col("host").alias("rejected_host")))
+    passed = docs.mapInArrow(_passing, docs.schema)
+    return passed.join(rejected, F.col(host).cast("string").eqNullSafe(F.col("rejected_host")), "left_anti")
+
+
+def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache = WordHash()
+    for batch in batches:
+        found = [signals(t, cache) for t in utf8(batch.column(batch.schema.get_field_index("text")))]
+        yield batch.filter(pa.array([n >= MIN_WORDS and 100 * again <= MAX_REPEATED * n for n, _, _, _, again in found], pa.bool_()))
+
+
 def op5_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of all ``documents``, with their source as host."""
     return quality_verdicts(read_table(spark, sf_dir, "documents"))

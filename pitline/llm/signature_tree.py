@@ -357,15 +357,8 @@ def _sized(members: DataFrame, threshold: int, tree: int) -> DataFrame:
     return few.unionByName(many)
 
 
-def jaccard_components(docs: DataFrame, threshold: int = 80, width: int = 5, tree: int = TREE) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``; other columns are not looked at.
-
-    Texts link when 100 * |intersection| >= threshold * |union| of their sets of ``width``-word shingles (A-Z lower-cased;
-    fewer words: the whole sequence is the one shingle). component_id is the smallest doc_id reachable over links. A null
-    or blank text has no shingles and links with nothing, so it keeps its own doc_id. Every row gives a row: rows with the
-    same text are one class; a null doc_id stays null and is never the smallest unless its component has no other. An
-    empty table gives no rows. Shingles are compared by 64-bit hashes.
-    """
+def _linked(docs: DataFrame, threshold: int, width: int, tree: int) -> DataFrame:
+    """``doc_id, th, cls, n, component`` per row; component is a class, null where there are no shingles."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     order = spark.sparkContext.broadcast(frequent_shingles(base.select("text"), width))
@@ -373,7 +366,7 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, width: int = 5, tre
     posts = stage(keyed.select("doc_id", "th", "text").mapInArrow(
         lambda it: _postings(it, width, threshold, order.value), "doc_id long, th long, cls long, n int, rare array<long>, frequent array<long>, signature binary"))
     classes = posts.where("cls is not null").groupBy("cls").agg(
-        F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "th")).alias("first"), F.max("n").alias("n"), F.min("doc_id").alias("least"))
+        F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "th")).alias("first"))
     sized = stage(_sized(_members(posts.where("cls is not null"), threshold), threshold, tree))
     signatures = posts.where("signature is not null").select("cls", "signature")
     small = _dealt(sized.where("node = -1").join(signatures, "cls").select("g", "cls", "n", "signature"), "g")
@@ -406,13 +399,35 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, width: int = 5, tre
         edges = edges.unionByName(more.select("u", "v"))
 
     component = connected_components(edges)
-    named = classes.select("cls", "least").join(component, F.col("cls") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "cls"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.join(smallest, "component").select("cls", "component_id")
-    out = posts.select("doc_id", "n", "cls").join(of_class, "cls", "left")
+    named = classes.select("cls").join(component, F.col("cls") == F.col("vertex"), "left").select("cls", F.coalesce("component", "cls").alias("component"))
+    return posts.select("doc_id", "th", "n", "cls").join(named, "cls", "left")
+
+
+def jaccard_components(docs: DataFrame, threshold: int = 80, width: int = 5, tree: int = TREE) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``; other columns are not looked at.
+
+    Texts link when 100 * |intersection| >= threshold * |union| of their sets of ``width``-word shingles (A-Z lower-cased;
+    fewer words: the whole sequence is the one shingle). component_id is the smallest doc_id reachable over links. A null
+    or blank text has no shingles and links with nothing, so it keeps its own doc_id. Every row gives a row: rows with the
+    same text are one class; a null doc_id stays null and is never the smallest unless its component has no other. An
+    empty table gives no rows. Shingles are compared by 64-bit hashes.
+    """
+    rows = _linked(docs, threshold, width, tree)
+    least = rows.where("cls is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(least, "component", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def without_near_copies(docs: DataFrame, threshold: int = 80, width: int = 5) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id (nulls last, then by the text's hash); rows
+    without shingles all stay. Rows that repeat both doc_id and text count once. Columns stay as they are."""
+    rows = _linked(docs, threshold, width, TREE).withColumn("kept_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
+    first = rows.where("cls is not null").groupBy("component").agg(F.min(F.struct("kept_id", "th")).alias("first")).select("first.*")
+    kept = first.unionByName(rows.where("cls is null").select("kept_id", "th")).select("kept_id", F.col("th").alias("kept_th")).distinct()
+    keyed = docs.withColumns({"kept_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "kept_th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(stage(kept), ["kept_id", "kept_th"], "left_semi").dropDuplicates(["kept_id", "kept_th"]).select(docs.columns)
+
+
 def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
