@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pitline.llm import blob_ledger, host_quality, signature_tree, spaced_seeds, word_bpe
+from pitline.llm import blob_ledger, host_quality, perspectives, signature_tree, spaced_seeds, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": signature_tree.op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": spaced_seeds.op2_benchmark_decontamination,
     "op4_secret_scan": blob_ledger.op4_secret_scan,
     "op5_host_quality_rules": host_quality.op5_host_quality_rules,
+    "op7_perspective_rotation": perspectives.op7_perspective_rotation,
     "op10_byte_bpe": word_bpe.op10_byte_bpe,
     "pipeline": corpus_pipeline.run,
 }
@@ -21,4 +22,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_secret_scan": blob_ledger.OP4_SQL,
     "op5_host_quality_rules": host_quality.OP5_SQL,
+    "op7_perspective_rotation": perspectives.OP7_SQL,
 }
