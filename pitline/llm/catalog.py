@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pitline.llm import blob_ledger, host_quality, perspectives, signature_tree, spaced_seeds, word_bpe
+from pitline.llm import blob_ledger, feistel_pii, host_quality, license_windows, perspectives, signature_tree, spaced_seeds, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": signature_tree.op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": spaced_seeds.op2_benchmark_decontamination,
     "op4_secret_scan": blob_ledger.op4_secret_scan,
     "op5_host_quality_rules": host_quality.op5_host_quality_rules,
+    "op6_feistel_pseudonyms": feistel_pii.op6_feistel_pseudonyms,
     "op7_perspective_rotation": perspectives.op7_perspective_rotation,
+    "op9_license_scan": license_windows.op9_license_scan,
     "op10_byte_bpe": word_bpe.op10_byte_bpe,
     "pipeline": corpus_pipeline.run,
 }
