@@ -377,7 +377,8 @@ def _linked(docs: DataFrame, threshold: int, width: int, tree: int) -> DataFrame
     texts = keyed.withColumn("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
 
     def with_texts(rows: DataFrame) -> DataFrame:
-        return rows.join(firsts, "cls").join(texts, ["doc_id", "th"]).drop("doc_id", "th")
+        """The same join at every size: members grow with the documents, so they are never broadcast."""
+        return rows.join(firsts, "cls").join(texts.hint("merge"), ["doc_id", "th"]).drop("doc_id", "th")
 
     trees = members.select("g", "node", "cls")
     hubs = trees.where("node >= 0").select("g", "node").distinct().select("g", "node", F.col("g").alias("cls"))
