@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pitline.llm import blob_ledger, feistel_pii, host_quality, license_windows, perspectives, signature_tree, spaced_seeds, word_bpe
+from pitline.llm import blob_ledger, feistel_pii, host_quality, license_windows, paragraph_bands, perspectives, signature_tree, spaced_seeds, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": signature_tree.op1_ngram_jaccard_join,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_host_quality_rules": host_quality.op5_host_quality_rules,
     "op6_feistel_pseudonyms": feistel_pii.op6_feistel_pseudonyms,
     "op7_perspective_rotation": perspectives.op7_perspective_rotation,
+    "op8_substring_dedup": paragraph_bands.op8_substring_dedup,
     "op9_license_scan": license_windows.op9_license_scan,
     "op10_byte_bpe": word_bpe.op10_byte_bpe,
     "pipeline": corpus_pipeline.run,
