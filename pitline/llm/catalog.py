@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pitline.llm import blob_ledger, feistel_pii, host_quality, license_windows, paragraph_bands, perspectives, signature_tree, spaced_seeds, word_bpe
+from pitline.llm import blob_ledger, feistel_pii, host_quality, host_suffixes, license_windows, paragraph_bands, perspectives, signature_tree, spaced_seeds, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": signature_tree.op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": spaced_seeds.op2_benchmark_decontamination,
+    "op3_html_extraction": host_suffixes.op3_html_extraction,
     "op4_secret_scan": blob_ledger.op4_secret_scan,
     "op5_host_quality_rules": host_quality.op5_host_quality_rules,
     "op6_feistel_pseudonyms": feistel_pii.op6_feistel_pseudonyms,
