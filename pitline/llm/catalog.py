@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from pitline.llm import blob_ledger, feistel_pii, host_quality, host_suffixes, license_windows, paragraph_bands, perspectives, signature_tree, spaced_seeds, word_bpe
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def _importable(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Lets Python workers find this package where the session was started elsewhere, from whatever folder."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if ROOT not in known:
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
+        return fn(spark, sf_dir)
+
+    return run
+
+
+_PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": signature_tree.op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": spaced_seeds.op2_benchmark_decontamination,
     "op3_html_extraction": host_suffixes.op3_html_extraction,
@@ -23,6 +42,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
+QUERIES = {name: _importable(fn) for name, fn in _PLAIN.items()}
+
 ORACLES: dict[str, str] = {
     "op4_secret_scan": blob_ledger.OP4_SQL,
     "op5_host_quality_rules": host_quality.OP5_SQL,
