@@ -121,14 +121,14 @@ def redact(text: Column, spans: Column, mark: str = MARK) -> Column:
 
 def without_secrets(docs: DataFrame, mark: str = MARK) -> DataFrame:
     """``docs`` with every secret replaced by the mark, and ``n_chars``, where there is one, counted anew in changed rows."""
-    found, _ = find_secrets(docs)
+    found, _ = find_secrets(docs.select(F.struct(*docs.columns).alias("row"), "text"))
     changed = F.size("spans") > 0
-    clean = {"text": F.when(changed, redact(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))}
-    out = found.withColumns(clean)
+    clean = F.when(changed, redact(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))
+    out = found.select("row", changed.alias("changed"), clean.alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        new["n_chars"] = F.when(F.col("changed"), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def as_text(spans: Column) -> Column:

@@ -118,9 +118,10 @@ def passing_documents(docs: DataFrame, host: str = "source", max_rate: float = M
     rows = docs.select(F.col(host).cast("string").alias("host"), F.lit(0).alias("doc_id"), "text")
     counted = stage(rows.mapInArrow(_signal_batches, "host string, doc_id int, " + ", ".join(f"{c} long" for c in COUNTS)))
     checked = counted.withColumns({f"failed_{k}": v for k, v in rule_failures().items()})
-    rejected = stage(host_verdicts(checked, max_rate).where(~F.col("host_kept")).select(F.col("host").alias("rejected_host")))
+    rejected = stage(host_verdicts(checked, max_rate).where(~F.col("host_kept")).select(F.col("host").alias("rejected")))
     passed = docs.mapInArrow(_passing, docs.schema)
-    return passed.join(rejected, F.col(host).cast("string").eqNullSafe(F.col("rejected_host")), "left_anti")
+    passed = passed.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("of_host"))
+    return passed.join(rejected, F.col("of_host").eqNullSafe(F.col("rejected")), "left_anti").select("row.*")
 
 
 def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

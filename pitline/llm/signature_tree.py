@@ -424,9 +424,11 @@ def without_near_copies(docs: DataFrame, threshold: int = 80, width: int = 5) ->
     without shingles all stay. Rows that repeat both doc_id and text count once. Columns stay as they are."""
     rows = _linked(docs, threshold, width, TREE).withColumn("kept_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
     first = rows.where("cls is not null").groupBy("component").agg(F.min(F.struct("kept_id", "th")).alias("first")).select("first.*")
-    kept = first.unionByName(rows.where("cls is null").select("kept_id", "th")).select("kept_id", F.col("th").alias("kept_th")).distinct()
-    keyed = docs.withColumns({"kept_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "kept_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(stage(kept), ["kept_id", "kept_th"], "left_semi").dropDuplicates(["kept_id", "kept_th"]).select(docs.columns)
+    kept = stage(first.unionByName(rows.where("cls is null").select("kept_id", "th")).distinct())
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("kept_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
+    )
+    return keyed.join(kept, ["kept_id", "th"], "left_semi").dropDuplicates(["kept_id", "th"]).select("row.*")
 
 
 def _dealt(rows: DataFrame, *keys: str) -> DataFrame:

@@ -171,8 +171,8 @@ def overlaps(docs: DataFrame, tests: DataFrame, agree: int = AGREE) -> DataFrame
 
 def decontaminated(docs: DataFrame, tests: DataFrame, agree: int = AGREE) -> DataFrame:
     """``docs`` without the rows that hold a passage of a test text; columns and clean rows stay as they are."""
-    found = stage(overlaps(docs, tests, agree).select(F.col("key").alias("found_key")).distinct())
-    return docs.join(found, doc_key() == F.col("found_key"), "left_anti")
+    found = stage(overlaps(docs, tests, agree).select("key").distinct())
+    return docs.select(F.struct(*docs.columns).alias("row"), doc_key().alias("key")).join(found, "key", "left_anti").select("row.*")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
