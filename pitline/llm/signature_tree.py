@@ -33,7 +33,8 @@ COUNTED_AT_ONCE = 2_000_000
 
 POST = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("rare", pa.list_(pa.int64())), ("frequent", pa.list_(pa.int64())), ("signature", pa.binary())])
 MEMBERS = pa.schema([("g", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("node", pa.int64())])
-FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("g", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("cls", pa.int64())])
+FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("g", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("apart", pa.bool_()), ("text", pa.binary())])
+FOUND_SQL = "u long, v long, g long, node long, n int, cls long, apart boolean, text binary"
 
 
 def class_of(items: np.ndarray) -> int:
@@ -249,30 +250,29 @@ def _by_size(rows: pa.Table, cache: WordHash, width: int) -> tuple[list[int], li
     return ids, [sets[c] for c in ids]
 
 
-def _found(edges: list, others: list) -> pa.RecordBatch:
-    n, m = len(edges), len(others)
-    return batch_of(
-        FOUND,
-        u=[e[0] for e in edges] + [None] * m, v=[e[1] for e in edges] + [None] * m,
-        g=[None] * n + [o[0] for o in others], node=[None] * n + [o[1] for o in others], n=[None] * n + [o[2] for o in others], cls=[None] * n + [o[3] for o in others],
-    )
+def _found(edges: list, members: list) -> pa.RecordBatch:
+    rows = [(u, v, *[None] * 6) for u, v in edges] + [(None, None, *m) for m in members]
+    return batch_of(FOUND, **{f.name: [r[k] for r in rows] for k, f in enumerate(FOUND)})
 
 
 def _within(batches: Iterator[pa.RecordBatch], threshold: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Links inside each tree; of groups with several trees also the classes that aren't linked to the hub."""
-    cache, edges, others = WordHash(), [], []
+    """Links inside each tree; of groups with several trees also their members, with whether they are apart from the hub
+    and their texts, which the walks across trees need."""
+    cache, edges, members = WordHash(), [], []
     for rows in sorted_groups(batches, ["g", "node"]):
         g, node = rows["g"][0].as_py(), rows["node"][0].as_py()
         ids, items = _by_size(rows, cache, width)
+        merged = Merged()
         if len(ids) > 1:
-            tree, merged = Tree.of_sets(items, _bits(items)), Merged()
+            tree = Tree.of_sets(items, _bits(items))
             edges += links(tree, ids, items, tree, ids, items, merged, threshold)
-            if node >= 0:
-                others += [(g, node, len(x), c) for c, x in zip(ids, items, strict=True) if merged.find(c) != merged.find(g)]
-        if len(edges) + len(others) > 50_000:
-            yield _found(edges, others)
-            edges, others = [], []
-    yield _found(edges, others)
+        if node >= 0:
+            texts = dict(zip(rows["cls"].to_pylist(), utf8(rows["text"].combine_chunks()), strict=True))
+            members += [(g, node, len(x), c, merged.find(c) != merged.find(g), texts[c]) for c, x in zip(ids, items, strict=True)]
+        if len(edges) > 50_000 or len(members) > TREE:
+            yield _found(edges, members)
+            edges, members = [], []
+    yield _found(edges, members)
 
 
 def _across(batches: Iterator[pa.RecordBatch], threshold: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -377,27 +377,26 @@ def _linked(docs: DataFrame, threshold: int, width: int, tree: int) -> DataFrame
     texts = keyed.withColumn("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
 
     def with_texts(rows: DataFrame) -> DataFrame:
-        """The same join at every size: members grow with the documents, so they are never broadcast."""
         return rows.join(firsts, "cls").join(texts.hint("merge"), ["doc_id", "th"]).drop("doc_id", "th")
 
     trees = members.select("g", "node", "cls")
     hubs = trees.where("node >= 0").select("g", "node").distinct().select("g", "node", F.col("g").alias("cls"))
     rows = _dealt(with_texts(trees.unionByName(hubs)), "g", "node")
-    found = stage(rows.mapInArrow(lambda it: _within(it, threshold, width), "u long, v long, g long, node long, n int, cls long"))
+    found = stage(rows.mapInArrow(lambda it: _within(it, threshold, width), FOUND_SQL))
+    edges = found.where("u is not null").select("u", "v")
 
-    others = found.where("cls is not null").select("g", F.col("node").alias("origin"), "n", "cls").distinct()
+    others = found.where("apart").select("g", F.col("node").alias("origin"), "n", "cls").distinct()
     nodes = members.where("node >= 0").groupBy("g", "node").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     visits = (
         others.join(nodes, "g")
         .where((F.col("origin") != F.col("node")) & (100 * F.col("n") >= threshold * F.col("low")) & (100 * F.col("high") >= threshold * F.col("n")))
         .select("g", "node", "origin", "cls", F.lit(1).alias("visits"))
     )
-    edges = found.where("u is not null").select("u", "v")
     if not visits.isEmpty():
         hosts = visits.select("g", "node", "origin").distinct().join(trees, ["g", "node"]).select("g", "node", "origin", "cls", F.lit(0).alias("visits"))
-        met = _dealt(with_texts(visits.unionByName(hosts)), "g", "node", "origin")
-        more = met.mapInArrow(lambda it: _across(it, threshold, width), "u long, v long, g long, node long, n int, cls long")
-        edges = edges.unionByName(more.select("u", "v"))
+        held = found.where("cls is not null").select("cls", "text").dropDuplicates(["cls"])
+        met = _dealt(visits.unionByName(hosts).join(held, "cls"), "g", "node", "origin")
+        edges = edges.unionByName(met.mapInArrow(lambda it: _across(it, threshold, width), FOUND_SQL).select("u", "v"))
 
     component = connected_components(edges)
     named = classes.select("cls").join(component, F.col("cls") == F.col("vertex"), "left").select("cls", F.coalesce("component", "cls").alias("component"))
