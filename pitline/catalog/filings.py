@@ -70,8 +70,8 @@ define("cand0", f"SELECT *, lower(announcement_text || ' ' || announcement_detai
 
 
 def _glue(t: str) -> str:
-    for left, right in P.GLUED_WORDS:
-        t = f"regexp_replace({t}, '({left})({right})', '\\1 \\2', 'g')"
+    for pattern in P.GLUED_WORDS:
+        t = f"regexp_replace({t}, '{pattern}', '\\1 \\2', 'g')"
     return t
 
 

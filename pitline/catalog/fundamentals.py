@@ -86,7 +86,7 @@ SELECT * EXCLUDE (price, sh, eq, eps, eb), 1 / NULLIF(val_pe, 0) AS val_earnings
   val_market_cap + fund_total_debt - fund_cash AS val_ev, (val_market_cap + fund_total_debt - fund_cash) / NULLIF(eb, 0) AS val_ev_ebitda FROM c""",
     ("pit", "px"),
 )
-_W = "PARTITION BY symbol ORDER BY period_ended NULLS FIRST, event_key"
+_W = "PARTITION BY symbol ORDER BY period_ended, event_key"
 
 
 def _hist() -> str:
@@ -191,8 +191,8 @@ def reaction_streak(spark, d):
     with_ctes(
         """
 , k AS (SELECT e.event_key, e.symbol, e.period_ended, CASE WHEN m.reaction_start_date + 14 <= make_date(2001, 1, 1) THEN m.abnormal_return_5d END AS a FROM ev e LEFT JOIN mkt m USING (event_key))
-SELECT event_key, CASE WHEN row_number() OVER w - 1 >= 4 THEN ROUND(avg(a) OVER (PARTITION BY symbol ORDER BY period_ended NULLS FIRST, event_key ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 10) + 0.0 END AS prior_abn_ret_5d_mean_4
-FROM k WINDOW w AS (PARTITION BY symbol ORDER BY period_ended NULLS FIRST, event_key)""",
+SELECT event_key, CASE WHEN row_number() OVER w - 1 >= 4 THEN ROUND(avg(a) OVER (PARTITION BY symbol ORDER BY period_ended, event_key ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 10) + 0.0 END AS prior_abn_ret_5d_mean_4
+FROM k WINDOW w AS (PARTITION BY symbol ORDER BY period_ended, event_key)""",
         "ev", "mkt",
     ).replace("\n,", ",", 1),
 )

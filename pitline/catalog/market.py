@@ -263,7 +263,10 @@ def weekday_calendar_gaps(spark, d):
     with_ctes(
         """
 SELECT e.event_key, (SELECT date FROM cal WHERE idx = LEAST(COALESCE(b.idx, -1) + 5, (SELECT MAX(idx) FROM cal))) AS embargo_date,
-       (SELECT COUNT(*) FROM cal c WHERE c.date > e.period_ended AND c.date < CAST(e.result_announcement_datetime AS DATE)) AS days_between
+       (SELECT COUNT(*) FROM cal c WHERE c.date > e.period_ended AND c.date < CAST(e.result_announcement_datetime AS DATE)) AS days_between,
+       (SELECT MAX(date) FROM cal) AS far_embargo_date, (SELECT COUNT(*) FROM cal c WHERE c.date > e.period_ended) AS days_to_far,
+       (SELECT date FROM cal WHERE idx = LEAST(4, (SELECT MAX(idx) FROM cal))) AS early_embargo_date,
+       (SELECT COUNT(*) FROM cal c WHERE c.date < e.period_ended) AS days_from_early
 FROM ev e ASOF LEFT JOIN cal b ON b.date <= e.period_ended
 WHERE e.period_ended IS NOT NULL AND e.result_announcement_datetime IS NOT NULL""",
         "ev",
@@ -277,4 +280,10 @@ def embargo_dates(spark, d):
     placed = cal_ops.count_between(
         cal_ops.add_embargo(ev, cal, "period_ended", 5), cal, "period_ended", "announced_on", "days_between"
     )
-    return placed.select("event_key", "embargo_date", big(F.col("days_between")).alias("days_between"))
+    # the same for dates decades past the end of the calendar and before its start
+    placed = placed.withColumns({"far": F.date_add("period_ended", 20_000), "early": F.date_sub("period_ended", 20_000)})
+    placed = cal_ops.add_embargo(cal_ops.add_embargo(placed, cal, "far", 5, "far_embargo_date"), cal, "early", 5, "early_embargo_date")
+    placed = cal_ops.count_between(placed, cal, "period_ended", "far", "days_to_far")
+    placed = cal_ops.count_between(placed, cal, "early", "period_ended", "days_from_early")
+    counts = ("days_between", "days_to_far", "days_from_early")
+    return placed.select("event_key", "embargo_date", "far_embargo_date", "early_embargo_date", *[big(F.col(c)).alias(c) for c in counts])

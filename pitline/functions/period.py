@@ -14,8 +14,8 @@ from pitline.functions import patterns as P
 
 def repair_glued_words(text: Column) -> Column:
     """Separate words run together by text extraction, rule by rule in order."""
-    for left, right in P.GLUED_WORDS:
-        text = F.regexp_replace(text, f"({left})({right})", "$1 $2")
+    for pattern in P.GLUED_WORDS:
+        text = F.regexp_replace(text, pattern, "$1 $2")
     return text
 
 

@@ -323,7 +323,7 @@ def tail_quantiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def jump_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, jumps, large_jumps, max_jump): steps between a symbol's consecutive events above their own 99.9 % quantile."""
-    w = "PARTITION BY symbol ORDER BY period_ended, event_key"
+    w = "PARTITION BY symbol ORDER BY period_ended NULLS LAST, event_key"
     steps = df.selectExpr(*[f"abs({c} - lag({c}) OVER ({w})) AS {c}" for c in columns])
     long = long_form(steps, columns).where("value IS NOT NULL")
     edge = exact_quantiles(long, ["feature"], "value", [0.999]).selectExpr("feature", "quantile AS edge")
@@ -334,7 +334,7 @@ def jump_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def prior_count_order(df: DataFrame) -> DataFrame:
     """Symbols whose prior-event count decreases along the periods."""
-    w = "PARTITION BY symbol ORDER BY period_ended, event_key"
+    w = "PARTITION BY symbol ORDER BY period_ended NULLS LAST, event_key"
     steps = df.selectExpr("symbol", f"prior_earnings_count - lag(prior_earnings_count) OVER ({w}) AS step")
     return steps.groupBy("symbol").agg(F.expr("bool_and(coalesce(step >= 0, true)) AS monotonic"))
 

@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 from pitline.functions.dates import minute_of_day
 
 MAX_DAYS = 200_000  # more than 500 years of days
-TAIL_DAYS = 3_653  # how far past the last trading day a date is still placed (ten years)
 MARKET_OPEN_MINUTE = 9 * 60 + 15
 MARKET_CLOSE_MINUTE = 15 * 60 + 30
 
@@ -50,7 +49,8 @@ def calendar_from_data(df: DataFrame, on: str, buffer_days: int = 30) -> DataFra
 
 
 def day_lookup(calendar: DataFrame) -> DataFrame:
-    """Every calendar day from the first trading day to ``TAIL_DAYS`` past the last, with its place in the calendar.
+    """Every calendar day from the first trading day to one past the last, with its place in the calendar; that one day
+    stands for all later ones, which have the same place (see ``at_day``).
 
     Columns: day, is_trading_day, idx and trade_date of the last trading day at or before ``day``, and the
     trading days before and after that one; last_idx is the end of the calendar.
@@ -62,7 +62,7 @@ def day_lookup(calendar: DataFrame) -> DataFrame:
         f"{side}_{c}": shift(c).over(order) for c in ["date", *facts] for side, shift in (("prev", F.lag), ("next", F.lead))
     }
     placed = calendar.withColumns(shifted | {"last_idx": F.max("idx").over(Window.partitionBy())})
-    until = F.coalesce(F.date_sub(F.col("next_date"), 1), F.date_add(F.col("date"), TAIL_DAYS))
+    until = F.coalesce(F.date_sub(F.col("next_date"), 1), F.date_add(F.col("date"), 1))
     days = placed.select(
         F.explode(F.sequence(F.col("date"), until, F.expr("INTERVAL 1 DAY"))).alias("day"),
         "idx",
@@ -77,11 +77,13 @@ def day_lookup(calendar: DataFrame) -> DataFrame:
 def at_day(df: DataFrame, lookup: DataFrame, day: Column, prefix: str = "") -> DataFrame:
     """Join the calendar position of ``day`` onto ``df`` (columns get ``prefix``).
 
-    Days before the first trading day find nothing. An equality join against a table bounded by calendar days: the
+    Days before the first trading day find nothing; days past the last one are looked up at the day after it. An equality
+    join against a table bounded by calendar days: the
     left side is not shuffled.
     """
     named = lookup.select(*[F.col(c).alias(f"{prefix}{c}") for c in lookup.columns])
-    keyed = df.withColumn("__day", day.cast("date"))
+    end = lookup.select(F.max("day")).scalar()
+    keyed = df.withColumn("__day", F.when(day.isNotNull(), F.least(day.cast("date"), end)))
     return keyed.join(F.broadcast(named), F.col("__day") == F.col(f"{prefix}day"), "left").drop("__day", f"{prefix}day")
 
 

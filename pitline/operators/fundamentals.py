@@ -91,6 +91,7 @@ _RATIOS = {
     "asset_turnover": ("revenue", "total_assets"),
 }
 _GROWTH = {"revenue_growth": "revenue", "eps_growth": "eps_diluted", "net_income_growth": "net_income"}
+DERIVED_METRICS = [*(f"{name}_{suffix}" for name in _GROWTH for suffix in ("qoq", "yoy")), *_RATIOS, "cash_to_debt"]
 VALUATION_COLUMNS = [f"val_{c}" for c in ("market_cap", "pe", "earnings_yield", "pb", "ps", "ev", "ev_ebitda", "pcf")]
 
 

@@ -36,7 +36,7 @@ def with_prior_history(events: DataFrame, known_before: str | None = None) -> Da
     if known_before is not None:
         hidden = {f"abnormal_return_{h}d": F.when(F.col(known_before), F.col(f"abnormal_return_{h}d")) for h in HORIZONS}
         source = events.withColumns(hidden | {"reaction_class": F.when(F.col(known_before), F.col("reaction_class"))})
-    w = "PARTITION BY symbol ORDER BY period_ended, event_key"
+    w = "PARTITION BY symbol ORDER BY period_ended NULLS LAST, event_key"
     before = lambda n: f"OVER ({w} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
     count = f"row_number() OVER ({w}) - 1"
     gated = lambda n, x: f"CASE WHEN {count} >= {n} THEN {x} END"

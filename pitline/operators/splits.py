@@ -76,11 +76,14 @@ def embargo_split(
     first = split.agg(
         F.expr(f"max(CASE WHEN split = 'train' THEN {cutoff} END) AS train_max"), F.max(cutoff).alias("last")
     ).first()
+    if first["train_max"] is None:
+        raise ValueError(f"no training row up to {train_end} has a {cutoff}")
     last = first["last"] + dt.timedelta(days=buffer_days)
     val_start = nth_weekday_after(first["train_max"], embargo_days, last)
     in_val = (F.col("split") == "val") & (F.col(cutoff) >= F.lit(val_start))
     val_max = split.agg(F.max(F.when(in_val, F.col(cutoff)))).first()[0]
-    test_start = nth_weekday_after(val_max, embargo_days, last)
+    # without a validation row left, the test rows keep their distance from the training rows
+    test_start = nth_weekday_after(val_max or first["train_max"], embargo_days, last)
     too_early = ((F.col("split") == "val") & ~F.coalesce(F.col(cutoff) >= F.lit(val_start), F.lit(False))) | (
         (F.col("split") == "test") & ~F.coalesce(F.col(cutoff) >= F.lit(test_start), F.lit(False))
     )

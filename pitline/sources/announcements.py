@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +28,16 @@ def read_announcements(spark: SparkSession, folder: str) -> DataFrame:
     """All announcement CSVs of a folder, with the symbol taken from the file name.
 
     Headers differ from file to file, and a CSV scan applies one header to all its files. The folder is therefore
-    scanned once per distinct header; the headers are found with a Spark job over the first line of every file, so
-    what reaches the driver is one row per distinct header. Empty files hold no header and disappear.
+    scanned once per distinct header, which is the first line of a file, whatever it says; the first lines are found
+    by a Spark job, and what reaches the driver is one row per distinct header with the names of its files. Columns that
+    a file lacks are NULL. Empty files hold no header and disappear.
     """
     lines = spark.read.format("text").option("wholetext", False).load(f"{folder}/*.csv")
     first = lines.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value"
-    ).where((F.col("start") == 0) & (F.lower("value").contains("an_dt") | F.lower("value").contains("desc")))
-    headers = first.groupBy("path").agg(F.first("value").alias("header"))
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("place"),
+    ).where("start = 0")
+    headers = first.groupBy("path").agg(F.min_by("value", "place").alias("header"))
     layouts = headers.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
     parts = [_scan(spark, row["header"], row["paths"]) for row in layouts]
     if not parts:
@@ -45,7 +49,7 @@ def read_announcements(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scan(spark: SparkSession, header: str, paths: list[str]) -> DataFrame:
-    names = [c.strip().strip('"').strip() for c in header.lstrip("\ufeff").split(",")]
+    names = [c.strip() for c in next(csv.reader([header.lstrip("\ufeff")]))]
     schema = ", ".join(f"`{c}` string" for c in names)
     rows = (
         spark.read.schema(schema)

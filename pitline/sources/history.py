@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
 PRICE_COLUMNS = ["date", "symbol", "isin", "open", "high", "low", "close", "prev_close", "volume", "traded_value"]
@@ -35,10 +34,9 @@ def append_new_days(history: DataFrame, path: str) -> None:
     """
     spark = history.sparkSession
     new = history
-    try:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         present = spark.read.parquet(path).select(F.col("date").cast("date").alias("date")).distinct()
         # one row per day: bounded by the calendar
         new = history.join(F.broadcast(present), "date", "left_anti")
-    except AnalysisException:
-        pass  # nothing written yet
     new.repartition("date").write.partitionBy("date").mode("append").parquet(path)

@@ -158,27 +158,27 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Raw filing templates by order key modulo 24: (announcement text, details). {dash}, {long}, {ordinal}, {abbr},
 # {dots}, {month} and {token} stand for spellings of the previous quarter end.
 FILING_TEMPLATES = [
-    ("Financial Results for the quarter ended {dash}", "Consolidated unaudited financial results"),
-    ("Financial Result Updates", "Submitted standalone financial results for the period ended {long}"),
-    ("Integrated Filing - Financial", "XBRL filing for quarter ended {dots}"),
-    ("Media Release on Quarterly Results", "Press release about {token} results"),
-    ("Investor Presentation on Q4 Results", "Earnings presentation slides"),
-    ("Transcript of Earnings Call", "Transcript of analysts/institutional investor call"),
-    ("Audio Recording of Earnings Call", "Recording of analysts call"),
-    ("Schedule of Analyst/Institutional Investor Meet", "Concall schedule for Q4 results"),
-    ("Outcome of Board Meeting", "Board approved non-consolidated financial results for the quarter and half year ended {ordinal}"),
-    ("Board Meeting Intimation", "Meeting of board of directors scheduled"),
-    ("Limited Review Report", "Independent auditor review report"),
-    ("Updates", "concall held on Monday"),
-    ("Closure of Trading Window", "Trading window closed until financial results for the year ended {dash}"),
-    ("Option to submit quarterly financial results", "Intimation of option to submit financial results"),
-    ("Copy of Newspaper Publication", "Newspaper advertisement of audited financial results for the year ended {month}"),
-    ("General Updates", "Machine readable copy of financial results"),
-    ("Clarification on Financial Results", "Reply to clarification on standalone and consolidated financial results"),
+    ("Accounts adopted: financial results for the quarter ended {dash}", "Group figures, consolidated unaudited financial results enclosed"),
+    ("Financial Result Updates, accounts filed", "We file standalone financial results for the period ended {long}"),
+    ("Integrated Filing - Financial, second part", "XBRL sheets of the quarter ended {dots}"),
+    ("Media Release on the figures of the quarter", "Press release with our {token} results"),
+    ("Slides: Investor Presentation for Q4 Results", "Deck of the earnings presentation"),
+    ("Transcript of Earnings Call, corrected copy", "Transcript of the analysts/institutional investor call of last week"),
+    ("Link to the Audio Recording of Earnings Call", "Recording of the analysts call is online"),
+    ("Revised Schedule of Analyst/Institutional Investor Meet", "Concall schedule after the Q4 results"),
+    ("Outcome of Board Meeting of today", "Directors passed the non-consolidated financial results for the quarter and half year ended {ordinal}"),
+    ("Board Meeting Intimation, new date", "Meeting of board of directors has been scheduled"),
+    ("Limited Review Report of the auditor", "Signed auditor review report"),
+    ("Updates", "concall held in the afternoon"),
+    ("Closure of Trading Window for insiders", "Trading window stays shut until the financial results for the year ended {dash} are out"),
+    ("Option to submit quarterly financial results is used", "We chose the option to submit financial results"),
+    ("Copy of Newspaper Publication, two papers", "Newspaper advertisement with audited financial results for the year ended {month}"),
+    ("General Updates", "Machine readable copy of our financial results"),
+    ("Clarification on Financial Results asked for", "Our answer on standalone and consolidated financial results"),
     ("Results update", "results update for the quarter, see financialresults"),
     ("Unaudited FinancialResults", "unauditedresults for thequarter ended {abbr}"),
     ("Results for the Quarterand nine months ended {ordinal}", "Standalone accounts"),
-    ("Change in Directorate", "Appointment of director"),
+    ("Change in Directorate of the firm", "A director joined"),
     ("Annual report", "standalone and consolidated accounts; concall recording of the annual call"),
     ("Financial Results media release", "board meeting held on {long}"),
     ("Financial Results presentation", "corrigendum to financial results for the period ended 31-Feb-2000"),

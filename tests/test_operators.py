@@ -168,3 +168,27 @@ def test_firewall(spark):
     with pytest.raises(LeakageError, match="post-event"):
         run_firewall(_firewall_data(spark), ["return_7d_after"])
     assert dict(name_checks(["reaction_class", "next_return"]))["no target leakage"] == ["reaction_class"]
+
+
+def test_events_without_period_are_no_earlier_events(spark):
+    rows = [("A", dt.date(2024, 3, 31), "k1", "POSITIVE"), ("A", dt.date(2024, 6, 30), "k2", "NEGATIVE"), ("A", None, "k0", "NEUTRAL")]
+    df = spark.createDataFrame([(*r, 0.1, 0.2, 0.3) for r in rows], "symbol string, period_ended date, event_key string, reaction_class string, abnormal_return_1d double, abnormal_return_3d double, abnormal_return_5d double")
+    got = {r.event_key: (r.prior_earnings_count, r.prior_last_reaction_class) for r in history.with_prior_history(df).collect()}
+    assert got == {"k1": (0, None), "k2": (1, "POSITIVE"), "k0": (2, "NEGATIVE")}
+
+
+def test_dates_far_past_and_before_the_calendar(spark):
+    days = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (1, 2, 3, 4, 5, 8, 9)], "date date")
+    calendar = cal.trading_calendar(days)
+    df = spark.createDataFrame([(dt.date(2040, 1, 1), dt.date(2024, 1, 3), dt.date(2041, 1, 1)), (dt.date(1990, 1, 1), dt.date(1980, 1, 1), dt.date(2024, 1, 3)), (None, None, None)], "day date, a date, b date")
+    placed = cal.count_between(cal.add_embargo(df, calendar, "day", 5), calendar, "a", "b", "n")
+    assert {(r.embargo_date, r.n) for r in placed.collect()} == {(dt.date(2024, 1, 9), 4), (dt.date(2024, 1, 5), 2), (None, None)}
+
+
+def test_embargo_without_rows_to_keep(spark):
+    schema = "period_ended date, feature_cutoff_date date"
+    df = spark.createDataFrame([(dt.date(2020, 1, 1), dt.date(2020, 1, 2)), (dt.date(2020, 2, 1), dt.date(2020, 1, 2)), (dt.date(2020, 6, 1), dt.date(2020, 6, 2))], schema)
+    got = [r.split for r in splits.embargo_split(df, "2020-01-15", "2020-03-01").orderBy("period_ended").collect()]
+    assert got == ["train", "embargoed", "test"]
+    with pytest.raises(ValueError):
+        splits.embargo_split(df, "2010-01-01", "2020-03-01")

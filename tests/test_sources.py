@@ -20,6 +20,14 @@ def test_announcement_files_with_different_headers(spark, tmp_path):
     assert rows["AAA"].hasXbrl is None and rows["BBB"].announcement_datetime is None and rows["BBB"].attchmntFile == "u.pdf"
 
 
+def test_first_line_is_the_header_whatever_it_says(spark, tmp_path):
+    (tmp_path / "AAA.csv").write_text("attchmntText,attchmntFile\nsome words,a.pdf\n")
+    (tmp_path / "BBB.csv").write_text('"orgid","odd, name",seq_id\ndescription of results,x,7\ndesc an_dt,y,8\n')
+    rows = read_announcements(spark, str(tmp_path)).collect()
+    assert sorted((r.symbol, r.attchmntText, r.orgid, r.seq_id) for r in rows if r.symbol == "AAA") == [("AAA", "some words", None, None)]
+    assert sorted((r.orgid, r["odd, name"], r.seq_id) for r in rows if r.symbol == "BBB") == [("desc an_dt", "y", "8"), ("description of results", "x", "7")]
+
+
 def test_daily_file(spark, tmp_path):
     head = "TradDt,Sgmt,FinInstrmTp,TckrSymb,ISIN,SctySrs,OpnPric,HghPric,LwPric,ClsPric,PrvsClsgPric,TtlTradgVol,TtlTrfVal"
     body = ["2024-01-02,CM,STK,A,I1,EQ,1,2,1,1.5,1,100,150", "2024-01-02,CM,STK,B,I2,BE,1,2,1,1.5,1,100,150", "bad,CM,STK,C,I3,EQ,1,2,1,1.5,1,x,150"]

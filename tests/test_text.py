@@ -9,21 +9,21 @@ from pitline.functions.period import with_period
 from pitline.functions.text import classify_documents, is_candidate, reporting_scope
 
 CASES = [
-    ("Financial Results for quarter ended 31-Mar-2024", "", "", "financial_results", "financial_results"),
-    ("Financial Result Updates", "Submitted financial results for period ended Dec 31, 2023", "", "financial_result_update", "financial_result_update"),
-    ("Integrated Filing - Financial", "XBRL filing for quarter ended", "", "integrated_financial_filing", "integrated_financial_filing"),
-    ("Media Release on Quarterly Results", "Press release about Q4 results", "", "other", "media_release"),
-    ("Investor Presentation on Q4 Results", "Earnings presentation slides", "", "other", "investor_presentation"),
-    ("Transcript of Earnings Call", "Transcript of analysts/institutional investor call", "", "other", "earnings_call_transcript"),
-    ("Audio Recording of Earnings Call", "Recording of analysts call", "", "other", "earnings_call_recording"),
-    ("Schedule of Analyst/Institutional Investor Meet", "Concall schedule for Q4 results", "", "other", "earnings_call_schedule"),
-    ("Outcome of Board Meeting", "Board approved financial results", "", "financial_result_update", "financial_result_update"),
-    ("Board Meeting Intimation", "Meeting of board of directors scheduled", "", "other", "board_meeting_notice"),
-    ("Limited Review Report", "Independent auditor's review report", "", "limited_review", "limited_review"),
-    ("Updates", "", "https://example.com/Transcript_Q4_2024.pdf", "other", "earnings_call_transcript"),
-    ("Closure of Trading Window", "", "", "other", "other_filing"),
-    ("Something else", "", "", "quarterly_results", "financial_results"),
-    ("Something else", "", "", "other", "unclassified"),
+    ("Accounts: financial results for the quarter ended 30-Jun-2021", "", "", "financial_results", "financial_results"),
+    ("Financial Result Updates, filed late", "Our financial results for the period ended June 30, 2021", "", "financial_result_update", "financial_result_update"),
+    ("Integrated Filing - Financial, part two", "XBRL sheets, quarter ended", "", "integrated_financial_filing", "integrated_financial_filing"),
+    ("Media Release on our figures", "Press release with the Q2 results", "", "other", "media_release"),
+    ("Slides: Investor Presentation for Q2", "Deck of the earnings presentation", "", "other", "investor_presentation"),
+    ("Transcript of Earnings Call, corrected copy", "Transcript of the analysts/institutional investor call", "", "other", "earnings_call_transcript"),
+    ("Link to the Audio Recording of Earnings Call", "Recording of the analysts call is online", "", "other", "earnings_call_recording"),
+    ("Revised Schedule of Analyst/Institutional Investor Meet", "Concall schedule after the Q2 results", "", "other", "earnings_call_schedule"),
+    ("Outcome of Board Meeting of today", "Directors passed the financial results", "", "financial_result_update", "financial_result_update"),
+    ("Board Meeting Intimation, new date", "Meeting of board of directors has been scheduled", "", "other", "board_meeting_notice"),
+    ("Limited Review Report of the auditor", "Signed auditor review report", "", "limited_review", "limited_review"),
+    ("Updates", "", "https://files.example/Transcript_of_Q2.pdf", "other", "earnings_call_transcript"),
+    ("Closure of Trading Window for insiders", "", "", "other", "other_filing"),
+    ("Nothing in particular", "", "", "quarterly_results", "financial_results"),
+    ("Nothing in particular", "", "", "other", "unclassified"),
 ]
 
 
