@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,7 +53,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, *partition_by: str) -> DataFrame:
+_SCRATCH: list[list[str]] = []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables staged inside go at the end, but for those staged with ``keep``; results must be staged by then."""
+    own: list[str] = []
+    _SCRATCH.append(own)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(own)
+        for path in own:
+            delete_folder(spark, path)
+
+
+def stage(df: DataFrame, *partition_by: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it from there afterwards.
 
     Used where several passes need the same costly table: the lineage ends at the files, a lost executor costs nothing,
@@ -61,4 +83,6 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
