@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitline.llm.common import WordHash, batch_of, rolled, utf8, word_hashes
-from pitline.session import read_table, stage
+from pitline.session import read_table, scratch, stage
 
 #: A document with fewer words fails.
 MIN_WORDS = 50
@@ -116,9 +116,10 @@ def passing_documents(docs: DataFrame, host: str = "source", max_rate: float = M
     rejected hosts, few rows, by a join, so texts aren't shuffled to meet their own counts.
     """
     rows = docs.select(F.col(host).cast("string").alias("host"), F.lit(0).alias("doc_id"), "text")
-    counted = stage(rows.mapInArrow(_signal_batches, "host string, doc_id int, " + ", ".join(f"{c} long" for c in COUNTS)))
-    checked = counted.withColumns({f"failed_{k}": v for k, v in rule_failures().items()})
-    rejected = stage(host_verdicts(checked, max_rate).where(~F.col("host_kept")).select(F.col("host").alias("rejected")))
+    with scratch(docs.sparkSession):
+        counted = stage(rows.mapInArrow(_signal_batches, "host string, doc_id int, " + ", ".join(f"{c} long" for c in COUNTS)))
+        checked = counted.withColumns({f"failed_{k}": v for k, v in rule_failures().items()})
+        rejected = stage(host_verdicts(checked, max_rate).where(~F.col("host_kept")).select(F.col("host").alias("rejected")), keep=True)
     passed = docs.mapInArrow(_passing, docs.schema)
     passed = passed.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("of_host"))
     return passed.join(rejected, F.col("of_host").eqNullSafe(F.col("rejected")), "left_anti").select("row.*")

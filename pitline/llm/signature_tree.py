@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pitline.llm.common import WordHash, batch_of, shingle_set, sorted_groups, utf8
 from pitline.llm.components import connected_components
-from pitline.session import read_table, stage
+from pitline.session import read_table, scratch, stage
 
 #: Shingles ordered behind all others, most frequent last. Any list keeps the join exact; a good one keeps buckets small.
 #: At eight bytes each, the size of the broadcast is bounded by this number.
@@ -421,9 +421,10 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, width: int = 5, tre
 def without_near_copies(docs: DataFrame, threshold: int = 80, width: int = 5) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest doc_id (nulls last, then by the text's hash); rows
     without shingles all stay. Rows that repeat both doc_id and text count once. Columns stay as they are."""
-    rows = _linked(docs, threshold, width, TREE).withColumn("kept_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
-    first = rows.where("cls is not null").groupBy("component").agg(F.min(F.struct("kept_id", "th")).alias("first")).select("first.*")
-    kept = stage(first.unionByName(rows.where("cls is null").select("kept_id", "th")).distinct())
+    with scratch(docs.sparkSession):
+        rows = _linked(docs, threshold, width, TREE).withColumn("kept_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
+        first = rows.where("cls is not null").groupBy("component").agg(F.min(F.struct("kept_id", "th")).alias("first")).select("first.*")
+        kept = stage(first.unionByName(rows.where("cls is null").select("kept_id", "th")).distinct(), keep=True)
     keyed = docs.select(
         F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("kept_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
     )

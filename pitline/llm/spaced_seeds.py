@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitline.llm.common import WordHash, batch_of, mix, word_hashes
-from pitline.session import read_table, stage
+from pitline.session import read_table, scratch, stage
 
 #: Together they hit every window of 10 to 20 words in which at most a fifth is substituted (tests try all patterns).
 MASKS = ("110111", "110001011", "11110001")
@@ -171,7 +171,8 @@ def overlaps(docs: DataFrame, tests: DataFrame, agree: int = AGREE) -> DataFrame
 
 def decontaminated(docs: DataFrame, tests: DataFrame, agree: int = AGREE) -> DataFrame:
     """``docs`` without the rows that hold a passage of a test text; columns and clean rows stay as they are."""
-    found = stage(overlaps(docs, tests, agree).select("key").distinct())
+    with scratch(docs.sparkSession):
+        found = stage(overlaps(docs, tests, agree).select("key").distinct(), keep=True)
     return docs.select(F.struct(*docs.columns).alias("row"), doc_key().alias("key")).join(found, "key", "left_anti").select("row.*")
 
 
