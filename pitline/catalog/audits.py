@@ -354,7 +354,7 @@ def readiness_gate(spark, d):
 
 @query("table_fingerprint")
 def table_fingerprint(spark, d):
-    return audits.table_fingerprint(model(spark, d).select("event_key", "period_ended", "reaction_class"))
+    return audits.table_fingerprint(model(spark, d))
 
 
 @query("late_announcements", with_ctes("SELECT event_key, days_from_period_end FROM (SELECT event_key, CAST(datediff('day', period_ended, CAST(result_announcement_datetime AS DATE)) AS INT) AS days_from_period_end FROM ev) WHERE days_from_period_end > 90 OR days_from_period_end < 0", "ev"))

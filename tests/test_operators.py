@@ -13,7 +13,7 @@ from pitline.operators import calendar as cal
 from pitline.operators import guardrails as gr
 from pitline.operators import history, prices, splits
 from pitline.operators.asof import asof_join
-from pitline.operators.audits import readiness_gate  # noqa: F401
+from pitline.operators.audits import table_fingerprint, verify_fingerprint
 from pitline.operators.firewall import LeakageError, name_checks, run_firewall
 from pitline.operators.preprocess import create_preprocessor
 from pitline.operators.quantiles import exact_quantiles, ks_distance
@@ -192,3 +192,13 @@ def test_embargo_without_rows_to_keep(spark):
     assert got == ["train", "embargoed", "test"]
     with pytest.raises(ValueError):
         splits.embargo_split(df, "2010-01-01", "2020-03-01")
+
+
+def test_fingerprint_sees_any_change_but_order(spark):
+    rows = [(k, f"v{k}", None if k == 3 else k / 2) for k in range(20)]
+    make = lambda r: spark.createDataFrame(r, "a long, b string, c double")
+    known = table_fingerprint(make(rows)).first().asDict()
+    assert verify_fingerprint(make(rows[::-1]).select("c", "a", "b"), known) == {"rows": True, "columns": True, "content_hash": True}
+    changed = rows[:5] + [(5, "other", 2.5)] + rows[6:]
+    assert verify_fingerprint(make(changed), known) == {"rows": True, "columns": True, "content_hash": False}
+    assert not verify_fingerprint(make(rows[1:]), known)["rows"]
