@@ -58,6 +58,33 @@ def universe_cleaner(spark, d):
     return exchange.clean_universe(raw).select("symbol", "company_name", "series", "isin")
 
 
+def _supplier_universe(spark, d):
+    raw = read_table(spark, d, "supplier").selectExpr(
+        "concat(s_name, ' ') AS `Company Name`", "'x' AS Industry", "concat(' S', s_suppkey) AS Symbol",
+        "CASE WHEN s_suppkey % 3 = 0 THEN 'BE' ELSE 'EQ' END AS Series", "concat('IN', s_suppkey) AS `ISIN Code`",
+    )
+    return exchange.clean_universe(raw)
+
+
+@query(
+    "company_lookup",
+    "SELECT l_orderkey, l_linenumber, 'S' || l_suppkey AS symbol, CASE WHEN l_suppkey % 3 <> 0 THEN trim(s_name) END AS company_name "
+    "FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey",
+)
+def company_lookup(spark, d):
+    rows = read_table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "concat('S', l_suppkey) AS symbol", "'old' AS company_name")
+    return exchange.with_company_names(rows, _supplier_universe(spark, d))
+
+
+@query(
+    "universe_filter",
+    "SELECT l_orderkey, l_linenumber, 'S' || l_suppkey AS symbol FROM lineitem WHERE l_suppkey % 3 <> 0 AND l_suppkey IN (SELECT s_suppkey FROM supplier)",
+)
+def universe_filter(spark, d):
+    rows = read_table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "concat('S', l_suppkey) AS symbol")
+    return exchange.in_universe(rows, _supplier_universe(spark, d))
+
+
 @query(
     "index_constituents",
     "SELECT 'P' || p_partkey % 500 AS symbol, MIN(p_name) AS company_name FROM part WHERE p_partkey % 500 <> 7 GROUP BY 1",

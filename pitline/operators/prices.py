@@ -255,12 +255,15 @@ def event_market_features(
     calendar: DataFrame,
     on: str = "result_announcement_datetime",
     keep_skipped: bool = False,
+    universe: DataFrame | None = None,
 ) -> DataFrame:
-    """Market features and labels for every announced event.
+    """Market features and labels for every announced event; with a ``universe``, prices of other symbols don't count.
 
     Events that cannot be used get a ``skip_reason`` and are dropped unless ``keep_skipped``. Labels need the stock
     and the benchmark return; otherwise all three columns of that horizon are NULL.
     """
+    if universe is not None:
+        prices = prices.join(universe.select("symbol"), "symbol", "left_semi")
     lookup = day_lookup(benchmark_by_day(calendar, bench))
     placed = place_events(events.where(F.col(on).isNotNull()), lookup, on)
     dated = placed.select(

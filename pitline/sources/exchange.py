@@ -64,6 +64,20 @@ def clean_universe(raw: DataFrame) -> DataFrame:
     return trimmed.where("series = 'EQ'").groupBy("symbol").agg(first).select("symbol", "r.*").select(*UNIVERSE_NAMES.values())
 
 
+def with_company_names(rows: DataFrame, universe: DataFrame) -> DataFrame:
+    """``rows`` with the company name of their symbol from a cleaned universe; NULL where the universe lacks the symbol.
+
+    An earlier ``company_name`` is replaced. One row per symbol on the universe's side, so no row multiplies.
+    """
+    names = universe.select(F.trim("symbol").alias("__symbol"), F.trim("company_name").alias("company_name")).dropDuplicates(["__symbol"])
+    return rows.drop("company_name").join(names, F.col("symbol") == F.col("__symbol"), "left").drop("__symbol")
+
+
+def in_universe(rows: DataFrame, universe: DataFrame) -> DataFrame:
+    """The rows whose symbol the universe has."""
+    return rows.join(universe.select("symbol"), "symbol", "left_semi").select(rows.columns)
+
+
 def flatten_constituents(index: DataFrame, index_prefix: str = "NIFTY") -> DataFrame:
     """Securities of an index document (array ``data`` with nested ``meta``), without the index's own summary row."""
     rows = index.select(F.explode("data").alias("d")).select(

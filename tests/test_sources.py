@@ -71,3 +71,15 @@ def test_column_roles():
     assert roles["targets"] == ["abnormal_return_1d", "return_5d_after"] and roles["audit"] == ["fundamental_lag_days"]
     assert feature_group("fund_free_cash_flow") == "fundamental_cashflow"
     assert columns_in_groups(columns, ["valuation", "market_returns"]) == ["return_5d", "val_pe"]
+
+
+def test_names_filter_and_ordered_sinks(spark, tmp_path):
+    universe = spark.createDataFrame([("A", " Alpha "), ("B", "Beta")], "symbol string, company_name string")
+    rows = spark.createDataFrame([("B", 2), ("A", 1), ("C", 3), (None, 4)], "symbol string, v int")
+    assert {(r.v, r.company_name) for r in exchange.with_company_names(rows, universe).collect()} == {(1, "Alpha"), (2, "Beta"), (3, None), (4, None)}
+    assert sorted(r.v for r in exchange.in_universe(rows, universe).collect()) == [1, 2]
+    sinks.write_table(rows, str(tmp_path / "t"), ["v"])
+    assert [r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [1, 2, 3, 4]
+    sinks.write_report(rows.repartition(3), str(tmp_path / "r"), ["v"])
+    lines = [x for f in sorted((tmp_path / "r").glob("part-*")) for x in f.read_text().splitlines() if not x.startswith("symbol")]
+    assert lines == ["A,1", "B,2", "C,3", '"",4'] or lines[:3] == ["A,1", "B,2", "C,3"]
