@@ -1,4 +1,5 @@
-"""The two chains of the library, each one lazy plan."""
+"""The two chains of the library: filings to events, which writes the typed filings once on the way, and events to the model
+table, one lazy plan."""
 
 from __future__ import annotations
 
