@@ -9,6 +9,7 @@ Neighbouring repeated paragraphs make up a repeated passage.
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pitline.llm.common import SHINGLE, WordHash, batch_of, mix, rolled, sorted_groups, utf8, word_hashes
 from pitline.llm.components import connected_components
+from pitline.llm.signature_tree import FREQUENT, _sized
 from pitline.session import read_table, stage
 
 #: A cut is where the hash of two neighbouring words is the smallest of this many on either side.
@@ -26,14 +28,17 @@ REACH = 6
 #: the first and the last of its cuts.
 PASSAGE = 20
 SIMILAR, RECALL = 80, 0.95
-#: Distinct paragraphs of one band's bucket that are compared with each other in one task; larger buckets are dealt out,
-#: each part with the bucket's smallest paragraph.
+#: Distinct paragraphs of one band's bucket that are compared with each other in one task. Larger buckets are divided by
+#: the rarest shingles of their paragraphs; what is still larger is dealt into parts, which meet in pairs.
 BUCKET = 256
 
 CUT = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("at", pa.list_(pa.int32())), ("size", pa.list_(pa.int32())), ("para", pa.list_(pa.int64())), ("band", pa.list_(pa.list_(pa.int64())))])
 CUT_SQL = "doc long, doc_id long, at array<int>, size array<int>, para array<long>, band array<array<long>>"
 SETS = pa.schema([("para", pa.int64()), ("items", pa.binary())])
-EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+TOKENS = pa.schema([("token", pa.int64()), ("df", pa.int64())])
+MEMBERS = pa.schema([("g", pa.int64()), ("cls", pa.int64()), ("n", pa.int32())])
+FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("g", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("cls", pa.int64())])
+FOUND_SQL = "u long, v long, g long, node long, n int, cls long"
 
 
 def bands_for(similar: int = SIMILAR, recall: float = RECALL) -> int:
@@ -95,37 +100,140 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(SETS, para=paras, items=items)
 
 
-def _verified(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordBatch]:
-    """Links among a bucket's paragraphs; pairs that are linked over others already are passed over."""
-    us, vs = [], []
-    for rows in sorted_groups(batches, ["key", "part"]):
-        sets = {p: np.frombuffer(x, np.uint64) for p, x in zip(rows["para"].to_pylist(), rows["items"].to_pylist(), strict=True)}
-        order = sorted(sets, key=lambda p: (len(sets[p]), p))
-        up = {p: p for p in order}
-
-        def find(x: int, up: dict = up) -> int:
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        for k, p in enumerate(order):
-            for q in order[k + 1 :]:
-                a, b = sets[p], sets[q]
-                if 100 * len(a) < similar * len(b):
-                    break
-                if find(p) != find(q):
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if 100 * both >= similar * (len(a) + len(b) - both):
-                        up[find(p)] = find(q)
-                        us.append(p)
-                        vs.append(q)
-        if len(us) > 50_000:
-            yield batch_of(EDGES, u=us, v=vs)
-            us, vs = [], []
-    yield batch_of(EDGES, u=us, v=vs)
-
-
-def repeated_passages(docs: DataFrame, similar: int = SIMILAR, recall: float = RECALL, passage: int = PASSAGE) -> DataFrame:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many paragraphs of each batch hold a shingle."""
+    for batch in batches:
+        held = [np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist()]
+        if held:
+            tokens, df = np.unique(np.concatenate(held), return_counts=True)
+            yield batch_of(TOKENS, token=tokens.view(np.int64), df=df)
+
+
+def _divided(batches: Iterator[pa.RecordBatch], similar: int, order: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The smaller groups of a large bucket's paragraphs: one for each of their first shingles, those in ``order`` last. Sets
+    of the least similarity share one of so many first shingles in any order."""
+    by_value = np.argsort(order)
+    values = order[by_value]
+    for batch in batches:
+        rows = {f.name: [] for f in MEMBERS}
+        for key, para, items in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            items = np.frombuffer(items, np.uint64)
+            n = len(items)
+            rank = np.full(n, -1)
+            if len(values):
+                at = np.searchsorted(values, items)
+                at[at == len(values)] = 0
+                known = values[at] == items
+                rank[known] = by_value[at[known]]
+            first = items[np.lexsort((items, rank))[: n - (-(-similar * n // 100)) + 1]]
+            rows["g"] += mix(first ^ np.array([key]).view(np.uint64)).view(np.int64).tolist()
+            rows["cls"] += [para] * len(first)
+            rows["n"] += [n] * len(first)
+        yield batch_of(MEMBERS, **rows)
+
+
+def _compared(sets: dict[int, np.ndarray], visitors: set[int], similar: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Links that join components, and each paragraph's component here; visitors are compared with the others alone."""
+    up = {p: p for p in sets}
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    edges, holders = [], defaultdict(list)
+    for p in sorted(sets, key=lambda p: (p in visitors, len(sets[p]), p)):
+        mine = sets[p].tolist()
+        both = Counter()
+        for token in mine:
+            both.update(holders.get(token, ()))
+        for q, n in both.items():
+            if 100 * n >= similar * (len(mine) + len(sets[q]) - n) and find(p) != find(q):
+                up[find(p)] = find(q)
+                edges.append((q, p))
+        if p not in visitors:
+            for token in mine:
+                holders[token].append(p)
+    return edges, {p: find(p) for p in sets}
+
+
+def _found(edges: list, members: list) -> pa.RecordBatch:
+    rows = [(u, v, *[None] * 4) for u, v in edges] + [(None, None, *m) for m in members]
+    return batch_of(FOUND, **{f.name: [r[k] for r in rows] for k, f in enumerate(FOUND)})
+
+
+def _sets(rows: pa.Table) -> dict[int, np.ndarray]:
+    return {p: np.frombuffer(x, np.uint64) for p, x in zip(rows["cls"].to_pylist(), rows["items"].to_pylist(), strict=True)}
+
+
+def _within(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordBatch]:
+    """Links among a group's or a part's paragraphs; of parts also the paragraphs that are apart from the group's hub."""
+    edges, members = [], []
+    for rows in sorted_groups(batches, ["g", "node"]):
+        sets, hub = _sets(rows), rows["hub"][0].as_py()
+        links, component = _compared(sets, set(), similar)
+        edges += links
+        if hub is not None:
+            members += [(rows["g"][0].as_py(), rows["node"][0].as_py(), len(x), p) for p, x in sets.items() if component[p] != component[hub]]
+        if len(edges) + len(members) > 50_000:
+            yield _found(edges, members)
+            edges, members = [], []
+    yield _found(edges, members)
+
+
+def _across(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordBatch]:
+    """Links between a part's paragraphs and the visitors from another part."""
+    edges = []
+    for rows in sorted_groups(batches, ["g", "node", "origin"]):
+        visits = rows["visits"].to_numpy(zero_copy_only=False).astype(bool)
+        residents, visitors = _sets(rows.filter(pa.array(~visits))), _sets(rows.filter(pa.array(visits)))
+        edges += _compared(visitors | residents, set(visitors) - set(residents), similar)[0]
+        if len(edges) > 50_000:
+            yield _found(edges, [])
+            edges = []
+    yield _found(edges, [])
+
+
+def _links(unlike: DataFrame, sets: DataFrame, similar: int, bucket: int) -> DataFrame:
+    """Verified links ``u, v`` of the paragraphs of ``unlike(key, para)`` that share a key; every similar pair of a key is
+    linked, over others or directly, however large its bucket is."""
+    spark = unlike.sparkSession
+    counts = stage(unlike.groupBy("key").agg(F.count("*").alias("all")).where(F.col("all") > bucket))
+    none = F.lit(None).cast("long")
+    if counts.isEmpty():
+        rows = unlike.select(F.col("key").alias("g"), F.col("para").alias("cls")).join(sets, F.col("cls") == F.col("para")).select("g", F.lit(-1).alias("node"), none.alias("hub"), "cls", "items")
+        return rows.repartition("g", "node").sortWithinPartitions("g", "node").mapInArrow(lambda it: _within(it, similar), FOUND_SQL).select("u", "v")
+    few = unlike.join(counts, "key", "left_anti").select(F.col("key").alias("g"), F.col("para").alias("cls"), F.lit(-1).cast("long").alias("node"))
+    large = stage(unlike.join(counts, "key", "left_semi").join(sets, "para").select("key", "para", "items"))
+    chunks = large.dropDuplicates(["para"]).select("items").mapInArrow(_counted, "token long, df long")
+    top = chunks.groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") > bucket).orderBy(F.desc("df"), "token").limit(FREQUENT)
+    order = spark.sparkContext.broadcast(top.select("token").toArrow().column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64))
+    members = large.mapInArrow(lambda it: _divided(it, similar, order.value), "g long, cls long, n int").distinct()
+    sized = stage(_sized(stage(members), similar, bucket))
+
+    parts = sized.where("node >= 0")
+    hubs = parts.groupBy("g").agg(F.min("cls").alias("hub"))
+    trees = parts.select("g", "cls", "node").join(hubs, "g")
+    trees = trees.unionByName(trees.select("g", F.col("hub").alias("cls"), "node", "hub").distinct()).distinct()
+    alone = few.unionByName(sized.where("node < 0").select("g", "cls", "node")).withColumn("hub", none)
+
+    def with_items(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.join(sets, F.col("cls") == F.col("para")).drop("para").repartition(*keys).sortWithinPartitions(*keys)
+
+    found = stage(with_items(alone.unionByName(trees), "g", "node").mapInArrow(lambda it: _within(it, similar), FOUND_SQL))
+    others = found.where("cls is not null").select("g", F.col("node").alias("origin"), "n", "cls")
+    nodes = parts.groupBy("g", "node").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    visits = (
+        others.join(nodes, "g")
+        .where((F.col("origin") != F.col("node")) & (100 * F.col("n") >= similar * F.col("low")) & (100 * F.col("high") >= similar * F.col("n")))
+        .select("g", "node", "origin", "cls", F.lit(1).alias("visits"))
+    )
+    hosts = visits.select("g", "node", "origin").distinct().join(parts.select("g", "node", "cls"), ["g", "node"]).select("g", "node", "origin", "cls", F.lit(0).alias("visits"))
+    met = with_items(visits.unionByName(hosts), "g", "node", "origin").mapInArrow(lambda it: _across(it, similar), FOUND_SQL)
+    return found.where("u is not null").select("u", "v").unionByName(met.select("u", "v"))
+
+
+def repeated_passages(docs: DataFrame, similar: int = SIMILAR, recall: float = RECALL, passage: int = PASSAGE, bucket: int = BUCKET) -> DataFrame:
     """``doc_id, word_start, word_stop, n_paragraphs, n_removed, component_id``: the passages of ``docs(doc_id, text)``, in
     words, whose paragraphs repeat in other texts. One row per passage.
 
@@ -147,15 +255,11 @@ def repeated_passages(docs: DataFrame, similar: int = SIMILAR, recall: float = R
     shared = banded.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("para").alias("hub"), F.max("para").alias("top")).where("a <> b")
     met = stage(banded.join(shared.select("key", "hub", "top"), "key"))
 
-    unlike = met.where("hub <> top").select("key", "hub", "para").distinct()
-    parts = unlike.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).alias("parts"))
-    dealt = unlike.join(parts, "key").select("key", "hub", "para", F.pmod(F.xxhash64("para"), "parts").alias("part"))
-    dealt = dealt.select("key", "part", "para").unionByName(dealt.select("key", "part", F.col("hub").alias("para")).distinct()).distinct()
+    unlike = stage(met.where("hub <> top").select("key", "para").distinct())
     first = met.where("hub <> top").groupBy("para").agg(F.min(F.struct("doc", "at", "size")).alias("f"))
     wanted = first.groupBy("f.doc").agg(F.collect_list(F.struct("para", "f.at", "f.size")).alias("wanted"))
-    sets = wanted.join(keyed.select("doc", "text").hint("merge"), "doc").select("wanted", "text").mapInArrow(_spelled, "para long, items binary")
-    rows = dealt.join(sets, "para").repartition("key", "part").sortWithinPartitions("key", "part")
-    edges = rows.select("key", "part", "para", "items").mapInArrow(lambda it: _verified(it, similar), "u long, v long")
+    sets = stage(wanted.join(keyed.select("doc", "text").hint("merge"), "doc").select("wanted", "text").mapInArrow(_spelled, "para long, items binary").dropDuplicates(["para"]))
+    edges = _links(unlike, sets, similar, bucket)
 
     component = connected_components(edges)
     paras = met.select("doc", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "at", "size", "para").distinct()

@@ -129,3 +129,31 @@ def test_paragraph_links_are_exact():
     shifted = pb.cuts(np.concatenate([words[:3], words]))
     assert set((edge[2:-1] + 3).tolist()) <= set(shifted.tolist())
     assert pb.cuts(words[:0]).tolist() == [0] and pb.cuts(words[:4]).tolist() == [0, 4]
+
+
+def test_links_of_a_large_bucket_match_brute_force(spark):
+    """Families of edited paragraphs that share one shingle only, and shingles that thousands share, in parts and divided."""
+    rnd = np.random.default_rng(0)
+    fresh = lambda n: rnd.integers(0, 2**63, n).astype(np.uint64)
+    hot, warm = fresh(1), fresh(40)
+    sets = {}
+    for family in range(150):
+        base = fresh(9) if family % 2 else rnd.choice(warm, 9, replace=False)
+        for k in range(4):
+            sets[family * 10 + k] = np.unique(np.concatenate([hot, base[:8], base[8:] if k == 0 else fresh(1)]))
+    expected = {(a, b) for a, b in itertools.combinations(sets, 2) if st.enough(st.overlap(sets[a], sets[b]), len(sets[a]), len(sets[b]), 80)}
+    unlike = spark.createDataFrame([(1, p) for p in sets] + [(2, 0), (2, 1)], "key long, para long")
+    items = spark.createDataFrame([(p, bytearray(x.tobytes())) for p, x in sets.items()], "para long, items binary")
+
+    def components(edges):
+        up = {p: p for p in sets}
+        for _ in sets:
+            before = dict(up)
+            for a, b in edges:
+                up[a] = up[b] = min(up[a], up[b])
+            if up == before:
+                return up
+
+    for bucket in (2, 16, 256, 1000):
+        edges = {(r.u, r.v) for r in pb._links(unlike, items, 80, bucket).where("u is not null").collect()}
+        assert {tuple(sorted(e)) for e in edges} <= expected and components(edges) == components(expected), bucket
