@@ -3,7 +3,9 @@
 Texts are cut into paragraphs of about thirteen words at places that depend on the words nearby alone, so a passage copied
 into another text is cut alike there, wherever it stands. Paragraphs whose MinHashes collide in a band are joined, exact
 Jaccard similarity of their shingles confirms the links, and the connected components say which paragraphs repeat.
-Neighbouring repeated paragraphs make up a repeated passage.
+Neighbouring repeated paragraphs make up a repeated passage. Seeds, shorter pieces between the minima of every window of
+word pairs, overlap the paragraphs; they link when they are equal, and every exact copy of SURE words holds one. Passages are
+extended word by word while another text that has one of their outermost paragraphs goes on alike.
 """
 
 from __future__ import annotations
@@ -20,12 +22,19 @@ from pyspark.sql import functions as F
 from pitline.llm.common import SHINGLE, WordHash, batch_of, mix, rolled, sorted_groups, utf8, word_hashes
 from pitline.llm.components import connected_components
 from pitline.llm.signature_tree import FREQUENT, _sized
-from pitline.session import read_table, stage
+from pitline.session import read_table, scratch, stage
 
 #: A cut is where the hash of two neighbouring words is the smallest of this many on either side.
 REACH = 6
-#: Words that a repeated passage has at least; two paragraphs, roughly. A passage of over 50 words holds that many between
-#: the first and the last of its cuts.
+#: Word pairs in a window, the last smallest of which is a mark; seeds lie between marks.
+SEED = 12
+#: Words of an exact copy that hold a whole seed whatever surrounds them: the first and the last window inside the copy have
+#: marks of their own, SHINGLE words apart or more, and windows that reach outside add none between these two.
+SURE = 2 * SEED + SHINGLE
+#: Words that a passage is extended by at most from a seed. An exact copy has no more of them outside its first and last
+#: whole seed: SEED around the marks of its end windows, and the last seed can end SHINGLE - 1 before its mark.
+EXTEND = SEED + SHINGLE - 1
+#: Words that a repeated passage has at least; two paragraphs, roughly.
 PASSAGE = 20
 SIMILAR, RECALL = 80, 0.95
 #: Distinct paragraphs of one band's bucket that are compared with each other in one task. Larger buckets are divided by
@@ -36,6 +45,8 @@ CUT = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("at", pa.list_(pa
 CUT_SQL = "doc long, doc_id long, at array<int>, size array<int>, para array<long>, band array<array<long>>"
 SETS = pa.schema([("para", pa.int64()), ("items", pa.binary())])
 TOKENS = pa.schema([("token", pa.int64()), ("df", pa.int64())])
+CONTEXT = pa.schema([("doc", pa.int64()), ("run", pa.int64()), ("side", pa.int32()), ("to", pa.int64()), ("key", pa.int64()), ("outer", pa.bool_())])
+CONTEXT_SQL = "doc long, run long, side int, to long, key long, outer boolean"
 MEMBERS = pa.schema([("g", pa.int64()), ("cls", pa.int64()), ("n", pa.int32())])
 FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("g", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("cls", pa.int64())])
 FOUND_SQL = "u long, v long, g long, node long, n int, cls long"
@@ -57,6 +68,18 @@ def cuts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.concatenate([[0], inner, [n]])
 
 
+def seeds(words: np.ndarray, window: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and numbers of words of the seeds: from each mark to the first one SHINGLE words on. They may overlap."""
+    h = rolled(words, 2)
+    if len(h) < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    last = np.lib.stride_tricks.sliding_window_view(h[::-1], window).argmin(axis=1)
+    marks = np.unique(len(h) - (np.arange(len(last)) + last))
+    stop = np.searchsorted(marks, marks + SHINGLE)
+    whole = stop < len(marks)
+    return marks[whole], marks[stop[whole]] - marks[whole]
+
+
 def _min_hashes(shingles: np.ndarray, starts: np.ndarray, bands: int) -> np.ndarray:
     return np.stack([np.minimum.reduceat(mix(shingles ^ np.uint64(0x9E3779B97F4A7C15 * (b + 1) % 2**64)), starts) + np.uint64(b) for b in range(bands)], axis=1)
 
@@ -64,24 +87,34 @@ def _min_hashes(shingles: np.ndarray, starts: np.ndarray, bands: int) -> np.ndar
 def _paragraphs(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
     cache = WordHash()
     for batch in batches:
-        rows = {f.name: [] for f in CUT}
+        docs, ids, held = [], [], []
         for doc, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
             words = word_hashes((text or b"").lower(), cache)
             edge = cuts(words)
             at, size = edge[:-1], np.diff(edge)
             long = size >= SHINGLE
-            at, size = at[long], size[long]
+            begin, length = seeds(words)
+            n_long = int(long.sum())
+            at, size = np.concatenate([at[long], begin]), np.concatenate([size[long], length])
             if not len(at):
                 continue
             shingles = rolled(words, SHINGLE)
-            mine = np.concatenate([shingles[a : a + n - SHINGLE + 1] for a, n in zip(at.tolist(), size.tolist(), strict=True)])
             counts = size - SHINGLE + 1
             starts = np.cumsum(counts) - counts
+            mine = shingles[np.repeat(at - starts, counts) + np.arange(counts.sum())]
             para = mix(np.add.reduceat(mix(mine + np.uint64(1)), starts) + counts.astype(np.uint64))
-            keys = _min_hashes(mine, starts, bands)
-            for name, value in zip(CUT.names, (doc, doc_id, at, size, para.view(np.int64), keys.view(np.int64).tolist()), strict=True):
-                rows[name].append(value)
-        yield batch_of(CUT, **rows)
+            keys = [_min_hashes(mine[: int(counts[:n_long].sum())], starts[:n_long], bands).ravel()] if n_long else []
+            keys.append(mix(para[n_long:] ^ np.uint64(0x5EED)))
+            docs.append(doc)
+            ids.append(doc_id)
+            held.append((at, size, para.view(np.int64), np.concatenate(keys).view(np.int64), np.repeat([bands, 1], [n_long, len(at) - n_long])))
+        if held:
+            at, size, para, keys, widths = map(np.concatenate, zip(*held, strict=True))
+            ends = lambda n: np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            per_doc = pa.array(ends([len(h[0]) for h in held]))
+            nested = lambda x, kind: pa.ListArray.from_arrays(per_doc, pa.array(x, kind))
+            band = pa.ListArray.from_arrays(per_doc, pa.ListArray.from_arrays(pa.array(ends(widths)), pa.array(keys)))
+            yield batch_of(CUT, doc=docs, doc_id=ids, at=nested(at, pa.int32()), size=nested(size, pa.int32()), para=nested(para, pa.int64()), band=band)
 
 
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +133,50 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(SETS, para=paras, items=items)
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A key for each number of words, up to EXTEND, that follow a paragraph or, backwards, come before it."""
+    cache, step = WordHash(), np.arange(EXTEND)
+    salt = mix(step.astype(np.uint64) + np.uint64(1))
+    for batch in batches:
+        edge, asked = batch.column(1).offsets.to_numpy(), batch.column(1).values
+        run, para, side, pos, outer = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("run", "para", "side", "pos", "outer"))
+        held, n = [], 0
+        for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), utf8(batch.column(2)), strict=True)):
+            words, own = word_hashes((text or b"").lower(), cache), slice(edge[k], edge[k + 1])
+            after = side[own, None] == 1
+            at = pos[own, None].astype(np.int64) + np.where(after, step, -1 - step)
+            inside = (at >= 0) & (at < len(words))
+            near = words[np.clip(at, 0, len(words) - 1)]
+            keys = mix(np.cumsum(mix(near ^ salt), axis=1, dtype=np.uint64) + mix(para[own].view(np.uint64) + side[own].astype(np.uint64))[:, None])
+            spread = lambda x, inside=inside, own=own: np.broadcast_to(x[own, None], inside.shape)[inside]
+            held.append((np.full(int(inside.sum()), doc), spread(run), spread(side), np.where(after, at + 1, at)[inside], keys.view(np.int64)[inside], spread(outer)))
+            n += len(held[-1][0])
+            if n > 200_000:
+                yield batch_of(CONTEXT, **dict(zip(CONTEXT.names, map(np.concatenate, zip(*held, strict=True)), strict=True)))
+                held, n = [], 0
+        if held:
+            yield batch_of(CONTEXT, **dict(zip(CONTEXT.names, map(np.concatenate, zip(*held, strict=True)), strict=True)))
+
+
+def _extended(runs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``doc, run, low, high``: how far the words around paragraphs within EXTEND words of a run's ends equal those around the
+    same paragraphs in another text. ``runs(doc, run, at, size, para)`` has a row per paragraph."""
+    whole = Window.partitionBy("doc", "run")
+    placed = runs.select("doc", "run", "para", "at", (F.col("at") + F.col("size")).alias("stop"))
+    placed = placed.select("*", (F.col("at") - EXTEND <= F.min("at").over(whole)).alias("first"), (F.col("stop") + EXTEND >= F.max("stop").over(whole)).alias("last"))
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("at").alias("pos"), F.col("first").alias("outer")),
+        F.struct(F.lit(1).alias("side"), F.col("stop").alias("pos"), F.col("last").alias("outer")),
+    )
+    places = placed.select("doc", "run", "para", F.explode(sides).alias("s")).select("doc", "run", "para", "s.*")
+    needed = places.where("outer").select("para", "side").distinct()
+    asked = places.join(needed, ["para", "side"]).groupBy("doc").agg(F.collect_list(F.struct("run", "para", "side", "pos", "outer")).alias("asked"))
+    contexts = stage(asked.join(texts.hint("merge"), "doc").select("doc", "asked", "text").mapInArrow(_contexts, CONTEXT_SQL))
+    shared = contexts.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("outer").alias("outer")).where("a <> b and outer").select("key")
+    alike = contexts.where("outer").join(shared, "key")
+    return alike.groupBy("doc", "run").agg(F.min(F.when(F.col("side") == 0, F.col("to"))).alias("low"), F.max(F.when(F.col("side") == 1, F.col("to"))).alias("high"))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many paragraphs of each batch hold a shingle."""
     for batch in batches:
@@ -248,31 +325,41 @@ def repeated_passages(docs: DataFrame, similar: int = SIMILAR, recall: float = R
     bands = bands_for(similar, recall)
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce("text", F.lit("")))
     keyed = docs.select(key.alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = stage(keyed.mapInArrow(lambda it: _paragraphs(it, bands), CUT_SQL))
-    listed = cut.select("doc", "doc_id", F.explode(F.arrays_zip("at", "size", "para", "band")).alias("p"))
-    banded = listed.select("doc", "doc_id", "p.at", "p.size", "p.para", F.explode("p.band").alias("key"))
+    with scratch(docs.sparkSession):
+        cut = stage(keyed.mapInArrow(lambda it: _paragraphs(it, bands), CUT_SQL))
+        listed = cut.select("doc", "doc_id", F.explode(F.arrays_zip("at", "size", "para", "band")).alias("p"))
+        banded = listed.select("doc", "doc_id", "p.at", "p.size", "p.para", F.explode("p.band").alias("key"))
+        shared = banded.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("para").alias("hub"), F.max("para").alias("top")).where("a <> b")
+        met = stage(banded.join(shared.select("key", "hub", "top"), "key"), keep=True)
+
+    with scratch(docs.sparkSession):
+        unlike = stage(met.where("hub <> top").select("key", "para").distinct())
+        first = met.where("hub <> top").groupBy("para").agg(F.min(F.struct("doc", "at", "size")).alias("f"))
+        wanted = first.groupBy("f.doc").agg(F.collect_list(F.struct("para", "f.at", "f.size")).alias("wanted"))
+        sets = wanted.join(keyed.select("doc", "text").hint("merge"), "doc").select("wanted", "text").mapInArrow(_spelled, "para long, items binary")
+        edges = _links(unlike, stage(sets.dropDuplicates(["para"])), similar, bucket)
+        component = stage(connected_components(edges), keep=True)
 
-    shared = banded.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("para").alias("hub"), F.max("para").alias("top")).where("a <> b")
-    met = stage(banded.join(shared.select("key", "hub", "top"), "key"))
-
-    unlike = stage(met.where("hub <> top").select("key", "para").distinct())
-    first = met.where("hub <> top").groupBy("para").agg(F.min(F.struct("doc", "at", "size")).alias("f"))
-    wanted = first.groupBy("f.doc").agg(F.collect_list(F.struct("para", "f.at", "f.size")).alias("wanted"))
-    sets = stage(wanted.join(keyed.select("doc", "text").hint("merge"), "doc").select("wanted", "text").mapInArrow(_spelled, "para long, items binary").dropDuplicates(["para"]))
-    edges = _links(unlike, sets, similar, bucket)
-
-    component = connected_components(edges)
     paras = met.select("doc", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "at", "size", "para").distinct()
     named = paras.join(component, F.col("para") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "para"))
     owners = named.groupBy("component").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min(F.struct("doc_id", "doc")).alias("owner"))
     repeated = named.join(owners.where("a <> b").select("component", "owner"), "component")
 
     inside = Window.partitionBy("doc").orderBy("at")
-    fresh = (F.col("at") != F.lag(F.col("at") + F.col("size")).over(inside)).cast("int")
-    runs = repeated.select("*", F.sum(F.coalesce(fresh, F.lit(1))).over(inside).alias("run"))
-    out = runs.groupBy("doc", "run").agg(
-        F.min("doc_id").alias("doc_id"), F.min("at").cast("long").alias("word_start"), F.max(F.col("at") + F.col("size")).cast("long").alias("word_stop"),
-        F.count("*").alias("n_paragraphs"), F.count_if(F.col("owner.doc") != F.col("doc")).alias("n_removed"), F.min_by("owner.doc_id", "at").alias("component_id"),
+    fresh = (F.col("at") > F.max(F.col("at") + F.col("size")).over(inside.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
+    runs = stage(repeated.select("*", F.sum(F.coalesce(fresh, F.lit(1))).over(inside).alias("run")))
+    found = runs.groupBy("doc", "run").agg(
+        F.min("doc_id").alias("doc_id"), F.min("at").cast("long").alias("start"), F.max(F.col("at") + F.col("size")).cast("long").alias("stop"),
+        F.count("*").alias("n"), F.count_if(F.col("owner.doc") != F.col("doc")).alias("removed"), F.min_by("owner.doc_id", "at").alias("component_id"),
+    )
+    more = _extended(runs.select("doc", "run", "at", "size", "para"), keyed.select("doc", "text"))
+    found = found.join(more, ["doc", "run"], "left").withColumns({
+        "start": F.least("start", "low"), "stop": F.greatest("stop", "high")})
+    along = Window.partitionBy("doc").orderBy("start", "run")
+    fresh = (F.col("start") > F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
+    out = found.select("*", F.sum(F.coalesce(fresh, F.lit(1))).over(along).alias("passage")).groupBy("doc", "passage").agg(
+        F.min("doc_id").alias("doc_id"), F.min("start").alias("word_start"), F.max("stop").alias("word_stop"),
+        F.sum("n").alias("n_paragraphs"), F.sum("removed").alias("n_removed"), F.min_by("component_id", "start").alias("component_id"),
     )
     null = lambda c: F.when(F.col(c) < 2**63 - 1, F.col(c)).alias(c)
     return out.where(F.col("word_stop") - F.col("word_start") >= passage).select(null("doc_id"), "word_start", "word_stop", "n_paragraphs", "n_removed", null("component_id"))

@@ -157,3 +157,44 @@ def test_links_of_a_large_bucket_match_brute_force(spark):
     for bucket in (2, 16, 256, 1000):
         edges = {(r.u, r.v) for r in pb._links(unlike, items, 80, bucket).where("u is not null").collect()}
         assert {tuple(sorted(e)) for e in edges} <= expected and components(edges) == components(expected), bucket
+
+
+def _shared_seed(a, b):
+    """Most words between the ends of seeds that two texts share."""
+    spelled = lambda t: {tuple(t[k : k + n]) for k, n in zip(*(x.tolist() for x in pb.seeds(pb.word_hashes(" ".join(t).encode(), pb.WordHash()))), strict=True)}
+    return spelled(a) & spelled(b)
+
+
+def test_every_exact_copy_holds_a_seed():
+    for seed in range(1500):
+        around = [prose(10 * seed + k, 40).split(" ") for k in range(4)]
+        exact = prose(10 * seed + 5, pb.SURE).split(" ")
+        assert _shared_seed(around[0] + exact + around[1], around[2] + exact + around[3]), seed
+        passage = prose(10 * seed + 6, 60).split(" ")
+        changed = [*passage]
+        changed[seed % 60] = "changed"
+        assert _shared_seed(around[0] + passage + around[1], around[2] + changed + around[3]), seed
+        line = prose(10 * seed + 7, 1 + seed % 6).split(" ")
+        periodic = (line * 60)[:60]
+        assert _shared_seed(around[0] + periodic + around[1], around[2] + periodic + around[3]), seed
+
+
+def test_short_edited_and_periodic_passages_are_found(spark):
+    kinds, rows = {}, []
+    for k in range(120):
+        passage = prose(7000 + k, (51, 60, 60)[k % 3]).split(" ")
+        other = [*passage]
+        if k % 3 == 1:
+            other[29] = "changed"
+        if k % 3 == 2:
+            passage = other = (passage[: 4 + k % 3] * 60)[:60]
+        for side, words in enumerate((passage, other)):
+            kinds[2 * k + side] = k % 3
+            rows.append((2 * k + side, f"{prose(8000 + 2 * k + side, 70)} {' '.join(words)} {prose(9000 + 2 * k + side, 70)}"))
+    out = pb.repeated_passages(documents(spark, rows)).collect()
+    words = {d: set() for d in kinds}
+    for r in out:
+        assert 60 <= r.word_start and r.word_stop - r.word_start >= pb.PASSAGE and r.word_stop <= 140
+        words[r.doc_id] |= set(range(r.word_start, r.word_stop))
+    for d, kind in kinds.items():
+        assert {*range(70, 121 if kind == 0 else 130)} - ({99} if kind == 1 else set()) <= words[d], (d, kind)
