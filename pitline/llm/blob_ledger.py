@@ -36,11 +36,16 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", 1, r"[0-9a-f]{16,}"),
 )
+#: A private key with its body: up to the END line, or, where no END follows before another dash line, over its header lines
+#: and the base64 after them. Line breaks can be spelled \\n. A base64 line there has 40 characters or more, but the last.
+KEY_BEGIN, KEY_END = "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", "-----END [A-Z ]{0,32}PRIVATE KEY-----"
+KEY_BREAK, KEY_BASE64 = r"(?:[\x20\x09-\x0D]|\\[nr])", "[A-Za-z0-9+/=]"
+KEY_CUT = rf"(?:{KEY_BREAK}+[A-Za-z-]+:\x20[^\x0A\x0D\\]*)*(?:{KEY_BREAK}+{KEY_BASE64}{{40,}}[A-Za-z0-9+/=\x0A\x0D\\]*)*(?:{KEY_BREAK}+[A-Za-z0-9+/]+=+)?"
 #: Further kinds of credentials with public formats.
 MORE = (
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
+    Rule("private_key", 2, rf"{KEY_BEGIN}(?:[^-]*(?:-[^-]+){{0,64}}?{KEY_END}|{KEY_CUT})"),
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/:@]{1,64}@"),
+    Rule("url_login", 2, r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@"),
     Rule("repo_token", 1, r"gh[oprsu]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE + MORE
