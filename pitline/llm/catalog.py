@@ -10,7 +10,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pitline.llm import blob_ledger, feistel_pii, host_quality, host_suffixes, license_windows, paragraph_bands, perspectives, signature_tree, spaced_seeds, word_bpe
+from pitline.llm import (
+    blob_ledger,
+    bloom_variants,
+    feistel_pii,
+    host_quality,
+    host_suffixes,
+    license_windows,
+    paragraph_bands,
+    perspectives,
+    popcount_grid,
+    signature_tree,
+    spaced_seeds,
+    swar_middle,
+    word_bpe,
+)
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -39,6 +53,9 @@ _PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": paragraph_bands.op8_substring_dedup,
     "op9_license_scan": license_windows.op9_license_scan,
     "op10_byte_bpe": word_bpe.op10_byte_bpe,
+    "op11_simhash_near_dedup": popcount_grid.op11_simhash_near_dedup,
+    "op12_spelling_variants": bloom_variants.op12_spelling_variants,
+    "op13_fill_in_middle": swar_middle.op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -48,4 +65,5 @@ ORACLES: dict[str, str] = {
     "op4_secret_scan": blob_ledger.OP4_SQL,
     "op5_host_quality_rules": host_quality.OP5_SQL,
     "op7_perspective_rotation": perspectives.OP7_SQL,
+    "op13_fill_in_middle": swar_middle.OP13_SQL,
 }
