@@ -6,17 +6,19 @@ from pyspark.sql import functions as F
 
 from pitline.catalog.ctes import define, with_ctes
 from pitline.catalog.registry import big, query, rounded
-from pitline.catalog.tables import documents, events, model, split_model
-from pitline.operators import audits
+from pitline.catalog.features import FUND_FEATURES, GROUP_SQL, NUMERIC_FEATURES, TEXT_FEATURES, WHOLE_FEATURES
+from pitline.catalog.tables import counted, documents, events, features, model, profile, split_model
+from pitline.operators import audits, profiles
 from pitline.operators import events as event_ops
 from pitline.operators.calendar import clock_session
 from pitline.operators.prices import LABEL_COLUMNS
-from pitline.operators.quantiles import exact_quantiles, ks_distance, long_form
-from pitline.plans.roles import TARGET_COLUMNS, classify_columns
+from pitline.operators.quantiles import EXACT_CELLS, exact_quantiles, ks_distance
+from pitline.plans.roles import TARGET_COLUMNS, classify_columns, feature_group
 from pitline.session import read_table
 
-_F = ["return_1d", "return_60d", "volatility_20d", "volume_ratio_20d", "drawdown_from_252d_high", "fund_roe", "val_pe", "prior_abn_ret_3d_mean_8", "prior_reaction_streak"]
-define("lf", " UNION ALL ".join(f"SELECT '{c}' AS feature, split, period_ended, CAST({c} AS DOUBLE) AS value FROM mls" for c in _F), ("mls",))
+define("lf", " UNION ALL ".join(f"SELECT '{c}' AS feature, split, period_ended, CASE WHEN abs({c}) < 1e5 THEN ROUND(CAST({c} AS DOUBLE), 10) + 0.0 ELSE CAST({c} AS DOUBLE) END AS value FROM mls" for c in NUMERIC_FEATURES), ("mls",))
+define("lx", " UNION ALL ".join(f"SELECT '{c}' AS feature, split, period_ended, {c} AS value FROM mls" for c in TEXT_FEATURES), ("mls",))
+define("lm", "SELECT feature, split, period_ended, value IS NULL AS gone FROM lf UNION ALL SELECT feature, split, period_ended, value IS NULL FROM lx", ("lf", "lx"))
 define("lt", " UNION ALL ".join(f"SELECT '{c}' AS feature, split, period_ended, CAST({c} AS DOUBLE) AS value FROM mls" for c in LABEL_COLUMNS), ("mls",))
 
 
@@ -59,48 +61,55 @@ def target_profile(spark, d):
     return rounded(audits.numeric_profile(df, LABEL_COLUMNS, {"year": "year", "split": "split"}), 8)
 
 
+define(
+    "miss",
+    f"""
+SELECT feature, {GROUP_SQL} AS feature_group, AVG(n) AS o, AVG(n) FILTER (WHERE split = 'train') AS tr, AVG(n) FILTER (WHERE split = 'val') AS va, AVG(n) FILTER (WHERE split = 'test') AS te,
+   corr(n, CAST(period_ended - DATE '1970-01-01' AS DOUBLE)) AS r FROM (SELECT *, CASE WHEN gone THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS n FROM lm) GROUP BY 1""",
+    ("lm",),
+)
+_KIND = "CASE WHEN feature_group LIKE 'fundamental%' OR feature_group = 'valuation' THEN 'EXPECTED_UNAVAILABLE' WHEN feature_group = 'prior_earnings' THEN 'EXPECTED_STRUCTURAL' ELSE 'UNEXPECTED' END"
+
+
 @query(
     "missingness_by_split",
     with_ctes(
-        """
-, m AS (SELECT feature, AVG(n) AS o, AVG(n) FILTER (WHERE split = 'train') AS tr, AVG(n) FILTER (WHERE split = 'val') AS va, AVG(n) FILTER (WHERE split = 'test') AS te,
-   corr(n, CAST(period_ended - DATE '1970-01-01' AS DOUBLE)) AS r FROM (SELECT *, CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS n FROM lf) GROUP BY 1)
-SELECT feature, ROUND(o * 100, 2) AS overall_missing_pct, ROUND(tr * 100, 2) AS train_missing_pct, ROUND(va * 100, 2) AS val_missing_pct, ROUND(te * 100, 2) AS test_missing_pct,
+        f"""
+SELECT feature, feature_group, ROUND(o * 100, 2) AS overall_missing_pct, ROUND(tr * 100, 2) AS train_missing_pct, ROUND(va * 100, 2) AS val_missing_pct, ROUND(te * 100, 2) AS test_missing_pct,
   ROUND((GREATEST(tr, va, te) - LEAST(tr, va, te)) * 100, 2) AS max_difference_pct, CASE WHEN o > 0 AND o < 1 THEN ROUND(r, 4) END AS time_correlation,
-  CASE WHEN feature LIKE 'fund_%' OR feature LIKE 'val_%' THEN 'EXPECTED_UNAVAILABLE' WHEN feature LIKE 'prior_%' THEN 'EXPECTED_STRUCTURAL' ELSE 'UNEXPECTED' END AS missingness_type,
-  feature LIKE 'fund_%' OR feature LIKE 'val_%' OR feature LIKE 'prior_%' AS informative_missing FROM m""",
-        "lf",
-    ).replace("\n,", ",", 1),
+  {_KIND} AS missingness_type, {_KIND} <> 'UNEXPECTED' AS informative_missing FROM miss""",
+        "miss",
+    ),
 )
 def missingness_by_split(spark, d):
-    return audits.missingness(split_model(spark, d), _F).drop("feature_group")
+    return audits.missingness(split_model(spark, d), features(spark, d))
 
 
 @query(
     "missingness_by_group",
     with_ctes(
-        """
-, m AS (SELECT feature, CASE WHEN feature LIKE 'prior_%' THEN 'prior_earnings' WHEN feature LIKE 'val_%' THEN 'valuation' WHEN feature LIKE 'fund_%' THEN 'fundamental_derived' WHEN feature LIKE 'return_%' THEN 'market_returns'
-   WHEN feature LIKE 'volatility%' THEN 'market_volatility' WHEN feature LIKE 'volume%' THEN 'market_volume' ELSE 'market_drawdown' END AS feature_group, ROUND(100 * AVG(CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 2) AS p FROM lf GROUP BY 1)
-SELECT feature_group, COUNT(*) AS n_features, ROUND(AVG(p), 6) AS avg_missing, MAX(p) AS max_missing, MIN(p) AS min_missing, bool_or(feature LIKE 'prior_%' OR feature LIKE 'val_%' OR feature LIKE 'fund_%') AS informative_missing FROM m GROUP BY 1""",
-        "lf",
-    ).replace("\n,", ",", 1),
+        f"SELECT feature_group, COUNT(*) AS n_features, ROUND(AVG(ROUND(o * 100, 2)), 6) AS avg_missing, MAX(ROUND(o * 100, 2)) AS max_missing, MIN(ROUND(o * 100, 2)) AS min_missing, bool_or({_KIND} <> 'UNEXPECTED') AS informative_missing FROM miss GROUP BY 1",
+        "miss",
+    ),
 )
 def missingness_by_group(spark, d):
-    return rounded(audits.missingness_by_group(audits.missingness(split_model(spark, d), _F)), 6)
+    return rounded(audits.missingness_by_group(audits.missingness(split_model(spark, d), features(spark, d))), 6)
 
 
-@query(
-    "most_missing_features",
-    with_ctes("SELECT feature, ROUND(100 * AVG(CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 2) AS overall_missing_pct FROM lf GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", "lf"),
-)
+@query("most_missing_features", with_ctes("SELECT feature, ROUND(100 * o, 2) AS overall_missing_pct FROM miss ORDER BY 2 DESC, 1 LIMIT 20", "miss"))
 def most_missing_features(spark, d):
-    return audits.most_missing(audits.missingness(split_model(spark, d), _F), 5)
+    return audits.most_missing(audits.missingness(split_model(spark, d), features(spark, d)), 20)
 
 
-@query("distinct_counts", with_ctes("SELECT feature, COUNT(DISTINCT value) AS distinct_values, COUNT(DISTINCT value) <= 1 AS constant FROM lf GROUP BY 1", "lf"))
+@query(
+    "distinct_counts",
+    with_ctes(
+        "SELECT feature, COUNT(DISTINCT value) AS distinct_values, COUNT(DISTINCT value) <= 1 AS constant FROM lf GROUP BY 1 UNION ALL SELECT feature, COUNT(DISTINCT value), COUNT(DISTINCT value) <= 1 FROM lx GROUP BY 1",
+        "lf", "lx",
+    ),
+)
 def distinct_counts(spark, d):
-    return audits.distinct_counts(model(spark, d), _F)
+    return audits.distinct_counts(profile(spark, d))
 
 
 @query(
@@ -114,7 +123,7 @@ SELECT feature, COUNT(value) AS n, COUNT(*) FILTER (WHERE value < a - 10 * (b -
     ).replace("\n,", ",", 1),
 )
 def outlier_shares(spark, d):
-    return audits.outlier_shares(model(spark, d), _F)
+    return audits.outlier_shares(counted(spark, d), profile(spark, d))
 
 
 define("md", "SELECT lf.*, m.med FROM lf JOIN (SELECT feature, quantile_cont(value, 0.5) AS med FROM lf GROUP BY 1) m USING (feature) WHERE value IS NOT NULL", ("lf",))
@@ -127,51 +136,101 @@ define(
 
 @query("extreme_values", with_ctes("SELECT feature, ROUND(median, 8) + 0.0 AS median, ROUND(mad, 8) + 0.0 AS mad, extreme FROM xt", "xt"))
 def extreme_values(spark, d):
-    return rounded(audits.extreme_values(model(spark, d), _F), 8)
-
-
-def _ks_sql(second: str) -> str:
-    return f"""SELECT feature, MAX(na) AS n_first, MAX(nb) AS n_second, MAX(abs(ca / NULLIF(na, 0) - cb / NULLIF(nb, 0))) AS ks FROM (
-  SELECT feature, SUM(CASE WHEN split = 'train' THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY feature ORDER BY value) AS ca, SUM(CASE WHEN split = '{second}' THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY feature ORDER BY value) AS cb,
-    SUM(CASE WHEN split = 'train' THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY feature) AS na, SUM(CASE WHEN split = '{second}' THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY feature) AS nb
-  FROM lf WHERE value IS NOT NULL AND split IN ('train', '{second}')) GROUP BY 1"""
-
-
-define("ksv", _ks_sql("val"), ("lf",))
-define("kst", _ks_sql("test"), ("lf",))
-_P = "CASE WHEN {l} < 0.2 THEN 1.0 ELSE GREATEST(0.0, LEAST(1.0, (SELECT SUM(CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END * exp(-2.0::DOUBLE * k * k * {l} * {l})) FROM range(1, 101) r(k)))) END"
-_LAM = "(ks * sqrt(n_first * n_second / (n_first + n_second)))"
+    return rounded(audits.extreme_values(counted(spark, d), profile(spark, d)), 8)
+
+
+def ks_sql(source: str, feature: str, second: str) -> str:
+    """Sizes of both samples, the distance, and the distance as a whole number of 1 / (na * nb)."""
+    return f"""SELECT {feature} AS feature, CAST(MAX(na) AS BIGINT) AS na, CAST(MAX(nb) AS BIGINT) AS nb, MAX(abs(ca / NULLIF(na, 0) - cb / NULLIF(nb, 0))) AS ks, CAST(MAX(abs(ca * nb - cb * na)) AS BIGINT) AS h FROM (
+  SELECT {feature}, SUM(CASE WHEN split = 'train' THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY {feature} ORDER BY value) AS ca, SUM(CASE WHEN split = '{second}' THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY {feature} ORDER BY value) AS cb,
+    SUM(CASE WHEN split = 'train' THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY {feature}) AS na, SUM(CASE WHEN split = '{second}' THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY {feature}) AS nb
+  FROM {source} WHERE value IS NOT NULL AND split IN ('train', '{second}')) GROUP BY 1"""
+
+
+def exact_sql(*sources: str) -> str:
+    """(small, large, h, p): the exact tail, one lattice diagonal per step, for the small samples of the named distances."""
+    pairs = " UNION ".join(f"SELECT DISTINCT least(na, nb) AS small, greatest(na, nb) AS large, h FROM {s} WHERE na > 0 AND nb > 0 AND na * nb <= {EXACT_CELLS}" for s in sources)
+    return f"""
+WITH RECURSIVE t AS ({pairs}), r AS (
+  SELECT small, large, h, CAST(0 AS BIGINT) AS k, list_transform(range(0, small + 1), lambda i: CASE WHEN i = 0 AND h <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS q FROM t
+  UNION ALL
+  SELECT small, large, h, k + 1, list_transform(q, lambda x, i: CASE WHEN k + 2 - i < 0 OR k + 2 - i > large THEN 0.0::DOUBLE WHEN abs((i - 1) * large - (k + 2 - i) * small) >= h THEN 1.0::DOUBLE
+    ELSE (CASE WHEN i > 1 THEN q[i - 1] * (i - 1) / (k + 1) ELSE 0.0::DOUBLE END) + (CASE WHEN k + 2 - i > 0 THEN x * (k + 2 - i) / (k + 1) ELSE 0.0::DOUBLE END) END) FROM r WHERE k < small + large)
+SELECT small, large, h, q[small + 1] AS p FROM r WHERE k = small + large"""
+
+
+_LAM = "(ks * sqrt(CAST(na AS DOUBLE) * nb / (na + nb)))"
+_TAIL = f"CASE WHEN {_LAM} < 0.2 THEN 1.0 ELSE GREATEST(0.0, LEAST(1.0, (SELECT SUM(CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END * exp(-2.0::DOUBLE * k * k * {_LAM} * {_LAM})) FROM range(1, 101) r(k)))) END"
+define("ksv", ks_sql("lf", "feature", "val"), ("lf",))
+define("kst", ks_sql("lf", "feature", "test"), ("lf",))
+define("lat", exact_sql("ksv", "kst"), ("ksv", "kst"))
+for _name, _from in (("kpv", "ksv"), ("kpt", "kst")):
+    define(
+        _name,
+        f"SELECT s.*, CASE WHEN na = 0 OR nb = 0 THEN NULL WHEN na * nb <= {EXACT_CELLS} THEN p ELSE {_TAIL} END AS pv FROM {_from} s LEFT JOIN lat ON small = least(na, nb) AND large = greatest(na, nb) AND lat.h = s.h",
+        (_from, "lat"),
+    )
 
 
-@query("ks_drift", with_ctes(f"SELECT feature, CAST(n_first AS BIGINT) AS n_first, CAST(n_second AS BIGINT) AS n_second, ROUND(ks, 10) AS ks_statistic, ROUND({_P.format(l=_LAM)}, 8) AS p_value FROM ksv", "ksv"))
+@query("ks_drift", with_ctes("SELECT feature, na AS n_first, nb AS n_second, ROUND(ks, 10) AS ks_statistic, ROUND(pv, 8) AS p_value FROM kpv WHERE ks IS NOT NULL", "kpv"))
 def ks_drift(spark, d):
-    long = long_form(split_model(spark, d), _F, ["split"])
-    df = ks_distance(long, "feature", "value", "split", "train", "val")
+    df = audits.ks_drift(profile(spark, d))
     return df.select(
         "feature", big(F.col("n_first")).alias("n_first"), big(F.col("n_second")).alias("n_second"), F.round("ks_statistic", 10).alias("ks_statistic"), F.round("p_value", 8).alias("p_value")
     )
 
 
+define("ls", "SELECT symbol AS feature, CASE WHEN period_ended <= DATE '1996-12-31' THEN 'train' ELSE 'val' END AS split, return_5d AS value FROM ml", ("ml",))
+define("kss", ks_sql("ls", "feature", "val"), ("ls",))
+define("lats", exact_sql("kss"), ("kss",))
+
+
+@query(
+    "ks_small_samples",
+    with_ctes(
+        f"SELECT feature AS symbol, na AS n_first, nb AS n_second, ROUND(ks, 10) AS ks_statistic, ROUND(CASE WHEN na * nb <= {EXACT_CELLS} THEN p ELSE {_TAIL} END, 10) AS p_value FROM kss s JOIN lats ON small = least(na, nb) AND large = greatest(na, nb) AND lats.h = s.h",
+        "kss", "lats",
+    ),
+)
+def ks_small_samples(spark, d):
+    """Has a company's 5-day return before its announcements changed since 1996? A handful of events each, so exactly."""
+    df = model(spark, d).selectExpr("symbol", "CASE WHEN period_ended <= DATE '1996-12-31' THEN 'early' ELSE 'late' END AS era", "return_5d")
+    found = ks_distance(df, "symbol", "return_5d", "era", "early", "late").where("n_first > 0 AND n_second > 0")
+    return rounded(found.select(F.col("feature").alias("symbol"), big(F.col("n_first")).alias("n_first"), big(F.col("n_second")).alias("n_second"), "ks_statistic", "p_value"))
+
+
+_DIGITS = "CAST(printf('%.7e', {}) AS DOUBLE)"
+_FLOATS = "(feature NOT IN ({0}) OR p < n)".format(", ".join(f"'{c}'" for c in WHOLE_FEATURES))
+
+
 @query(
     "feature_usability",
     with_ctes(
         f"""
 , st AS (SELECT feature, COUNT(*) AS n, COUNT(value) AS p, COUNT(DISTINCT value) AS dv, stddev_samp(value) / (abs(AVG(value)) + 1e-10) AS cv,
-   AVG(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) FILTER (WHERE split = 'train') AS m1, AVG(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) FILTER (WHERE split = 'val') AS m2, AVG(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) FILTER (WHERE split = 'test') AS m3,
-   COUNT(value) FILTER (WHERE split = 'train') AS p1, COUNT(value) FILTER (WHERE split = 'val') AS p2, COUNT(value) FILTER (WHERE split = 'test') AS p3 FROM lf GROUP BY 1),
-kv AS (SELECT feature, ks, {_P.format(l=_LAM)} AS pv FROM ksv), kt AS (SELECT feature, ks, {_P.format(l=_LAM)} AS pv FROM kst)
-SELECT st.feature, ROUND(100.0::DOUBLE * (1 - p / n), 2) AS overall_missing_pct, dv AS distinct_values, 0::BIGINT AS infinite_count, ROUND(kv.ks, 10) AS ks_val, ROUND(kt.ks, 10) AS ks_test, dv <= 1 AS constant_flag,
-  COALESCE(cv < 0.01, true) AS near_constant_flag, COALESCE(extreme, false) AS extreme_value_flag, COALESCE(GREATEST(m1, m2, m3) - LEAST(m1, m2, m3) > 0.3, false) AS coverage_shift_flag,
-  COALESCE(p1 >= 10 AND p2 >= 10 AND p3 >= 10 AND (kv.pv < 0.01 OR kt.pv < 0.01), false) AS distribution_shift_flag,
-  CASE WHEN p = 0 OR dv <= 1 THEN 'UNUSABLE' WHEN 1 - p / n > 0.5 THEN 'SPARSE_BUT_VALID' ELSE 'CORE' END AS usability_status,
-  CASE WHEN p = 0 THEN 'ALL_MISSING' WHEN dv <= 1 THEN 'CONSTANT' WHEN 1 - p / n > 0.5 THEN 'HIGH_MISSINGNESS' ELSE '' END AS usability_reason
-FROM st LEFT JOIN xt USING (feature) LEFT JOIN kv USING (feature) LEFT JOIN kt USING (feature)""",
-        "lf", "xt", "ksv", "kst",
+   {', '.join(f"COUNT(*) FILTER (WHERE split = '{s}') AS n_{s}, COUNT(value) FILTER (WHERE split = '{s}') AS p_{s}, COUNT(DISTINCT value) FILTER (WHERE split = '{s}') AS d_{s}, var_samp(value) FILTER (WHERE split = '{s}') AS v_{s}" for s in ('train', 'val', 'test'))} FROM lf GROUP BY 1),
+sx AS (SELECT feature, COUNT(*) AS n, COUNT(value) AS p, COUNT(DISTINCT value) AS dv, NULL::DOUBLE AS cv,
+   {', '.join(f"COUNT(*) FILTER (WHERE split = '{s}') AS n_{s}, COUNT(value) FILTER (WHERE split = '{s}') AS p_{s}, COUNT(DISTINCT value) FILTER (WHERE split = '{s}') AS d_{s}, NULL::DOUBLE AS v_{s}" for s in ('train', 'val', 'test'))} FROM lx GROUP BY 1),
+al AS (SELECT *, {_FLOATS} AS fl, CASE WHEN feature IN ({', '.join(repr(c) for c in WHOLE_FEATURES)}) THEN 'int' ELSE 'double' END AS dt FROM st UNION ALL SELECT *, false, 'string' FROM sx),
+rs AS (SELECT *, CASE WHEN p = 0 THEN 'ALL_MISSING' WHEN dv <= 1 THEN 'CONSTANT' WHEN p / n < 0.5 THEN printf('HIGH_MISSINGNESS (%.1f%%)', ROUND(100.0::DOUBLE * (1 - p / n), 1)) ELSE '' END AS reason FROM al)
+SELECT rs.feature AS feature_name, {GROUP_SQL.replace('feature IN', 'rs.feature IN')} AS feature_group, dt AS dtype, ROUND(100.0::DOUBLE * (1 - p / n), 2) AS overall_missing_pct, ROUND(100.0::DOUBLE * (1 - p_train / n_train), 2) AS train_missing_pct,
+  ROUND(100.0::DOUBLE * (1 - p_val / n_val), 2) AS validation_missing_pct, ROUND(100.0::DOUBLE * (1 - p_test / n_test), 2) AS test_missing_pct,
+  dv AS overall_unique_count, d_train AS train_unique_count, d_val AS validation_unique_count, d_test AS test_unique_count,
+  CASE WHEN fl THEN {_DIGITS.format('v_train')} END AS train_variance, CASE WHEN fl THEN {_DIGITS.format('v_val')} END AS validation_variance, CASE WHEN fl THEN {_DIGITS.format('v_test')} END AS test_variance,
+  0::BIGINT AS infinite_count, dv <= 1 AS constant_flag, fl AND COALESCE(cv < 0.01, p < 2) AS near_constant_flag, fl AND COALESCE(extreme, false) AS extreme_value_flag,
+  COALESCE(GREATEST(1 - p_train / n_train, 1 - p_val / n_val, 1 - p_test / n_test) - LEAST(1 - p_train / n_train, 1 - p_val / n_val, 1 - p_test / n_test) > 0.3, false) AS coverage_shift_flag,
+  COALESCE(p_train >= 10 AND p_val >= 10 AND p_test >= 10 AND fl AND (kpv.pv < 0.01 OR kpt.pv < 0.01), false) AS distribution_shift_flag,
+  ROUND(kpv.ks, 10) AS ks_val, CASE WHEN fl THEN ROUND(kpv.pv, 8) END AS p_val, ROUND(kpt.ks, 10) AS ks_test, CASE WHEN fl THEN ROUND(kpt.pv, 8) END AS p_test,
+  CASE WHEN reason = '' THEN 'CORE' WHEN reason LIKE 'HIGH%' THEN 'SPARSE_BUT_VALID' ELSE 'UNUSABLE' END AS usability_status, reason AS usability_reason
+FROM rs LEFT JOIN xt ON xt.feature = rs.feature LEFT JOIN kpv ON kpv.feature = rs.feature LEFT JOIN kpt ON kpt.feature = rs.feature""",
+        "lf", "lx", "xt", "kpv", "kpt",
     ).replace("\n,", ",", 1),
 )
 def feature_usability(spark, d):
-    df = audits.feature_usability(split_model(spark, d), _F)
-    return df.withColumns({"ks_val": F.round("ks_val", 10), "ks_test": F.round("ks_test", 10)})
+    df = profiles.usability(split_model(spark, d), features(spark, d), feature_group, counted=counted(spark, d), profile=profile(spark, d))
+    seven = {f"{s}_variance": F.expr(f"cast(format_string('%.7e', {s}_variance) AS double)") for s in ("train", "validation", "test")}
+    near = {c: F.round(c, 10 if c.startswith("ks") else 8) for c in ("ks_val", "ks_test", "p_val", "p_test")}
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), e) for c, e in seven.items()} | near)
 
 
 @query("duplicate_targets", with_ctes(f"SELECT CAST(SUM(n - 1) AS BIGINT) AS extra_rows, CAST(SUM(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS rows_in_repeated_keys FROM (SELECT COUNT(*) AS n FROM ml GROUP BY {', '.join(TARGET_COLUMNS)})", "ml"))
@@ -283,17 +342,17 @@ def history_coverage(spark, d):
     "fundamental_coverage",
     with_ctes(
         "SELECT 'events with fundamentals' AS feature, ROUND(100 * AVG(CASE WHEN fundamental_pit_status = 'estimated_conservative' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 2) AS present_pct FROM ml "
-        + " ".join(f"UNION ALL SELECT '{c}', ROUND(100 * AVG(CASE WHEN {c} IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (WHERE fundamental_pit_status = 'estimated_conservative'), 2) FROM ml" for c in ("fund_roe", "fund_ebit", "fund_revenue_growth_yoy")),
+        + " ".join(f"UNION ALL SELECT '{c}', ROUND(100 * AVG(CASE WHEN {c} IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (WHERE fundamental_pit_status = 'estimated_conservative'), 2) FROM ml" for c in FUND_FEATURES),
         "ml",
     ),
 )
 def fundamental_coverage(spark, d):
-    return audits.fundamental_coverage(model(spark, d), ["fund_roe", "fund_ebit", "fund_revenue_growth_yoy"])
+    return audits.fundamental_coverage(model(spark, d), FUND_FEATURES)
 
 
 @query("tail_quantiles", with_ctes("SELECT feature, ROUND(quantile_cont(value, 0.001), 8) + 0.0 AS low, ROUND(quantile_cont(value, 0.999), 8) + 0.0 AS high FROM lf GROUP BY 1", "lf"))
 def tail_quantiles(spark, d):
-    return rounded(audits.tail_quantiles(model(spark, d), _F), 8)
+    return rounded(audits.tail_quantiles(profile(spark, d)), 8)
 
 
 @query(
@@ -307,19 +366,22 @@ def line_price_quantiles(spark, d):
     return df.withColumn("quantile", F.round("quantile", 6))
 
 
+_DISTANCES = ["distance_from_20dma", "distance_from_50dma", "distance_from_200dma"]
+
+
 @query(
     "price_jumps",
     with_ctes(
-        """
-, s AS (SELECT 'distance_from_20dma' AS feature, abs(distance_from_20dma - lag(distance_from_20dma) OVER w) AS j FROM ml WINDOW w AS (PARTITION BY symbol ORDER BY period_ended, event_key)
- UNION ALL SELECT 'distance_from_50dma', abs(distance_from_50dma - lag(distance_from_50dma) OVER w) FROM ml WINDOW w AS (PARTITION BY symbol ORDER BY period_ended, event_key)),
+        "\n, s AS ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs({c} - lag({c}) OVER w) AS j FROM ml WINDOW w AS (PARTITION BY symbol ORDER BY period_ended, event_key)" for c in _DISTANCES)
+        + """),
 e AS (SELECT feature, quantile_cont(j, 0.999) AS edge FROM s GROUP BY 1)
 SELECT feature, COUNT(j) AS jumps, COUNT(*) FILTER (WHERE j > edge) AS large_jumps, ROUND(MAX(j), 8) AS max_jump FROM s JOIN e USING (feature) GROUP BY 1""",
         "ml",
     ).replace("\n,", ",", 1),
 )
 def price_jumps(spark, d):
-    return rounded(audits.jump_counts(model(spark, d), ["distance_from_20dma", "distance_from_50dma"]), 8)
+    return rounded(audits.jump_counts(model(spark, d), _DISTANCES), 8)
 
 
 @query("prior_count_order", with_ctes("SELECT symbol, bool_and(COALESCE(s >= 0, true)) AS monotonic FROM (SELECT symbol, prior_earnings_count - lag(prior_earnings_count) OVER (PARTITION BY symbol ORDER BY period_ended, event_key) AS s FROM ml) GROUP BY 1", "ml"))

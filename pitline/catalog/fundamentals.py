@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pitline import standins
 from pitline.catalog.ctes import QUARTER_END, define, with_ctes
 from pitline.catalog.registry import big, query, rounded, sql_round
-from pitline.catalog.tables import build_model, events, labelled, prices
+from pitline.catalog.tables import bench, build_model, calendar, events, labelled, prices
 from pitline.operators import fundamentals as fund_ops
 from pitline.operators import history as hist_ops
 from pitline.plans.roles import feature_manifest
@@ -204,6 +204,61 @@ def prior_history_known_labels(spark, d):
     return rounded(df.select("event_key", "prior_abn_ret_5d_mean_4"))
 
 
+define(
+    "lkd",
+    """
+WITH o AS (SELECT symbol, date, lead(date, 1) OVER w AS o1, lead(date, 3) OVER w AS o3, lead(date, 5) OVER w AS o5 FROM px WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+b AS (SELECT date, lead(date, 1) OVER w AS b1, lead(date, 3) OVER w AS b3, lead(date, 5) OVER w AS b5 FROM bench WINDOW w AS (ORDER BY date))
+SELECT m.event_key, m.reaction_start_date, m.feature_cutoff_date, m.abnormal_return_1d, m.abnormal_return_3d, m.abnormal_return_5d, NULLIF(m.reaction_class, 'UNKNOWN') AS c,
+  CASE WHEN o1 IS NOT NULL AND b1 IS NOT NULL THEN greatest(o1, b1) END AS label_known_1d, CASE WHEN o3 IS NOT NULL AND b3 IS NOT NULL THEN greatest(o3, b3) END AS label_known_3d,
+  CASE WHEN o5 IS NOT NULL AND b5 IS NOT NULL THEN greatest(o5, b5) END AS label_known_5d
+FROM mkt m ASOF LEFT JOIN o ON o.symbol = m.symbol AND o.date >= m.reaction_start_date ASOF LEFT JOIN b ON b.date >= m.reaction_start_date""",
+    ("mkt", "px", "bench"),
+)
+
+
+@query("label_known_dates", with_ctes("SELECT event_key, label_known_1d, label_known_3d, label_known_5d FROM lkd", "lkd"))
+def label_known_dates(spark, d):
+    df = hist_ops.label_known_dates(labelled(spark, d), prices(spark, d), bench(spark, d), calendar(spark, d))
+    return df.select("event_key", "label_known_1d", "label_known_3d", "label_known_5d")
+
+
+def _known_at_sql() -> str:
+    gate = lambda n, x, name: f"CASE WHEN rn - 1 >= {n} THEN {x} END AS {name}"
+    cols = []
+    for h in (1, 3, 5):
+        cols.append(f"max(r{h}) FILTER (WHERE back = 1) AS prior_last_abn_ret_{h}d")
+        cols += [gate(n, f"avg(r{h}) FILTER (WHERE back <= {n})", f"prior_abn_ret_{h}d_mean_{n}") for n in (2, 4, 8)]
+        cols += [gate(n, f"quantile_cont(r{h}, 0.5) FILTER (WHERE back <= {n})", f"prior_abn_ret_{h}d_median_{n}") for n in (4, 8)]
+        cols += [gate(n, f"stddev_samp(r{h}) FILTER (WHERE back <= {n})", f"prior_abn_ret_{h}d_std_{n}") for n in (4, 8)]
+    for n in (4, 8):
+        cols += [gate(n, f"count(*) FILTER (WHERE back <= {n} AND c = '{k}') / {n}.0::DOUBLE", f"prior_{k.lower()}_rate_{n}") for k in ("POSITIVE", "NEGATIVE", "NEUTRAL")]
+        slope = f"CASE WHEN count(sgn) FILTER (WHERE back <= {n}) >= 2 THEN regr_slope(sgn, xi) FILTER (WHERE back <= {n} AND sgn IS NOT NULL) END"
+        cols.append(gate(n, slope, f"prior_reaction_trend_{n}"))
+    cols += [gate(n, f"avg(abs(r5)) FILTER (WHERE back <= {n})", f"prior_avg_reaction_magnitude_{n}") for n in (2, 4, 8)]
+    seen = ", ".join(f"CASE WHEN p.label_known_{h}d <= q.feature_cutoff_date THEN p.abnormal_return_{h}d END AS r{h}" for h in (1, 3, 5))
+    names = [c.rsplit(" AS ", 1)[1] for c in cols]
+    return f"""
+, l AS (SELECT e.event_key, e.symbol, e.period_ended, k.* EXCLUDE (event_key), CASE WHEN k.abnormal_return_3d IS NOT NULL THEN k.label_known_3d WHEN k.abnormal_return_1d IS NOT NULL THEN k.label_known_1d END AS kc,
+   row_number() OVER (PARTITION BY e.symbol ORDER BY e.period_ended, e.event_key) AS rn FROM ev e LEFT JOIN lkd k ON k.event_key = e.event_key),
+pairs AS (SELECT q.event_key, q.rn, q.rn - p.rn AS back, {seen}, CASE WHEN p.kc <= q.feature_cutoff_date THEN p.c END AS c, datediff('day', p.period_ended, q.period_ended) AS days FROM l q LEFT JOIN l p ON p.symbol = q.symbol AND p.rn < q.rn),
+sg AS (SELECT *, CASE c WHEN 'POSITIVE' THEN 1 WHEN 'NEUTRAL' THEN 0 WHEN 'NEGATIVE' THEN -1 END AS sgn FROM pairs),
+x AS (SELECT *, row_number() OVER (PARTITION BY event_key, sgn IS NULL ORDER BY back DESC) AS xi, max(CASE WHEN back = 1 THEN c END) OVER (PARTITION BY event_key) AS lastc FROM sg),
+g AS (SELECT event_key, rn - 1 AS prior_earnings_count, max(c) FILTER (WHERE back = 1) AS prior_last_reaction_class, max(days) FILTER (WHERE back = 1) AS prior_days_since_last, {', '.join(cols)},
+   CASE WHEN rn > 1 THEN greatest(1, coalesce(min(back) FILTER (WHERE NOT coalesce(c = lastc, false)), rn) - 1) END AS prior_reaction_streak FROM x GROUP BY event_key, rn)
+SELECT event_key, prior_earnings_count, prior_last_reaction_class, prior_days_since_last, {', '.join(f'ROUND({n}, 10) + 0.0 AS {n}' for n in names)}, prior_reaction_streak FROM g"""
+
+
+@query("prior_history_at_cutoff", with_ctes(_known_at_sql(), "ev", "lkd").replace("\n,", ",", 1))
+def prior_history_at_cutoff(spark, d):
+    """Every event's history from what was known at its own cutoff; events without a cutoff see no labels."""
+    dated = hist_ops.label_known_dates(labelled(spark, d), prices(spark, d), bench(spark, d), calendar(spark, d))
+    columns = ["event_key", "feature_cutoff_date", *[f"abnormal_return_{h}d" for h in (1, 3, 5)], "reaction_class", *[f"label_known_{h}d" for h in (1, 3, 5)]]
+    df = hist_ops.with_history_known_at(events(spark, d).join(dated.select(*columns), "event_key", "left"))
+    ints = {c: big(F.col(c)) for c in ("prior_earnings_count", "prior_days_since_last", "prior_reaction_streak")}
+    return rounded(df.withColumns(ints).select("event_key", *hist_ops.HISTORY_COLUMNS))
+
+
 @query(
     "model_table",
     with_ctes(

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pitline import standins
 from pitline.operators import events as event_ops
 from pitline.operators import prices as px_ops
+from pitline.operators import profiles
 from pitline.operators.calendar import trading_calendar
 from pitline.operators.splits import temporal_split
 from pitline.plans.dataset import model_table
+from pitline.plans.roles import classify_columns
 from pitline.session import stage
 
 
@@ -73,3 +75,22 @@ def model(spark: SparkSession, d: str) -> DataFrame:
 
 def split_model(spark: SparkSession, d: str) -> DataFrame:
     return temporal_split(model(spark, d), standins.TRAIN_END, standins.VAL_END)
+
+
+_COUNTED: dict[tuple[str, str], DataFrame] = {}
+
+
+def features(spark: SparkSession, d: str) -> list[str]:
+    return classify_columns(model(spark, d).columns)["features"]
+
+
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    """The model table's feature values to ten digits, each counted once per session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _COUNTED:
+        _COUNTED[key] = profiles.count_values(split_model(spark, d), features(spark, d), digits=10)
+    return _COUNTED[key]
+
+
+def profile(spark: SparkSession, d: str) -> DataFrame:
+    return _staged(spark, d, "profile", lambda: profiles.value_profile(counted(spark, d)))

@@ -8,18 +8,14 @@ from pyspark.sql import functions as F
 
 from pitline.catalog.ctes import define, with_ctes
 from pitline.catalog.registry import big, query, rounded
+from pitline.catalog.features import FEATURES, NUMERIC_FEATURES, TEXT_FEATURES, WHOLE_FEATURES, by_group
 from pitline.catalog.tables import model, split_model
 from pitline.operators import firewall, guardrails, preprocess, splits
-from pitline.plans.roles import STRICT_GROUPS, classify_columns, columns_in_groups, feature_manifest
-from pitline.session import read_table
+from pitline.plans.loader import load_training_data, with_roles
+from pitline.plans.roles import ALL_GROUPS, STRICT_GROUPS, TARGET_COLUMNS, classify_columns, columns_in_groups, feature_group, feature_manifest
+from pitline.session import read_table, stage
 from pitline.standins import TRAIN_END, VAL_END
 
-define(
-    "mls",
-    f"SELECT *, CASE WHEN period_ended <= DATE '{TRAIN_END}' THEN 'train' WHEN period_ended <= DATE '{VAL_END}' THEN 'val' ELSE 'test' END AS split FROM ml",
-    ("ml",),
-)
-
 
 @query(
     "temporal_split",
@@ -135,7 +131,7 @@ def label_contamination(spark, d):
     return splits.label_contamination(split_model(spark, d), TRAIN_END, VAL_END)
 
 
-_FEATURES = ["return_60d", "volatility_60d", "volume_ratio_5d", "distance_from_200dma", "fund_roe", "val_pe", "prior_abn_ret_3d_mean_4"]
+_FEATURES = NUMERIC_FEATURES
 
 
 @query(
@@ -159,16 +155,16 @@ def missing_indicators(spark, d):
 
 
 def _scaled(kind: str) -> str:
-    parts, cols = [], []
-    for c in _FEATURES:
-        v = f"COALESCE({c}, (SELECT quantile_cont({c}, 0.5) FROM mls WHERE split = 'train'))"
-        parts.append(f"{v} AS {c}")
-        if kind == "robust":
-            centre, scale = f"(SELECT quantile_cont({c}, 0.5) FROM filled WHERE split = 'train')", f"(SELECT COALESCE(NULLIF(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 0), 1) FROM filled WHERE split = 'train')"
-        else:
-            centre, scale = f"(SELECT avg({c}) FROM filled WHERE split = 'train')", f"(SELECT stddev_pop({c}) FROM filled WHERE split = 'train')"
-        cols.append(f"ROUND(({c} - {centre}) / {scale}, 6) + 0.0 AS {c}")
-    return f", filled AS MATERIALIZED (SELECT event_key, split, {', '.join(parts)} FROM mls) SELECT event_key, split, {', '.join(cols)} FROM filled"
+    train = "FROM {} WHERE split = 'train'"
+    medians = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in _FEATURES)
+    filled = ", ".join(f"COALESCE({c}, m_{c}) AS {c}" for c in _FEATURES)
+    if kind == "robust":
+        fitted = [f"quantile_cont({c}, 0.5) AS c_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS s_{c}" for c in _FEATURES]
+    else:
+        fitted = [f"avg({c}) AS c_{c}, stddev_pop({c}) AS s_{c}" for c in _FEATURES]
+    out = [f"ROUND(({c} - c_{c}) / CASE WHEN s_{c} > 1e-12 * GREATEST(1, abs(c_{c})) THEN s_{c} ELSE 1 END, 6) + 0.0 AS {c}" for c in _FEATURES]
+    return f""", md AS (SELECT {medians} {train.format("mls")}), filled AS MATERIALIZED (SELECT event_key, split, {filled} FROM mls, md),
+ft AS (SELECT {', '.join(fitted)} {train.format("filled")}) SELECT event_key, split, {', '.join(out)} FROM filled, ft"""
 
 
 def _linear(name: str, scaler: str) -> None:
@@ -220,15 +216,59 @@ def leakage_firewall(spark, d):
     return result.agg(F.count(F.lit(1)).alias("checks"), F.count_if("passed").alias("passed"))
 
 
+def _digits(c: str) -> int:
+    return 6 if c.startswith("val_") else 10
+
+
+def _comparable(df):
+    """Doubles rounded, as the SQL does, whole numbers as bigint."""
+    exact = {c: big(F.col(c)) for c, t in df.dtypes if t == "int"}
+    return df.withColumns(exact).select(*[(F.round(c, _digits(c)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.withColumns(exact).dtypes])
+
+
+def _comparable_sql(columns) -> str:
+    kinds = {**dict.fromkeys(WHOLE_FEATURES, "CAST({0} AS BIGINT) AS {0}"), **dict.fromkeys(TEXT_FEATURES, "{0}"), "reaction_class": "{0}"}
+    return ", ".join(kinds.get(c, f"ROUND({{0}}, {_digits(c)}) + 0.0 AS {{0}}").format(c) for c in columns)
+
+
 @query(
     "feature_selection_by_group",
-    with_ctes("SELECT event_key, split, ROUND(return_5d, 10) + 0.0 AS return_5d, ROUND(relative_return_5d, 10) + 0.0 AS relative_return_5d, CAST(prior_earnings_count AS BIGINT) AS prior_earnings_count FROM mls", "mls"),
+    with_ctes(f"SELECT event_key, split, {_comparable_sql([c for c in FEATURES if feature_group(c) in STRICT_GROUPS])} FROM mls", "mls"),
 )
 def feature_selection_by_group(spark, d):
     df = split_model(spark, d)
     strict = columns_in_groups(df.columns, STRICT_GROUPS)
-    chosen = [c for c in strict if c in ("return_5d", "relative_return_5d", "prior_earnings_count")]
-    return rounded(df.select("event_key", "split", *chosen).withColumn("prior_earnings_count", big(F.col("prior_earnings_count"))))
+    return _comparable(df.select("event_key", "split", *strict))
+
+
+def _xy(name: str, track: str, groups) -> None:
+    chosen = [c for c in FEATURES if feature_group(c) in groups]
+
+    @query(name, with_ctes(f"SELECT event_key, split, {_comparable_sql([*chosen, *TARGET_COLUMNS])} FROM mls", "mls"))
+    def run(spark, d):
+        # the roles survive a round through files: the loader only sees what is read back
+        typed = stage(with_roles(model(spark, d)))
+        data = load_training_data(typed, TRAIN_END, VAL_END, track)
+        return _comparable(data.joined())
+
+
+_xy("training_xy_strict", "strict", STRICT_GROUPS)
+_xy("training_xy_all", "all", ALL_GROUPS)
+
+
+@query(
+    "training_xy_embargoed",
+    with_ctes(f"{_EMB} SELECT split, COUNT(*) AS rows, COUNT(return_5d) AS present, COUNT(reaction_class) AS labelled FROM emb WHERE split <> 'embargoed' GROUP BY 1", "mls").replace("\n,", ",", 1),
+)
+def training_xy_embargoed(spark, d):
+    data = load_training_data(model(spark, d), TRAIN_END, VAL_END, "strict", embargo_days=5)
+    sizes = [F.count(F.lit(1)).alias("rows"), F.count("return_5d").alias("present")]
+    parts = []
+    for s in ("train", "val", "test"):
+        x, y = data.xy(s)
+        both = x.agg(*sizes).crossJoin(y.agg(F.count("reaction_class").alias("labelled")))
+        parts.append(both.select(F.lit(s).alias("split"), "rows", "present", "labelled"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # ---- predictions: the next event type of a user guessed from the one before; toxicity as a guess of quality
@@ -345,17 +385,22 @@ def class_weights(spark, d):
     return rounded(guardrails.balanced_weights(model(spark, d), "reaction_class"))
 
 
+_GROUPS = by_group("feature_name")
+_TARGETS_IN = ", ".join(f"'{c}'" for c in TARGET_COLUMNS)
+_RULES = f"""CASE WHEN feature_name IN ({_TARGETS_IN}) THEN 'After the event, never a feature' WHEN feature_name LIKE 'fund\\_%' ESCAPE '\\' THEN 'Latest report whose period ends before the event period and 45 days before the cutoff'
+  WHEN feature_name LIKE 'val\\_%' ESCAPE '\\' THEN 'Price at the cutoff and the latest usable report' WHEN feature_name LIKE 'prior\\_%' ESCAPE '\\' THEN 'Strictly earlier events of the same company' ELSE 'Prices up to the cutoff' END"""
+
+
 @query(
     "feature_manifest",
     with_ctes(
-        "SELECT feature_name, ROUND(100 * m, 2) AS missing_pct FROM (SELECT "
-        + ", ".join(f"AVG(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS {c}" for c in [*_FEATURES, "reaction_class", "abnormal_return_5d"])
-        + ") FROM ml) UNPIVOT (m FOR feature_name IN (" .replace(") FROM ml)", " FROM ml)")
-        + ", ".join([*_FEATURES, "reaction_class", "abnormal_return_5d"])
-        + "))",
+        f"""SELECT feature_name, CASE WHEN feature_name IN ({_TARGETS_IN}) THEN 'target' ELSE {_GROUPS} END AS feature_group, {_RULES} AS point_in_time_rule,
+  CASE WHEN feature_name IN ({', '.join(f"'{c}'" for c in [*TEXT_FEATURES, 'reaction_class'])}) THEN 'string' WHEN feature_name IN ({', '.join(f"'{c}'" for c in WHOLE_FEATURES)}) THEN 'int' ELSE 'double' END AS expected_dtype,
+  feature_name IN ({_TARGETS_IN}) AS is_target, ROUND(100 * m, 2) AS missing_pct FROM (SELECT """
+        + ", ".join(f"AVG(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS {c}" for c in [*FEATURES, *TARGET_COLUMNS])
+        + f" FROM ml) UNPIVOT (m FOR feature_name IN ({', '.join([*FEATURES, *TARGET_COLUMNS])}))",
         "ml",
     ),
 )
 def manifest_query(spark, d):
-    full = feature_manifest(model(spark, d))
-    return full.where(F.col("feature_name").isin(*_FEATURES, "reaction_class", "abnormal_return_5d")).select("feature_name", "missing_pct")
+    return feature_manifest(model(spark, d)).drop("description")

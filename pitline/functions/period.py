@@ -50,7 +50,7 @@ def with_period(df: DataFrame, text: str, name: str) -> DataFrame:
         "__month_only",
         "try_cast(__y AS int) + CASE WHEN length(__y) = 4 THEN 0 WHEN length(__y) <> 2 THEN NULL"
         " WHEN try_cast(__y AS int) >= 69 THEN 1900 ELSE 2000 END AS __year",
-        f"CASE WHEN __dotted THEN try_cast(__m AS int) ELSE nullif((instr('{P.MONTH_ABBREVIATIONS}', __m) + 2) div 3, 0) END"
+        f"CASE WHEN __dotted THEN try_cast(__m AS int) ELSE nullif((instr('{"".join(P.MONTH_ABBREVIATIONS)}', __m) + 2) div 3, 0) END"
         " AS __month",
         "CASE WHEN __month_only THEN 1 ELSE try_cast(__d AS int) END AS __day",
         "try_cast(__q AS int) AS __quarter",

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitline.functions.dates import whole_days
-from pitline.operators.quantiles import exact_quantiles, ks_distance, long_form
+from pitline.operators.profiles import deviation_profile
+from pitline.operators.quantiles import exact_quantiles, ks_p_value, long_form
 from pitline.plans.roles import feature_group
 
 SPLITS = ("train", "val", "test")
@@ -114,83 +115,46 @@ def most_missing(audit: DataFrame, n: int = 20) -> DataFrame:
     return audit.orderBy(F.desc("overall_missing_pct"), "feature").limit(n).select("feature", "overall_missing_pct")
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
-    """(feature, distinct_values, constant). Exact counts go through the long form so that each
-    (feature, value) pair is reduced map-side; the approximate ones are one wide aggregation."""
-    if approximate:
-        wide = df.agg(*[F.expr(f"approx_count_distinct(`{c}`) AS d{i}") for i, c in enumerate(columns)])
-        entries = ", ".join(f"struct('{c}' AS feature, d{i} AS distinct_values)" for i, c in enumerate(columns))
-        rows = wide.selectExpr(f"explode(array({entries})) AS f").selectExpr("f.*")
-    else:
-        long = long_form(df, columns).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-        rows = long.groupBy("feature").agg(F.count("value").alias("distinct_values"))
+def approximate_distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, distinct_values, constant) from one wide aggregation of sketches; ``profiles`` has the exact counts."""
+    wide = df.agg(*[F.expr(f"approx_count_distinct(`{c}`) AS d{i}") for i, c in enumerate(columns)])
+    entries = ", ".join(f"struct('{c}' AS feature, d{i} AS distinct_values)" for i, c in enumerate(columns))
+    rows = wide.selectExpr(f"explode(array({entries})) AS f").selectExpr("f.*")
     return rows.withColumn("constant", F.col("distinct_values") <= 1)
 
 
-def outlier_shares(df: DataFrame, columns: Sequence[str], reach: float = 10.0, limit: float = 0.05) -> DataFrame:
-    """Share of values outside q1 - reach*iqr .. q3 + reach*iqr, and whether it exceeds ``limit``."""
-    long = long_form(df, columns).where("value IS NOT NULL")
-    q = exact_quantiles(long, ["feature"], "value", [0.25, 0.75])
-    bounds = q.groupBy("feature").agg(
-        F.expr("max(CASE WHEN p = 0.25 THEN quantile END) AS q1"), F.expr("max(CASE WHEN p = 0.75 THEN quantile END) AS q3")
-    )
+def distinct_counts(profile: DataFrame) -> DataFrame:
+    """(feature, distinct_values, constant) from a value profile."""
+    return profile.selectExpr("feature", "distinct AS distinct_values", "distinct <= 1 AS constant")
+
+
+def outlier_shares(counted: DataFrame, profile: DataFrame, reach: float = 10.0, limit: float = 0.05) -> DataFrame:
+    """Values outside q1 - reach*iqr .. q3 + reach*iqr per feature, and whether their share exceeds ``limit``."""
+    bounds = profile.selectExpr("feature", "q0_25 AS q1", "q0_75 AS q3")
     # one row per feature
-    joined = long.join(F.broadcast(bounds), "feature")
+    joined = counted.where("value IS NOT NULL").join(F.broadcast(bounds), "feature")
     outside = f"value < q1 - {reach} * (q3 - q1) OR value > q3 + {reach} * (q3 - q1)"
-    counted = joined.groupBy("feature").agg(F.count("value").alias("n"), F.expr(f"count_if({outside}) AS outliers"))
-    return counted.withColumn("suspicious", F.col("outliers") > F.col("n") * limit)
+    found = joined.groupBy("feature").agg(F.expr(f"sum(CASE WHEN {outside} THEN n END) AS outliers"))
+    rows = profile.where("texts = 0").join(F.broadcast(found), "feature", "left")
+    return rows.selectExpr("feature", "present AS n", "coalesce(outliers, 0) AS outliers", f"coalesce(outliers, 0) > present * {limit} AS suspicious")
 
 
-def extreme_values(df: DataFrame, columns: Sequence[str], threshold: float = 10.0) -> DataFrame:
+def extreme_values(counted: DataFrame, profile: DataFrame, threshold: float = 10.0) -> DataFrame:
     """(feature, median, mad, extreme): any modified z-score 0.6745 (x - median) / MAD beyond the threshold."""
-    long = long_form(df, columns).where("value IS NOT NULL")
-    medians = exact_quantiles(long, ["feature"], "value", [0.5]).selectExpr("feature", "quantile AS median")
-    deviations = long.join(F.broadcast(medians), "feature").selectExpr("feature", "median", "abs(value - median) AS dev")
-    mads = exact_quantiles(deviations, ["feature"], "dev", [0.5]).selectExpr("feature", "quantile AS mad")
-    top = deviations.groupBy("feature", "median").agg(F.max("dev").alias("top"), F.count("dev").alias("n"))
-    return top.join(mads, "feature").selectExpr(
-        "feature", "median", "mad", f"n >= 4 AND mad > 0 AND 0.6745D * top / mad > {threshold} AS extreme"
+    medians = profile.where("q0_5 IS NOT NULL").selectExpr("feature", "q0_5 AS median")
+    spread = deviation_profile(counted, medians)
+    # one row per feature
+    joined = profile.where("q0_5 IS NOT NULL").join(F.broadcast(spread), "feature")
+    return joined.selectExpr(
+        "feature", "q0_5 AS median", "mad", f"present >= 4 AND coalesce(mad > 0 AND 0.6745D * top / mad > {threshold}, false) AS extreme"
     )
 
 
-def feature_usability(df: DataFrame, columns: Sequence[str], alpha: float = 0.01, shift: float = 0.3) -> DataFrame:
-    """CORE / SPARSE_BUT_VALID / UNUSABLE per numeric feature with constant, near-constant, extreme, coverage and drift flags."""
-    long = long_form(df, columns, ["split"])
-    stats = long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("value").alias("present"),
-        F.expr(f"count_if(abs(value) = {INFINITY}) AS infinite_count"),
-        F.expr("stddev_samp(value) / (abs(avg(value)) + 1e-10D) AS cv"),
-        *[F.expr(f"avg(CASE WHEN split = '{s}' THEN cast(value IS NULL AS double) END) AS miss_{s}") for s in SPLITS],
-        *[F.expr(f"var_samp(CASE WHEN split = '{s}' THEN value END) AS variance_{s}") for s in SPLITS],
-        *[F.expr(f"count(CASE WHEN split = '{s}' THEN value END) AS present_{s}") for s in SPLITS],
-    )
-    drift = ks_distance(long, "feature", "value", "split", "train", "val").selectExpr("feature", "ks_statistic AS ks_val", "p_value AS p_val")
-    late = ks_distance(long, "feature", "value", "split", "train", "test").selectExpr("feature", "ks_statistic AS ks_test", "p_value AS p_test")
-    joined = stats
-    for part in (distinct_counts(df, columns).drop("constant"), extreme_values(df, columns).select("feature", "extreme"), drift, late):
-        joined = joined.join(part, "feature", "left")
-    enough = " AND ".join(f"present_{s} >= 10" for s in SPLITS)
-    reason = (
-        "CASE WHEN present = 0 THEN 'ALL_MISSING' WHEN distinct_values <= 1 THEN 'CONSTANT' WHEN infinite_count > 0 THEN 'INFINITE_VALUES'"
-        " WHEN feature LIKE '%\\\\_after%' THEN 'POST_EVENT' WHEN feature LIKE 'abnormal_return%' THEN 'TARGET_LEAKAGE_PATTERN'"
-        " WHEN 1 - present / n > 0.5 THEN 'HIGH_MISSINGNESS' ELSE '' END"
-    )
-    return joined.withColumn("usability_reason", F.expr(reason)).selectExpr(
-        "feature",
-        "round(100.0D * (1 - present / n), 2) AS overall_missing_pct",
-        "distinct_values",
-        "infinite_count",
-        "ks_val",
-        "ks_test",
-        "distinct_values <= 1 AS constant_flag",
-        "coalesce(cv < 0.01, true) AS near_constant_flag",
-        "coalesce(extreme, false) AS extreme_value_flag",
-        f"coalesce(greatest(miss_train, miss_val, miss_test) - least(miss_train, miss_val, miss_test) > {shift}, false) AS coverage_shift_flag",
-        f"coalesce({enough} AND (p_val < {alpha} OR p_test < {alpha}), false) AS distribution_shift_flag",
-        "CASE usability_reason WHEN '' THEN 'CORE' WHEN 'HIGH_MISSINGNESS' THEN 'SPARSE_BUT_VALID' ELSE 'UNUSABLE' END AS usability_status",
-        "usability_reason",
-    )
+def ks_drift(profile: DataFrame, second: str = "val") -> DataFrame:
+    """(feature, n_first, n_second, ks_statistic, p_value) of the training values against another split's."""
+    sizes = "present_train AS n_first", f"present_{second} AS n_second", f"ks_{second} AS ks_statistic"
+    found = profile.where(f"ks_{second} IS NOT NULL").selectExpr("feature", *sizes)
+    return found.withColumn("p_value", F.expr(ks_p_value("ks_statistic", "n_first", "n_second")))
 
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -313,12 +277,9 @@ def fundamental_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*aggs).selectExpr(f"explode(array({entries})) AS r").selectExpr("r.feature", "round(100 * r.s, 2) AS present_pct")
 
 
-def tail_quantiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def tail_quantiles(profile: DataFrame) -> DataFrame:
     """(feature, low, high): the 0.1 % and 99.9 % quantiles."""
-    q = exact_quantiles(long_form(df, columns), ["feature"], "value", [0.001, 0.999])
-    return q.groupBy("feature").agg(
-        F.expr("max(CASE WHEN p = 0.001 THEN quantile END) AS low"), F.expr("max(CASE WHEN p = 0.999 THEN quantile END) AS high")
-    )
+    return profile.where("texts = 0").selectExpr("feature", "q0_001 AS low", "q0_999 AS high")
 
 
 def jump_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pitline.operators.quantiles import exact_quantiles, long_form
 
 THRESHOLD = 0.05
+NOISE = 1e-12
 _NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean")
 
 
@@ -32,6 +33,11 @@ def _require(df: DataFrame, features: Sequence[str]) -> None:
         raise ValueError(f"missing columns at transform time: {missing}")
 
 
+def _scale(spread: float, centre: float) -> float:
+    """A spread that is only rounding noise beside the values counts as none, and a feature without spread isn't scaled."""
+    return spread if spread > NOISE * max(1.0, abs(centre)) else 1.0
+
+
 @dataclass
 class TreePreprocessor:
     """Keeps NULLs and adds ``_was_missing`` for features often missing in training."""
@@ -86,11 +92,11 @@ class LinearPreprocessor:
             rows = exact_quantiles(long_form(imputed, names), ["feature"], "value", [0.25, 0.5, 0.75]).collect()
             q = {(r["feature"], r["p"]): r["quantile"] for r in rows}
             self.centre = {c: q[c, 0.5] for c in names}
-            self.scale = {c: (q[c, 0.75] - q[c, 0.25]) or 1.0 for c in names}
+            self.scale = {c: _scale(q[c, 0.75] - q[c, 0.25], q[c, 0.5]) for c in names}
         else:
             row = imputed.agg(*[F.expr(f"{f}(`{c}`) AS `{f}_{c}`") for c in names for f in ("avg", "stddev_pop")]).first()
             self.centre = {c: row[f"avg_{c}"] for c in names}
-            self.scale = {c: row[f"stddev_pop_{c}"] or 1.0 for c in names}
+            self.scale = {c: _scale(row[f"stddev_pop_{c}"], row[f"avg_{c}"]) for c in names}
 
     def _impute(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         flags = [f"cast(`{c}` IS NULL AS double) AS `{c}_was_missing`" for c in self.flagged or []]

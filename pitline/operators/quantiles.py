@@ -102,7 +102,38 @@ def ks_distance(df: DataFrame, feature: str, value: str, sample: str, first: str
     found = gaps.groupBy("feature").agg(
         F.max("ta").alias("n_first"), F.max("tb").alias("n_second"), F.max("gap").alias("ks_statistic")
     )
-    return found.withColumn("p_value", F.expr(_kolmogorov_tail("ks_statistic * sqrt(n_first * n_second / (n_first + n_second))")))
+    return found.withColumn("p_value", F.expr(ks_p_value("ks_statistic", "n_first", "n_second")))
+
+
+#: Cells of the lattice, n * m, up to which a p-value is exact.
+EXACT_CELLS = 40_000
+
+
+def ks_p_value(distance: str, n: str, m: str, exact_cells: int = EXACT_CELLS) -> str:
+    """SQL for the two-sided p-value of a two-sample KS distance: exact up to ``exact_cells`` = n * m, asymptotic beyond."""
+    asymptotic = _kolmogorov_tail(f"({distance}) * sqrt({n} * {m} / ({n} + {m}))")
+    exact = ks_exact_tail(distance, n, m)
+    return f"CASE WHEN {n} = 0 OR {m} = 0 OR ({distance}) IS NULL THEN NULL WHEN {n} * {m} <= {exact_cells} THEN {exact} ELSE {asymptotic} END"
+
+
+def ks_exact_tail(distance: str, n: str, m: str) -> str:
+    """SQL for the chance that two samples of one distribution, without ties, are at least this far apart.
+
+    The order of both samples is a lattice path from (0, 0) to (n, m), all paths equally likely; the distance is reached where
+    |i / n - j / m| is, in whole numbers |i m - j n| >= h. ``touched(i, j)``, the share of paths to (i, j) that reached it, is 1
+    at such points and else the mean of its two predecessors, weighted i : j. Only positive terms are added, so small
+    p-values keep their digits. Points with the same i + j = k depend only on those with k - 1: the fold carries one
+    diagonal, an array over the smaller sample's i.
+    """
+    small, large = f"cast(least({n}, {m}) AS int)", f"cast(greatest({n}, {m}) AS int)"
+    reach = f"cast(round(({distance}) * {n} * {m}) AS bigint)"
+    near = f"abs(i * cast({large} AS bigint) - (k - i) * cast({small} AS bigint)) >= {reach}"
+    step = (
+        f"transform(q, (x, i) -> CASE WHEN k - i < 0 OR k - i > {large} THEN 0.0D WHEN {near} THEN 1.0D"
+        f" ELSE (CASE WHEN i > 0 THEN q[i - 1] * i / k ELSE 0.0D END) + (CASE WHEN k - i > 0 THEN x * (k - i) / k ELSE 0.0D END) END)"
+    )
+    start = f"transform(sequence(0, {small}), i -> CASE WHEN i = 0 AND {reach} <= 0 THEN 1.0D ELSE 0.0D END)"
+    return f"element_at(aggregate(sequence(1, {small} + {large}), {start}, (q, k) -> {step}), -1)"
 
 
 def _kolmogorov_tail(lam: str) -> str:

@@ -41,6 +41,9 @@ def require_chronology(df: DataFrame, on: str = "period_ended") -> None:
     row = df.agg(
         *[F.expr(f"{f}(CASE WHEN split = '{s}' THEN {on} END)").alias(f"{s}_{f}") for s in ("train", "val", "test") for f in ("min", "max")]
     ).first()
+    empty = [s for s in ("train", "val", "test") if row[f"{s}_min"] is None]
+    if empty:
+        raise ValueError(f"splits without a {on}: {empty}")
     if not (row["train_max"] < row["val_min"] and row["val_max"] < row["test_min"]):
         raise ValueError(f"splits are not chronological: {row}")
     shared = df.groupBy("event_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()

@@ -157,31 +157,33 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Raw filing templates by order key modulo 24: (announcement text, details). {dash}, {long}, {ordinal}, {abbr},
 # {dots}, {month} and {token} stand for spellings of the previous quarter end.
+#: Made-up filings, in the order of the pattern lists in functions/patterns.py: result filings and their spellings of a
+#: period, what looks like one and isn't, then the other kinds.
 FILING_TEMPLATES = [
-    ("Accounts adopted: financial results for the quarter ended {dash}", "Group figures, consolidated unaudited financial results enclosed"),
-    ("Financial Result Updates, accounts filed", "We file standalone financial results for the period ended {long}"),
-    ("Integrated Filing - Financial, second part", "XBRL sheets of the quarter ended {dots}"),
-    ("Media Release on the figures of the quarter", "Press release with our {token} results"),
-    ("Slides: Investor Presentation for Q4 Results", "Deck of the earnings presentation"),
-    ("Transcript of Earnings Call, corrected copy", "Transcript of the analysts/institutional investor call of last week"),
-    ("Link to the Audio Recording of Earnings Call", "Recording of the analysts call is online"),
-    ("Revised Schedule of Analyst/Institutional Investor Meet", "Concall schedule after the Q4 results"),
-    ("Outcome of Board Meeting of today", "Directors passed the non-consolidated financial results for the quarter and half year ended {ordinal}"),
-    ("Board Meeting Intimation, new date", "Meeting of board of directors has been scheduled"),
-    ("Limited Review Report of the auditor", "Signed auditor review report"),
-    ("Updates", "concall held in the afternoon"),
-    ("Closure of Trading Window for insiders", "Trading window stays shut until the financial results for the year ended {dash} are out"),
-    ("Option to submit quarterly financial results is used", "We chose the option to submit financial results"),
-    ("Copy of Newspaper Publication, two papers", "Newspaper advertisement with audited financial results for the year ended {month}"),
-    ("General Updates", "Machine readable copy of our financial results"),
-    ("Clarification on Financial Results asked for", "Our answer on standalone and consolidated financial results"),
-    ("Results update", "results update for the quarter, see financialresults"),
-    ("Unaudited FinancialResults", "unauditedresults for thequarter ended {abbr}"),
-    ("Results for the Quarterand nine months ended {ordinal}", "Standalone accounts"),
-    ("Change in Directorate of the firm", "A director joined"),
-    ("Annual report", "standalone and consolidated accounts; concall recording of the annual call"),
-    ("Financial Results media release", "board meeting held on {long}"),
-    ("Financial Results presentation", "corrigendum to financial results for the period ended 31-Feb-2000"),
+    ("Board papers no. 7 hold the financial results", "Mills and looms, consolidated, quarter ended {dash}"),
+    ("Quarterly results of the tannery", "All numbers are standalone and run for the quarter ended {long}"),
+    ("Auditors have signed: audited financial results", "Group and parent, standalone and consolidated, year ended {month}"),
+    ("Results of the quarter are attached", "Quarter ended on {dots}; the ferry company is non-consolidated"),
+    ("Unaudited FinancialResults of the brewery", "They were drawn up for thequarter ended {abbr}"),
+    ("Results for the Quarterand nine months ended {ordinal}", "The weaving shed alone, standalone"),
+    ("Machine readable sheet", "Opens in any reader and repeats the financial results for the quarter and half year ended {ordinal}"),
+    ("We use our option to submit only yearly financial results", "Letter to the exchange"),
+    ("Clarification asked by the exchange", "It concerns a footnote of the financial results for the period ended {dash}"),
+    ("Newspaper publication in the valley", "Two daily papers carried the audited financial results of {token}"),
+    ("Financial result update after the fire", "Standalone books were reopened for the period ended {long}"),
+    ("Updates", "The operator cut off the last question"),
+    ("Integrated filing of the ferry company", "Sheets in XML, quarter ended {dots}"),
+    ("Press release of the dairy", "Milk earned more than cheese, results {token}"),
+    ("Forty slides: the tannery's investor presentation", "Charts by region"),
+    ("Words spoken to analysts, as a transcript", "Typed by the secretary on the next morning"),
+    ("Audio recording of the evening call", "Ninety minutes, the first two without sound"),
+    ("Conference call schedule for the spring", "Lines open an hour before noon"),
+    ("Board meeting held in the chapel", "It ended before noon on {long}"),
+    ("Notice of a board meeting in the harbour office", "The agenda names the dividend and a new crane"),
+    ("Limited review report of the dairy's accountants", "Nothing came to their attention"),
+    ("Corrigendum: two lines of the financial results were swapped", "Right are those for the period ended 31-Feb-2000"),
+    ("Trading window shut for staff", "Until two days after the financial results for the year ended {dash}"),
+    ("A mason joined the works council", "Annual dinner with standalone and consolidated guests"),
 ]
 
 
@@ -220,7 +222,7 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
         return template
 
     stamp = F.date_format("at", "dd-MMM-yyyy HH:mm:ss")
-    name = F.when(F.col("row_no") % 24 == 11, "Transcript_Q4").otherwise("document")
+    name = F.when(F.col("row_no") % len(FILING_TEMPLATES) == 11, "Transcript_Q4").otherwise("document")
     return rows.select(
         "symbol",
         text(0).alias("desc"),
