@@ -33,11 +33,28 @@ TEMPLATES = {
     "as published by the Free Software Foundation",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+    "as published by the Free Software Foundation",
+    "AGPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+    "as published by the Free Software Foundation",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+    "which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+    "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+    "freely, subject to the following restrictions",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+    "covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the "
+    "public domain worldwide. This software is distributed without any warranty.",
 }
 SHINGLE, CONTAINED = 5, 80
 #: One MinHash per band: a window whose similarity is at least 0.2 misses all of them with chance 0.8 ** 48, about 2e-5.
 BANDS = 48
 CLASSES = (5, 8, 16, 32, 64, 128, 256)
+#: Templates whose bands and shingles are broadcast, at most some 100 MB; with more of them the joins are left to the planner.
+SENT_TEMPLATES = 5_000
 
 
 def words_of(text: Column) -> Column:
@@ -92,7 +109,8 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     Words are runs of letters and digits, compared in lower case. Templates of fewer than five words are an error, as they
     have no shingle. Null, empty and short texts hold nothing. Rows with the same doc_id are one document with several
     texts and give one row per license; a null doc_id is one document too. An empty table or no templates give no rows.
-    Only doc_id and text are looked at. Whole texts are searched and no shuffle moves them.
+    Only doc_id and text are looked at. Whole texts are searched, and up to SENT_TEMPLATES templates no shuffle moves their
+    windows.
     """
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
@@ -102,7 +120,10 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     anchors = anchor_words(templates, contained) if templates else ["-"]
     known = spark.createDataFrame([(n, t, size_class(sizes[n])) for n, t in templates.items()], "license string, body string, size int")
     known = known.withColumn("own", words_of(F.col("body"))).withColumn("own", shingles_of(F.col("own"), F.lit(0), F.size("own")))
-    bands = known.select("license", "size", "own", F.posexplode(signature(F.col("own"))).alias("band", "value"))
+    bands = known.select("license", "size", F.posexplode(signature(F.col("own"))).alias("band", "value"))
+    own = known.select("license", "own")
+    if len(templates) <= SENT_TEMPLATES:
+        bands, own = F.broadcast(bands), F.broadcast(own)
 
     near = docs.select("doc_id", "text").where(F.col("text").rlike(r"(?i)\b(?:" + "|".join(anchors) + r")\b"))
     spelled = near.select("doc_id", words_of(F.col("text")).alias("words"))
@@ -119,6 +140,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     filled = laid.select("doc_id", "w.size", "w.start", shingles_of(F.col("words"), F.col("w.start"), F.least(F.col("w.stop"), F.size("words"))).alias("shingles"))
     filled = filled.where(F.size("shingles") > 0)
     looked_up = filled.select("*", F.posexplode(signature(F.col("shingles"))).alias("band", "value")).join(bands, ["size", "band", "value"])
+    looked_up = looked_up.join(own, "license")
     checked = looked_up.withColumn("n_found", F.size(F.array_intersect("shingles", "own"))).where(100 * F.col("n_found") >= contained * F.size("own"))
     best = F.max(F.struct("n_found", (-F.col("start")).alias("late"))).alias("b")
     return checked.groupBy("doc_id", "license").agg(best, F.max(F.size("own")).alias("n_shingles")).select(
