@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from pitline.catalog.ctes import define, with_ctes
 from pitline.catalog.registry import big, query, rounded
-from pitline.catalog.features import FUND_FEATURES, GROUP_SQL, NUMERIC_FEATURES, TEXT_FEATURES, WHOLE_FEATURES
-from pitline.catalog.tables import counted, documents, events, features, model, profile, split_model
-from pitline.operators import audits, profiles
+from pitline.catalog.features import FEATURES, FUND_FEATURES, GROUP_SQL, NUMERIC_FEATURES, TEXT_FEATURES, WHOLE_FEATURES
+from pitline.catalog.tables import counted, documents, events, features, model, model_facts, profile, split_model
+from pitline.operators import audits, profiles, quality
 from pitline.operators import events as event_ops
 from pitline.operators.calendar import clock_session
 from pitline.operators.prices import LABEL_COLUMNS
 from pitline.operators.quantiles import EXACT_CELLS, exact_quantiles, ks_distance
-from pitline.plans.roles import TARGET_COLUMNS, classify_columns, feature_group
+from pitline.plans.roles import AUDIT_COLUMNS, META_COLUMNS, TARGET_COLUMNS, classify_columns, feature_group
 from pitline.session import read_table
 
 define("lf", " UNION ALL ".join(f"SELECT '{c}' AS feature, split, period_ended, CASE WHEN abs({c}) < 1e5 THEN ROUND(CAST({c} AS DOUBLE), 10) + 0.0 ELSE CAST({c} AS DOUBLE) END AS value FROM mls" for c in NUMERIC_FEATURES), ("mls",))
@@ -315,6 +315,38 @@ def universe_overlap(spark, d):
     return audits.universe_overlap(events(spark, d), universe)
 
 
+@query(
+    "universe_difference",
+    with_ctes(
+        "SELECT CASE WHEN a.symbol IS NULL THEN 'universe_only' WHEN b.symbol IS NULL THEN 'data_only' ELSE 'overlap' END AS status, COALESCE(a.symbol, b.symbol) AS symbol FROM (SELECT DISTINCT symbol FROM ev) a FULL JOIN (SELECT 'S' || (s_suppkey + 5) AS symbol FROM supplier) b ON a.symbol = b.symbol",
+        "ev",
+    ),
+)
+def universe_difference(spark, d):
+    universe = read_table(spark, d, "supplier").selectExpr("concat('S', s_suppkey + 5) AS symbol")
+    return audits.universe_difference(events(spark, d), universe)
+
+
+_SHARED = "SELECT '{k}' AS kind, '{a}' AS first, '{b}' AS second, value FROM (SELECT CAST({e} AS VARCHAR) AS value FROM mls WHERE split = '{a}' INTERSECT SELECT CAST({e} AS VARCHAR) FROM mls WHERE split = '{b}')"
+
+
+@query(
+    "split_key_overlap",
+    with_ctes(
+        " UNION ALL ".join(
+            _SHARED.format(k=k, e=e, a=a, b=b)
+            for k, e in (("event_key", "event_key"), ("period", "period_ended"), ("symbol", "symbol"), ("fiscal_quarter", "fiscal_quarter"), ("month", "month(period_ended)"))
+            for a, b in (("train", "val"), ("train", "test"), ("val", "test"))
+        ),
+        "mls",
+    ),
+)
+def split_key_overlap(spark, d):
+    """Event keys and periods share nothing; companies, months and fiscal quarters may."""
+    keys = {"event_key": "event_key", "period": "period_ended", "symbol": "symbol", "fiscal_quarter": "fiscal_quarter", "month": "month(period_ended)"}
+    return audits.split_key_overlap(split_model(spark, d), keys)
+
+
 @query(
     "events_per_symbol",
     with_ctes(
@@ -407,16 +439,117 @@ def leakage_audit(spark, d):
     return audits.leakage_audit(model(spark, d))
 
 
-@query("readiness_gate")
-def readiness_gate(spark, d):
+def _row(no, check, subject, number="NULL", passed="NULL", text="NULL", source="ml") -> str:
+    return f"SELECT {no} AS check_no, '{check}' AS \"check\", {subject} AS subject, CAST({number} AS DOUBLE) AS number, CAST({text} AS VARCHAR) AS text, CAST({passed} AS BOOLEAN) AS passed FROM {source}"
+
+
+def _quality_sql() -> str:
+    columns = [*META_COLUMNS, *FEATURES, *TARGET_COLUMNS, *AUDIT_COLUMNS]
+    kinds = {"string": ["event_key", "symbol", "company_name", "fiscal_quarter", "announcement_session_type", "quality_flags", "fundamental_pit_status", "reaction_class", *TEXT_FEATURES],
+             "date": ["period_ended", "feature_cutoff_date", "reaction_start_date", "fundamental_period_end_date", "fundamental_estimated_available_date"],
+             "timestamp_ntz": ["result_announcement_datetime"], "int": ["price_history_days", "benchmark_history_days", "fundamental_lag_days", *WHOLE_FEATURES]}
+    kinds["double"] = [c for c in columns if not any(c in k for k in kinds.values())]
+    bad = {
+        "cutoff before reaction": "NOT COALESCE(feature_cutoff_date < reaction_start_date, false)",
+        "cutoff before announcement": "NOT COALESCE(feature_cutoff_date <= result_announcement_datetime, false)",
+        "reaction after announcement": "NOT COALESCE(reaction_start_date >= CAST(result_announcement_datetime AS DATE), false)",
+        "statement available": "fundamental_estimated_available_date > feature_cutoff_date",
+        "statement earlier": "fundamental_period_end_date >= period_ended",
+    }
+    share = "ROUND(100.0::DOUBLE * AVG(CASE WHEN gone THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6)"
+    present = "CASE WHEN value IS NOT NULL THEN 1 ELSE 0 END"
+    has = "fundamental_pit_status = 'estimated_conservative'"
+    rows = [
+        _row(1, "shape", "'rows'", "COUNT(*)", "COUNT(*) > 0"),
+        _row(1, "shape", "'columns'", len(columns), source="(SELECT 1)"),
+        *[_row(2, "event range", f"'{f} {c}'", text=f"CAST({f}({c}) AS VARCHAR)") for c in ("period_ended", "feature_cutoff_date", "reaction_start_date") for f in ("min", "max")],
+        _row(3, "events per symbol", "symbol", "COUNT(*)", source="ml GROUP BY symbol"),
+        _row(4, "repeated event keys", "'extra rows'", "COUNT(*) - COUNT(DISTINCT event_key)", "COUNT(*) = COUNT(DISTINCT event_key)"),
+        _row(5, "repeated symbol and period", "'extra rows'", "SUM(n) - COUNT(*)", "SUM(n) = COUNT(*)", source="(SELECT COUNT(*) AS n FROM ml GROUP BY symbol, period_ended)"),
+        *[_row(6, "missing target", f"'{t}'", f"COUNT(*) - COUNT({t})") for t in ("reaction_class", "abnormal_return_1d", "abnormal_return_3d", "abnormal_return_5d")],
+        _row(7, "target distribution", "COALESCE(reaction_class, 'MISSING')", "COUNT(*)", source="ml GROUP BY reaction_class"),
+        _row(8, "missing values", "feature", share, source="lm GROUP BY feature"),
+        _row(9, "mostly missing", "feature", share, "false", source="lm GROUP BY feature HAVING AVG(CASE WHEN gone THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) > 0.5"),
+        _row(10, "statements", "'events with one'", f"COUNT(*) FILTER (WHERE {has})"),
+        *[_row(10, "statements", f"'{c}'", f"ROUND(100.0::DOUBLE * COUNT({c}) / COUNT(*), 6)", source=f"ml WHERE {has}") for c in FUND_FEATURES],
+        _row(11, "price history", "'mean days'", "AVG(price_history_days)"),
+        _row(11, "price history", "'mean benchmark days'", "AVG(benchmark_history_days)"),
+        _row(12, "classes by year", "year || ' ' || reaction_class", "ROUND(n / s, 6)", source="(SELECT year(period_ended) AS year, COALESCE(reaction_class, 'MISSING') AS reaction_class, COUNT(*) AS n, SUM(COUNT(*)) OVER (PARTITION BY year(period_ended)) AS s FROM ml GROUP BY 1, 2)"),
+        *[_row(13, "column types", f"'{k}'", len(v), source="(SELECT 1)") for k, v in kinds.items()],
+        _row(14, "infinite values", "feature", "COUNT(*) FILTER (WHERE isinf(value))", "false", source="lf GROUP BY feature HAVING COUNT(*) FILTER (WHERE isinf(value)) > 0"),
+        _row(15, "constant features", "feature", "COUNT(DISTINCT value)", "false", source="lf GROUP BY feature HAVING COUNT(DISTINCT value) <= 1"),
+        _row(15, "constant features", "feature", "COUNT(DISTINCT value)", "false", source="lx GROUP BY feature HAVING COUNT(DISTINCT value) <= 1"),
+        _row(16, "suspicious features", "feature", "o", "false", source=f"(SELECT feature, COUNT(*) FILTER (WHERE value < a - 10 * (b - a) OR value > b + 10 * (b - a)) AS o, SUM({present}) AS p FROM lf JOIN (SELECT feature, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM lf GROUP BY 1) q USING (feature) GROUP BY 1) WHERE o > p * 0.05"),
+        *[_row(18, "point in time", f"'{k}'", f"COUNT(*) FILTER (WHERE {e})", f"COUNT(*) FILTER (WHERE {e}) = 0") for k, e in bad.items()],
+        _row(19, "own history", "'prior features'", sum(c.startswith("prior_") for c in FEATURES), source="(SELECT 1)"),
+        _row(19, "own history", "'same class as the last event'", "COUNT(*) FILTER (WHERE prior_last_reaction_class = reaction_class)"),
+        _row(20, "chronological split", "split", "COUNT(*)", text="MIN(period_ended) || ' to ' || MAX(period_ended)", source="fs GROUP BY split"),
+        _row(20, "chronological split", "'no overlap'", passed="MAX(period_ended) FILTER (WHERE split = 'train') < MIN(period_ended) FILTER (WHERE split = 'val') AND MAX(period_ended) FILTER (WHERE split = 'val') < MIN(period_ended) FILTER (WHERE split = 'test')", source="fs"),
+        _row(20, "chronological split", "split || ' ' || COALESCE(reaction_class, 'MISSING')", "COUNT(*)", source="fs GROUP BY split, reaction_class"),
+    ]
+    leaking = [(c, w) for c in FEATURES for w in [next((w for w in ("after", "future", "forward", "next", "target", "label") if w in c), None)] if w]
+    rows += [_row(17, "leaking names", f"'{c}'", passed="false", text=f"'{w}'", source="(SELECT 1)") for c, w in leaking]
+    table = " UNION ALL ".join(rows)
+    return f"""
+, fs AS (SELECT period_ended, reaction_class, CASE WHEN r <= floor(n * 0.6) THEN 'train' WHEN r <= floor(n * 0.8) THEN 'val' ELSE 'test' END AS split FROM ml JOIN (SELECT period_ended, row_number() OVER (ORDER BY period_ended) AS r, COUNT(*) OVER () AS n FROM (SELECT DISTINCT period_ended FROM ml)) USING (period_ended))
+SELECT check_no, "check", subject, ROUND(number, 6) + 0.0 AS number, text, passed FROM ({table})"""
+
+
+@query("quality_audit", with_ctes(_quality_sql(), "ml", "lf", "lx", "lm").replace("\n,", ",", 1))
+def quality_audit(spark, d):
     df = model(spark, d)
+    return rounded(quality.quality_audit(df, model_facts(spark, d), counted(spark, d), profile(spark, d), features(spark, d)), 6)
+
+
+_COUNT_BAD = {
+    "dataset not empty": "SELECT CASE WHEN COUNT(*) = 0 THEN 1 ELSE 0 END FROM ml",
+    "no all-null features": "SELECT COUNT(*) FILTER (WHERE p = 0) FROM fc",
+    "no constant features": f"SELECT COUNT(*) FILTER (WHERE lo = hi AND feature NOT IN ({', '.join(repr(c) for c in WHOLE_FEATURES)})) FROM fc",
+    "no infinite features": "SELECT COUNT(*) FILTER (WHERE isinf(hi) OR isinf(lo)) FROM fc",
+    "targets at most 10% missing": "SELECT COUNT(*) FILTER (WHERE m > 0.1) FROM (SELECT feature, AVG(CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS m FROM lt GROUP BY 1)",
+    "market cutoff": "SELECT COUNT(*) FILTER (WHERE NOT COALESCE(feature_cutoff_date < reaction_start_date AND feature_cutoff_date <= result_announcement_datetime, false)) FROM ml",
+    "fundamental dates": "SELECT COUNT(*) FILTER (WHERE fundamental_estimated_available_date > feature_cutoff_date OR fundamental_period_end_date >= period_ended) FROM ml",
+    "fundamental status": "SELECT COUNT(*) FILTER (WHERE fundamental_pit_status NOT IN ('estimated_conservative', 'unavailable')) FROM ml",
+    "unique event keys": "SELECT COUNT(*) - COUNT(DISTINCT event_key) FROM ml",
+    "unique symbol and period": "SELECT SUM(n) - COUNT(*) FROM (SELECT COUNT(*) AS n FROM ml GROUP BY symbol, period_ended)",
+    "prior count order": "SELECT COUNT(*) FILTER (WHERE s < 0) FROM (SELECT MIN(s) AS s FROM (SELECT symbol, prior_earnings_count - lag(prior_earnings_count) OVER (PARTITION BY symbol ORDER BY period_ended, event_key) AS s FROM ml) GROUP BY symbol)",
+    "class shares": "SELECT COUNT(*) FILTER (WHERE s < 0.05 OR s > 0.9) FROM (SELECT COUNT(*) / SUM(COUNT(*)) OVER () AS s FROM ml GROUP BY reaction_class)",
+    "feature count": f"SELECT CASE WHEN COUNT(DISTINCT feature) = {len(FEATURES)} THEN 0 ELSE 1 END FROM lm",
+    "no target or post-event features": "SELECT COUNT(DISTINCT feature) FILTER (WHERE feature LIKE '%\\_after%' ESCAPE '\\') FROM lm",
+}
+
+
+@query(
+    "readiness_gate",
+    with_ctes(
+        "\n, fc AS (SELECT feature, COUNT(value) AS p, MIN(value) AS lo, MAX(value) AS hi FROM lf GROUP BY 1 UNION ALL SELECT feature, COUNT(value), NULL, NULL FROM lx GROUP BY 1) "
+        + 'SELECT "check", CASE WHEN bad = 0 THEN \'PASS\' ELSE \'FAIL\' END AS status, CAST(bad AS BIGINT) AS detail FROM ('
+        + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", ({v}) AS bad" for k, v in _COUNT_BAD.items())
+        + ")",
+        "ml", "lf", "lx", "lt", "lm",
+    ).replace("\n,", ",", 1),
+)
+def readiness_gate(spark, d):
+    df = rounded(model(spark, d))
     roles = classify_columns(df.columns)
-    return audits.readiness_gate(df, roles["features"], roles["targets"])
+    return audits.readiness_gate(df, roles["features"], roles["targets"], len(FEATURES))
+
 
+_HASHED = {**dict.fromkeys([*NUMERIC_FEATURES, *[c for c in TARGET_COLUMNS if c != "reaction_class"]], "CAST(ROUND({} * 1e6) AS BIGINT)"), **dict.fromkeys(WHOLE_FEATURES, "{}")}
+_ROW_TEXT = "concat_ws('|', " + ", ".join(
+    f"COALESCE(CAST({_HASHED.get(c, '{}').format(c)} AS VARCHAR), '~')" for c in sorted([*META_COLUMNS, *FEATURES, *TARGET_COLUMNS, *AUDIT_COLUMNS, "split"])
+) + ")"
 
-@query("table_fingerprint")
+
+@query(
+    "table_fingerprint",
+    with_ctes(
+        f"SELECT split, reaction_class, COUNT(*) AS rows, CAST({len(META_COLUMNS) + len(FEATURES) + len(TARGET_COLUMNS) + len(AUDIT_COLUMNS) + 1} AS BIGINT) AS columns, CAST(SUM(CAST('0x' || substr(md5({_ROW_TEXT}), 1, 15) AS BIGINT)) AS VARCHAR) AS content_hash FROM mls GROUP BY 1, 2",
+        "mls",
+    ),
+)
 def table_fingerprint(spark, d):
-    return audits.table_fingerprint(model(spark, d))
+    return audits.table_fingerprint(split_model(spark, d), ["split", "reaction_class"])
 
 
 @query("late_announcements", with_ctes("SELECT event_key, days_from_period_end FROM (SELECT event_key, CAST(datediff('day', period_ended, CAST(result_announcement_datetime AS DATE)) AS INT) AS days_from_period_end FROM ev) WHERE days_from_period_end > 90 OR days_from_period_end < 0", "ev"))

@@ -9,6 +9,7 @@ from pitline.operators import events as event_ops
 from pitline.operators import prices as px_ops
 from pitline.operators import profiles
 from pitline.operators.calendar import trading_calendar
+from pitline.operators.quality import stage_observed
 from pitline.operators.splits import temporal_split
 from pitline.plans.dataset import model_table
 from pitline.plans.roles import classify_columns
@@ -70,7 +71,22 @@ def build_model(spark: SparkSession, d: str) -> DataFrame:
 
 def model(spark: SparkSession, d: str) -> DataFrame:
     """Staged model table, the input of splits, preprocessing and audits."""
-    return _staged(spark, d, "model", lambda: build_model(spark, d))
+    return _observed_model(spark, d)[0]
+
+
+def model_facts(spark: SparkSession, d: str) -> dict:
+    """What was observed while the model table was staged."""
+    return _observed_model(spark, d)[1]
+
+
+_MODELS: dict[tuple[str, str], tuple[DataFrame, dict]] = {}
+
+
+def _observed_model(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        _MODELS[key] = stage_observed(build_model(spark, d))
+    return _MODELS[key]
 
 
 def split_model(spark: SparkSession, d: str) -> DataFrame:

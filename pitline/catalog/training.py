@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from pitline.catalog.tables import model, split_model
 from pitline.operators import firewall, guardrails, preprocess, splits
 from pitline.plans.loader import load_training_data, with_roles
 from pitline.plans.roles import ALL_GROUPS, STRICT_GROUPS, TARGET_COLUMNS, classify_columns, columns_in_groups, feature_group, feature_manifest
-from pitline.session import read_table, stage
+from pitline.session import read_table, shared_folder, stage
 from pitline.standins import TRAIN_END, VAL_END
 
 
@@ -172,6 +173,9 @@ def _linear(name: str, scaler: str) -> None:
     def run(spark, d):
         df = split_model(spark, d)
         fitted = preprocess.create_preprocessor("linear", scaler=scaler).fit(df.where("split = 'train'"), _FEATURES)
+        path = f"{shared_folder(spark)}/preprocessor-{scaler}-{uuid.uuid4().hex}"
+        preprocess.save_preprocessor(spark, fitted, path)
+        fitted = preprocess.load_preprocessor(spark, path)
         out = fitted.transform(df, keep=["event_key", "split"])
         # a feature without any training value has no median and is dropped by the fit
         dropped = {c: F.lit(None).cast("double") for c in _FEATURES if c not in fitted.features}

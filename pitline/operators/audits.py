@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitline.functions.dates import whole_days
-from pitline.operators.profiles import deviation_profile
+from pitline.operators.profiles import count_values_by_slice, deviation_profile, value_profile
 from pitline.operators.quantiles import exact_quantiles, ks_p_value, long_form
 from pitline.plans.roles import feature_group
 
@@ -46,27 +46,12 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str]) -> Dat
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str], slices: dict[str, str]) -> DataFrame:
-    """(feature, slice, n, missing, infinite, mean, std, min, max, q1, median, q3) overall and per slice value."""
-    tags = ["'overall'", *[f"concat('{n}_', {e})" for n, e in slices.items()]]
-    long = long_form(df.selectExpr(*columns, f"array({', '.join(tags)}) AS __tags"), columns, ["__tags"]).selectExpr(
-        "feature", "value", "explode(filter(__tags, t -> t IS NOT NULL)) AS slice"
-    )
-    stats = long.groupBy("feature", "slice").agg(
-        F.count("value").alias("n"),
-        F.expr("count_if(value IS NULL) AS missing"),
-        F.expr(f"count_if(abs(value) = {INFINITY}) AS infinite"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    q = exact_quantiles(long, ["feature", "slice"], "value", [0.25, 0.5, 0.75])
-    wide = q.groupBy("feature", "slice").agg(
-        F.expr("max(CASE WHEN p = 0.25 THEN quantile END) AS q1"),
-        F.expr("max(CASE WHEN p = 0.5 THEN quantile END) AS median"),
-        F.expr("max(CASE WHEN p = 0.75 THEN quantile END) AS q3"),
-    )
-    return stats.join(wide, ["feature", "slice"], "left")
+    """(feature, slice, n, missing, infinite, mean, std, min, max, q1, median, q3) overall and per slice value, from one scan."""
+    profile = value_profile(count_values_by_slice(df, columns, slices), (0.25, 0.5, 0.75), ())
+    return profile.selectExpr(
+        "feature.feature", "feature.slice", "present AS n", "n - present AS missing", "infinite", "mean", "sqrt(variance) AS std", "min", "max",
+        "q0_25 AS q1", "q0_5 AS median", "q0_75 AS q3",
+    )
 
 
 def missingness(df: DataFrame, columns: Sequence[str], period: str = "period_ended") -> DataFrame:
@@ -241,6 +226,35 @@ def universe_overlap(symbols: DataFrame, universe: DataFrame) -> DataFrame:
     return a.join(b, "symbol", "full").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("symbols"))
 
 
+def universe_difference(symbols: DataFrame, universe: DataFrame) -> DataFrame:
+    """(status, symbol): the symbols behind ``universe_overlap``, by set operations."""
+    a, b = symbols.select("symbol"), universe.select("symbol")
+    parts = {"data_only": a.subtract(b), "universe_only": b.subtract(a), "overlap": a.intersect(b)}
+    tagged = [df.select(F.lit(name).alias("status"), "symbol") for name, df in parts.items()]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+
+
+def split_key_overlap(df: DataFrame, keys: dict[str, str], splits: Sequence[str] = SPLITS) -> DataFrame:
+    """(kind, first, second, value): every value of a key expression that two splits share; none, if the splits are clean.
+
+    ``keys`` names SQL expressions, e.g. event keys and periods; their values are compared as text, NULL with NULL.
+    """
+    found = None
+    for kind, expression in keys.items():
+        held = {s: df.where(F.col("split") == s).select(F.expr(f"cast({expression} AS string) AS value")) for s in splits}
+        for i, first in enumerate(splits):
+            for second in splits[i + 1 :]:
+                shared = held[first].intersect(held[second]).select(F.lit(kind).alias("kind"), F.lit(first).alias("first"), F.lit(second).alias("second"), "value")
+                found = shared if found is None else found.unionByName(shared)
+    return found
+
+
+def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., extra): keys with more than one row, and how many more, as the multiset of rows without its set."""
+    rows = df.select(*keys)
+    return rows.exceptAll(rows.distinct()).groupBy(*keys).agg(F.count(F.lit(1)).alias("extra"))
+
+
 def events_per_symbol(events: DataFrame) -> DataFrame:
     """One row: fewest, most, mean and median events per symbol, and which symbols have fewest and most."""
     counts = events.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).selectExpr("'all' AS k", "symbol", "n")
@@ -361,13 +375,27 @@ def readiness_gate(df: DataFrame, features: Sequence[str], targets: Sequence[str
     return table.unionByName(schema).selectExpr("check", "CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS status", "bad AS detail")
 
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
-    """One row: row and column counts and an order-insensitive content hash over all rows."""
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
-    return df.agg(
+#: Decimals to which a number counts in a content hash.
+HASHED_DIGITS = 6
+
+
+def row_text(df: DataFrame) -> str:
+    """SQL for a row as text that other engines can rebuild: columns by name, floating numbers as whole numbers of their last
+    counted decimal, dates and times as ISO text, missing values as ``~``."""
+    types = dict(df.dtypes)
+    floating = lambda c: types[c] in ("float", "double")
+    parts = [f"cast(round(`{c}` * 1e{HASHED_DIGITS}D) AS bigint)" if floating(c) else f"`{c}`" for c in sorted(df.columns)]
+    return f"concat_ws('|', {', '.join(f'coalesce(cast({p} AS string), {chr(39)}~{chr(39)})' for p in parts)})"
+
+
+def table_fingerprint(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., rows, columns, content_hash): per group the number of rows and a hash of all their columns that doesn't depend on
+    the order of rows: the sum of the first 60 bits of each row's md5, which any engine can compute. Repeated rows count."""
+    bits = f"cast(conv(substring(md5({row_text(df)}), 1, 15), 16, 10) AS decimal(38,0))"
+    return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"),
         F.lit(len(df.columns)).cast("bigint").alias("columns"),
-        F.sum(row_hash.cast("decimal(38,0)")).alias("content_hash"),
+        F.expr(f"cast(coalesce(sum({bits}), 0) AS string) AS content_hash"),
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitline.operators.quantiles import exact_quantiles, long_form
@@ -114,6 +114,43 @@ class LinearPreprocessor:
         return imputed.selectExpr(*keep, *[f"(`{c}` - ({self.centre[c]!r}D)) / ({self.scale[c]!r}D) AS `{c}`" for c in names])
 
 
+STATE = "position int, feature string, flagged boolean, median double, centre double, scale double, kind string, scaler string, threshold double"
+
+
+def save_preprocessor(spark: SparkSession, fitted: TreePreprocessor | LinearPreprocessor, path: str) -> None:
+    """Writes what was fitted as a table: a row per feature, and per indicator that is scaled, in column order."""
+    if fitted.flagged is None:
+        raise ValueError("not fitted")
+    linear = isinstance(fitted, LinearPreprocessor)
+    kind, scaler = ("linear", fitted.scaler) if linear else ("tree", None)
+    scaled = [*fitted.features, *[f"{c}_was_missing" for c in fitted.flagged]] if linear else fitted.features
+    rows = []
+    for position, c in enumerate(scaled):
+        median, centre, scale = (fitted.medians.get(c), fitted.centre.get(c), fitted.scale.get(c)) if linear else (None, None, None)
+        rows.append((position, c, c in fitted.flagged if c in fitted.features else None, median, centre, scale, kind, scaler, fitted.threshold))
+    spark.createDataFrame(rows, STATE).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_preprocessor(spark: SparkSession, path: str) -> TreePreprocessor | LinearPreprocessor:
+    """What ``save_preprocessor`` wrote, in any session. The table has one row per feature and indicator."""
+    rows = sorted(spark.read.schema(STATE).parquet(path).collect(), key=lambda r: r["position"])
+    if not rows:
+        raise ValueError(f"no features in {path}")
+    own = [r for r in rows if r["flagged"] is not None]
+    features, flagged = [r["feature"] for r in own], [r["feature"] for r in own if r["flagged"]]
+    if rows[0]["kind"] == "tree":
+        return TreePreprocessor(rows[0]["threshold"], features, flagged)
+    of = lambda name: {r["feature"]: r[name] for r in rows if r[name] is not None}
+    return LinearPreprocessor(rows[0]["scaler"], rows[0]["threshold"], features, flagged, of("median"), of("centre"), of("scale"))
+
+
+def require_same_features(fitted: TreePreprocessor | LinearPreprocessor, features: Sequence[str]) -> None:
+    """Raises unless ``features`` are the fitted ones in their order."""
+    if list(features) != fitted.features:
+        lost, new = sorted(set(fitted.features) - set(features)), sorted(set(features) - set(fitted.features))
+        raise ValueError(f"features differ from the fitted ones: missing {lost}, new {new}" + ("" if lost or new else ", in another order"))
+
+
 def create_preprocessor(model_type: str = "tree", **options) -> TreePreprocessor | LinearPreprocessor:
     kinds = {"tree": TreePreprocessor, "linear": LinearPreprocessor}
     if model_type not in kinds:

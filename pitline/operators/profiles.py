@@ -27,8 +27,8 @@ EDGE = 1 << 40
 ROUNDED_BELOW = "1e5D"
 
 
-def _long(df: DataFrame, columns: Sequence[str], split: str, digits: int | None) -> DataFrame:
-    """(split, feature, value, text): numbers as values, anything else as text."""
+def _long(df: DataFrame, columns: Sequence[str], keep: Sequence[str], digits: int | None) -> DataFrame:
+    """(keep..., feature, value, text): numbers as values, anything else as text."""
     types = dict(df.dtypes)
 
     def entry(c: str) -> str:
@@ -37,7 +37,7 @@ def _long(df: DataFrame, columns: Sequence[str], split: str, digits: int | None)
         return f"struct('{c}' AS feature, {value} AS value, {text} AS text)"
 
     entries = ", ".join(map(entry, columns))
-    rows = df.selectExpr(f"`{split}` AS split", f"explode(array({entries})) AS e").selectExpr("split", "e.*")
+    rows = df.selectExpr(*keep, f"explode(array({entries})) AS e").select("*", "e.*").drop("e")
     if digits is None:
         return rows
     near = f"CASE WHEN abs(value) < {ROUNDED_BELOW} THEN round(value, {digits}) + 0.0D ELSE value END"
@@ -64,7 +64,30 @@ def count_values(
     folder; the centres are broadcast.
     """
     counts = [F.count(F.lit(1)).alias("n"), *[F.expr(f"count_if(split = '{s}') AS n_{s}") for s in splits]]
-    counted = stage(_long(df, columns, split, digits).groupBy("feature", "value", "text").agg(*counts))
+    return _binned(_long(df, columns, [f"`{split}` AS split"], digits).groupBy("feature", "value", "text").agg(*counts))
+
+
+def count_values_by_slice(df: DataFrame, columns: Sequence[str], slices: dict[str, str]) -> DataFrame:
+    """The same with ``struct(feature, slice)`` as feature: 'overall', and ``<name>_<value>`` for each named SQL expression.
+
+    One scan; every row feeds one aggregation by grouping sets. Rows without a value of a slice are only in the others.
+    """
+    names = list(slices)
+    rows = _long(df, columns, [f"cast({e} AS string) AS `{n}`" for n, e in slices.items()], None)
+    base = ["feature", "value", "text"]
+    sets = [base, *[[*base, n] for n in names]]
+    by = [F.col(f"`{c}`") for c in [*base, *names]]
+    counted = rows.groupingSets([[F.col(f"`{c}`") for c in s] for s in sets], *by).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+    tag, kept = F.lit("overall"), F.lit(True)
+    for i, n in enumerate(names):
+        grouped = F.col("gid").bitwiseAND(1 << (len(names) - 1 - i)) == 0
+        tag = F.when(grouped, F.concat(F.lit(f"{n}_"), F.col(f"`{n}`"))).otherwise(tag)
+        kept = kept & ~(grouped & F.col(f"`{n}`").isNull())
+    return _binned(counted.where(kept).select(F.struct("feature", tag.alias("slice")).alias("feature"), "value", "text", "n"))
+
+
+def _binned(counts: DataFrame) -> DataFrame:
+    counted = stage(counts)
     finite = counted.where("value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('Infinity')")
     quartiles = finite.groupBy("feature").agg(F.expr("percentile_approx(value, array(0.25D, 0.5D, 0.75D), 1000) AS q"))
     centres = stage(quartiles.selectExpr("feature", "q[1] AS centre", "greatest(q[2] - q[0], 1e-12D) AS spread"))
@@ -113,17 +136,18 @@ def value_profile(counted: DataFrame, probs: Sequence[float] = PROBS, splits: Se
     """One row per feature of ``count_values``: rows, present and distinct values, mean and variances, quantiles, and the KS
     distance of the first split from each other one.
 
-    ``n``, ``present``, ``distinct`` and per split ``n_<s>``, ``present_<s>``, ``distinct_<s>``; ``infinite`` and ``texts``; ``mean``, ``variance``
+    ``n``, ``present``, ``distinct`` and per split ``n_<s>``, ``present_<s>``, ``distinct_<s>``; ``infinite`` and ``texts``; ``min``, ``max``, ``mean``, ``variance``
     and ``variance_<s>`` (sums of squares about the approximate median, which cancel little); ``q0_5`` and so on; ``ks_<s>``.
     """
     names = ["n", *[f"n_{s}" for s in splits]]
-    first = splits[0]
     whole = counted.groupBy("feature").agg(
         *[F.sum(c).alias(c) for c in names],
         *[F.expr(f"coalesce(sum(CASE WHEN value IS NOT NULL OR text IS NOT NULL THEN {c} END), 0) AS {c.replace('n', 'present', 1)}") for c in names],
         *[F.expr(f"count_if({c} > 0 AND (value IS NOT NULL OR text IS NOT NULL)) AS {c.replace('n', 'distinct', 1)}") for c in names],
         F.expr("coalesce(sum(CASE WHEN abs(value) = double('Infinity') THEN n END), 0) AS infinite"),
         F.expr("coalesce(sum(CASE WHEN text IS NOT NULL THEN n END), 0) AS texts"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
         F.max("centre").alias("__centre"),
         *[F.expr(f"sum({c} * (value - centre)) AS __s1_{c}") for c in names],
         *[F.expr(f"sum({c} * (value - centre) * (value - centre)) AS __s2_{c}") for c in names],
@@ -137,7 +161,7 @@ def value_profile(counted: DataFrame, probs: Sequence[float] = PROBS, splits: Se
     stats = whole.selectExpr(*kept, "__centre + try_divide(__s1_n, present) AS mean", *spread)
     ranked = running_counts(counted.where("value IS NOT NULL"), names)
     share = lambda s: f"upto_n_{s} / nullif(total_n_{s}, 0)"
-    gaps = [f"max(abs({share(first)} - {share(s)})) AS ks_{s}" for s in splits[1:]]
+    gaps = [f"max(abs({share(splits[0])} - {share(s)})) AS ks_{s}" for s in splits[1:]]
     read = ranked.groupBy("feature").agg(*[F.expr(f"{_quantile(p)} AS {quantile_name(p)}") for p in probs], *[F.expr(g) for g in gaps])
     return stats.join(read, "feature", "left")
 
