@@ -28,9 +28,11 @@ from pitline.session import read_table, shared_folder
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: A block ends with the document that brings it to this many pre-tokens.
-BLOCK = 6_000_000
-#: Distinct words a task remembers while encoding; beyond it, memory is freed and a word may be encoded again.
-REMEMBERED = 2_000_000
+BLOCK = 2_000_000
+#: Bytes of words and ids a task remembers while encoding; beyond it, memory is freed and a word may be encoded again.
+REMEMBERED = 64 << 20
+#: What a remembered word takes besides its bytes and ids.
+ENTRY = 200
 SENT_BYTES = 32 << 20
 
 ROWS = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("body", pa.binary()), ("words", pa.binary())])
@@ -147,20 +149,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], slots: int, block: int) -> Iterat
 def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Each slot row's words as ids; a word that several blocks sent is encoded once."""
     encode = encoder(path)._encode_single_piece
-    known: dict[bytes, list[int]] = {}
+    known: dict[bytes, bytes] = {}
+    held = 0
     for batch in batches:
-        answers = []
-        for payload in batch.column(2).to_pylist():
+        for k in range(batch.num_rows):
             ids = []
-            for word in unpack_words(payload):
+            for word in unpack_words(batch.column(2)[k].as_py()):
                 got = known.get(word)
                 if got is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    got = known[word] = encode(word)
+                    if held >= REMEMBERED:
+                        known, held = {}, 0
+                    got = known[word] = np.array(encode(word), "<u4").tobytes()
+                    held += len(word) + len(got) + ENTRY
                 ids.append(got)
-            answers.append(framed(pack(np.array([len(x) for x in ids], np.uint32)), pack(np.fromiter((i for x in ids for i in x), np.uint32))))
-        yield batch_of(ANSWERS, block=batch.column(0), slot=batch.column(1), ids=answers)
+            sizes = np.fromiter(map(len, ids), np.uint32, len(ids)) >> np.uint32(2)
+            answer = framed(pack(sizes), pack(np.frombuffer(b"".join(ids), "<u4")))
+            yield batch_of(ANSWERS, block=batch.column(0).slice(k, 1), slot=batch.column(1).slice(k, 1), ids=[answer])
 
 
 # ---- documents ----
@@ -172,28 +176,39 @@ def _assemble(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
     for batch in batches:
         for k in range(batch.num_rows):
             block = batch.slice(k, 1).to_pylist()[0]
-            spelled: list[list[int]] = []
+            sizes, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
             for answer in sorted(block["answers"] or [], key=lambda x: x["slot"]):
-                sizes, ids = unframed(answer["ids"])
-                spelled += pieces(sizes, unpack(ids).tolist())
+                for part, payload in zip((sizes, ids), unframed(answer["ids"]), strict=True):
+                    part.append(unpack(payload))
             place, numbers = map(unpack, unframed(block["body"]))
-            yield from _documents([spelled[p] for p in place.tolist()], numbers, block["doc_ids"], block["sizes"], table)
-
-
-def _documents(spelled: list[list[int]], numbers: np.ndarray, doc_ids: list, sizes: list[int], table: list[bytes]) -> Iterator[pa.RecordBatch]:
-    lengths = np.array([len(x) for x in spelled], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    flat = np.fromiter((i for x in spelled for i in x), "<u4")
-    as_bytes = [b"".join(map(table.__getitem__, x)) for x in spelled]
+            yield from _documents(np.concatenate(sizes), np.concatenate(ids), place, numbers, block["doc_ids"], block["sizes"], table)
+
+
+def _documents(
+    sizes: np.ndarray, flat: np.ndarray, place: np.ndarray, numbers: np.ndarray, doc_ids: list, doc_sizes: list[int], table: list[bytes]
+) -> Iterator[pa.RecordBatch]:
+    """``sizes`` and ``flat`` hold the words' ids end to end, ``place`` the word of each rank of use, ``numbers`` the ranks of
+    all documents' words; a word's bytes are put together once, when it is first used."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    lengths = sizes.astype(np.int64)[place]
+    starts = ends[place] - lengths
+    as_bytes: list[bytes | None] = [None] * len(place)
     at, out, sent = 0, {f.name: [] for f in ENCODED}, 0
-    for doc_id, size in zip(doc_ids, sizes, strict=True):
+    for doc_id, size in zip(doc_ids, doc_sizes, strict=True):
         mine = numbers[at : at + size]
         at += size
         per = lengths[mine]
-        ends = np.cumsum(per)
-        total = int(ends[-1]) if size else 0
-        ids = flat[np.arange(total) + np.repeat(starts[mine] - (ends - per), per)].tobytes()
-        decoded = b"".join(map(as_bytes.__getitem__, mine.tolist()))
+        upto = np.cumsum(per)
+        total = int(upto[-1]) if size else 0
+        ids = flat[np.arange(total) + np.repeat(starts[mine] - (upto - per), per)].astype("<u4", copy=False).tobytes()
+        spelled = []
+        for rank in mine.tolist():
+            word = as_bytes[rank]
+            if word is None:
+                first = int(starts[rank])
+                word = as_bytes[rank] = b"".join(map(table.__getitem__, flat[first : first + int(lengths[rank])].tolist()))
+            spelled.append(word)
+        decoded = b"".join(spelled)
         for name, value in zip(ENCODED.names, (doc_id, total, ids, decoded), strict=True):
             out[name].append(value)
         sent += len(ids) + len(decoded)
