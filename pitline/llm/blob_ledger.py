@@ -17,13 +17,14 @@ from pitline.session import read_table, stage
 @dataclass(frozen=True)
 class Rule:
     """Matches of ``pattern``, leftmost and not overlapping; those whose group ``measured`` is shorter than ``least``
-    characters are dropped afterwards."""
+    characters are dropped afterwards. ``sql`` is the pattern for the SQL partner, where it is written otherwise."""
 
     kind: str
     version: int
     pattern: str
     measured: int = 0
     least: int = 1
+    sql: str | None = None
 
     def key(self) -> str:
         return f"{self.kind}@{self.version}"
@@ -39,11 +40,21 @@ BASE = (
 #: A private key with its body: up to the END line, or, where no END follows before another dash line, over its header lines
 #: and the base64 after them. Line breaks can be spelled \\n. A base64 line there has 40 characters or more, but the last.
 KEY_BEGIN, KEY_END = "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", "-----END [A-Z ]{0,32}PRIVATE KEY-----"
-KEY_BREAK, KEY_BASE64 = r"(?:[\x20\x09-\x0D]|\\[nr])", "[A-Za-z0-9+/=]"
-KEY_CUT = rf"(?:{KEY_BREAK}+[A-Za-z-]+:\x20[^\x0A\x0D\\]*)*(?:{KEY_BREAK}+{KEY_BASE64}{{40,}}[A-Za-z0-9+/=\x0A\x0D\\]*)*(?:{KEY_BREAK}+[A-Za-z0-9+/]+=+)?"
+
+
+def key_pattern(hold: str) -> str:
+    """``hold`` = "+" makes the repeated groups possessive: they are then matched in a loop, where Java would else go one
+    call deeper for every line or blank. Nothing they take could be of use to what follows, so both forms match alike;
+    engines that don't know the sign, and don't need it, take the empty one."""
+    breaks, base64 = rf"(?:[\x20\x09-\x0D]|\\[nr])+{hold}", "[A-Za-z0-9+/=]"
+    headers = rf"(?:{breaks}[A-Za-z-]+:\x20[^\x0A\x0D\\]*)*{hold}"
+    lines = rf"(?:{breaks}{base64}{{40,}}[A-Za-z0-9+/=\x0A\x0D\\]*)*{hold}"
+    return rf"{KEY_BEGIN}(?:[^-]*(?:-[^-]+){{0,64}}?{KEY_END}|{headers}{lines}(?:{breaks}[A-Za-z0-9+/]+=+)?)"
+
+
 #: Further kinds of credentials with public formats.
 MORE = (
-    Rule("private_key", 2, rf"{KEY_BEGIN}(?:[^-]*(?:-[^-]+){{0,64}}?{KEY_END}|{KEY_CUT})"),
+    Rule("private_key", 2, key_pattern("+"), sql=key_pattern("")),
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("url_login", 2, r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@"),
     Rule("repo_token", 1, r"gh[oprsu]_[A-Za-z0-9]{36,}"),
@@ -157,7 +168,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_found(rule: Rule, order: int) -> str:
-    p = rule.pattern.replace("'", "''")
+    p = (rule.sql or rule.pattern).replace("'", "''")
     return f"""
   SELECT doc_id, '{rule.kind}' AS kind, {order} AS ord, unnest(range(1, len(hits) + 1)) AS k, gaps, hits, vals, {rule.least} AS least
   FROM (SELECT doc_id, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {rule.measured}) AS vals FROM d)

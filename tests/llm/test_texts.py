@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -233,3 +234,51 @@ def test_suffix_array_and_coverage():
         assert shared[k] == next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
     one, two = hs.covered_words([np.array([1, 2, 3, 4, 5, 6]), np.array([9, 2, 3, 4, 5])], 3)
     assert one.tolist() == [False, True, True, True, True, False] and two.tolist() == [False, True, True, True, True]
+
+
+def test_very_long_keys_kill_no_task(spark):
+    """A hundred thousand of each construct a key's end is looked for with."""
+    begin, line, n = "-----BEGIN RSA PRIVATE KEY-----", "A" * 63 + "b", 100_000
+    texts = {
+        f"{begin}\n" + f"  {line}\n" * n: "[secret]",
+        begin + "\nProc-Type: 4,ENCRYPTED" * n: "[secret]",
+        begin + " " * n + line: "[secret]",
+        begin + "\\n" * n + line + "\\n" + "c" * 40: "[secret]",
+        begin + " well-known" * n: "[secret]" + " well-known" * n,
+        begin + " " * n: "[secret]" + " " * n,
+    }
+    got = {r.doc_id: r.text for r in bl.without_secrets(documents(spark, list(enumerate(texts)))).collect()}
+    for k, expected in enumerate(texts.values()):
+        assert got[k].rstrip("\n") == expected, k
+
+
+def test_licenses_of_more_kinds(spark):
+    templates = {k: v for k, v in lw.TEMPLATES.items() if k in ("LGPL", "AGPL", "GPL", "EPL-2.0", "Unlicense", "Zlib", "BSL-1.0", "CC0-1.0", "CC-BY-SA-4.0")}
+    rows = [(k, f"{prose(k, 90)}. {t} {prose(k + 50, 30)}") for k, t in enumerate(templates.values())]
+    got = {}
+    for r in lw.find_licenses(documents(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert all(name in got[k] for k, name in enumerate(templates))
+    assert got[list(templates).index("LGPL")] == {"LGPL"} and got[list(templates).index("EPL-2.0")] == {"EPL-2.0"}
+
+
+def test_license_joins_without_broadcast_find_the_same(spark, monkeypatch):
+    docs = documents(spark, [(k, prose(k, 60) + " " + t) for k, t in enumerate(lw.TEMPLATES.values())])
+    sent = sorted(map(tuple, lw.find_licenses(docs).collect()))
+    monkeypatch.setattr(lw, "SENT_TEMPLATES", 0)
+    assert sorted(map(tuple, lw.find_licenses(docs).collect())) == sent
+
+
+@pytest.mark.parametrize(
+    "html, kept",
+    [
+        ("<p>a</p>" + "<a " * 300_000, "a"), ("<p>a</p>" + "<a" * 300_000, "a"), ("<p>a</p>" + '<a "\'' * 200_000, "a"), ("<p>a " + "<i>" * 200_000 + "</b>" * 200_000 + "b", "a b"),
+        ("<i>" * 200_000 + "<hr>" * 200_000 + "b", "b"), ("<p><table>" + "<i>" * 150_000 + "<hr>" * 150_000 + "b", "b"), ("<li><ul>" + "<div>" * 100_000 + "<li>x</li>" * 50_000, "\n".join("x" * 50_000)),
+        ("<i><b></i>" * 100_000 + "b", "b"), ("b" + "<!--" * 250_000, "b"), ("<p>b</p>" + "<a x='>" * 150_001, None), ("<p " + "=" * 1_000_000 + ">x", "x"), ("x" + "<script>" * 150_000, "x"),
+    ],
+)
+def test_broken_pages_take_linear_time(html, kept):
+    started = time.perf_counter()
+    blocks = hs.page_blocks(html)
+    assert time.perf_counter() - started < 30
+    assert kept is None or "\n".join(t for _, t in blocks) == kept
