@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,11 +47,12 @@ FURNITURE = re.compile(
     r"notices?|pagination|pager|popup|modal|promo\w*|related|share|sharing|sidebar|side-bar|signup|sign-up|skip-?link|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[\s_-])",
     re.I,
 )
-TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|([!?][^>]*)(?:>|\Z))", re.S)
+NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+TAG_PART = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 SPACE = re.compile(r"\s+")
 
-BROKEN = re.compile(r"<[/A-Za-z!?][^>]*\Z")
+OPENS = re.compile(r"<[/A-Za-z!?]")
 OTHER_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|related|promo\w*|sponsor\w*|advert\w*|ads?|teaser)(?:$|[\s_-])", re.I)
 FURNITURE_TEXT, OPEN_TEXT, ARTICLE_TEXT = 0, 1, 2
 
@@ -76,17 +78,94 @@ def _is_furniture(name: str, attributes: str) -> bool:
     return False
 
 
+class Tags:
+    """The tags of a page, from left to right, in time linear in its length however broken it is.
+
+    A tag ends at the first ``>`` outside quotes. Where a quote is never closed, or no ``>`` follows, the ``<`` is text. The
+    quotes from which a search came to nothing are remembered, as every later search that reaches them must too.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.dead: set[int] = set()
+        self.part = -1
+        self.none = {c: len(html) for c in "\"'<>"}
+        self.no_part = len(html)
+        self.failed = 0
+
+    def _next_part(self, at: int) -> int:
+        if at >= self.no_part:
+            return -1
+        m = TAG_PART.search(self.html, at)
+        if m:
+            return m.start()
+        self.no_part = at
+        return -1
+
+    def _find(self, c: str, at: int) -> int:
+        if at >= self.none[c]:
+            return -1
+        found = self.html.find(c, at)
+        if found < 0:
+            self.none[c] = at
+        return found
+
+    def _end(self, at: int) -> int:
+        """The ``>`` that ends a tag whose name ends at ``at``, or -1; ``at`` never falls."""
+        if self.part < at:
+            self.part = self._next_part(at)
+            if self.part < 0:
+                self.part = len(self.html)
+        part, passed = self.part, []
+        while 0 <= part < len(self.html) and part not in self.dead:
+            if self.html[part] == ">":
+                return part
+            passed.append(part)
+            closed = self._find(self.html[part], part + 1)
+            part = self._next_part(closed + 1) if closed >= 0 else -1
+        self.dead.update(passed)
+        return -1
+
+    def find(self, at: int) -> tuple[int, int, str, str, str, str] | None:
+        """(start, end, slash before, name, attributes, slash behind) of the next tag; comments and the like have no name."""
+        html = self.html
+        while True:
+            start = self._find("<", at)
+            if start < 0:
+                return None
+            if html.startswith("!--", start + 1):
+                end = html.find("-->", start + 4)
+                return start, len(html) if end < 0 else end + 3, "", "", "", ""
+            if html[start + 1 : start + 2] in ("!", "?"):
+                end = html.find(">", start + 2)
+                return start, len(html) if end < 0 else end + 1, "", "", "", ""
+            # a name in which another one begins ends where that one does
+            m = NAME.match(html, start + 1) if start >= self.failed else None
+            end = self._end(m.end()) if m else -1
+            if m and end < 0:
+                self.failed = m.end()
+            if m and end >= 0:
+                behind = "/" if end > m.end() and html[end - 1] == "/" else ""
+                return start, end + 1, m[1], m[2].lower(), html[m.end() : end - len(behind)], behind
+            at = start + 1
+
+
 def page_blocks(html: str | None) -> list[tuple[int, str]]:
     """The page's blocks in order, each with its kind: FURNITURE_TEXT, OPEN_TEXT or ARTICLE_TEXT.
 
     A header is furniture outside articles; in one it usually holds the heading and stays. White space in a block,
     character references decoded, becomes one space. Elements left open end where their holder ends; a tag that the page
     breaks off in is no text.
+
+    Time is linear in the page: open elements are found by name, not by going through all of them. An element that ends out
+    of turn leaves a nameless entry, of its holder's kind, until those above it end.
     """
     html = html or ""
     out: list[tuple[int, str]] = []
     piece: list[str] = []
     stack: list[tuple[str, int]] = []
+    placed: dict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
     kind = OPEN_TEXT
 
     def flush() -> None:
@@ -95,56 +174,71 @@ def page_blocks(html: str | None) -> list[tuple[int, str]]:
         if text:
             out.append((kind, text))
 
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            gone, _ = stack.pop()
+            if gone:
+                placed[gone].pop()
+                if gone in BLOCK:
+                    blocks.pop()
+
     def close(depth: int) -> None:
         nonlocal kind
         flush()
-        del stack[depth:]
+        cut(depth)
         kind = stack[-1][1] if stack else OPEN_TEXT
 
-    at = 0
+    tags, at = Tags(html), 0
     while True:
-        m = TAG.search(html, at)
-        piece.append(html[at : m.start()] if m else BROKEN.sub("", html[at:]))
-        if not m:
+        tag = tags.find(at)
+        if tag is None:
+            broken = OPENS.search(html, max(at, html.rfind(">", at) + 1))
+            piece.append(html[at : broken.start()] if broken else html[at:])
             break
-        at = m.end()
-        name = (m[3] or "").lower()
+        start, end, closing, name, attributes, ended_itself = tag
+        piece.append(html[at:start])
+        at = end
         if not name:
             continue
         if name == "br":
             piece.append(" ")
-        elif m[2]:
+        elif closing:
             if name in BLOCK:
                 flush()
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
+            if placed[name]:
+                depth = placed[name][-1]
                 if name in BLOCK or stack[depth][1] != (stack[depth - 1][1] if depth else OPEN_TEXT):
                     close(depth)
                 else:
-                    del stack[depth]
+                    placed[name].pop()
+                    stack[depth] = ("", stack[depth][1])
+                    while stack and not stack[-1][0]:
+                        stack.pop()
         else:
             if name in BLOCK:
                 flush()
-                ended, holders = ENDS.get(name, ({"p"}, BLOCK - {"p"}))
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ended:
-                        close(k)
-                        break
-                    if stack[k][0] in holders:
-                        break
-            if name in VOID or m[5]:
+                if name in ENDS:
+                    ended, holders = (max((placed[n][-1] for n in names if placed[n]), default=-1) for names in ENDS[name])
+                    if ended > holders:
+                        close(ended)
+                elif blocks and stack[blocks[-1]][0] == "p":
+                    close(blocks[-1])
+            if name in VOID or ended_itself:
                 continue
-            if kind == FURNITURE_TEXT or _is_furniture(name, m[4]) or name == "header" and kind != ARTICLE_TEXT:
+            if kind == FURNITURE_TEXT or _is_furniture(name, attributes) or name == "header" and kind != ARTICLE_TEXT:
                 inside = FURNITURE_TEXT
             else:
                 inside = ARTICLE_TEXT if name in ("article", "main") else kind
             if inside != kind:
                 flush()
+            placed[name].append(len(stack))
+            if name in BLOCK:
+                blocks.append(len(stack))
             stack.append((name, inside))
             kind = inside
             if name in RAW:
-                end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                ending = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+                at = ending.end() if ending else len(html)
                 piece.clear()
                 close(len(stack) - 1)
     flush()
