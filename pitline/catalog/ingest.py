@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from pitline import standins
+from pitline.catalog.ctes import with_ctes
 from pitline.catalog.registry import query, rounded
 from pitline.functions.nullsafe import growth, safe_divide
 from pitline.operators.prices import one_row_per_day
-from pitline.session import read_table
-from pitline.sources import exchange
+from pitline.session import read_table, shared_folder
+from pitline.sources import exchange, history
 
 
 @query(
@@ -141,3 +145,21 @@ def safe_ratios(spark, d):
         F.expr("sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0.0D END) AS a"), F.expr("sum(CASE WHEN l_linenumber = 2 THEN l_quantity ELSE 0.0D END) AS b"),
     )
     return rounded(sums.select("l_suppkey", "day", safe_divide(F.col("t"), F.col("a")).alias("ratio"), growth(F.col("q"), F.col("b")).alias("change")))
+
+
+@query(
+    "resumed_day_sink",
+    with_ctes("SELECT CAST(date_trunc('month', date) AS DATE) AS date, COUNT(*) AS rows, ROUND(SUM(close), 6) + 0.0 AS close FROM px GROUP BY 1", "px"),
+)
+def resumed_day_sink(spark, d):
+    """All prices, filed under the first of their month, written in two runs with a lost one in between, and read back by the
+    commit records."""
+    path = f"{shared_folder(spark)}/days-{uuid.uuid4().hex}"
+    prices = standins.prices(spark, d).withColumn("date", F.trunc("date", "month"))
+    month = F.month("date")
+    history.append_new_days(prices.where(month <= 6), path)
+    torn = prices.where((month == 7) & (F.col("symbol") < "S5"))
+    torn.repartition("date").write.partitionBy("date").mode("append").parquet(path)
+    history.append_new_days(prices, path)
+    found = history.read_committed(spark, path).groupBy("date").agg(F.count(F.lit(1)).alias("rows"), F.sum("close").alias("close"))
+    return rounded(found, 6)

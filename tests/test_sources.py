@@ -36,12 +36,33 @@ def test_daily_file(spark, tmp_path):
     assert [(r.symbol, r.date, r.close) for r in rows] == [("A", dt.date(2024, 1, 2), 1.5)]
 
 
-def test_append_skips_present_days(spark, tmp_path):
+def _days(spark, *days, close=None):
+    rows = [("A", dt.date(2024, 1, d), float(d if close is None else close)) for d in days]
+    return spark.createDataFrame(rows, "symbol string, date date, close double")
+
+
+def test_append_skips_committed_days(spark, tmp_path):
+    path = str(tmp_path / "prices")
+    history.append_new_days(_days(spark), path)
+    assert history.committed_days(spark, path).count() == 0
+    history.append_new_days(_days(spark, 1, 2), path)
+    history.append_new_days(_days(spark, 2, 3, close=9), path)
+    history.append_new_days(_days(spark, 1, 2), path)
+    assert sorted(r.close for r in history.read_committed(spark, path).collect()) == [1.0, 2.0, 9.0]
+    assert sorted((r.date.day, r.rows) for r in history.committed_days(spark, path).collect()) == [(1, 1), (2, 1), (3, 1)]
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_a_lost_write_is_replaced_and_not_read(spark, tmp_path):
     path = str(tmp_path / "prices")
-    rows = lambda *days: spark.createDataFrame([("A", dt.date(2024, 1, d), float(d)) for d in days], "symbol string, date date, close double")
-    history.append_new_days(rows(1, 2), path)
-    history.append_new_days(rows(2, 3), path)
-    assert sorted(r.close for r in spark.read.parquet(path).collect()) == [1.0, 2.0, 3.0]
+    history.append_new_days(_days(spark, 1), path)
+    # a run that died after half of the 2nd, and after the 3rd but before its record
+    _days(spark, 2, 3, close=7).write.partitionBy("date").mode("append").parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert [r.close for r in history.read_committed(spark, path).collect()] == [1.0]
+    history.append_new_days(_days(spark, 1, 2, 2), path)
+    assert sorted(r.close for r in history.read_committed(spark, path).collect()) == [1.0, 2.0, 2.0]
+    assert {(r.date.day, r.rows) for r in history.committed_days(spark, path).collect()} == {(1, 1), (2, 2)}
 
 
 def test_fundamentals_from_file_names(spark, tmp_path):
