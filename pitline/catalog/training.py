@@ -204,20 +204,57 @@ def leakage_row_checks(spark, d):
     return firewall.row_checks(split_model(spark, d))
 
 
+def _firewall_sql(source: str, names: dict[str, list[str]]) -> str:
+    """A row per check: names, each row check in each split, and keys."""
+    said = "CASE WHEN v = 0 THEN 'OK' ELSE v || ' violations' END AS details"
+    named = " UNION ALL ".join(f"SELECT '{n}' AS \"check\", {'false' if bad else 'true'} AS passed, '{', '.join(bad) or 'OK'}' AS details" for n, bad in names.items())
+    rows = " UNION ALL ".join(f"SELECT '{n} (' || split || ')' AS \"check\", COUNT(*) FILTER (WHERE {e}) AS v FROM {source} GROUP BY split" for n, e in _ROW_SQL.items())
+    keys = f"""SELECT 'disjoint event keys' AS "check", COUNT(*) FILTER (WHERE s > 1) AS v FROM (SELECT COUNT(DISTINCT split) AS s FROM {source} GROUP BY event_key)
+ UNION ALL SELECT 'no duplicate event keys', COUNT(*) - COUNT(DISTINCT event_key) FROM {source}
+ UNION ALL SELECT 'chronological order', CASE WHEN MAX(period_ended) FILTER (WHERE split = 'train') < MIN(period_ended) FILTER (WHERE split = 'val') THEN 0 ELSE 1 END
+   + CASE WHEN MAX(period_ended) FILTER (WHERE split = 'val') < MIN(period_ended) FILTER (WHERE split = 'test') THEN 0 ELSE 1 END FROM {source}"""
+    return f'{named} UNION ALL SELECT "check", v = 0, {said} FROM ({rows} UNION ALL {keys})'
+
+
+_ROW_SQL = {
+    "cutoff before reaction": "feature_cutoff_date >= reaction_start_date",
+    "cutoff not after announcement": "feature_cutoff_date > result_announcement_datetime",
+    "reaction not before announcement": "reaction_start_date < CAST(result_announcement_datetime AS DATE)",
+    "prior count plausible": "prior_earnings_count < 0 OR prior_earnings_count > 100",
+    "fundamentals available at cutoff": "fundamental_estimated_available_date > feature_cutoff_date",
+    "fundamentals from earlier period": "fundamental_period_end_date >= period_ended",
+}
+_NAME_CHECKS = ("no target leakage", "no post-event columns", "no future-looking names")
+
+
+@query("leakage_firewall", with_ctes(_firewall_sql("mls", dict.fromkeys(_NAME_CHECKS, [])), "mls"))
+def leakage_firewall(spark, d):
+    df = split_model(spark, d)
+    return firewall.run_firewall(df, [c for c in classify_columns(df.columns)["features"] if c != "split"], strict=False)
+
+
+_SPOILED = {
+    "event_key": "CASE WHEN prior_earnings_count IN (4, 40) THEN symbol ELSE event_key END",
+    "feature_cutoff_date": "CASE WHEN prior_earnings_count % 7 = 3 THEN reaction_start_date ELSE feature_cutoff_date END",
+    "fundamental_period_end_date": "CASE WHEN prior_earnings_count % 13 = 2 THEN period_ended ELSE fundamental_period_end_date END",
+    "prior_earnings_count": "CASE WHEN prior_earnings_count % 11 = 5 THEN -1 ELSE prior_earnings_count END",
+    "split": "CASE WHEN prior_earnings_count = 1 THEN 'test' ELSE split END",
+}
+define("spoiled", f"SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in _SPOILED.items())}) FROM mls", ("mls",))
+
+
 @query(
-    "leakage_firewall",
+    "leakage_firewall_spoiled",
     with_ctes(
-        """
-SELECT COUNT(*) AS checks, COUNT(*) AS passed FROM (
-  SELECT 1 FROM range(3) UNION ALL SELECT 1 FROM (SELECT DISTINCT split FROM mls), range(6) UNION ALL SELECT 1 FROM range(3))""",
-        "mls",
+        _firewall_sql("spoiled", {"no target leakage": ["return_1d_after", "symbol"], "no post-event columns": ["return_1d_after"], "no future-looking names": ["forward_5d"]}),
+        "spoiled",
     ),
 )
-def leakage_firewall(spark, d):
+def leakage_firewall_spoiled(spark, d):
+    """The same on rows with planted violations and with features that aren't: every check but those of unspoiled dates fails."""
     df = split_model(spark, d)
-    features = [c for c in classify_columns(df.columns)["features"] if c != "split"]
-    result = firewall.run_firewall(df, features, strict=False)
-    return result.agg(F.count(F.lit(1)).alias("checks"), F.count_if("passed").alias("passed"))
+    wrong = df.selectExpr(*[f"{_SPOILED[c]} AS {c}" if c in _SPOILED else c for c in df.columns])
+    return firewall.run_firewall(wrong, ["return_5d", "return_1d_after", "symbol", "forward_5d"], strict=False)
 
 
 def _digits(c: str) -> int:

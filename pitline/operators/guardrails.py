@@ -18,6 +18,10 @@ class GuardrailViolation(Exception):
     """Predictions are degenerate or no better than a baseline."""
 
 
+#: Classes that labels and predictions may have; their counts are gathered on the driver.
+MAX_CLASSES = 100
+
+
 def class_counts(df: DataFrame, truth: str = "y_true", pred: str = "y_pred") -> DataFrame:
     """(y_true, y_pred, n): the confusion counts every class metric is computed from."""
     return df.groupBy(F.col(truth).alias("y_true"), F.col(pred).alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
@@ -25,8 +29,10 @@ def class_counts(df: DataFrame, truth: str = "y_true", pred: str = "y_pred") ->
 
 def check_classes(df: DataFrame, valid: Sequence[str] | None = None, min_classes: int = 2) -> dict[str, int]:
     """Raise on empty, NULL, too uniform or invalid predictions; otherwise the predicted counts per class."""
-    # one row per pair of classes
-    rows = class_counts(df).collect()
+    # one row per pair of classes; labels that are free text are refused before they reach the driver
+    rows = class_counts(df).limit(MAX_CLASSES**2 + 1).collect()
+    if len(rows) > MAX_CLASSES**2:
+        raise GuardrailViolation(f"more than {MAX_CLASSES} classes among labels and predictions")
     if not rows:
         raise GuardrailViolation("empty predictions")
     missing = sum(r["n"] for r in rows if r["y_pred"] is None)

@@ -399,3 +399,11 @@ def test_exact_ks_tail_up_to_twelve_by_counting_paths(spark):
     sizes = spark.createDataFrame([(0.2, 300, 300), (0.5, 0, 4), (0.3, 10, 10)], "d double, n int, m int")
     far, none, near = [r.p for r in sizes.withColumn("p", F.expr(ks_p_value("d", "n", "m"))).collect()]
     assert none is None and far == pytest.approx(1.19e-5, rel=0.05) and near == pytest.approx(tail(10, 10, 30))
+
+
+def test_free_text_predictions_are_refused(spark):
+    df = spark.range(200).selectExpr("'a' AS y_true", "concat('b', id) AS y_pred")
+    assert gr.check_classes(df.limit(20).selectExpr("'a' AS y_true", "CASE WHEN y_pred < 'b2' THEN 'a' ELSE 'c' END AS y_pred"), ["a", "c"]).keys() == {"a", "c"}
+    many = spark.range(11_000).selectExpr("concat('a', id) AS y_true", "concat('b', id) AS y_pred")
+    with pytest.raises(gr.GuardrailViolation, match="more than 100 classes"):
+        gr.check_classes(many)
