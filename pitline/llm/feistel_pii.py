@@ -7,6 +7,7 @@ equal pseudonyms in all documents, however they are punctuated, without any tabl
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -26,6 +27,9 @@ KINDS = ("card", "phone", "email", "ip", "date", "iban", "ssn")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 DAYS = (LAST_DAY - FIRST_DAY).days + 1
 
+#: Characters of an e-mail address's local part that are permuted together; more than the 64 of a deliverable one.
+PIECE = 256
+
 LATIN = "".join(map(chr, [*range(0xE0, 0xF7), *range(0xF8, 0xFF)]))
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", LATIN)
 
@@ -109,8 +113,13 @@ def phone(text: str, key: bytes, back: bool) -> str | None:
 
 
 def email(text: str, key: bytes, back: bool) -> str | None:
-    """The part before the @; letters and digits stay letters and digits, and upper case stays where it was."""
+    """The part before the @; letters and digits stay letters and digits, and upper case stays where it was. A part of over
+    ``PIECE`` characters is permuted piece by piece, which keeps the numbers small."""
     local, _, host = text.rpartition("@")
+    return "".join(_mixed(local[k : k + PIECE], key, back) for k in range(0, len(local), PIECE)) + "@" + host
+
+
+def _mixed(local: str, key: bytes, back: bool) -> str:
     value, domain, places = 0, 1, []
     for at, c in enumerate(local):
         for alphabet in ALPHABETS:
@@ -122,7 +131,7 @@ def email(text: str, key: bytes, back: bool) -> str | None:
     for at, alphabet in reversed(places):
         value, d = divmod(value, len(alphabet))
         out[at] = alphabet[d].upper() if local[at].isupper() else alphabet[d]
-    return "".join(out) + "@" + host
+    return "".join(out)
 
 
 def ip(text: str, key: bytes, back: bool) -> str | None:
@@ -178,6 +187,14 @@ def ssn(text: str, key: bytes, back: bool) -> str | None:
     return f"{place + 1 + (place >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22,
+    "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VG": 24, "XK": 20,
+}
 PSEUDONYMS: dict[str, Callable[[str, bytes, bool], str | None]] = {"card": card, "phone": phone, "email": email, "ip": ip, "date": date, "iban": iban, "ssn": ssn}
 
 #: Alternatives in order of preference at the same place.
@@ -186,11 +203,15 @@ NUMBERS = re.compile(
     r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"
     r"|(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9]))"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9]))"
-    r"|(?P<phone>(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,5})){2,6}|(?:1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![0-9]))"
+    r"|(?P<phone>(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,5})){2,6}|(?:1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}"
+    r"|(?:1 )?\([0-9]{3}\) ?[0-9]{3} [0-9]{4}|(?<![0-9] )(?:1 )?[0-9]{3} [0-9]{3} [0-9]{4}(?! [0-9])|[2-9][0-9]{9}(?![A-Za-z]))(?![0-9]))"
     r"|(?P<card>(?<![0-9])(?:[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}(?P<wide>[ -])[0-9]{6}(?P=wide)[0-9]{5}|[0-9]{13,19})(?![0-9]))"
 )
 DIGITS = re.compile(r"[0-9][0-9 .()/+-]*")
-LOCAL = re.compile(r"[\w.%+'-]+\Z")
+NOT_LOCAL = re.compile(r"[^\w.%+'-]")
+DATE_BEHIND = re.compile(r"(?<= )(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])")
+#: What makes ten digits without separators a telephone number.
+PHONE_WORD = re.compile(r"\b(?:tel|telephone|phone|mobile|cell|call|fax|ph|text|sms|whatsapp)(?: (?:no|number|us|me|at|on|is))*[.:# ]{0,3}\Z", re.I)
 HOST = re.compile(r"[\w-]+(?:\.[\w-]+)+")
 #: Characters before and after a run of digits that can belong to the value.
 BEFORE, AFTER = 6, 40
@@ -208,27 +229,69 @@ def _windows(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _local_start(text: str, low: int, at: int) -> int:
+    """Where the local part that ends at ``at`` begins; stretches between two @ are looked at a fixed number of times."""
+    width = 64
+    while True:
+        a = max(low, at - width)
+        ends = [m.end() for m in NOT_LOCAL.finditer(text, a, at)]
+        if ends or a == low:
+            return ends[-1] if ends else a
+        width *= 4
+
+
+def _ends(kind: str, text: str, start: int, end: int) -> Iterator[int]:
+    """Ends to try for a match, best first. What follows a number can look like more of it: an IBAN ends at its country's
+    length, a telephone number before a date, and either at an earlier separator if it isn't valid as a whole."""
+    if kind == "iban":
+        place, left = start, IBAN_LENGTHS.get(text[start : start + 2], 0)
+        while left and place < end:
+            left -= text[place] != " "
+            place += 1
+        if not left and start < place < end and text[place] == " ":
+            yield place
+    if kind == "phone" and text[start] in "+(" and (m := DATE_BEHIND.search(text, start, min(len(text), end + AFTER))) and m.start() < end:
+        yield m.start() - 1
+    yield end
+    if kind == "iban" or kind == "phone" and text[start] == "+":
+        for at in range(end - 1, start, -1):
+            if text[at] in " .-" and text[at - 1] not in " .-":
+                yield at
+
+
+def _value(kind: str, text: str, start: int, end: int, key: bytes, back: bool) -> tuple[int, str] | None:
+    """End and pseudonym of the value that begins at ``start``, if one does."""
+    if kind == "phone" and text[start:end].isdigit() and not PHONE_WORD.search(text[max(0, start - 32) : start]):
+        return None
+    for at in _ends(kind, text, start, end):
+        new = PSEUDONYMS[kind](text[start:at], key, back)
+        if new is not None:
+            return at, new
+    return None
+
+
 def found_values(text: str, key: bytes = KEY, back: bool = False) -> list[tuple[int, int, str, str]]:
     """``start, end, kind, pseudonym`` of the valid values, in order and not overlapping."""
     values = []
-    at = text.find("@")
+    low, at = 0, text.find("@")
     while at >= 0:
-        left, right = LOCAL.search(text, max(0, at - 256), at), HOST.match(text, at + 1)
-        if left and right:
-            values.append((left.start(), right.end(), "email", email(text[left.start() : right.end()], key, back)))
-        at = text.find("@", at + 1)
-    mails = list(values)
+        left, right = _local_start(text, low, at), HOST.match(text, at + 1)
+        if left < at and right:
+            values.append((left, right.end(), "email", email(text[left : right.end()], key, back)))
+        low, at = at + 1, text.find("@", at + 1)
+    mails, mail_ends = list(values), [e for _, e, _, _ in values]
     for a, b in _windows(text):
         at = a
         while m := NUMBERS.search(text, at, b):
             kind = m.lastgroup if m.lastgroup in PSEUDONYMS else "card"
-            new = PSEUDONYMS[kind](m[0], key, back)
-            if new is None:
+            found = _value(kind, text, m.start(), m.end(), key, back)
+            if found is None:
                 at = m.start() + 1
             else:
-                at = m.end()
-                if not any(s < m.end() and m.start() < e for s, e, _, _ in mails):
-                    values.append((m.start(), m.end(), kind, new))
+                at, new = found
+                k = bisect.bisect_left(mail_ends, m.start() + 1)
+                if k == len(mails) or mails[k][0] >= at:
+                    values.append((m.start(), at, kind, new))
     return sorted(values)
 
 
@@ -256,7 +319,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     Valid are payment card numbers (13 to 19 digits, Luhn), North American and international telephone numbers, e-mail
     addresses, IPv4 addresses, calendar dates of 1900 to 2099, IBANs (mod 97) and US social security numbers. Whatever
-    isn't valid stays. Values keep length, punctuation and validity. Where two kinds overlap, an e-mail address wins, then
+    isn't valid stays; ten bare digits are a telephone number only behind a word that says so. Values keep length, punctuation and validity. Where two kinds overlap, an e-mail address wins, then
     the first in the order of NUMBERS. A value of a tiny domain can stay the same, with chance 1 in the domain's size.
     A null text stays null with zero counts; every row gives a row, repeated ones too; an empty table gives none. Other
     columns are not looked at. One pass over the rows without a shuffle; no values are gathered anywhere.

@@ -126,6 +126,32 @@ def test_bpe_matches_library_and_round_trips(spark):
     assert wb.unpack(wb.pack(numbers)).tolist() == numbers.tolist() and wb.unpack_words(wb.pack_words([b"", b"a", b"\xff" * 9])) == [b"", b"a", b"\xff" * 9]
 
 
+def test_feistel_finds_where_values_end():
+    def kinds(text):
+        new, found = fp.pseudonymised(text)
+        assert fp.pseudonymised(new, back=True) == (text, found), text
+        return new, dict(found)
+
+    for text, kept, found in [
+        ("pay BE68 5390 0754 7034 AND go", " AND go", {"iban": 1}),
+        ("+44 20 7946 0958 2021-05-03", "", {"phone": 1, "date": 1}),
+        ("+49 30 1234567 2021-05-03.", ".", {"phone": 1, "date": 1}),
+        ("ring 415 555 2671 now", " now", {"phone": 1}),
+        ("(415) 555 2671!", "!", {"phone": 1}),
+        ("phone: 4155552671", "", {"phone": 1}),
+        ("x" * 70 + "y" * 700 + "@a.org", "@a.org", {"email": 1}),
+    ]:
+        new, kind = kinds(text)
+        assert kind == found and new.endswith(kept) and len(new) == len(text), text
+    long = kinds("x" * 300 + "@a.org")[0]
+    assert "xxxx" not in long and fp.pseudonymised("4155552671 " + "4" * 9) == ("4155552671 " + "4" * 9, Counter())
+    assert fp.pseudonymised("call 4155552671")[0][5:] == fp.only_digits(fp.pseudonymised("415-555-2671")[0])
+    clean = "rows 12 415 555 2671 33, order 4155552671, AB12 CDEF"
+    assert fp.pseudonymised(clean) == (clean, Counter())
+    for text in ("a@" * 100_000, "+44" * 100_000, "a" * 1_000_000 + " b", "1 " * 200_000):
+        fp.pseudonymised(text)
+
+
 def test_feistel_is_a_bijection_and_links_values(spark):
     for n in (1, 2, 10, 97, 1000):
         assert sorted(fp.permute(i, n, "t") for i in range(n)) == list(range(n))
