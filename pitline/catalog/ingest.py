@@ -13,6 +13,7 @@ from pitline.functions.nullsafe import growth, safe_divide
 from pitline.operators.prices import one_row_per_day
 from pitline.session import read_table, shared_folder
 from pitline.sources import exchange, history
+from pitline.sources.announcements import read_announcements
 
 
 @query(
@@ -163,3 +164,28 @@ def resumed_day_sink(spark, d):
     history.append_new_days(prices, path)
     found = history.read_committed(spark, path).groupBy("date").agg(F.count(F.lit(1)).alias("rows"), F.sum("close").alias("close"))
     return rounded(found, 6)
+
+
+@query(
+    "announcement_files",
+    """
+WITH o AS (SELECT *, year(o_orderdate) * 12 + month(o_orderdate) AS ym FROM orders)
+SELECT 'S/' || ym AS symbol, o_orderpriority || CASE WHEN o_orderkey % 4 = 0 THEN chr(10) || 'a "second", line' ELSE '' END AS "desc", 'no ' || o_orderkey AS "attchmntText",
+  CASE WHEN ym % 3 > 0 THEN o_orderstatus END AS "attchmntFile", CASE WHEN ym % 3 = 2 THEN CAST(o_custkey AS VARCHAR) END AS seq_id,
+  CASE WHEN ym % 3 = 0 THEN CAST(o_totalprice > 100000 AS VARCHAR) END AS "hasXbrl", date_trunc('day', o_orderdate) + INTERVAL 9 HOUR AS announcement_datetime FROM o""",
+)
+def announcement_files(spark, d):
+    """Files written with three headers that differ in names, order and blanks, one file a symbol, and read back by their own."""
+    folder = f"{shared_folder(spark)}/announcements-{uuid.uuid4().hex}"
+    month = "year(o_orderdate) * 12 + month(o_orderdate)"
+    rows = read_table(spark, d, "orders").selectExpr(
+        f"({month}) % 3 AS layout", f"concat('S/', {month}) AS symbol", "concat('no ', o_orderkey) AS attchmntText", "o_orderstatus AS attchmntFile",
+        "concat(o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN '\\na \"second\", line' ELSE '' END) AS desc", "cast(o_custkey AS string) AS seq_id",
+        "cast(o_totalprice > 100000 AS string) AS hasXbrl", "date_format(o_orderdate, 'dd-MMM-yyyy 09:00:00') AS an_dt",
+    )
+    layouts = {0: ["desc", "attchmntText", "an_dt", "hasXbrl"], 1: ["an_dt", " attchmntFile", "attchmntText ", " desc "], 2: ["seq_id", "attchmntFile", "desc", "an_dt", "attchmntText"]}
+    for layout, header in layouts.items():
+        own = rows.where(F.col("layout") == layout).select("symbol", *[F.col(c.strip()).alias(c) for c in header])
+        own.repartition("symbol").write.partitionBy("symbol").options(header=True, escape='"').csv(f"{folder}/{layout}")
+    found = read_announcements(spark, folder, columns=())
+    return found.select("symbol", "desc", "attchmntText", "attchmntFile", "seq_id", "hasXbrl", "announcement_datetime")

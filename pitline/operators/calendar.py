@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitline.functions.dates import minute_of_day
+from pitline.session import stage
 
 MAX_DAYS = 200_000  # more than 500 years of days
 MARKET_OPEN_MINUTE = 9 * 60 + 15
@@ -25,9 +26,12 @@ def _ranked(days: DataFrame) -> DataFrame:
 
 
 def trading_calendar(prices: DataFrame, on: str = "date") -> DataFrame:
-    """Distinct trading days with their position: (date, idx), idx from 0."""
+    """Distinct trading days with their position: (date, idx), idx from 0.
+
+    Written once, a row per day: whatever looks days up reads that, and the price table is scanned for its dates one time.
+    """
     days = prices.select(F.col(on).cast("date").alias("date")).where(F.col("date").isNotNull()).distinct()
-    return _ranked(days)
+    return stage(_ranked(days).coalesce(1))
 
 
 def weekday_calendar(bounds: DataFrame, holidays: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pitline.functions.dates import clock_time, fiscal_quarter, quarter_end, whole_days
 from pitline.functions.flags import flag_string, truthy_text
-from pitline.functions.patterns import FOLLOWUP_TYPES, HUMAN_PRIMARY_TYPES, PRIMARY_TYPES
+from pitline.functions.patterns import CATEGORY_DESCRIPTIONS, FOLLOWUP_TYPES, HUMAN_PRIMARY_TYPES, PRIMARY_TYPES
 from pitline.functions.period import with_period
 from pitline.functions.text import (
     classify_documents,
@@ -187,6 +187,16 @@ def type_string(doc_types: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), "|")
 
 
+def _type_list() -> Column:
+    """'type:count|type:count', sorted by type, from the counts of :func:`roll_up`; a type it doesn't know is an error."""
+    types = sorted(CATEGORY_DESCRIPTIONS)
+    known = F.array_join(
+        F.array_compact(F.array(*[F.when(F.col(f"__{t}") > 0, F.concat(F.lit(f"{t}:"), F.col(f"__{t}").cast("string"))) for t in types])), "|"
+    )
+    counted = sum((F.col(f"__{t}") for t in types), F.lit(0))
+    return F.when(counted == F.col("document_count"), known).otherwise(F.raise_error(F.lit("a filing has an unknown document type")).cast("string"))
+
+
 def roll_up(docs: DataFrame) -> DataFrame:
     """The events table: one row per event_key with dates, counts, has_* flags, quality flags and type string.
 
@@ -218,10 +228,10 @@ def roll_up(docs: DataFrame) -> DataFrame:
         F.count_if(early & primary).alias("primary_suspicious_dates"),
         F.count_if(early & human).alias("human_primary_suspicious_dates"),
         (F.count(F.lit(1)) - F.count_distinct(F.coalesce("filing_url", F.lit("\u0000")))).alias("dup_urls"),
+        *[F.count_if(kind == t).alias(f"__{t}") for t in CATEGORY_DESCRIPTIONS],
     )
-    joined = grouped.join(document_type_counts(docs), "event_key", "left")
     result = F.col("result_announcement_datetime")
-    joined = joined.withColumn("days_from_period_end", F.datediff(result.cast("date"), F.col("period_ended")))
+    joined = grouped.withColumn("days_from_period_end", F.datediff(result.cast("date"), F.col("period_ended")))
     return joined.select(
         "event_key",
         *attributes,
@@ -246,7 +256,7 @@ def roll_up(docs: DataFrame) -> DataFrame:
         "canonical_primary_count",
         "all_primary_first_datetime",
         event_quality_flags().alias("quality_flag"),
-        type_string(F.col("doc_types")).alias("document_types"),
+        _type_list().alias("document_types"),
     )
 
 

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pitline.operators.fundamentals import available_columns, standardize_columns
 from pitline.plans.roles import classify_columns, columns_in_groups, feature_group
 from pitline.sources import exchange, history, sinks
@@ -28,6 +30,23 @@ def test_first_line_is_the_header_whatever_it_says(spark, tmp_path):
     assert sorted((r.orgid, r["odd, name"], r.seq_id) for r in rows if r.symbol == "BBB") == [("desc an_dt", "y", "8"), ("description of results", "x", "7")]
 
 
+def test_records_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "A+B.csv").write_text('\ufeffdesc, an_dt ,desc,,odd\n"two\nlines, ""quoted""",01-Feb-2024 14:09:11,second,x,7\nshort\n')
+    (tmp_path / "symbol=C%2FD").mkdir()
+    (tmp_path / "symbol=C%2FD" / "part-0.csv").write_text("attchmntFile,desc\nc.pdf,c\n")
+    rows = {(r.symbol, r.desc): r for r in read_announcements(spark, str(tmp_path), columns=["odd"]).collect()}
+    assert set(rows) == {("A+B", 'two\nlines, "quoted"'), ("A+B", "short"), ("C/D", "c")}
+    full, short, other = rows["A+B", 'two\nlines, "quoted"'], rows["A+B", "short"], rows["C/D", "c"]
+    assert full.announcement_datetime == dt.datetime(2024, 2, 1, 14, 9, 11) and full.odd == "7" and full.attchmntFile is None
+    assert short.an_dt is None and short.odd is None and other.attchmntFile == "c.pdf" and other.odd is None
+    (tmp_path / "WIDE.csv").write_text("desc\n" + ",".join("abcdef") + "\n")
+    with pytest.raises(Exception, match="more than 5 cells"):
+        read_announcements(spark, str(tmp_path), columns=[], width=5).collect()
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no column names"):
+        read_announcements(spark, str(tmp_path / "none"))
+
+
 def test_daily_file(spark, tmp_path):
     head = "TradDt,Sgmt,FinInstrmTp,TckrSymb,ISIN,SctySrs,OpnPric,HghPric,LwPric,ClsPric,PrvsClsgPric,TtlTradgVol,TtlTrfVal"
     body = ["2024-01-02,CM,STK,A,I1,EQ,1,2,1,1.5,1,100,150", "2024-01-02,CM,STK,B,I2,BE,1,2,1,1.5,1,100,150", "bad,CM,STK,C,I3,EQ,1,2,1,1.5,1,x,150"]
