@@ -252,6 +252,21 @@ def label_consistency(spark, d):
     return audits.label_consistency(model(spark, d))
 
 
+_AT_3 = _EXP.replace("0.02", "0.03")
+
+
+@query(
+    "inconsistent_labels",
+    with_ctes(
+        f"SELECT event_key, reaction_class AS actual_class, {_AT_3} AS expected_class, ROUND(abnormal_return_3d, 10) + 0.0 AS abnormal_return_3d FROM ml WHERE NOT COALESCE(reaction_class = {_AT_3}, false)",
+        "ml",
+    ),
+)
+def inconsistent_labels(spark, d):
+    """Labels made with a threshold of 2 % held against one of 3 %."""
+    return rounded(audits.inconsistent_labels(model(spark, d), 0.03))
+
+
 @query("impossible_returns", with_ctes("SELECT feature AS target, COUNT(*) FILTER (WHERE value <= -1) AS impossible_low, COUNT(*) FILTER (WHERE value > 10) AS impossible_high FROM lt GROUP BY 1", "lt"))
 def impossible_returns(spark, d):
     return audits.impossible_returns(model(spark, d), LABEL_COLUMNS)
@@ -276,6 +291,49 @@ def announcement_audit(spark, d):
     return ev.groupBy(kind, clock_session(F.col("result_announcement_datetime")).alias("clock_session")).agg(F.count(F.lit(1)).alias("events"))
 
 
+_CLOCK = "CASE WHEN hour(t) * 60 + minute(t) < 555 THEN 'pre_market' WHEN hour(t) * 60 + minute(t) > 930 THEN 'post_market' ELSE 'during_market' END"
+
+
+@query(
+    "announcement_listing",
+    with_ctes(
+        f"""
+, a AS (SELECT event_key, {_DAYS} AS d, result_announcement_datetime AS t, CAST(feature_cutoff_date AS TIMESTAMP) AS cut, announcement_session_type AS s FROM ml),
+i AS (
+  SELECT 'event_classification' AS audit_item, CASE WHEN d IS NULL OR d > 90 THEN 'UNCERTAIN' WHEN d < -30 THEN 'BOARD_EVENT' WHEN d < 0 THEN 'PRE_ANNOUNCEMENT' ELSE 'ACTUAL_RESULT' END AS kind, event_key FROM a
+  UNION ALL SELECT 'timing_violation', 'cutoff_after_announcement', event_key FROM a WHERE cut > t
+  UNION ALL SELECT 'timing_violation', 'midnight', event_key FROM a WHERE hour(t) = 0 AND minute(t) = 0
+  UNION ALL SELECT 'session_inconsistency', s || ' for ' || {_CLOCK}, event_key FROM a WHERE s NOT IN ('unknown', 'non_trading_day') AND s <> {_CLOCK})
+SELECT audit_item, kind, event_key, 1::BIGINT AS events, NULL::DOUBLE AS pct FROM i
+UNION ALL SELECT audit_item, kind, NULL, COUNT(*), ROUND(100.0::DOUBLE * COUNT(*) / (SELECT COUNT(*) FROM a), 2) FROM i GROUP BY 1, 2""",
+        "ml",
+    ).replace("\n,", ",", 1),
+)
+def announcement_listing(spark, d):
+    return audits.announcement_listing(model(spark, d))
+
+
+_FAMILIES = [(name, level, pattern) for name, (level, pattern) in audits.PRICE_FAMILIES.items()]
+
+
+@query(
+    "price_integrity",
+    with_ctes(
+        f"""
+SELECT feature, CASE {' '.join(f"WHEN regexp_matches(feature, '{p}') THEN '{n}'" for n, _, p in _FAMILIES)} END AS family,
+  CASE {' '.join(f"WHEN regexp_matches(feature, '{p}') THEN '{s}'" for _, s, p in _FAMILIES)} END AS sensitivity, ROUND(100.0::DOUBLE * (COUNT(*) - COUNT(value)) / COUNT(*), 2) AS missing_pct,
+  ROUND(AVG(value), 6) + 0.0 AS mean, ROUND(stddev_samp(value), 6) + 0.0 AS std, ROUND(MIN(value), 6) + 0.0 AS min, ROUND(MAX(value), 6) + 0.0 AS max,
+  ROUND(quantile_cont(value, 0.001), 6) + 0.0 AS low, ROUND(quantile_cont(value, 0.999), 6) + 0.0 AS high
+FROM (SELECT feature, value FROM lf UNION ALL SELECT feature, value FROM lt) WHERE {' OR '.join(f"regexp_matches(feature, '{p}')" for _, _, p in _FAMILIES)} GROUP BY 1""",
+        "lf", "lt",
+    ),
+)
+def price_integrity(spark, d):
+    """Market and valuation features, and the labels with the benchmark's returns."""
+    labels = profiles.value_profile(profiles.count_values(split_model(spark, d), LABEL_COLUMNS, digits=10))
+    return rounded(audits.price_integrity(profile(spark, d).unionByName(labels)), 6)
+
+
 @query(
     "announcement_timing",
     with_ctes(

@@ -13,8 +13,9 @@ from pitline.functions.flags import truthy_text
 from pitline.functions import text as text_fn
 from pitline.functions.period import repair_glued_words, with_period
 from pitline.operators import events as event_ops
-from pitline.session import stage
+from pitline.session import read_table, stage
 from pitline.sources.announcements import prepare_announcements
+from pitline.sources.exchange import with_company_names
 
 
 def _list(values) -> str:
@@ -428,7 +429,7 @@ def document_type_counts(spark, d):
            THEN 10000 + 10 * CAST(floor((epoch(CAST(period_ended AS TIMESTAMP)) - epoch(announcement_datetime)) / 86400) AS BIGINT) ELSE 0 END AS score
   FROM sc WHERE document_type IN ('financial_results', 'financial_result_update'))
   QUALIFY row_number() OVER (PARTITION BY event_key ORDER BY score DESC, announcement_datetime NULLS FIRST, document_id) = 1)
-SELECT s.event_key, COUNT(*) AS document_count, MIN(s.announcement_datetime) AS first_document_datetime, any_value(cn.announcement_datetime) AS result_announcement_datetime,
+SELECT s.event_key, any_value(s.symbol) AS symbol, any_value((SELECT s_name FROM supplier WHERE 'S' || s_suppkey = s.symbol)) AS company_name, COUNT(*) AS document_count, COUNT(DISTINCT s.document_type) AS document_types, MIN(s.announcement_datetime) AS first_document_datetime, any_value(cn.announcement_datetime) AS result_announcement_datetime,
   any_value({FISCAL.format(d='s.period_ended')}) AS fiscal_quarter, COUNT(*) FILTER (WHERE document_type IN {_PRIMARY}) AS primary_result_count
 FROM sc s LEFT JOIN cn USING (event_key) GROUP BY 1""",
         "deduped",
@@ -437,7 +438,8 @@ FROM sc s LEFT JOIN cn USING (event_key) GROUP BY 1""",
 def filings_to_events(spark, d):
     from pitline.plans.dataset import filings_to_documents
 
-    docs = filings_to_documents(prepare_announcements(standins.filings(spark, d)).withColumn("company_name", F.col("symbol")))
+    universe = read_table(spark, d, "supplier").selectExpr("concat('S', s_suppkey) AS symbol", "s_name AS company_name")
+    docs = filings_to_documents(with_company_names(prepare_announcements(standins.filings(spark, d)), universe))
     return event_ops.roll_up(docs).select(
-        "event_key", "document_count", "first_document_datetime", "result_announcement_datetime", "fiscal_quarter", "primary_result_count"
+        "event_key", "symbol", "company_name", F.size(F.split("document_types", r"\|")).cast("long").alias("document_types"), "document_count", "first_document_datetime", "result_announcement_datetime", "fiscal_quarter", "primary_result_count"
     )

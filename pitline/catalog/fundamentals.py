@@ -11,6 +11,7 @@ from pitline.catalog.tables import bench, build_model, calendar, events, labelle
 from pitline.operators import fundamentals as fund_ops
 from pitline.operators import history as hist_ops
 from pitline.plans.roles import feature_manifest
+from pitline.session import read_table
 
 _M = "CAST({} AS DOUBLE) / 10000.0::DOUBLE"
 _S = {
@@ -130,6 +131,22 @@ def fundamental_metrics(spark, d):
     return rounded(df.select("symbol", "period_end_date", *METRICS))
 
 
+_QUARTERLY = """
+WITH q AS (SELECT 'S' || l_suppkey AS symbol, last_day(l_shipdate) AS p, COUNT(*) % 3 > 0 AS quarterly, CAST(SUM(l_quantity) AS BIGINT)::DOUBLE AS x FROM lineitem GROUP BY 1, 2),
+r AS (SELECT symbol, p, CASE WHEN quarterly THEN x END AS revenue, lag(x, 1) OVER w AS one, lag(x, 4) OVER w AS four FROM q WINDOW w AS (PARTITION BY symbol, quarterly ORDER BY p))
+SELECT symbol, CAST(p AS DATE) AS period_end_date, revenue, ROUND((revenue - one) / NULLIF(abs(one), 0), 10) AS revenue_growth_qoq, ROUND((revenue - four) / NULLIF(abs(four), 0), 10) AS revenue_growth_yoy FROM r"""
+
+
+@query("quarterly_row_growth", _QUARTERLY)
+def quarterly_row_growth(spark, d):
+    """Growth over statements of which a third hold annual values alone."""
+    sums = read_table(spark, d, "lineitem").groupBy(F.concat(F.lit("S"), "l_suppkey").alias("symbol"), F.last_day("l_shipdate").alias("period_end_date"))
+    rows = sums.agg(F.sum(F.col("l_quantity").cast("bigint")).cast("double").alias("x"), F.count(F.lit(1)).alias("n"))
+    statements = rows.selectExpr("symbol", "period_end_date", "CASE WHEN n % 3 > 0 THEN x END AS revenue", "CASE WHEN n % 3 = 0 THEN x END AS a_revenue")
+    grown = fund_ops.with_metrics(statements, quarterly_rows=True)
+    return rounded(grown.select("symbol", "period_end_date", "revenue", "revenue_growth_qoq", "revenue_growth_yoy"))
+
+
 @query(
     "pit_fundamentals",
     with_ctes(

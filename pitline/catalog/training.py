@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pitline.catalog.ctes import define, with_ctes
 from pitline.catalog.registry import big, query, rounded
 from pitline.catalog.features import FEATURES, NUMERIC_FEATURES, TEXT_FEATURES, WHOLE_FEATURES, by_group
-from pitline.catalog.tables import model, split_model
+from pitline.catalog.tables import calendar, model, split_model
 from pitline.operators import firewall, guardrails, preprocess, splits
 from pitline.plans.loader import load_training_data, with_roles
 from pitline.plans.roles import ALL_GROUPS, STRICT_GROUPS, TARGET_COLUMNS, classify_columns, columns_in_groups, feature_group, feature_manifest
@@ -83,6 +83,29 @@ def walk_forward(spark, d):
     return folds.select("train_end", "val_start", "val_end", "train_rows", "val_rows", "train_max_cutoff", "val_min_cutoff")
 
 
+@query(
+    "walk_forward_by_period",
+    with_ctes(
+        f"""
+, {_WK},
+cand AS (SELECT CASE WHEN k <= 3 THEN last_day(CAST(DATE '1996-12-31' + to_months(CAST(3 * k AS INTEGER)) AS DATE)) ELSE CAST(DATE '1997-09-30' + to_months(CAST(3 * (k - 3) AS INTEGER)) AS DATE) END AS t FROM range(0, 14) r(k)),
+edge AS (SELECT t, LEAST(CAST(t + INTERVAL 1 MONTH + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE), DATE '{VAL_END}') AS v, (SELECT MAX(feature_cutoff_date) FROM mls WHERE period_ended <= t) AS m FROM cand WHERE t + INTERVAL 1 MONTH <= DATE '{VAL_END}'),
+st AS (SELECT *, (SELECT date FROM wk WHERE i = (SELECT MIN(i) FROM wk WHERE date > m) + 4) AS s FROM edge),
+f AS (SELECT t, s, v, m, (SELECT COUNT(*) FROM mls WHERE period_ended <= t) AS tr, (SELECT COUNT(*) FROM mls WHERE period_ended > t AND period_ended <= v AND period_ended >= s) AS vr,
+  (SELECT MIN(feature_cutoff_date) FROM mls WHERE period_ended > t AND period_ended <= v AND period_ended >= s) AS vm FROM st)
+SELECT t AS train_end, s AS val_start, v AS val_end, tr AS train_rows, vr AS val_rows, m AS train_max_cutoff, vm AS val_min_cutoff FROM f
+WHERE vr > 0 AND (SELECT COUNT(*) FROM wk WHERE date > m AND date < vm) >= 4""",
+        "mls",
+    ).replace("\n,", ",", 1),
+)
+def walk_forward_by_period(spark, d):
+    # gap of 4: the embargo starts on the fifth weekday, so four lie strictly in between
+    folds = splits.walk_forward(
+        model(spark, d), dt.date(1996, 12, 31), dt.date.fromisoformat(VAL_END), strict_gap=4, val_axis="period_ended"
+    )
+    return folds.select("train_end", "val_start", "val_end", "train_rows", "val_rows", "train_max_cutoff", "val_min_cutoff")
+
+
 @query(
     "fraction_split",
     with_ctes(
@@ -132,6 +155,23 @@ def label_contamination(spark, d):
     return splits.label_contamination(split_model(spark, d), TRAIN_END, VAL_END)
 
 
+@query(
+    "label_contamination_trading_days",
+    with_ctes(
+        f"""
+, b AS (SELECT * FROM (VALUES ('train', DATE '{TRAIN_END}'), ('val', DATE '{VAL_END}')) v(split, boundary)),
+e AS (SELECT m.split, m.result_announcement_datetime AS ts, COALESCE(c.idx, -1) AS idx FROM mls m ASOF LEFT JOIN cal c ON c.date <= CAST(m.result_announcement_datetime AS DATE)),
+k AS (SELECT b.split, b.boundary, MAX(idx) AS edge FROM b JOIN cal ON cal.date <= b.boundary GROUP BY 1, 2)
+SELECT e.split, w AS label_window, boundary, COUNT(*) FILTER (WHERE ts IS NOT NULL AND idx + days > edge) AS crossing_events,
+  ROUND(100.0::DOUBLE * COUNT(*) FILTER (WHERE ts IS NOT NULL AND idx + days > edge) / COUNT(*), 2) AS pct
+FROM e JOIN k USING (split), (VALUES ('1d_after', 1), ('3d_after', 3), ('5d_after', 5)) t(w, days) GROUP BY 1, 2, 3""",
+        "mls", "cal",
+    ).replace("\n,", ",", 1),
+)
+def label_contamination_trading_days(spark, d):
+    return splits.label_contamination(split_model(spark, d), TRAIN_END, VAL_END, calendar=calendar(spark, d))
+
+
 _FEATURES = NUMERIC_FEATURES
 
 

@@ -10,8 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pitline.functions.dates import whole_days
+from pitline.operators.calendar import clock_session
 from pitline.operators.profiles import count_values_by_slice, deviation_profile, value_profile
 from pitline.operators.quantiles import exact_quantiles, ks_p_value, long_form
 from pitline.plans.roles import feature_group
@@ -150,9 +152,19 @@ def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _expected_class(threshold: float) -> str:
+    return f"CASE WHEN abnormal_return_3d > {threshold} THEN 'POSITIVE' WHEN abnormal_return_3d < -{threshold} THEN 'NEGATIVE' WHEN abnormal_return_3d IS NOT NULL THEN 'NEUTRAL' END"
+
+
+def inconsistent_labels(df: DataFrame, threshold: float = 0.02) -> DataFrame:
+    """(event_key, actual_class, expected_class, abnormal_return_3d): the rows that ``label_consistency`` counts as inconsistent."""
+    rows = df.selectExpr("event_key", "reaction_class AS actual_class", f"{_expected_class(threshold)} AS expected_class", "abnormal_return_3d")
+    return rows.where("NOT coalesce(actual_class = expected_class, false)")
+
+
 def label_consistency(df: DataFrame, threshold: float = 0.02) -> DataFrame:
     """Reaction class against the 3-day return alone; rows labelled from the 1-day fallback are counted apart."""
-    expected = f"CASE WHEN abnormal_return_3d > {threshold} THEN 'POSITIVE' WHEN abnormal_return_3d < -{threshold} THEN 'NEGATIVE' WHEN abnormal_return_3d IS NOT NULL THEN 'NEUTRAL' END"
+    expected = _expected_class(threshold)
     return df.agg(
         F.expr("count(*) AS rows"),
         F.expr(f"count_if(reaction_class = {expected}) AS consistent"),
@@ -200,6 +212,56 @@ def announcement_timing(df: DataFrame, ts: str = "result_announcement_datetime",
     return stats.join(median, "k").drop("k")
 
 
+def announcement_listing(df: DataFrame, ts: str = "result_announcement_datetime", period: str = "period_ended") -> DataFrame:
+    """(audit_item, kind, event_key, events, pct): the announcement audit in long form.
+
+    Every event has a row with its class, and one for each thing found wrong: a cutoff after the announcement, an
+    announcement at midnight, a stored session other than the clock's (sessions that don't come from the clock, of unknown
+    times and non-trading days, are not compared). Rows without event_key sum up their item and kind; pct is of all events.
+    """
+    clock, stored = clock_session(F.col(ts)), F.col("announcement_session_type")
+    item = lambda name, kind: F.struct(F.lit(name).alias("audit_item"), kind.alias("kind"))
+    found = F.array(
+        item("event_classification", announcement_type(ts, period)),
+        F.when(F.col("feature_cutoff_date").cast("timestamp_ntz") > F.col(ts), item("timing_violation", F.lit("cutoff_after_announcement"))),
+        F.when((F.hour(ts) == 0) & (F.minute(ts) == 0), item("timing_violation", F.lit("midnight"))),
+        F.when(~stored.isin("unknown", "non_trading_day") & (stored != clock), item("session_inconsistency", F.concat_ws(" ", stored, F.lit("for"), clock))),
+    )
+    rows = df.select("event_key", F.explode(F.array_compact(found)).alias("i")).select("i.audit_item", "i.kind", "event_key")
+    # every event has exactly one class, so the classes' counts add up to all events; a handful of rows
+    sums = rows.groupBy("audit_item", "kind").agg(F.count(F.lit(1)).alias("events"))
+    total = F.sum(F.when(F.col("audit_item") == "event_classification", F.col("events"))).over(Window.partitionBy())
+    pct = F.round(F.lit(100.0) * F.col("events") / total, 2).alias("pct")
+    summed = sums.select("audit_item", "kind", F.lit(None).cast("string").alias("event_key"), "events", pct)
+    listed = rows.select("*", F.lit(1).cast("long").alias("events"), F.lit(None).cast("double").alias("pct"))
+    return listed.unionByName(summed)
+
+
+#: Families of columns that stand on prices, and how strongly a split or a bonus issue shows in them.
+PRICE_FAMILIES = {
+    "returns": ("HIGH", "^((relative|benchmark|abnormal)_)?return_"),
+    "averages_and_highs": ("HIGH", "^(distance|drawdown)_from_"),
+    "volatility": ("MEDIUM", "^volatility_"),
+    "volume": ("LOW", "^volume_"),
+    "valuation": ("HIGH", "^val_"),
+}
+
+
+def price_integrity(profile: DataFrame) -> DataFrame:
+    """(feature, family, sensitivity, missing_pct, mean, std, min, max, low, high) of the columns that stand on prices.
+
+    ``profile`` is a value profile; low and high are its 0.1 % and 99.9 % quantiles. Columns of no family are left out.
+    """
+    family, level = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, (strength, pattern) in reversed(PRICE_FAMILIES.items()):
+        hit = F.col("feature").rlike(pattern)
+        family, level = F.when(hit, name).otherwise(family), F.when(hit, strength).otherwise(level)
+    return profile.select("*", family.alias("family"), level.alias("sensitivity")).where("family IS NOT NULL").selectExpr(
+        "feature", "family", "sensitivity", "round(100.0D * (n - present) / n, 2) AS missing_pct", "mean", "sqrt(variance) AS std",
+        "min", "max", "q0_001 AS low", "q0_999 AS high",
+    )
+
+
 def symbol_lifecycle(events: DataFrame, added_after: str = "2020-01-01", quiet_days: int = 365) -> DataFrame:
     """First and last period and announcement per symbol, with POTENTIAL_INDEX_ADDITION / _DELETION concerns."""
     life = events.groupBy("symbol").agg(

@@ -104,14 +104,18 @@ def available_columns(columns: Sequence[str]) -> dict[str, str]:
     return {short: raw for raw, short in COLUMN_NAMES.items() if raw in columns}
 
 
-def with_metrics(statements: DataFrame) -> DataFrame:
+def with_metrics(statements: DataFrame, quarterly_rows: bool = False) -> DataFrame:
     """Growth, margins, leverage, returns and turnover, each only where its inputs exist as columns.
 
-    Growth looks one and four rows back within the symbol (rows, whatever their spacing). A symbol has one row per
+    Growth looks one and four rows back within the symbol (rows, whatever their spacing); with ``quarterly_rows`` it passes
+    over rows that hold annual values alone. A symbol has one row per
     reporting period, so its window is small however many raw rows fed it.
     """
     have = set(statements.columns)
     w = "PARTITION BY symbol ORDER BY period_end_date"
+    if quarterly_rows:
+        quarterly = [c for c in statements.columns if c not in ("symbol", "period_end_date") and not c.startswith("a_")]
+        w = f"PARTITION BY symbol, {' OR '.join(f'`{c}` IS NOT NULL' for c in quarterly) or 'true'} ORDER BY period_end_date"
     lags, metrics = [], {}
     for name, source in _GROWTH.items():
         if source in have:

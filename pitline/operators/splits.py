@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitline.operators.calendar import at_day, day_lookup
+
 WEEKDAYS_BETWEEN = "size(filter(sequence({a}, {b}, INTERVAL 1 DAY), d -> d > {a} AND d < {b} AND weekday(d) < 5))"
 
 
@@ -138,12 +140,13 @@ def walk_forward(
     on: str = "period_ended",
     cutoff: str = "feature_cutoff_date",
     buffer_days: int = 30,
+    val_axis: str | None = None,
 ) -> DataFrame:
     """Expanding folds: (fold, train_end, val_start, val_end, train_rows, val_rows, train_max_cutoff, val_min_cutoff).
 
     The candidate folds follow from the arguments alone. Two aggregations over the data, with a few columns per
     candidate, give the embargo dates and then the counts. Validation rows lie after the training periods and from
-    the embargo date on along the cutoff axis. Folds with too few training periods, without validation rows or with
+    the embargo date on along the cutoff axis (or another column's, named by ``val_axis``). Folds with too few training periods, without validation rows or with
     fewer than ``strict_gap`` (default: the embargo) weekdays strictly in between are left out.
     """
     edges, end = [], initial_train_end
@@ -160,7 +163,7 @@ def walk_forward(
     columns = []
     for i, (t, v, start) in enumerate(kept):
         train = f"{on} <= {lit(t)}"
-        val = f"{on} > {lit(t)} AND {on} <= {lit(v)} AND {cutoff} >= {lit(start)}"
+        val = f"{on} > {lit(t)} AND {on} <= {lit(v)} AND {val_axis or cutoff} >= {lit(start)}"
         columns += [
             f"sum(CASE WHEN {train} THEN n ELSE 0 END) AS tr{i}",
             f"count(DISTINCT CASE WHEN {train} THEN {on} END) AS tp{i}",
@@ -241,17 +244,30 @@ def announcement_folds(df: DataFrame, on: str = "result_announcement_datetime",
 
 
 def label_contamination(
-    df: DataFrame, train_end: str, val_end: str, on: str = "result_announcement_datetime", reach: dict[str, int] | None = None
+    df: DataFrame,
+    train_end: str,
+    val_end: str,
+    on: str = "result_announcement_datetime",
+    reach: dict[str, int] | None = None,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
-    """Share of train (val) rows whose label window, in calendar days, runs past the split boundary."""
-    reach = reach or {"1d_after": 1, "3d_after": 4, "5d_after": 7}
+    """Share of train (val) rows whose label window runs past the split boundary.
+
+    Windows are calendar days (1, 4 and 7). With a trading ``calendar`` they are trading days (1, 3 and 5): a window ends
+    that many places after the last trading day at or before the announcement, and crosses when that is beyond the place of
+    the last trading day at or before the boundary.
+    """
+    reach = reach or ({"1d_after": 1, "3d_after": 4, "5d_after": 7} if calendar is None else {"1d_after": 1, "3d_after": 3, "5d_after": 5})
     bounds = {"train": train_end, "val": val_end}
+    if calendar is None:
+        crosses = {(s, d): f"{on} + INTERVAL {d} DAYS > TIMESTAMP_NTZ '{b} 00:00:00'" for s, b in bounds.items() for d in reach.values()}
+    else:
+        df = at_day(df.select("split", on), day_lookup(calendar), F.col(on), "__l_")
+        # a calendar is bounded by its days; two numbers are read from it
+        places = calendar.agg(*[F.expr(f"max(CASE WHEN date <= DATE '{b}' THEN idx END) AS {s}") for s, b in bounds.items()]).first()
+        crosses = {(s, d): f"coalesce(__l_idx, -1) + {d} > {-1 if places[s] is None else places[s]}" for s in bounds for d in reach.values()}
     columns = [F.expr(f"count_if(split = '{s}') AS n_{s}") for s in bounds]
-    columns += [
-        F.expr(f"count_if(split = '{s}' AND {on} + INTERVAL {d} DAYS > TIMESTAMP_NTZ '{b} 00:00:00') AS c_{s}_{d}")
-        for s, b in bounds.items()
-        for d in reach.values()
-    ]
+    columns += [F.expr(f"count_if(split = '{s}' AND {on} IS NOT NULL AND {crossing}) AS c_{s}_{d}") for (s, d), crossing in crosses.items()]
     entries = ", ".join(
         f"struct('{s}' AS split, '{w}' AS label_window, DATE '{b}' AS boundary, c_{s}_{d} AS crossing_events,"
         f" round(100.0D * c_{s}_{d} / nullif(n_{s}, 0), 2) AS pct)"
