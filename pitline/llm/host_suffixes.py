@@ -47,6 +47,20 @@ FURNITURE = re.compile(
     r"notices?|pagination|pager|popup|modal|promo\w*|related|share|sharing|sidebar|side-bar|signup|sign-up|skip-?link|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: In an article, words that name page furniture anywhere in a class or id, and words that do so only where nothing but
+#: words for places and containers stands beside them: "share-buttons" goes, "share-price" and "related-work" stay.
+ARTICLE_FURNITURE = re.compile(
+    r"(?:^|[\s_-])(?:advert\w*|adsense|breadcrumbs?|comments?|comment-?list|respond|disqus|cookies?|consent|gdpr|footer|masthead|nav|navbar|navigation|newsletter|pagination|"
+    r"popup|modal|promo\w*|sidebar|side-bar|signup|sign-up|skip-?link|sponsor\w*|subscribe)(?:$|[\s_-])",
+    re.I,
+)
+AMBIGUOUS = frozenset("ad ads banner menu notice notices pager related share sharing social toolbar topbar widget".split())
+BESIDE = frozenset(
+    "area articles bar block body bottom box button buttons col column container content footer global header icons inline inner left legal link links list main mobile page "
+    "panel post posts right row section side site slot sticky stories top unit wrap wrapper".split()
+)
+DRAWN = frozenset("svg math".split())
+CLASS_PART = re.compile(r"[_-]+")
 NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
 TAG_PART = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -63,17 +77,31 @@ SEEN = pa.schema([("host", pa.string()), ("page", pa.int64()), ("block", pa.int3
 WINDOWS = pa.schema([("host", pa.string()), ("window", pa.int64()), ("page", pa.int64())])
 
 
-def _is_furniture(name: str, attributes: str) -> bool:
-    if name in DROPPED:
+def _names_furniture(value: str) -> bool:
+    """Whether a class or id inside an article names furniture."""
+    if ARTICLE_FURNITURE.search(value):
+        return True
+    for name in value.lower().split():
+        parts = [p for p in CLASS_PART.split(name) if p and not p.isdigit()]
+        if any(p in AMBIGUOUS for p in parts) and all(p in AMBIGUOUS or p in BESIDE for p in parts):
+            return True
+    return False
+
+
+def _is_furniture(name: str, attributes: str, in_article: bool = False) -> bool:
+    """By element, role, class or id. Outside articles hidden elements and drawings count too; in one they are its text."""
+    if name in DROPPED and not (in_article and name in DRAWN):
         return True
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return False
-    pattern = OTHER_ARTICLE if name == "article" else FURNITURE
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and name not in ("body", "html", "main") and pattern.search(value):
+        if key in ("class", "id") and name not in ("body", "html", "main"):
+            if OTHER_ARTICLE.search(value) if name == "article" else _names_furniture(value) if in_article else FURNITURE.search(value):
+                return True
+        if key == "role" and value.lower() in ROLES:
             return True
-        if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+        if not in_article and (key == "hidden" or key == "aria-hidden" and value.lower() == "true"):
             return True
     return False
 
@@ -225,7 +253,7 @@ def page_blocks(html: str | None) -> list[tuple[int, str]]:
                     close(blocks[-1])
             if name in VOID or ended_itself:
                 continue
-            if kind == FURNITURE_TEXT or _is_furniture(name, attributes) or name == "header" and kind != ARTICLE_TEXT:
+            if kind == FURNITURE_TEXT or _is_furniture(name, attributes, kind == ARTICLE_TEXT) or name == "header" and kind != ARTICLE_TEXT:
                 inside = FURNITURE_TEXT
             else:
                 inside = ARTICLE_TEXT if name in ("article", "main") else kind

@@ -250,6 +250,32 @@ def test_pages(spark):
     assert hs.extract_text(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "element, kept",
+    [
+        ('<div class="share-price">x</div>', True),
+        ('<section id="related-work"><h2>x</h2></section>', True),
+        ('<figure class="banner-image wide">x</figure>', True),
+        ('<ul class="menu-items"><li>x</ul>', True),
+        ("<p><math><mi>x</mi></math></p>", True),
+        ("<figure><svg><text>x</text></svg></figure>", True),
+        ("<p hidden>x</p>", True),
+        ('<div class="share-buttons">x</div>', False),
+        ('<div class="post-share-2">x</div>', False),
+        ('<div id="ad_1">x</div>', False),
+        ('<div class="wide related posts">x</div>', False),
+        ('<div class="comment-17">x</div>', False),
+        ('<div class="cookie-notice">x</div>', False),
+        ('<div role="banner">x</div>', False),
+        ("<aside>x</aside>", False),
+        ("<form>x</form>", False),
+    ],
+)
+def test_what_goes_from_an_article(element, kept):
+    blocks = hs.page_blocks(f"<article><p>a</p>{element}<p>b</p></article>")
+    assert [t for kind, t in blocks if kind == hs.ARTICLE_TEXT] == (["a", "x", "b"] if kept else ["a", "b"])
+
+
 def test_suffix_array_and_coverage():
     tokens = np.array([3, 1, 2, 3, 1, 2, 9, 1])
     order = hs.suffix_array(tokens).tolist()
