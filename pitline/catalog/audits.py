@@ -303,7 +303,7 @@ i AS (
   SELECT 'event_classification' AS audit_item, CASE WHEN d IS NULL OR d > 90 THEN 'UNCERTAIN' WHEN d < -30 THEN 'BOARD_EVENT' WHEN d < 0 THEN 'PRE_ANNOUNCEMENT' ELSE 'ACTUAL_RESULT' END AS kind, event_key FROM a
   UNION ALL SELECT 'timing_violation', 'cutoff_after_announcement', event_key FROM a WHERE cut > t
   UNION ALL SELECT 'timing_violation', 'midnight', event_key FROM a WHERE hour(t) = 0 AND minute(t) = 0
-  UNION ALL SELECT 'session_inconsistency', s || ' for ' || {_CLOCK}, event_key FROM a WHERE s NOT IN ('unknown', 'non_trading_day') AND s <> {_CLOCK})
+  UNION ALL SELECT 'session_inconsistency', s || ' for ' || {_CLOCK}, event_key FROM a WHERE t IS NOT NULL AND s NOT IN ('unknown', 'non_trading_day') AND s <> {_CLOCK})
 SELECT audit_item, kind, event_key, 1::BIGINT AS events, NULL::DOUBLE AS pct FROM i
 UNION ALL SELECT audit_item, kind, NULL, COUNT(*), ROUND(100.0::DOUBLE * COUNT(*) / (SELECT COUNT(*) FROM a), 2) FROM i GROUP BY 1, 2""",
         "ml",

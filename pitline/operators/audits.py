@@ -225,7 +225,7 @@ def announcement_listing(df: DataFrame, ts: str = "result_announcement_datetime"
         item("event_classification", announcement_type(ts, period)),
         F.when(F.col("feature_cutoff_date").cast("timestamp_ntz") > F.col(ts), item("timing_violation", F.lit("cutoff_after_announcement"))),
         F.when((F.hour(ts) == 0) & (F.minute(ts) == 0), item("timing_violation", F.lit("midnight"))),
-        F.when(~stored.isin("unknown", "non_trading_day") & (stored != clock), item("session_inconsistency", F.concat_ws(" ", stored, F.lit("for"), clock))),
+        F.when(F.col(ts).isNotNull() & ~stored.isin("unknown", "non_trading_day") & (stored != clock), item("session_inconsistency", F.concat_ws(" ", stored, F.lit("for"), clock))),
     )
     rows = df.select("event_key", F.explode(F.array_compact(found)).alias("i")).select("i.audit_item", "i.kind", "event_key")
     # every event has exactly one class, so the classes' counts add up to all events; a handful of rows

@@ -160,3 +160,43 @@ def test_a_feature_without_spread_is_not_scaled(spark):
         assert all(abs(r.x) < 1e-9 for r in out.collect())
     with pytest.raises(ValueError, match="not fitted"):
         preprocess.save_preprocessor(spark, preprocess.create_preprocessor("tree"), "/tmp/never-written")
+
+
+def test_announcement_listing_names_each_fault(spark):
+    at = lambda hour, minute=0: dt.datetime(2020, 5, 4, hour, minute)
+    day, period = dt.date(2020, 5, 1), dt.date(2020, 3, 31)
+    rows = [
+        ("fine", period, at(9), day, "pre_market"),
+        ("closed", period, at(11), day, "non_trading_day"),
+        ("midnight", period, at(0), day, "unknown"),
+        ("late cutoff", period, at(16), dt.date(2020, 5, 5), "post_market"),
+        ("wrong session", dt.date(2020, 5, 31), at(10), day, "pre_market"),
+        ("no time", period, None, None, "pre_market"),
+    ]
+    schema = "event_key string, period_ended date, result_announcement_datetime timestamp_ntz, feature_cutoff_date date, announcement_session_type string"
+    found = audits.announcement_listing(spark.createDataFrame(rows, schema)).collect()
+    listed = {(r.audit_item, r.kind, r.event_key) for r in found if r.event_key and r.audit_item != "event_classification"}
+    assert listed == {
+        ("timing_violation", "midnight", "midnight"),
+        ("timing_violation", "cutoff_after_announcement", "late cutoff"),
+        ("session_inconsistency", "pre_market for during_market", "wrong session"),
+    }
+    sums = {(r.audit_item, r.kind): (r.events, r.pct) for r in found if r.event_key is None}
+    assert sums["event_classification", "ACTUAL_RESULT"] == (4, 66.67) and sums["event_classification", "PRE_ANNOUNCEMENT"] == (1, 16.67)
+    assert sums["event_classification", "UNCERTAIN"] == (1, 16.67) and sums["timing_violation", "midnight"] == (1, 16.67)
+    assert audits.announcement_listing(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_inconsistent_labels_are_listed(spark):
+    rows = [("a", "POSITIVE", 0.05), ("b", "NEUTRAL", 0.05), ("c", "NEGATIVE", -0.01), ("d", None, 0.0), ("e", "NEUTRAL", None)]
+    df = spark.createDataFrame(rows, "event_key string, reaction_class string, abnormal_return_3d double")
+    got = {(r.event_key, r.actual_class, r.expected_class) for r in audits.inconsistent_labels(df).collect()}
+    assert got == {("b", "NEUTRAL", "POSITIVE"), ("c", "NEGATIVE", "NEUTRAL"), ("d", None, "NEUTRAL"), ("e", "NEUTRAL", None)}
+
+
+def test_price_integrity_takes_price_columns_alone(spark):
+    df = spark.createDataFrame([("train", 0.1, 5.0, 1.0), ("train", 0.3, None, 2.0)], "split string, return_5d double, val_pe double, fund_roe double")
+    profile = profiles.value_profile(profiles.count_values(df, ["return_5d", "val_pe", "fund_roe"]))
+    got = {r.feature: r for r in audits.price_integrity(profile).collect()}
+    assert set(got) == {"return_5d", "val_pe"} and got["val_pe"].missing_pct == 50.0 and got["val_pe"].family == "valuation"
+    assert got["return_5d"].sensitivity == "HIGH" and got["return_5d"].mean == pytest.approx(0.2) and got["return_5d"].max == 0.3
