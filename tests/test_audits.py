@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitline.operators import audits, preprocess, profiles, quality
-from pitline.operators.splits import temporal_split
+from pitline.operators.calendar import trading_calendar
+from pitline.operators.splits import label_contamination, temporal_split
 
 FEATURES = ["return_5d", "fund_roe", "val_pe", "prior_earnings_count", "prior_last_reaction_class"]
 SCHEMA = (
@@ -200,3 +201,13 @@ def test_price_integrity_takes_price_columns_alone(spark):
     got = {r.feature: r for r in audits.price_integrity(profile).collect()}
     assert set(got) == {"return_5d", "val_pe"} and got["val_pe"].missing_pct == 50.0 and got["val_pe"].family == "valuation"
     assert got["return_5d"].sensitivity == "HIGH" and got["return_5d"].mean == pytest.approx(0.2) and got["return_5d"].max == 0.3
+
+def test_label_contamination_in_trading_days(spark):
+    days = [dt.date(2020, 6, d) for d in (24, 25, 26, 29, 30)] + [dt.date(2020, 7, d) for d in (1, 2, 3)]
+    calendar = trading_calendar(spark.createDataFrame([(d,) for d in days], "date date"))
+    rows = [("train", dt.datetime(2020, 6, 24, 9)), ("train", dt.datetime(2020, 6, 27, 9)), ("train", dt.datetime(2020, 6, 30, 18)), ("train", None), ("val", dt.datetime(2020, 7, 9))]
+    df = spark.createDataFrame(rows, "split string, result_announcement_datetime timestamp_ntz")
+    got = {(r.split, r.label_window): r.crossing_events for r in label_contamination(df, "2020-06-30", "2020-07-31", calendar=calendar).collect()}
+    # on the 27th, a Saturday, the last trading day is the 26th: two more fit in before July
+    assert [got["train", w] for w in ("1d_after", "3d_after", "5d_after")] == [1, 2, 3]
+    assert got["val", "1d_after"] == 1
