@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pitline import standins
 from pitline.catalog.ctes import QUARTER_END, define, with_ctes
 from pitline.catalog.registry import big, query, rounded, sql_round
-from pitline.catalog.tables import bench, build_model, calendar, events, labelled, prices
+from pitline.catalog.tables import bench, build_model, calendar, events, labelled, prices, tasks
 from pitline.operators import fundamentals as fund_ops
 from pitline.operators import history as hist_ops
+from pitline.operators.prices import ROWS_PER_TASK
+from pitline.plans.dataset import EVENTS_PER_TASK
 from pitline.plans.roles import feature_manifest
 from pitline.session import read_table
 
@@ -155,7 +157,7 @@ def quarterly_row_growth(spark, d):
     ),
 )
 def pit_fundamentals(spark, d):
-    df = fund_ops.attach_point_in_time(labelled(spark, d), fund_ops.with_metrics(standins.fundamentals(spark, d)))
+    df = fund_ops.attach_point_in_time(labelled(spark, d), fund_ops.with_metrics(standins.fundamentals(spark, d)), tasks=tasks(EVENTS_PER_TASK, labelled(spark, d)))
     return rounded(
         df.select(
             "event_key", "fundamental_period_end_date", "fundamental_estimated_available_date", "fundamental_pit_status",
@@ -166,8 +168,8 @@ def pit_fundamentals(spark, d):
 
 @query("valuation", with_ctes(f"SELECT event_key, {sql_round(fund_ops.VALUATION_COLUMNS, 6)} FROM val", "val"))
 def valuation(spark, d):
-    funded = fund_ops.attach_point_in_time(labelled(spark, d), fund_ops.with_metrics(standins.fundamentals(spark, d)))
-    valued = fund_ops.with_valuation(fund_ops.attach_price(funded, prices(spark, d)))
+    funded = fund_ops.attach_point_in_time(labelled(spark, d), fund_ops.with_metrics(standins.fundamentals(spark, d)), tasks=tasks(EVENTS_PER_TASK, labelled(spark, d)))
+    valued = fund_ops.with_valuation(fund_ops.attach_price(funded, prices(spark, d), tasks=tasks(ROWS_PER_TASK, prices(spark, d), labelled(spark, d))))
     return rounded(valued.select("event_key", *fund_ops.VALUATION_COLUMNS), 6)
 
 
@@ -177,7 +179,7 @@ _DOUBLE_HISTORY = [c for c in hist_ops.HISTORY_COLUMNS if not c.endswith(("count
 def _history(spark, d, columns):
     ev = events(spark, d)
     labels = labelled(spark, d).select("event_key", *[f"abnormal_return_{h}d" for h in (1, 3, 5)], "reaction_class")
-    df = hist_ops.with_prior_history(ev.join(labels, "event_key", "left"))
+    df = hist_ops.with_prior_history(ev.join(labels, "event_key", "left"), tasks=tasks(EVENTS_PER_TASK, ev))
     ints = {c: big(F.col(c)) for c in ("prior_earnings_count", "prior_days_since_last", "prior_reaction_streak")}
     return rounded(df.withColumns(ints).select("event_key", *columns))
 
@@ -217,7 +219,7 @@ def prior_history_known_labels(spark, d):
     ev = events(spark, d)
     labels = labelled(spark, d).select("event_key", "reaction_start_date", *[f"abnormal_return_{h}d" for h in (1, 3, 5)], "reaction_class")
     known = F.coalesce(F.date_add("reaction_start_date", 14) <= F.lit("2001-01-01").cast("date"), F.lit(False))
-    df = hist_ops.with_prior_history(ev.join(labels, "event_key", "left").withColumn("known", known), known_before="known")
+    df = hist_ops.with_prior_history(ev.join(labels, "event_key", "left").withColumn("known", known), known_before="known", tasks=tasks(EVENTS_PER_TASK, ev))
     return rounded(df.select("event_key", "prior_abn_ret_5d_mean_4"))
 
 
@@ -236,7 +238,9 @@ FROM mkt m ASOF LEFT JOIN o ON o.symbol = m.symbol AND o.date >= m.reaction_star
 
 @query("label_known_dates", with_ctes("SELECT event_key, label_known_1d, label_known_3d, label_known_5d FROM lkd", "lkd"))
 def label_known_dates(spark, d):
-    df = hist_ops.label_known_dates(labelled(spark, d), prices(spark, d), bench(spark, d), calendar(spark, d))
+    df = hist_ops.label_known_dates(
+        labelled(spark, d), prices(spark, d), bench(spark, d), calendar(spark, d), tasks(ROWS_PER_TASK, prices(spark, d), labelled(spark, d))
+    )
     return df.select("event_key", "label_known_1d", "label_known_3d", "label_known_5d")
 
 
@@ -269,7 +273,9 @@ SELECT event_key, prior_earnings_count, prior_last_reaction_class, prior_days_si
 @query("prior_history_at_cutoff", with_ctes(_known_at_sql(), "ev", "lkd").replace("\n,", ",", 1))
 def prior_history_at_cutoff(spark, d):
     """Every event's history from what was known at its own cutoff; events without a cutoff see no labels."""
-    dated = hist_ops.label_known_dates(labelled(spark, d), prices(spark, d), bench(spark, d), calendar(spark, d))
+    dated = hist_ops.label_known_dates(
+        labelled(spark, d), prices(spark, d), bench(spark, d), calendar(spark, d), tasks(ROWS_PER_TASK, prices(spark, d), labelled(spark, d))
+    )
     columns = ["event_key", "feature_cutoff_date", *[f"abnormal_return_{h}d" for h in (1, 3, 5)], "reaction_class", *[f"label_known_{h}d" for h in (1, 3, 5)]]
     df = hist_ops.with_history_known_at(events(spark, d).join(dated.select(*columns), "event_key", "left"))
     ints = {c: big(F.col(c)) for c in ("prior_earnings_count", "prior_days_since_last", "prior_reaction_streak")}

@@ -13,11 +13,27 @@ from pitline.operators.quality import stage_observed
 from pitline.operators.splits import temporal_split
 from pitline.plans.dataset import model_table
 from pitline.plans.roles import classify_columns
-from pitline.session import stage
+from pitline.session import stage, tasks_for
+
+
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _staged(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """A table several queries read: written once per session to the shared checkpoint folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STAGED:
+        _STAGED[key] = stage(build())
+    return _STAGED[key]
+
+
+def tasks(rows_per_task: int, *tables: DataFrame) -> int:
+    """Tasks for a join or window over staged tables, whose rows are counted from file footers."""
+    return tasks_for(tables[0].sparkSession, sum(t.count() for t in tables), rows_per_task)
 
 
 def prices(spark: SparkSession, d: str) -> DataFrame:
-    return standins.prices(spark, d)
+    return _staged(spark, d, "prices", lambda: standins.prices(spark, d))
 
 
 def bench(spark: SparkSession, d: str) -> DataFrame:
@@ -34,24 +50,13 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 def events(spark: SparkSession, d: str) -> DataFrame:
     """Symbol × period events with the announcement time of their canonical result."""
-    return event_ops.event_headers(standins.announcements(spark, d))
+    return _staged(spark, d, "events", lambda: event_ops.event_headers(standins.announcements(spark, d)))
 
 
 def market(spark: SparkSession, d: str) -> DataFrame:
     return px_ops.event_market_features(events(spark, d), prices(spark, d), bench(spark, d), calendar(spark, d))
 
 
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def _staged(spark: SparkSession, d: str, name: str, build) -> DataFrame:
-    """A table several queries read: written once per session to the shared checkpoint folder."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _STAGED:
-        _STAGED[key] = stage(build())
-    return _STAGED[key]
-
-
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     """Staged market features and labels."""
     return _staged(spark, d, "market", lambda: market(spark, d))

@@ -31,11 +31,13 @@ def asof_join(
     carry: Sequence[str],
     direction: str = "backward",
     bucket_days: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Each left row with the ``carry`` columns of the closest right row at or before (after) its time.
 
     Ties on time match. Among right rows of one key and time any may be taken, so the right side should be
-    unique on ``by + [right_on]``. Left rows without a match (or without a time) keep NULLs.
+    unique on ``by + [right_on]``. Left rows without a match (or without a time) keep NULLs. ``tasks`` deals the keys over
+    that many tasks (see ``tasks_for``).
     """
     if direction not in ("backward", "forward"):
         raise ValueError(f"unknown direction: {direction}")
@@ -54,6 +56,8 @@ def asof_join(
         rows = rows.withColumn("__bucket", _bucket(F.col("__t"), bucket_days))
         rows = rows.unionByName(_carried_rows(rows, by, backward), allowMissingColumns=True)
         keys = by + ["__bucket"]
+    if tasks is not None:
+        rows = rows.repartition(tasks, *keys)
     time_order = F.col("__t").asc() if backward else F.col("__t").desc()
     order = Window.partitionBy(*keys).orderBy(time_order, F.col("__side"))
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -132,7 +132,7 @@ def with_metrics(statements: DataFrame, quarterly_rows: bool = False) -> DataFra
     return statements.selectExpr("*", *lags).withColumns(metrics).select(*statements.columns, *metrics)
 
 
-def attach_point_in_time(events: DataFrame, statements: DataFrame, lag_days: int = FILING_LAG_DAYS) -> DataFrame:
+def attach_point_in_time(events: DataFrame, statements: DataFrame, lag_days: int = FILING_LAG_DAYS, tasks: int | None = None) -> DataFrame:
     """The latest statement usable at each event's cutoff, as ``fund_`` columns.
 
     Usable means: the reporting period ends before the event's own period, and ends at least ``lag_days`` before the
@@ -154,6 +154,7 @@ def attach_point_in_time(events: DataFrame, statements: DataFrame, lag_days: int
         "__bound",
         "fundamental_period_end_date",
         ["fundamental_period_end_date", *[f"fund_{c}" for c in metrics]],
+        tasks=tasks,
     )
     period = F.col("fundamental_period_end_date")
     available = F.date_add(period, lag_days)
@@ -206,7 +207,9 @@ def with_valuation(events: DataFrame, price: str = "price") -> DataFrame:
     ).select(*names, *VALUATION_COLUMNS)
 
 
-def attach_price(events: DataFrame, prices: DataFrame, on: str = "feature_cutoff_date", name: str = "price") -> DataFrame:
+def attach_price(
+    events: DataFrame, prices: DataFrame, on: str = "feature_cutoff_date", name: str = "price", tasks: int | None = None
+) -> DataFrame:
     """Last close at or before ``on``."""
     px = prices.select("symbol", F.col("date").alias("__price_date"), F.col("close").alias(name))
-    return asof_join(events, px, ["symbol"], on, "__price_date", [name])
+    return asof_join(events, px, ["symbol"], on, "__price_date", [name], tasks=tasks)

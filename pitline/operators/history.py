@@ -28,18 +28,19 @@ HISTORY_COLUMNS = (
 )
 
 
-def with_prior_history(events: DataFrame, known_before: str | None = None) -> DataFrame:
+def with_prior_history(events: DataFrame, known_before: str | None = None, tasks: int | None = None) -> DataFrame:
     """Add the ``prior_`` columns to labelled events (symbol, period_ended, event_key, abnormal returns, class).
 
     Averages skip missing returns but need N earlier events; rates divide by N, so an unlabelled event counts as
     "no". The magnitude is the mean absolute 5-day return. The trend is the least-squares slope of -1/0/1 over the
     labelled ones among the last N. ``known_before`` names a boolean column (is this event's label known when the
-    next one is predicted); labels of events where it is false are treated as missing.
+    next one is predicted); labels of events where it is false are treated as missing. ``tasks`` deals the companies over
+    that many tasks (see ``tasks_for``).
     """
-    source = events
+    source = events if tasks is None else events.repartition(tasks, "symbol")
     if known_before is not None:
         hidden = {f"abnormal_return_{h}d": F.when(F.col(known_before), F.col(f"abnormal_return_{h}d")) for h in HORIZONS}
-        source = events.withColumns(hidden | {"reaction_class": F.when(F.col(known_before), F.col("reaction_class"))})
+        source = source.withColumns(hidden | {"reaction_class": F.when(F.col(known_before), F.col("reaction_class"))})
     w = ORDER
     before = lambda n: f"OVER ({w} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
     count = f"row_number() OVER ({w}) - 1"
@@ -99,7 +100,9 @@ def _slope(values: str) -> str:
 # ---- labels known at each event's own cutoff ----
 
 
-def label_known_dates(events: DataFrame, prices: DataFrame, bench: DataFrame, calendar: DataFrame) -> DataFrame:
+def label_known_dates(
+    events: DataFrame, prices: DataFrame, bench: DataFrame, calendar: DataFrame, tasks: int | None = None
+) -> DataFrame:
     """``events(symbol, reaction_start_date)`` with ``label_known_{h}d``: the day whose close completes the h-day return.
 
     That is the later of the h-th own and the h-th benchmark observation after the first one at or after the reaction
@@ -112,7 +115,7 @@ def label_known_dates(events: DataFrame, prices: DataFrame, bench: DataFrame, ca
     ahead = Window.orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     days = calendar.select("date").join(base.selectExpr("date", f"struct({', '.join(f'__base{h}' for h in HORIZONS)}) AS b"), "date", "left")
     by_day = days.select(F.col("date").alias("reaction_start_date"), F.last("b", ignorenulls=True).over(ahead).alias("b"))
-    dated = asof_join(events, own, ["symbol"], "reaction_start_date", "date", [f"__own{h}" for h in HORIZONS], "forward")
+    dated = asof_join(events, own, ["symbol"], "reaction_start_date", "date", [f"__own{h}" for h in HORIZONS], "forward", tasks=tasks)
     joined = dated.join(F.broadcast(by_day), "reaction_start_date", "left")
     known = [f"CASE WHEN __own{h} IS NOT NULL AND b.__base{h} IS NOT NULL THEN greatest(__own{h}, b.__base{h}) END AS label_known_{h}d" for h in HORIZONS]
     return joined.selectExpr(*events.columns, *known)

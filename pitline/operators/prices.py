@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from pitline.functions.flags import flag_string
 from pitline.operators.calendar import cutoff_and_reaction, day_lookup, place_events
+from pitline.session import tasks_for
 
 RETURN_WINDOWS = (1, 3, 5, 10, 20, 60)
 VOLATILITY_WINDOWS = (5, 20, 60)
@@ -25,6 +26,8 @@ DRAWDOWN_WINDOWS = (20, 60, 252)
 LABEL_WINDOWS = (1, 3, 5)
 DAYS_PER_YEAR = 252
 REACTION_THRESHOLD = 0.02
+#: Rows on the common time axis that one task sorts, wide and several times over.
+ROWS_PER_TASK = 100_000
 
 RETURN_COLUMNS = [f"return_{k}d" for k in RETURN_WINDOWS]
 VOLATILITY_COLUMNS = [f"volatility_{k}d" for k in VOLATILITY_WINDOWS]
@@ -194,7 +197,7 @@ def benchmark_by_day(calendar: DataFrame, bench: DataFrame) -> DataFrame:
     )
 
 
-def _price_state(events: DataFrame, prices: DataFrame) -> DataFrame:
+def _price_state(events: DataFrame, prices: DataFrame, tasks: int) -> DataFrame:
     """Attach each event's price features at its cutoff and forward returns from its reaction start.
 
     Prices and two marker rows per event share one time axis per symbol, so features, both as-of lookups and the
@@ -216,9 +219,9 @@ def _price_state(events: DataFrame, prices: DataFrame) -> DataFrame:
         markers, allowMissingColumns=True
     )
     # one explicit shuffle: every window and the regrouping below cluster by symbol or something finer
-    rows = rows.repartition("symbol")
+    rows = rows.repartition(tasks, "symbol")
     series = with_forward_returns(price_features(rows, ["symbol", "kind"]), ["symbol", "kind"])
-    state = ", ".join(["history_days", *PRICE_FEATURES])
+    state = ", ".join(["history_days", "close", *PRICE_FEATURES])
     ahead = ", ".join(f"forward_{k}d" for k in LABEL_WINDOWS)
     running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     placed = series.selectExpr(
@@ -256,12 +259,15 @@ def event_market_features(
     on: str = "result_announcement_datetime",
     keep_skipped: bool = False,
     universe: DataFrame | None = None,
+    price: str | None = None,
 ) -> DataFrame:
     """Market features and labels for every announced event; with a ``universe``, prices of other symbols don't count.
 
     Events that cannot be used get a ``skip_reason`` and are dropped unless ``keep_skipped``. Labels need the stock
-    and the benchmark return; otherwise all three columns of that horizon are NULL.
+    and the benchmark return; otherwise all three columns of that horizon are NULL. ``price`` names a last column for the
+    close at the cutoff. Events and prices are counted ahead, so they should be tables that are cheap to count.
     """
+    tasks = tasks_for(events.sparkSession, prices.count() + 2 * events.count(), ROWS_PER_TASK)
     if universe is not None:
         prices = prices.join(universe.select("symbol"), "symbol", "left_semi")
     lookup = day_lookup(benchmark_by_day(calendar, bench))
@@ -283,7 +289,7 @@ def event_market_features(
             f"CASE WHEN {stock} IS NOT NULL THEN {base} END AS benchmark_return_{k}d_after",
         ]
     carried = [*events.columns, "announcement_session_type", "feature_cutoff_date", "reaction_start_date"]
-    state = _price_state(dated, prices)
+    state = _price_state(dated, prices, tasks)
     if not keep_skipped:
         # the same conditions as skip_reason(), on plain columns, ahead of the wide projection
         state = state.where(
@@ -298,6 +304,7 @@ def event_market_features(
         *[f"back.{c}" for c in PRICE_FEATURES],
         *relative,
         *labels,
+        *([f"back.close AS {price}"] if price else []),
     )
     full = wide.withColumns(
         {
@@ -319,6 +326,7 @@ def event_market_features(
         "benchmark_history_days",
         *sorted(PRICE_FEATURES + RELATIVE_COLUMNS + [c for c in LABEL_COLUMNS if not c.endswith("_after")]),
         *sorted(c for c in LABEL_COLUMNS if c.endswith("_after")),
+        *([price] if price else []),
     ]
     if keep_skipped:
         return full.select(*ordered, skip_reason().alias("skip_reason"))

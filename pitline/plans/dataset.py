@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitline.operators import events as event_ops
-from pitline.operators.fundamentals import attach_point_in_time, attach_price, with_metrics, with_valuation
+from pitline.operators.fundamentals import attach_point_in_time, with_metrics, with_valuation
 from pitline.operators.history import HORIZONS, with_prior_history
 from pitline.operators.prices import event_market_features
 from pitline.plans.roles import ordered_columns
-from pitline.session import stage
+from pitline.session import stage, tasks_for
+
+#: Events, a hundred columns wide, that one task sorts.
+EVENTS_PER_TASK = 20_000
 
 
 def filings_to_documents(filings: DataFrame, source: str = "exchange_announcements") -> DataFrame:
@@ -41,15 +44,16 @@ def model_table(
     features are computed once.
     """
     announced = "result_announcement_datetime"
-    market = event_market_features(events, prices, bench, calendar, keep_skipped=True)
+    tasks = tasks_for(events.sparkSession, events.count(), EVENTS_PER_TASK)
+    market = event_market_features(events, prices, bench, calendar, keep_skipped=True, price="price")
     silent = events.where(F.col(announced).isNull()).withColumn("skip_reason", F.lit("no_announcement"))
     everyone = market.unionByName(silent, allowMissingColumns=True)
     usable = F.col("skip_reason").isNull()
     labels = [*[f"abnormal_return_{h}d" for h in HORIZONS], "reaction_class"]
     labelled = everyone.withColumns({c: F.when(usable, F.col(c)) for c in labels})
-    with_history = with_prior_history(labelled).where(usable).drop("skip_reason")
-    funded = attach_point_in_time(with_history, with_metrics(statements))
-    full = with_valuation(attach_price(funded, prices)).drop("price")
+    with_history = with_prior_history(labelled, tasks=tasks).where(usable).drop("skip_reason")
+    funded = attach_point_in_time(with_history, with_metrics(statements), tasks=tasks)
+    full = with_valuation(funded).drop("price")
     if period_cutoff is not None:
         full = full.where(F.col("period_ended") < F.lit(period_cutoff).cast("date"))
     return full.select(*ordered_columns(full.columns))

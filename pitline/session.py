@@ -34,6 +34,15 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
 
 
+def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
+    """How many tasks share ``rows``, so that a task's share, and the memory of its sorts, stays the same as tables grow.
+
+    Left alone, small shuffle partitions are joined up to a size in compressed bytes, which says little about wide rows that
+    several windows sort; a number given to ``repartition`` is kept.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
