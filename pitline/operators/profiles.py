@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitline.operators.quantiles import ks_p_value
-from pitline.session import stage
+from pitline.session import stage, tasks_for
 
 SPLITS = ("train", "val", "test")
 PROBS = (0.001, 0.25, 0.5, 0.75, 0.999)
@@ -23,6 +23,8 @@ NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 #: Bins per unit of the logarithm: a bin in the bulk is about a 30,000th of the spread wide.
 FINENESS = 4096
 EDGE = 1 << 40
+#: Values, near all of them different, that one task counts ahead of the shuffle.
+VALUES_PER_TASK = 2_000_000
 #: Larger numbers have no digits to spare, so they are never rounded.
 ROUNDED_BELOW = "1e5D"
 
@@ -61,8 +63,10 @@ def count_values(
 
     Text features have no value and no bin. With ``digits``, values are rounded first, so that sums taken in another order
     don't count as other values. The counts and the centres, one row per feature, are written to the shared
-    folder; the centres are broadcast.
+    folder; the centres are broadcast. Rows are counted first and dealt out, so ``df`` should be cheap to read twice.
     """
+    tasks = tasks_for(df.sparkSession, df.count() * len(columns), VALUES_PER_TASK)
+    df = df.select(*[f"`{c}`" for c in dict.fromkeys([split, *columns])]).repartition(tasks)
     counts = [F.count(F.lit(1)).alias("n"), *[F.expr(f"count_if(split = '{s}') AS n_{s}") for s in splits]]
     return _binned(_long(df, columns, [f"`{split}` AS split"], digits).groupBy("feature", "value", "text").agg(*counts))
 

@@ -4,7 +4,7 @@ import contextlib
 import datetime as dt
 import io
 
-from pitline.operators import prices
+from pitline.operators import prices, profiles
 from pitline.operators.calendar import trading_calendar
 from pitline.operators.history import with_prior_history
 
@@ -39,3 +39,14 @@ def test_history_is_dealt_by_company(spark):
     rows = [(f"c{i}", dt.date(2020, 1, 1), f"c{i}_a", 0.1, 0.1, 0.1, "POSITIVE") for i in range(5)]
     ev = spark.createDataFrame(rows, "symbol string, period_ended date, event_key string, abnormal_return_1d double, abnormal_return_3d double, abnormal_return_5d double, reaction_class string")
     assert ", 23), REPARTITION_BY_NUM" in _plan(with_prior_history(ev, tasks=23))
+
+
+def test_values_are_counted_in_bounded_tasks(spark, monkeypatch):
+    staged = []
+    real = profiles.stage
+    monkeypatch.setattr(profiles, "stage", lambda df: staged.append(_plan(df)) or real(df))
+    monkeypatch.setattr(profiles, "VALUES_PER_TASK", 10)
+    df = spark.range(100).selectExpr("'train' AS split", "id * 0.5D AS x", "id % 3 AS y")
+    counted = profiles.count_values(df, ["x", "y"])
+    assert "RoundRobinPartitioning(20)" in staged[0]
+    assert {(r.feature, r.n) for r in counted.groupBy("feature").sum("n").toDF("feature", "n").collect()} == {("x", 100), ("y", 100)}
