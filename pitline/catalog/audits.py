@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pitline.catalog.ctes import define, with_ctes
 from pitline.catalog.registry import big, query, rounded
 from pitline.catalog.features import FEATURES, FUND_FEATURES, GROUP_SQL, NUMERIC_FEATURES, TEXT_FEATURES, WHOLE_FEATURES
-from pitline.catalog.tables import counted, documents, events, features, model, model_facts, profile, split_model
+from pitline.catalog.tables import counted, documents, events, features, model, model_facts, profile, split_model, tasks
 from pitline.operators import audits, profiles, quality
 from pitline.operators import events as event_ops
 from pitline.operators.calendar import clock_session
-from pitline.operators.prices import LABEL_COLUMNS
+from pitline.operators.prices import LABEL_COLUMNS, ROWS_PER_TASK
 from pitline.operators.quantiles import EXACT_CELLS, exact_quantiles, ks_distance
 from pitline.plans.roles import AUDIT_COLUMNS, META_COLUMNS, TARGET_COLUMNS, classify_columns, feature_group
 from pitline.session import read_table
@@ -195,7 +195,7 @@ define("lats", exact_sql("kss"), ("kss",))
 def ks_small_samples(spark, d):
     """Has a company's 5-day return before its announcements changed since 1996? A handful of events each, so exactly."""
     df = model(spark, d).selectExpr("symbol", "CASE WHEN period_ended <= DATE '1996-12-31' THEN 'early' ELSE 'late' END AS era", "return_5d")
-    found = ks_distance(df, "symbol", "return_5d", "era", "early", "late").where("n_first > 0 AND n_second > 0")
+    found = ks_distance(df, "symbol", "return_5d", "era", "early", "late", tasks(ROWS_PER_TASK, df)).where("n_first > 0 AND n_second > 0")
     return rounded(found.select(F.col("feature").alias("symbol"), big(F.col("n_first")).alias("n_first"), big(F.col("n_second")).alias("n_second"), "ks_statistic", "p_value"))
 
 

@@ -65,11 +65,14 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     return picked.selectExpr(*by, "p", f"cast({result} AS double) AS quantile")
 
 
-def ks_distance(df: DataFrame, feature: str, value: str, sample: str, first: str, second: str) -> DataFrame:
+def ks_distance(
+    df: DataFrame, feature: str, value: str, sample: str, first: str, second: str, tasks: int | None = None
+) -> DataFrame:
     """Per feature: sizes of both samples, the exact KS distance and its asymptotic p-value.
 
     Values are counted per distinct value, then cumulated in two levels: within order-preserving bins, and over the
     bins. Bins are logarithmic around the sketch median in units of the spread, so no bin collects a feature's bulk.
+    There may be many features, such as companies; ``tasks`` deals their bins over that many tasks (see ``tasks_for``).
     """
     both = df.where(F.col(value).isNotNull() & F.col(sample).isin(first, second)).selectExpr(
         f"{feature} AS feature", f"cast({value} AS double) AS v", f"CASE WHEN {sample} = '{first}' THEN 1 ELSE 0 END AS a"
@@ -78,10 +81,12 @@ def ks_distance(df: DataFrame, feature: str, value: str, sample: str, first: str
         "feature", "v", "na", "n - na AS nb"
     )
     centre = both.groupBy("feature").agg(F.expr("percentile_approx(v, array(0.25D, 0.5D, 0.75D), 1000)").alias("q"))
-    scaled = counts.join(F.broadcast(centre), "feature").selectExpr(
+    scaled = counts.join(centre, "feature").selectExpr(
         "feature", "v", "na", "nb", "(v - q[1]) / greatest(q[2] - q[0], 1e-12D) AS z"
     )
     binned = scaled.selectExpr("feature", "v", "na", "nb", "cast(sign(z) * floor(256 * ln(1 + 8 * least(abs(z), 1e300D))) AS bigint) AS bin")
+    if tasks is not None:
+        binned = binned.repartition(tasks, "feature", "bin")
     per_bin = binned.groupBy("feature", "bin").agg(F.sum("na").alias("ba"), F.sum("nb").alias("bb"))
     order = "PARTITION BY feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     offsets = per_bin.selectExpr(
@@ -93,7 +98,7 @@ def ks_distance(df: DataFrame, feature: str, value: str, sample: str, first: str
         "sum(bb) OVER (PARTITION BY feature) AS tb",
     )
     inner = "PARTITION BY feature, bin ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    gaps = binned.join(offsets, ["feature", "bin"]).selectExpr(
+    gaps = binned.join(offsets.hint("merge"), ["feature", "bin"]).selectExpr(
         "feature",
         "ta",
         "tb",

@@ -7,6 +7,7 @@ import io
 from pitline.operators import prices, profiles
 from pitline.operators.calendar import trading_calendar
 from pitline.operators.history import with_prior_history
+from pitline.operators.quantiles import ks_distance
 
 
 def _plan(df):
@@ -50,3 +51,12 @@ def test_values_are_counted_in_bounded_tasks(spark, monkeypatch):
     counted = profiles.count_values(df, ["x", "y"])
     assert "RoundRobinPartitioning(20)" in staged[0]
     assert {(r.feature, r.n) for r in counted.groupBy("feature").sum("n").toDF("feature", "n").collect()} == {("x", 100), ("y", 100)}
+
+
+def test_ks_distances_of_many_features_are_not_broadcast(spark):
+    rows = [(f"c{i % 7}", float(i * 37 % 101), "a" if i % 2 else "b") for i in range(140)]
+    df = spark.createDataFrame(rows, "feature string, value double, split string")
+    dealt = ks_distance(df, "feature", "value", "split", "a", "b", tasks=19)
+    assert ", 19), REPARTITION_BY_NUM" in _plan(dealt)
+    plain = ks_distance(df, "feature", "value", "split", "a", "b")
+    assert sorted(dealt.collect()) == sorted(plain.collect())
