@@ -101,15 +101,28 @@ def most_missing_features(spark, d):
     return audits.most_missing(audits.missingness(split_model(spark, d), features(spark, d)), 20)
 
 
+def _last_decimal_sql(value: str, digits: int) -> str:
+    """A whole number of the last decimal: below 1000 from whole numbers of the twelfth, because a mean half-way between two
+    decimals lies on either side by chance."""
+    unit = 10 ** (12 - digits)
+    return (
+        f"CASE WHEN abs({value}) < 1000 THEN ((CAST(abs(ROUND({value} * 1e12)) AS BIGINT) + {unit // 2}) // {unit}) * CASE WHEN {value} < 0 THEN -1 ELSE 1 END"
+        f" ELSE CAST(ROUND({value} * 1e{digits}) AS BIGINT) END"
+    )
+
+
+define("ld", " UNION ALL ".join(f"SELECT '{c}' AS feature, CASE WHEN abs({c}) < 1e5 THEN ({_last_decimal_sql(f'CAST({c} AS DOUBLE)', 10)}) / 1e10::DOUBLE ELSE CAST({c} AS DOUBLE) END AS value FROM mls" for c in NUMERIC_FEATURES), ("mls",))
+
+
 @query(
     "distinct_counts",
     with_ctes(
-        "SELECT feature, COUNT(DISTINCT value) AS distinct_values, COUNT(DISTINCT value) <= 1 AS constant FROM lf GROUP BY 1 UNION ALL SELECT feature, COUNT(DISTINCT value), COUNT(DISTINCT value) <= 1 FROM lx GROUP BY 1",
-        "lf", "lx",
+        "SELECT feature, COUNT(DISTINCT value) AS distinct_values, COUNT(DISTINCT value) <= 1 AS constant FROM ld GROUP BY 1 UNION ALL SELECT feature, COUNT(DISTINCT value), COUNT(DISTINCT value) <= 1 FROM lx GROUP BY 1",
+        "ld", "lx",
     ),
 )
 def distinct_counts(spark, d):
-    return audits.distinct_counts(profile(spark, d))
+    return audits.distinct_counts(profiles.distinct_values(split_model(spark, d), features(spark, d), digits=10))
 
 
 @query(

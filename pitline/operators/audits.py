@@ -111,7 +111,7 @@ def approximate_distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFr
 
 
 def distinct_counts(profile: DataFrame) -> DataFrame:
-    """(feature, distinct_values, constant) from a value profile."""
+    """(feature, distinct_values, constant) from a value profile, or from ``distinct_values``."""
     return profile.selectExpr("feature", "distinct AS distinct_values", "distinct <= 1 AS constant")
 
 

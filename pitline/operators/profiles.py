@@ -46,6 +46,32 @@ def _long(df: DataFrame, columns: Sequence[str], keep: Sequence[str], digits: in
     return rows.withColumn("value", F.expr(near))
 
 
+#: Numbers below this are first taken to SNAP_DIGITS decimals where a last decimal must not depend on the order of sums: a mean
+#: that lies half-way between two decimals is a little below or above it in floating point, by chance.
+SNAPPED_BELOW = "1000D"
+SNAP_DIGITS = 12
+
+
+def last_decimal(value: str, digits: int) -> str:
+    """SQL for a floating number as a whole number of its ``digits``-th decimal: first of its SNAP_DIGITS-th, from there half up
+    in whole numbers, away from zero; large numbers at once."""
+    unit = 10 ** (SNAP_DIGITS - digits)
+    fine = f"(cast(abs(round({value} * 1e{SNAP_DIGITS}D)) AS bigint) + {unit // 2}) div {unit}"
+    return (
+        f"CASE WHEN abs({value}) < {SNAPPED_BELOW} THEN ({fine}) * CASE WHEN {value} < 0 THEN -1 ELSE 1 END"
+        f" ELSE cast(round({value} * 1e{digits}D) AS bigint) END"
+    )
+
+
+def distinct_values(df: DataFrame, columns: Sequence[str], digits: int) -> DataFrame:
+    """(feature, distinct): how many values each feature has to ``digits`` decimals, snapped first. Read twice, see ``count_values``."""
+    tasks = tasks_for(df.sparkSession, df.count() * len(columns), VALUES_PER_TASK)
+    rows = _long(df.select(*[f"`{c}`" for c in columns]).repartition(tasks), columns, [], None)
+    near = f"CASE WHEN abs(value) < {ROUNDED_BELOW} THEN ({last_decimal('value', digits)}) / 1e{digits}D ELSE value END"
+    once = rows.selectExpr("feature", f"{near} AS value", "text").distinct()
+    return once.groupBy("feature").agg(F.expr("count_if(value IS NOT NULL OR text IS NOT NULL) AS distinct"))
+
+
 def _bin(value: str, centre: str, spread: str) -> str:
     """A number that never falls as the value grows; infinities and NaN have places of their own."""
     z = f"(({value} - {centre}) / {spread})"

@@ -211,3 +211,17 @@ def test_label_contamination_in_trading_days(spark):
     # on the 27th, a Saturday, the last trading day is the 26th: two more fit in before July
     assert [got["train", w] for w in ("1d_after", "3d_after", "5d_after")] == [1, 2, 3]
     assert got["val", "1d_after"] == 1
+
+
+def _near_ties(spark):
+    """Means half-way between two last decimals, a little below, at and above it."""
+    tenth, sixth = -0.04589843745, -0.0234375
+    rows = [("train", tenth + e, sixth + e, 12345.678) for e in (-7e-18, 0.0, 7e-18)]
+    assert len({r[1] for r in rows}) > 1 and len({r[2] for r in rows}) > 1
+    return spark.createDataFrame(rows, "split string, x double, y double, z double")
+
+
+def test_noise_makes_no_distinct_values(spark):
+    df = _near_ties(spark)
+    found = {r.feature: r.distinct_values for r in audits.distinct_counts(profiles.distinct_values(df, ["x", "y", "z"], digits=10)).collect()}
+    assert found == {"x": 1, "y": 1, "z": 1}
