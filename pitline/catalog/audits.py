@@ -606,7 +606,7 @@ def readiness_gate(spark, d):
     return audits.readiness_gate(df, roles["features"], roles["targets"], len(FEATURES))
 
 
-_HASHED = {**dict.fromkeys([*NUMERIC_FEATURES, *[c for c in TARGET_COLUMNS if c != "reaction_class"]], "CAST(ROUND({} * 1e6) AS BIGINT)"), **dict.fromkeys(WHOLE_FEATURES, "{}")}
+_HASHED = {**dict.fromkeys([*NUMERIC_FEATURES, *[c for c in TARGET_COLUMNS if c != "reaction_class"]], _last_decimal_sql("{0}", 6)), **dict.fromkeys(WHOLE_FEATURES, "{}")}
 _ROW_TEXT = "concat_ws('|', " + ", ".join(
     f"COALESCE(CAST({_HASHED.get(c, '{}').format(c)} AS VARCHAR), '~')" for c in sorted([*META_COLUMNS, *FEATURES, *TARGET_COLUMNS, *AUDIT_COLUMNS, "split"])
 ) + ")"

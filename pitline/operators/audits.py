@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from pitline.functions.dates import whole_days
 from pitline.operators.calendar import clock_session
-from pitline.operators.profiles import count_values_by_slice, deviation_profile, value_profile
+from pitline.operators.profiles import count_values_by_slice, deviation_profile, last_decimal, value_profile
 from pitline.operators.quantiles import exact_quantiles, ks_p_value, long_form
 from pitline.plans.roles import feature_group
 
@@ -443,10 +443,10 @@ HASHED_DIGITS = 6
 
 def row_text(df: DataFrame) -> str:
     """SQL for a row as text that other engines can rebuild: columns by name, floating numbers as whole numbers of their last
-    counted decimal, dates and times as ISO text, missing values as ``~``."""
+    counted decimal (see ``last_decimal``), dates and times as ISO text, missing values as ``~``."""
     types = dict(df.dtypes)
     floating = lambda c: types[c] in ("float", "double")
-    parts = [f"cast(round(`{c}` * 1e{HASHED_DIGITS}D) AS bigint)" if floating(c) else f"`{c}`" for c in sorted(df.columns)]
+    parts = [f"{last_decimal(f"`{c}`", HASHED_DIGITS)}" if floating(c) else f"`{c}`" for c in sorted(df.columns)]
     return f"concat_ws('|', {', '.join(f'coalesce(cast({p} AS string), {chr(39)}~{chr(39)})' for p in parts)})"
 
 

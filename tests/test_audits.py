@@ -225,3 +225,8 @@ def test_noise_makes_no_distinct_values(spark):
     df = _near_ties(spark)
     found = {r.feature: r.distinct_values for r in audits.distinct_counts(profiles.distinct_values(df, ["x", "y", "z"], digits=10)).collect()}
     assert found == {"x": 1, "y": 1, "z": 1}
+
+
+def test_noise_does_not_change_a_fingerprint(spark):
+    df = _near_ties(spark).select("y", "z")
+    assert len({audits.table_fingerprint(df.limit(0).union(spark.createDataFrame([tuple(r)], df.schema))).first().content_hash for r in df.collect()}) == 1
