@@ -179,7 +179,8 @@ _DOUBLE_HISTORY = [c for c in hist_ops.HISTORY_COLUMNS if not c.endswith(("count
 def _history(spark, d, columns):
     ev = events(spark, d)
     labels = labelled(spark, d).select("event_key", *[f"abnormal_return_{h}d" for h in (1, 3, 5)], "reaction_class")
-    df = hist_ops.with_prior_history(ev.join(labels, "event_key", "left"), tasks=tasks(EVENTS_PER_TASK, ev))
+    n = tasks(EVENTS_PER_TASK, ev)
+    df = hist_ops.with_prior_history(hist_ops.join_dealt(ev, labels, "event_key", n), tasks=n)
     ints = {c: big(F.col(c)) for c in ("prior_earnings_count", "prior_days_since_last", "prior_reaction_streak")}
     return rounded(df.withColumns(ints).select("event_key", *columns))
 
@@ -219,7 +220,8 @@ def prior_history_known_labels(spark, d):
     ev = events(spark, d)
     labels = labelled(spark, d).select("event_key", "reaction_start_date", *[f"abnormal_return_{h}d" for h in (1, 3, 5)], "reaction_class")
     known = F.coalesce(F.date_add("reaction_start_date", 14) <= F.lit("2001-01-01").cast("date"), F.lit(False))
-    df = hist_ops.with_prior_history(ev.join(labels, "event_key", "left").withColumn("known", known), known_before="known", tasks=tasks(EVENTS_PER_TASK, ev))
+    n = tasks(EVENTS_PER_TASK, ev)
+    df = hist_ops.with_prior_history(hist_ops.join_dealt(ev, labels, "event_key", n).withColumn("known", known), known_before="known", tasks=n)
     return rounded(df.select("event_key", "prior_abn_ret_5d_mean_4"))
 
 
@@ -277,7 +279,8 @@ def prior_history_at_cutoff(spark, d):
         labelled(spark, d), prices(spark, d), bench(spark, d), calendar(spark, d), tasks(ROWS_PER_TASK, prices(spark, d), labelled(spark, d))
     )
     columns = ["event_key", "feature_cutoff_date", *[f"abnormal_return_{h}d" for h in (1, 3, 5)], "reaction_class", *[f"label_known_{h}d" for h in (1, 3, 5)]]
-    df = hist_ops.with_history_known_at(events(spark, d).join(dated.select(*columns), "event_key", "left"))
+    n = tasks(EVENTS_PER_TASK, events(spark, d))
+    df = hist_ops.with_history_known_at(hist_ops.join_dealt(events(spark, d), dated.select(*columns), "event_key", n).repartition(n, "symbol"))
     ints = {c: big(F.col(c)) for c in ("prior_earnings_count", "prior_days_since_last", "prior_reaction_streak")}
     return rounded(df.withColumns(ints).select("event_key", *hist_ops.HISTORY_COLUMNS))
 

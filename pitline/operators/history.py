@@ -80,10 +80,18 @@ def with_prior_history(events: DataFrame, known_before: str | None = None, tasks
     trends = [f"{_slope(f'__signals_{n}')} AS prior_reaction_trend_{n}" for n in RATE_WINDOWS]
     done = shifted.selectExpr("*", *trends)
     if known_before is not None:
-        return events.join(done.select("event_key", *HISTORY_COLUMNS), "event_key", "left")
+        return join_dealt(events, done.select("event_key", *HISTORY_COLUMNS), "event_key", tasks)
     return done.select(*events.columns, *HISTORY_COLUMNS)
 
 
+def join_dealt(events: DataFrame, facts: DataFrame, on: str, tasks: int | None = None) -> DataFrame:
+    """Left join of two tables with a row per event, both dealt over ``tasks`` tasks and sorted: a broadcast, decided by the
+    compressed size of a few columns, would put every event's facts into each task's memory."""
+    if tasks is None:
+        return events.join(facts, on, "left")
+    return events.repartition(tasks, on).join(facts.repartition(tasks, on).hint("merge"), on, "left")
+
+
 def _kept(events: DataFrame, known_before: str | None) -> list[str]:
     return ["event_key"] if known_before is not None else events.columns
 

@@ -4,9 +4,10 @@ import contextlib
 import datetime as dt
 import io
 
-from pitline.operators import prices, profiles
+from pitline import standins
+from pitline.operators import preprocess, prices, profiles
 from pitline.operators.calendar import trading_calendar
-from pitline.operators.history import with_prior_history
+from pitline.operators.history import join_dealt, label_known_dates, with_prior_history
 from pitline.operators.quantiles import ks_distance
 
 
@@ -60,3 +61,15 @@ def test_ks_distances_of_many_features_are_not_broadcast(spark):
     assert ", 19), REPARTITION_BY_NUM" in _plan(dealt)
     plain = ks_distance(df, "feature", "value", "split", "a", "b")
     assert sorted(dealt.collect()) == sorted(plain.collect())
+
+
+def _dated_events(spark, n=5):
+    rows = [(f"c{i}", dt.date(2020, 1, 1), f"c{i}_a", dt.date(2020, 1, 6)) for i in range(n)]
+    return spark.createDataFrame(rows, "symbol string, period_ended date, event_key string, reaction_start_date date")
+
+
+def test_labels_are_joined_to_events_without_broadcast(spark):
+    labels = spark.createDataFrame([("c1_a", 0.5), ("c3_a", 0.7)], "event_key string, abnormal_return_1d double")
+    joined = join_dealt(_dated_events(spark), labels, "event_key", 19)
+    assert "BroadcastHashJoin" not in _plan(joined) and _plan(joined).count("19), REPARTITION_BY_NUM") == 2
+    assert {r.event_key: r.abnormal_return_1d for r in joined.collect()} == {"c0_a": None, "c1_a": 0.5, "c2_a": None, "c3_a": 0.7, "c4_a": None}
