@@ -118,7 +118,8 @@ def label_known_dates(
     day, whose number bounds the two single-partition windows and the broadcast.
     """
     leads = [f"lead(date, {h}) OVER (PARTITION BY {{}} ORDER BY date) AS {{}}{h}" for h in HORIZONS]
-    own = prices.selectExpr("symbol", "date", *[x.format("symbol", "__own") for x in leads])
+    dealt = prices if tasks is None else prices.repartition(tasks, "symbol")
+    own = dealt.selectExpr("symbol", "date", *[x.format("symbol", "__own") for x in leads])
     base = bench.selectExpr("date", "0 AS __k").selectExpr("date", *[x.format("__k", "__base") for x in leads])
     ahead = Window.orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     days = calendar.select("date").join(base.selectExpr("date", f"struct({', '.join(f'__base{h}' for h in HORIZONS)}) AS b"), "date", "left")

@@ -73,3 +73,13 @@ def test_labels_are_joined_to_events_without_broadcast(spark):
     joined = join_dealt(_dated_events(spark), labels, "event_key", 19)
     assert "BroadcastHashJoin" not in _plan(joined) and _plan(joined).count("19), REPARTITION_BY_NUM") == 2
     assert {r.event_key: r.abnormal_return_1d for r in joined.collect()} == {"c0_a": None, "c1_a": 0.5, "c2_a": None, "c3_a": 0.7, "c4_a": None}
+
+
+def test_price_leads_of_label_dates_are_dealt_by_rows(spark):
+    px = _series(spark).selectExpr("replace(symbol, 's', 'c') AS symbol", "date", "close", "volume")
+    bench = px.where("symbol = 'c0'").select("date", "close")
+    whole = label_known_dates(_dated_events(spark), px, bench, trading_calendar(px))
+    dealt = label_known_dates(_dated_events(spark), px, bench, trading_calendar(px), tasks=21)
+    assert _plan(dealt).count("21), REPARTITION_BY_NUM") == 2
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, whole.collect()))
+    assert {r.label_known_3d for r in dealt.collect()} == {dt.date(2020, 1, 9)}
