@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pitline.operators.quantiles import exact_quantiles, long_form
 
 THRESHOLD = 0.05
+#: Features whose quantiles are sketched together. Spark's sketches live in a hash table of 128 groups at most; with more, every
+#: row of a task is sorted in memory instead.
+SKETCHED = 100
 NOISE = 1e-12
 _NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean")
 
@@ -33,6 +36,16 @@ def _require(df: DataFrame, features: Sequence[str]) -> None:
         raise ValueError(f"missing columns at transform time: {missing}")
 
 
+def _quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, float], float]:
+    """(feature, p) to the exact quantile: at most one number per feature and p reaches the driver."""
+    found = {}
+    for k in range(0, len(names), SKETCHED):
+        block = list(names[k : k + SKETCHED])
+        rows = exact_quantiles(long_form(df.select(*[f"`{c}`" for c in block]), block), ["feature"], "value", probs).collect()
+        found |= {(r["feature"], r["p"]): r["quantile"] for r in rows}
+    return found
+
+
 def _scale(spread: float, centre: float) -> float:
     """A spread that is only rounding noise beside the values counts as none, and a feature without spread isn't scaled."""
     return spread if spread > NOISE * max(1.0, abs(centre)) else 1.0
@@ -78,9 +91,7 @@ class LinearPreprocessor:
         self.features = [c for c in features if types[c] in _NUMERIC or types[c].startswith("decimal")]
         shares = missing_shares(train, self.features)
         self.flagged = [c for c in self.features if shares[c] >= self.threshold]
-        medians = exact_quantiles(long_form(train, self.features), ["feature"], "value", [0.5])
-        # one row per feature
-        self.medians = {r["feature"]: r["quantile"] for r in medians.collect()}
+        self.medians = {c: median for (c, _), median in _quantiles(train, self.features, [0.5]).items()}
         self.features = [c for c in self.features if c in self.medians]
         if self.scaler != "none":
             self._fit_scaler(self._impute(train, ()))
@@ -89,8 +100,7 @@ class LinearPreprocessor:
     def _fit_scaler(self, imputed: DataFrame) -> None:
         names = imputed.columns
         if self.scaler == "robust":
-            rows = exact_quantiles(long_form(imputed, names), ["feature"], "value", [0.25, 0.5, 0.75]).collect()
-            q = {(r["feature"], r["p"]): r["quantile"] for r in rows}
+            q = _quantiles(imputed, names, [0.25, 0.5, 0.75])
             self.centre = {c: q[c, 0.5] for c in names}
             self.scale = {c: _scale(q[c, 0.75] - q[c, 0.25], q[c, 0.5]) for c in names}
         else:

@@ -83,3 +83,14 @@ def test_price_leads_of_label_dates_are_dealt_by_rows(spark):
     assert _plan(dealt).count("21), REPARTITION_BY_NUM") == 2
     assert sorted(map(str, dealt.collect())) == sorted(map(str, whole.collect()))
     assert {r.label_known_3d for r in dealt.collect()} == {dt.date(2020, 1, 9)}
+
+
+def test_robust_scale_sketches_few_features_at_a_time(spark, monkeypatch):
+    groups = []
+    real = preprocess.exact_quantiles
+    monkeypatch.setattr(preprocess, "exact_quantiles", lambda df, by, *rest: groups.append(df.select(*by).distinct().count()) or real(df, by, *rest))
+    names = [f"x{i}" for i in range(135)]
+    df = spark.range(20).selectExpr(*[f"id * {i + 1}.0D AS {c}" for i, c in enumerate(names)])
+    fitted = preprocess.LinearPreprocessor("robust").fit(df, names)
+    assert max(groups) <= 128 and len(fitted.centre) == 135
+    assert [(fitted.medians[c], fitted.centre[c], fitted.scale[c]) for c in ("x0", "x134")] == [(9.5, 9.5, 9.5), (9.5 * 135, 9.5 * 135, 9.5 * 135)]
