@@ -25,6 +25,8 @@ FINENESS = 4096
 EDGE = 1 << 40
 #: Values, near all of them different, that one task counts ahead of the shuffle.
 VALUES_PER_TASK = 2_000_000
+#: Counted values that one task sorts for running counts.
+RANKED_PER_TASK = 500_000
 #: Larger numbers have no digits to spare, so they are never rounded.
 ROUNDED_BELOW = "1e5D"
 
@@ -130,8 +132,9 @@ def running_counts(rows: DataFrame, counts: Sequence[str], carry: Sequence[str]
     this one, and ``total_<count>``.
 
     Each bin's start is a row of its own that runs ahead of the bin's values, so one shuffle by feature and bin is enough
-    for the lower level; the upper level sees bins only.
+    for the lower level; the upper level sees bins only. Rows are counted ahead and dealt out, so they should be cheap to count.
     """
+    tasks = tasks_for(rows.sparkSession, rows.count(), RANKED_PER_TASK)
     per_bin = rows.groupBy("feature", "bin").agg(*[F.sum(c).alias(c) for c in counts])
     before = "PARTITION BY feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     starts = per_bin.selectExpr(
@@ -140,6 +143,7 @@ def running_counts(rows: DataFrame, counts: Sequence[str], carry: Sequence[str]
         *[f"sum({c}) OVER (PARTITION BY feature) AS total_{c}" for c in counts],
     )
     both = rows.select("feature", "bin", F.lit(1).alias("__kind"), "value", *counts, *carry).unionByName(starts, allowMissingColumns=True)
+    both = both.repartition(tasks, "feature", "bin")
     running = "PARTITION BY feature, bin ORDER BY __kind, value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     summed = both.selectExpr(
         "*", *[f"sum({c}) OVER ({running}) AS upto_{c}" for c in counts], *[f"max(total_{c}) OVER ({running}) AS __t_{c}" for c in counts]

@@ -94,3 +94,11 @@ def test_robust_scale_sketches_few_features_at_a_time(spark, monkeypatch):
     fitted = preprocess.LinearPreprocessor("robust").fit(df, names)
     assert max(groups) <= 128 and len(fitted.centre) == 135
     assert [(fitted.medians[c], fitted.centre[c], fitted.scale[c]) for c in ("x0", "x134")] == [(9.5, 9.5, 9.5), (9.5 * 135, 9.5 * 135, 9.5 * 135)]
+
+
+def test_running_counts_are_dealt_by_rows(spark, monkeypatch):
+    rows = spark.range(100).selectExpr("'x' AS feature", "id div 10 AS bin", "cast(id AS double) AS value", "1L AS n")
+    monkeypatch.setattr(profiles, "RANKED_PER_TASK", 5)
+    ranked = profiles.running_counts(rows, ["n"])
+    assert ", 20), REPARTITION_BY_NUM" in _plan(ranked)
+    assert sorted((r.value, r.upto_n, r.total_n) for r in ranked.collect()) == [(float(i), i + 1, 100) for i in range(100)]
