@@ -50,7 +50,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 def events(spark: SparkSession, d: str) -> DataFrame:
     """Symbol × period events with the announcement time of their canonical result."""
-    return _staged(spark, d, "events", lambda: event_ops.event_headers(standins.announcements(spark, d)))
+    return _staged(spark, d, "events", lambda: event_ops.event_headers(standins.announcements(spark, d, dealt=True)))
 
 
 def market(spark: SparkSession, d: str) -> DataFrame:

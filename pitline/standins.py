@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitline.functions.dates import fiscal_quarter, previous_quarter_end, quarter_end
-from pitline.session import read_table
+from pitline.session import read_table, tasks_for
 
 TRAIN_END = "1997-12-31"
 VAL_END = "1999-12-31"
+#: Line items that one task adds up, and orders that one task sorts, whatever the size of the files they are read from.
+LINES_PER_TASK = 1_000_000
+ORDERS_PER_TASK = 200_000
 
 
 def _percent(c: str) -> Column:
@@ -25,8 +28,11 @@ def _supplier_symbol(c: str) -> Column:
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily prices: one series per supplier over weekday ship dates. Volume is unknown on some days."""
-    li = read_table(spark, sf_dir, "lineitem").where(F.weekday("l_shipdate") < 5)
-    daily = li.groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("date")).agg(
+    lines = read_table(spark, sf_dir, "lineitem")
+    tasks = tasks_for(spark, lines.count(), LINES_PER_TASK)
+    # a supplier's day has one or two lines: adding up ahead of the shuffle would fill memory and save next to nothing
+    li = lines.where(F.weekday("l_shipdate") < 5).withColumn("date", F.col("l_shipdate").cast("date")).repartition(tasks, "l_suppkey", "date")
+    daily = li.groupBy("l_suppkey", "date").agg(
         F.sum(_percent("l_discount")).alias("points"),
         F.count(F.lit(1)).alias("n"),
         F.sum("l_quantity").alias("qty"),
@@ -52,9 +58,12 @@ def benchmark_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.select("date", _close().alias("close"))
 
 
-def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed filings, one per order, for as many companies as there are suppliers plus two without prices."""
+def announcements(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Typed filings, one per order, for as many companies as there are suppliers plus two without prices. ``dealt`` spreads them
+    by count ahead of an aggregation that sorts what a task reads."""
     orders = read_table(spark, sf_dir, "orders")
+    if dealt:
+        orders = orders.repartition(tasks_for(spark, orders.count(), ORDERS_PER_TASK), "o_orderkey")
     companies = read_table(spark, sf_dir, "supplier").count() + 2
     key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     minute = (key * 37) % 1440

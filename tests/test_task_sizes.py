@@ -102,3 +102,14 @@ def test_running_counts_are_dealt_by_rows(spark, monkeypatch):
     ranked = profiles.running_counts(rows, ["n"])
     assert ", 20), REPARTITION_BY_NUM" in _plan(ranked)
     assert sorted((r.value, r.upto_n, r.total_n) for r in ranked.collect()) == [(float(i), i + 1, 100) for i in range(100)]
+
+
+def test_prices_and_events_are_added_up_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(standins, "LINES_PER_TASK", 250)
+    monkeypatch.setattr(standins, "ORDERS_PER_TASK", 100)
+    sf = "/root/testdata/sf0.001"
+    lines, orders = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("lineitem", "orders"))
+    assert f", {-(-lines // 250)}), REPARTITION_BY_NUM" in _plan(standins.prices(spark, sf)) and "partial_count" in _plan(standins.prices(spark, sf))
+    assert _plan(standins.prices(spark, sf)).count("Exchange ") == 1
+    assert f", {-(-orders // 100)}), REPARTITION_BY_NUM" in _plan(standins.announcements(spark, sf, dealt=True))
+    assert "REPARTITION" not in _plan(standins.announcements(spark, sf))
