@@ -23,7 +23,8 @@ def lower_ascii(text: Column) -> Column:
 class WordHash(dict):
     """64-bit hash of a word's bytes, remembered up to a bound."""
 
-    LIMIT = 2_000_000
+    #: Some 40 MB in each Python worker; what is forgotten is hashed again.
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -67,6 +68,12 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def each_utf8(column: pa.Array, rows: int = 200) -> Iterator[bytes | None]:
+    """The same one after another; few of a batch's texts are held a second time."""
+    for k in range(0, len(column), rows):
+        yield from utf8(column.slice(k, rows))
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of the rows with equal keys, from a partition sorted by those keys; only one group is held at a time."""
     held: list[pa.RecordBatch] = []

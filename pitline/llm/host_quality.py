@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitline.llm.common import WordHash, batch_of, rolled, utf8, word_hashes
+from pitline.llm.common import WordHash, batch_of, each_utf8, rolled, word_hashes
 from pitline.session import read_table, scratch, stage
 
 #: A document with fewer words fails.
@@ -53,7 +53,7 @@ def signals(text: bytes | None, cache: WordHash) -> tuple[int, int, int, int, in
 def _signal_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHash()
     for batch in batches:
-        found = np.array([signals(t, cache) for t in utf8(batch.column(batch.schema.get_field_index("text")))], np.int64).reshape(-1, len(COUNTS))
+        found = np.array([signals(t, cache) for t in each_utf8(batch.column(batch.schema.get_field_index("text")))], np.int64).reshape(-1, len(COUNTS))
         kept = [f for f in batch.schema if f.name != "text"]
         schema = pa.schema([*kept, *(pa.field(c, pa.int64()) for c in COUNTS)])
         yield batch_of(schema, **{f.name: batch.column(batch.schema.get_field_index(f.name)) for f in kept}, **{c: found[:, k] for k, c in enumerate(COUNTS)})
@@ -128,7 +128,7 @@ def passing_documents(docs: DataFrame, host: str = "source", max_rate: float = M
 def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHash()
     for batch in batches:
-        found = [signals(t, cache) for t in utf8(batch.column(batch.schema.get_field_index("text")))]
+        found = [signals(t, cache) for t in each_utf8(batch.column(batch.schema.get_field_index("text")))]
         yield batch.filter(pa.array([n >= MIN_WORDS and 100 * again <= MAX_REPEATED * n for n, _, _, _, again in found], pa.bool_()))
 
 

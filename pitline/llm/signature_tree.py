@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitline.llm.common import WordHash, batch_of, shingle_set, sorted_groups, utf8
+from pitline.llm.common import WordHash, batch_of, each_utf8, shingle_set, sorted_groups, utf8
 from pitline.llm.components import connected_components
 from pitline.session import read_table, scratch, stage
 
@@ -62,7 +62,7 @@ def _count_chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         return batch_of(schema, token=signed(tokens[df > 2]), df=df[df > 2])
 
     for batch in batches:
-        for text in utf8(batch.column(0)):
+        for text in each_utf8(batch.column(0)):
             held.append(shingle_set(text, cache, width))
             size += len(held[-1])
             if size >= COUNTED_AT_ONCE:
@@ -91,7 +91,7 @@ def _postings(batches: Iterator[pa.RecordBatch], width: int, threshold: int, ord
     none = np.zeros(0, np.int64)
     for batch in batches:
         rows = {f.name: [] for f in POST}
-        for text in utf8(batch.column(batch.schema.get_field_index("text"))):
+        for text in each_utf8(batch.column(batch.schema.get_field_index("text"))):
             items = shingle_set(text, cache, width)
             n = len(items)
             cls = class_of(items) if n else None

@@ -34,6 +34,15 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
 
 
+#: Rows of an Arrow batch where rows hold whole texts.
+TEXTS_PER_BATCH = 1_000
+
+
+def batch_texts(spark: SparkSession) -> None:
+    """Batches of whole texts: ten thousand of them, Spark's default, fill buffers in the JVM and in Python for every core."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
+
+
 def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """How many tasks share ``rows``, so that a task's share, and the memory of its sorts, stays the same as tables grow.
 

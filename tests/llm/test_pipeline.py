@@ -7,6 +7,7 @@ import string
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -137,3 +138,21 @@ def test_pipeline_of_an_empty_table_and_of_odd_rows(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/odd/documents.parquet")
     spark.createDataFrame([(None, None), (1, "too short"), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
     assert {r.doc_id for r in QUERIES["pipeline"](spark, f"{tmp_path}/odd").collect()} == {5, 6}
+
+
+def test_stages_read_texts_in_small_batches(spark):
+    from pitline.llm.common import WordHash, each_utf8
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('word', id) AS text", "'en' AS lang", "'s' AS source", "1 AS n_chars")
+    try:
+        for _, apply in corpus_pipeline.STAGES[:2]:
+            apply(spark, docs, "/root/testdata/sf0.001")
+            assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 1000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = pa.array([None, "", *[f"t{k}" for k in range(900)]])
+    assert list(each_utf8(texts)) == [None, b"", *[f"t{k}".encode() for k in range(900)]]
+    cache = WordHash()
+    first = cache[b"word"]
+    assert all(cache[b"%d" % k] is not None for k in range(450_000)) and len(cache) <= 200_000 and cache[b"word"] == first
