@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pitline.llm.common import SHINGLE, WordHash, batch_of, mix, rolled, sorted_groups, utf8, word_hashes
 from pitline.llm.components import connected_components
 from pitline.llm.signature_tree import FREQUENT, _sized
-from pitline.session import read_table, scratch, stage
+from pitline.session import read_table, scratch, shuffles_removed, stage
 
 #: A cut is where the hash of two neighbouring words is the smallest of this many on either side.
 REACH = 6
@@ -40,6 +40,8 @@ SIMILAR, RECALL = 80, 0.95
 #: Distinct paragraphs of one band's bucket that are compared with each other in one task. Larger buckets are divided by
 #: the rarest shingles of their paragraphs; what is still larger is dealt into parts, which meet in pairs.
 BUCKET = 256
+#: Places of paragraphs whose contexts a task holds at once; equal contexts among them are sent on twice at most.
+PLACES = 100_000
 
 CUT = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("at", pa.list_(pa.int32())), ("size", pa.list_(pa.int32())), ("para", pa.list_(pa.int64())), ("band", pa.list_(pa.list_(pa.int64())))])
 CUT_SQL = "doc long, doc_id long, at array<int>, size array<int>, para array<long>, band array<array<long>>"
@@ -85,6 +87,7 @@ def _min_hashes(shingles: np.ndarray, starts: np.ndarray, bands: int) -> np.ndar
 
 
 def _paragraphs(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
+    """Paragraphs and seeds of each text; band keys of paragraphs alone, as seeds link when they are equal."""
     cache = WordHash()
     for batch in batches:
         docs, ids, held = [], [], []
@@ -103,11 +106,10 @@ def _paragraphs(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.Re
             starts = np.cumsum(counts) - counts
             mine = shingles[np.repeat(at - starts, counts) + np.arange(counts.sum())]
             para = mix(np.add.reduceat(mix(mine + np.uint64(1)), starts) + counts.astype(np.uint64))
-            keys = [_min_hashes(mine[: int(counts[:n_long].sum())], starts[:n_long], bands).ravel()] if n_long else []
-            keys.append(mix(para[n_long:] ^ np.uint64(0x5EED)))
+            keys = _min_hashes(mine[: int(counts[:n_long].sum())], starts[:n_long], bands).ravel() if n_long else np.zeros(0, np.uint64)
             docs.append(doc)
             ids.append(doc_id)
-            held.append((at, size, para.view(np.int64), np.concatenate(keys).view(np.int64), np.repeat([bands, 1], [n_long, len(at) - n_long])))
+            held.append((at, size, para.view(np.int64), keys.view(np.int64), np.repeat([bands, 0], [n_long, len(at) - n_long])))
         if held:
             at, size, para, keys, widths = map(np.concatenate, zip(*held, strict=True))
             ends = lambda n: np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
@@ -133,46 +135,60 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(SETS, para=paras, items=items)
 
 
+def _context_rows(doc: np.ndarray, run: np.ndarray, side: np.ndarray, pos: np.ndarray, skip: np.ndarray, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row for each of the ``n`` contexts of a place; ``outer`` ones would extend the place's run. Places without an outer
+    one are only asked by others, which need the smallest and the largest doc among equal ones."""
+    step = np.arange(EXTEND)
+    inner = np.flatnonzero((skip >= n) & (n > 0))
+    whole = keys[inner, n[inner] - 1]
+    order = np.lexsort((doc[inner], whole))
+    change = whole[order][1:] != whole[order][:-1]
+    ends = np.append(True, change) | np.append(change, True) if len(order) else np.zeros(0, bool)
+    rows = np.sort(np.concatenate([np.flatnonzero(skip < n), inner[order[ends]]]))
+    inside = step < n[rows, None]
+    spread = lambda x: np.broadcast_to(x[rows, None], inside.shape)[inside]
+    to = pos[rows, None] + np.where(side[rows, None] == 1, step + 1, -1 - step)
+    outer = step >= skip[rows, None]
+    return batch_of(CONTEXT, doc=spread(doc), run=spread(run), side=spread(side), to=to[inside], key=keys[rows][inside].view(np.int64), outer=outer[inside])
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A key for each number of words, up to EXTEND, that follow a paragraph or, backwards, come before it."""
     cache, step = WordHash(), np.arange(EXTEND)
     salt = mix(step.astype(np.uint64) + np.uint64(1))
+    held, n = [], 0
     for batch in batches:
         edge, asked = batch.column(1).offsets.to_numpy(), batch.column(1).values
-        run, para, side, pos, outer = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("run", "para", "side", "pos", "outer"))
-        held, n = [], 0
+        run, para, side, pos, skip = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("run", "para", "side", "pos", "skip"))
         for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), utf8(batch.column(2)), strict=True)):
             words, own = word_hashes((text or b"").lower(), cache), slice(edge[k], edge[k + 1])
-            after = side[own, None] == 1
-            at = pos[own, None].astype(np.int64) + np.where(after, step, -1 - step)
-            inside = (at >= 0) & (at < len(words))
+            place = pos[own].astype(np.int64)
+            at = place[:, None] + np.where(side[own, None] == 1, step, -1 - step)
             near = words[np.clip(at, 0, len(words) - 1)]
             keys = mix(np.cumsum(mix(near ^ salt), axis=1, dtype=np.uint64) + mix(para[own].view(np.uint64) + side[own].astype(np.uint64))[:, None])
-            spread = lambda x, inside=inside, own=own: np.broadcast_to(x[own, None], inside.shape)[inside]
-            held.append((np.full(int(inside.sum()), doc), spread(run), spread(side), np.where(after, at + 1, at)[inside], keys.view(np.int64)[inside], spread(outer)))
-            n += len(held[-1][0])
-            if n > 200_000:
-                yield batch_of(CONTEXT, **dict(zip(CONTEXT.names, map(np.concatenate, zip(*held, strict=True)), strict=True)))
+            inside = np.minimum(np.where(side[own] == 1, len(words) - place, place), EXTEND)
+            held.append((np.full(len(place), doc), run[own], side[own], place, skip[own], keys, inside))
+            n += len(place)
+            if n >= PLACES:
+                yield _context_rows(*map(np.concatenate, zip(*held, strict=True)))
                 held, n = [], 0
-        if held:
-            yield batch_of(CONTEXT, **dict(zip(CONTEXT.names, map(np.concatenate, zip(*held, strict=True)), strict=True)))
+    if held:
+        yield _context_rows(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def _extended(runs: DataFrame, texts: DataFrame) -> DataFrame:
     """``doc, run, low, high``: how far the words around paragraphs within EXTEND words of a run's ends equal those around the
-    same paragraphs in another text. ``runs(doc, run, at, size, para)`` has a row per paragraph."""
+    same paragraphs in another text, where that is beyond the ends. ``runs(doc, run, at, size, para)`` has a row per
+    paragraph."""
     whole = Window.partitionBy("doc", "run")
     placed = runs.select("doc", "run", "para", "at", (F.col("at") + F.col("size")).alias("stop"))
-    placed = placed.select("*", (F.col("at") - EXTEND <= F.min("at").over(whole)).alias("first"), (F.col("stop") + EXTEND >= F.max("stop").over(whole)).alias("last"))
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("at").alias("pos"), F.col("first").alias("outer")),
-        F.struct(F.lit(1).alias("side"), F.col("stop").alias("pos"), F.col("last").alias("outer")),
-    )
-    places = placed.select("doc", "run", "para", F.explode(sides).alias("s")).select("doc", "run", "para", "s.*")
-    needed = places.where("outer").select("para", "side").distinct()
-    asked = places.join(needed, ["para", "side"]).groupBy("doc").agg(F.collect_list(F.struct("run", "para", "side", "pos", "outer")).alias("asked"))
+    placed = placed.select("*", (F.col("at") - F.min("at").over(whole)).alias("before"), (F.max("stop").over(whole) - F.col("stop")).alias("after"))
+    side = lambda k, pos, inner: F.struct(F.lit(k).alias("side"), F.col(pos).alias("pos"), F.least(F.col(inner), F.lit(EXTEND)).alias("skip"))
+    places = placed.select("doc", "run", "para", F.explode(F.array(side(0, "at", "before"), side(1, "stop", "after"))).alias("s")).select("doc", "run", "para", "s.*")
+    needed = places.where(F.col("skip") < EXTEND).select("para", "side").distinct()
+    asked = stage(places.join(needed, ["para", "side"]).groupBy("doc").agg(F.collect_list(F.struct("run", "para", "side", "pos", "skip")).alias("asked")))
     contexts = stage(asked.join(texts.hint("merge"), "doc").select("doc", "asked", "text").mapInArrow(_contexts, CONTEXT_SQL))
-    shared = contexts.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("outer").alias("outer")).where("a <> b and outer").select("key")
+    shared = stage(contexts.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("outer").alias("outer")).where("a <> b and outer").select("key"))
     alike = contexts.where("outer").join(shared, "key")
     return alike.groupBy("doc", "run").agg(F.min(F.when(F.col("side") == 0, F.col("to"))).alias("low"), F.max(F.when(F.col("side") == 1, F.col("to"))).alias("high"))
 
@@ -325,34 +341,41 @@ def repeated_passages(docs: DataFrame, similar: int = SIMILAR, recall: float = R
     bands = bands_for(similar, recall)
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce("text", F.lit("")))
     keyed = docs.select(key.alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with scratch(docs.sparkSession):
-        cut = stage(keyed.mapInArrow(lambda it: _paragraphs(it, bands), CUT_SQL))
-        listed = cut.select("doc", "doc_id", F.explode(F.arrays_zip("at", "size", "para", "band")).alias("p"))
-        banded = listed.select("doc", "doc_id", "p.at", "p.size", "p.para", F.explode("p.band").alias("key"))
-        shared = banded.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("para").alias("hub"), F.max("para").alias("top")).where("a <> b")
-        met = stage(banded.join(shared.select("key", "hub", "top"), "key"), keep=True)
-
-    with scratch(docs.sparkSession):
-        unlike = stage(met.where("hub <> top").select("key", "para").distinct())
-        first = met.where("hub <> top").groupBy("para").agg(F.min(F.struct("doc", "at", "size")).alias("f"))
-        wanted = first.groupBy("f.doc").agg(F.collect_list(F.struct("para", "f.at", "f.size")).alias("wanted"))
-        sets = wanted.join(keyed.select("doc", "text").hint("merge"), "doc").select("wanted", "text").mapInArrow(_spelled, "para long, items binary")
-        edges = _links(unlike, stage(sets.dropDuplicates(["para"])), similar, bucket)
-        component = stage(connected_components(edges), keep=True)
-
-    paras = met.select("doc", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "at", "size", "para").distinct()
-    named = paras.join(component, F.col("para") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "para"))
-    owners = named.groupBy("component").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min(F.struct("doc_id", "doc")).alias("owner"))
-    repeated = named.join(owners.where("a <> b").select("component", "owner"), "component")
-
-    inside = Window.partitionBy("doc").orderBy("at")
-    fresh = (F.col("at") > F.max(F.col("at") + F.col("size")).over(inside.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
-    runs = stage(repeated.select("*", F.sum(F.coalesce(fresh, F.lit(1))).over(inside).alias("run")))
-    found = runs.groupBy("doc", "run").agg(
-        F.min("doc_id").alias("doc_id"), F.min("at").cast("long").alias("start"), F.max(F.col("at") + F.col("size")).cast("long").alias("stop"),
-        F.count("*").alias("n"), F.count_if(F.col("owner.doc") != F.col("doc")).alias("removed"), F.min_by("owner.doc_id", "at").alias("component_id"),
-    )
-    more = _extended(runs.select("doc", "run", "at", "size", "para"), keyed.select("doc", "text"))
+    spark = docs.sparkSession
+    with shuffles_removed(spark), scratch(spark):
+        with scratch(spark):
+            cut = stage(keyed.mapInArrow(lambda it: _paragraphs(it, bands), CUT_SQL))
+            placed = cut.select("doc", "doc_id", F.explode(F.arrays_zip("at", "size", "para", "band")).alias("p")).select("doc", "doc_id", "p.*")
+            exact = stage(placed.groupBy("para").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("para"))
+
+            with scratch(spark):
+                banded = placed.select("doc", "at", "size", "para", F.explode("band").alias("key"))
+                ends = banded.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("para").alias("hub"), F.max("para").alias("top"))
+                met = stage(banded.join(stage(ends.where("a <> b and hub <> top").select("key")), "key"))
+                unlike = stage(met.select("key", "para").distinct())
+                first = met.groupBy("para").agg(F.min(F.struct("doc", "at", "size")).alias("f"))
+                wanted = stage(first.groupBy("f.doc").agg(F.collect_list(F.struct("para", "f.at", "f.size")).alias("wanted")))
+                sets = wanted.join(keyed.select("doc", "text").hint("merge"), "doc").select("wanted", "text").mapInArrow(_spelled, "para long, items binary")
+                edges = _links(unlike, stage(sets.dropDuplicates(["para"])), similar, bucket)
+                component = stage(connected_components(edges).select(F.col("vertex").alias("para"), "component"), keep=True)
+
+            known = exact.join(component, "para", "full").select("para", F.coalesce("component", "para").alias("component"))
+            paras = placed.select("doc", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "at", "size", "para")
+            named = stage(paras.join(known, "para"), keep=True)
+
+        owners = named.groupBy("component").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min(F.struct("doc_id", "doc")).alias("owner"))
+        repeated = named.join(owners.where("a <> b").select("component", "owner"), "component")
+        repeated = repeated.select("doc", "doc_id", "at", "size", "para", F.col("owner.doc_id").alias("owner"), (F.col("owner.doc") != F.col("doc")).alias("removed"))
+        repeated = repeated.repartition("doc").dropDuplicates(["doc", "at", "size", "para"])
+
+        inside = Window.partitionBy("doc").orderBy("at")
+        fresh = (F.col("at") > F.max(F.col("at") + F.col("size")).over(inside.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
+        runs = stage(repeated.select("*", F.sum(F.coalesce(fresh, F.lit(1))).over(inside).alias("run")))
+        found = stage(runs.groupBy("doc", "run").agg(
+            F.min("doc_id").alias("doc_id"), F.min("at").cast("long").alias("start"), F.max(F.col("at") + F.col("size")).cast("long").alias("stop"),
+            F.count("*").alias("n"), F.count_if("removed").alias("removed"), F.min_by("owner", "at").alias("component_id"),
+        ), keep=True)
+        more = stage(_extended(runs.select("doc", "run", "at", "size", "para"), keyed.select("doc", "text")), keep=True)
     found = found.join(more, ["doc", "run"], "left").withColumns({
         "start": F.least("start", "low"), "stop": F.greatest("stop", "high")})
     along = Window.partitionBy("doc").orderBy("start", "run")

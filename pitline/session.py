@@ -92,6 +92,18 @@ def scratch(spark: SparkSession):
             delete_folder(spark, path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of what is written inside go with the end of each write, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stage(df: DataFrame, *partition_by: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it from there afterwards.
 

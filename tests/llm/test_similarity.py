@@ -198,3 +198,49 @@ def test_short_edited_and_periodic_passages_are_found(spark):
         words[r.doc_id] |= set(range(r.word_start, r.word_stop))
     for d, kind in kinds.items():
         assert {*range(70, 121 if kind == 0 else 130)} - ({99} if kind == 1 else set()) <= words[d], (d, kind)
+
+
+def test_shuffles_go_and_contexts_are_asked_once(spark, monkeypatch):
+    """Shuffle files end with each write; places inside passages send equal contexts once, not one by one."""
+    blocks = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    keep, sizes, files = pb.stage, {}, []
+
+    def noted(df, *args, **kwargs):
+        out = keep(df, *args, **kwargs)
+        files.append(blocks())
+        if "outer" in df.columns:
+            sizes["contexts"] = out.count()
+        if "asked" in df.columns:
+            sizes["places"] = out.selectExpr("sum(size(asked)) n").first()["n"]
+        return out
+
+    monkeypatch.setattr(pb, "stage", noted)
+    passage = prose(1, 90)
+    middle = " ".join(passage.split(" ")[20:60])
+    own = lambda k, side: " ".join(f"{side}{k}x{j}" for j in range(40))
+    rows = [(k, f"{own(k, 'b')} {passage} {own(k, 'c')}") for k in range(200)] + [(500 + k, f"{own(500 + k, 'b')} {middle} {own(500 + k, 'c')}") for k in range(3)]
+    before = blocks()
+    out = pb.repeated_passages(documents(spark, rows)).collect()
+    assert sorted(r.doc_id for r in out) == sorted(k for k, _ in rows)
+    for r in out:  # paragraphs with a few words of the surroundings may still link
+        stop = 130 if r.doc_id < 200 else 80
+        assert 36 <= r.word_start <= 40 and stop <= r.word_stop <= stop + 4
+    assert max(files) <= before and sizes["contexts"] < 0.6 * pb.EXTEND * sizes["places"]
+
+
+def test_a_seed_equal_to_a_paragraph_links(spark):
+    """The same words can be a paragraph in one text and, cut otherwise, only a seed in another."""
+    words = lambda seed: prose(seed, 400).split(" ")
+    for seed in range(50):
+        text = words(seed)
+        h = pb.word_hashes(" ".join(text).encode(), pb.WordHash())
+        edge, (at, size) = pb.cuts(h), pb.seeds(h)
+        own = set(zip(edge[:-1].tolist(), np.diff(edge).tolist(), strict=True))
+        only = [(a, n) for a, n in zip(at.tolist(), size.tolist(), strict=True) if n >= 12 and (a, n) not in own]
+        for a, n in only:
+            other = text[a : a + n]
+            if len(pb.cuts(pb.word_hashes(" ".join(other).encode(), pb.WordHash()))) == 2 and not len(pb.seeds(pb.word_hashes(" ".join(other).encode(), pb.WordHash()))[0]):
+                out = pb.repeated_passages(documents(spark, [(1, " ".join(text)), (2, " ".join(other))]), passage=5).collect()
+                assert sorted((r.doc_id, r.word_start, r.word_stop) for r in out) == [(1, a, a + n), (2, 0, n)]
+                return
+    raise AssertionError("no such seed")
