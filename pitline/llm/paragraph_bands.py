@@ -59,10 +59,10 @@ def bands_for(similar: int = SIMILAR, recall: float = RECALL) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similar / 100))
 
 
-def cuts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
+def cuts(words: np.ndarray, reach: int = REACH, pairs: np.ndarray | None = None) -> np.ndarray:
     """Starts of the paragraphs, 0 first, and the number of words last."""
     n = len(words)
-    h = rolled(words, 2)
+    h = rolled(words, 2) if pairs is None else pairs
     if len(h) < 2 * reach + 1:
         return np.array([0, n] if n else [0])
     low = np.lib.stride_tricks.sliding_window_view(h, 2 * reach + 1)
@@ -70,9 +70,9 @@ def cuts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.concatenate([[0], inner, [n]])
 
 
-def seeds(words: np.ndarray, window: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def seeds(words: np.ndarray, window: int = SEED, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and numbers of words of the seeds: from each mark to the first one SHINGLE words on. They may overlap."""
-    h = rolled(words, 2)
+    h = rolled(words, 2) if pairs is None else pairs
     if len(h) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     last = np.lib.stride_tricks.sliding_window_view(h[::-1], window).argmin(axis=1)
@@ -93,10 +93,11 @@ def _paragraphs(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.Re
         docs, ids, held = [], [], []
         for doc, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
             words = word_hashes((text or b"").lower(), cache)
-            edge = cuts(words)
+            pairs = rolled(words, 2)
+            edge = cuts(words, pairs=pairs)
             at, size = edge[:-1], np.diff(edge)
             long = size >= SHINGLE
-            begin, length = seeds(words)
+            begin, length = seeds(words, pairs=pairs)
             n_long = int(long.sum())
             at, size = np.concatenate([at[long], begin]), np.concatenate([size[long], length])
             if not len(at):
@@ -119,19 +120,26 @@ def _paragraphs(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.Re
             yield batch_of(CUT, doc=docs, doc_id=ids, at=nested(at, pa.int32()), size=nested(size, pa.int32()), para=nested(para, pa.int64()), band=band)
 
 
+def _hashed(words: list[bytes], cache: WordHash) -> np.ndarray:
+    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+
+
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of the wanted paragraphs, each paragraph once per task."""
+    """Shingles of the wanted paragraphs, each paragraph once per task; only their words are hashed."""
     cache, seen = WordHash(), set()
     for batch in batches:
-        paras, items = [], []
+        paras, sizes, flat = [], [], []
         for wanted, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-            shingles = None
+            words = None
             for w in wanted:
                 if w["para"] not in seen:
                     seen.add(w["para"])
-                    shingles = rolled(word_hashes((text or b"").lower(), cache), SHINGLE) if shingles is None else shingles
+                    words = (text or b"").lower().split() if words is None else words
                     paras.append(w["para"])
-                    items.append(np.unique(shingles[w["at"] : w["at"] + w["size"] - SHINGLE + 1]).tobytes())
+                    sizes.append(w["size"])
+                    flat += words[w["at"] : w["at"] + w["size"]]
+        shingles, starts = rolled(_hashed(flat, cache), SHINGLE), np.cumsum([0, *sizes])
+        items = [np.unique(shingles[a : a + n - SHINGLE + 1]).tobytes() for a, n in zip(starts.tolist(), sizes, strict=False)]
         yield batch_of(SETS, para=paras, items=items)
 
 
@@ -161,10 +169,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge, asked = batch.column(1).offsets.to_numpy(), batch.column(1).values
         run, para, side, pos, skip = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("run", "para", "side", "pos", "skip"))
         for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), utf8(batch.column(2)), strict=True)):
-            words, own = word_hashes((text or b"").lower(), cache), slice(edge[k], edge[k + 1])
+            words, own = (text or b"").lower().split(), slice(edge[k], edge[k + 1])
             place = pos[own].astype(np.int64)
+            low = max(int(place.min()) - EXTEND, 0)
+            around = _hashed(words[low : int(place.max()) + EXTEND], cache)
             at = place[:, None] + np.where(side[own, None] == 1, step, -1 - step)
-            near = words[np.clip(at, 0, len(words) - 1)]
+            near = around[np.clip(at - low, 0, len(around) - 1)]
             keys = mix(np.cumsum(mix(near ^ salt), axis=1, dtype=np.uint64) + mix(para[own].view(np.uint64) + side[own].astype(np.uint64))[:, None])
             inside = np.minimum(np.where(side[own] == 1, len(words) - place, place), EXTEND)
             held.append((np.full(len(place), doc), run[own], side[own], place, skip[own], keys, inside))
