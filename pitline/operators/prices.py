@@ -197,57 +197,116 @@ def benchmark_by_day(calendar: DataFrame, bench: DataFrame) -> DataFrame:
     )
 
 
-def _price_state(events: DataFrame, prices: DataFrame, tasks: int) -> DataFrame:
-    """Attach each event's price features at its cutoff and forward returns from its reaction start.
+#: Powers of two down from the longest series that a search by halves covers: MAX_DAYS are fewer than their sum.
+_STEPS = ", ".join(str(1 << b) for b in reversed(range(18)))
 
-    Prices and two marker rows per event share one time axis per symbol, so features, both as-of lookups and the
-    regrouping of the markers all run on a single shuffle by symbol.
-    """
-    payload = F.struct(*events.columns)
-    markers = events.select(
+
+def _days_before(days: str, bound: str, last: str) -> str:
+    """SQL for how many of the sorted ``days`` are ``<`` or ``<=`` (``last``) the bound, found by halves; 0 without a bound."""
+    return f"aggregate(array({_STEPS}), 0, (n, s) -> CASE WHEN get({days}, n + s - 1) {last} {bound} THEN n + s ELSE n END)"
+
+
+def _added(values: str, first: str, last: str) -> str:
+    """SQL for the sum of an array's entries ``first`` to ``last``, counted from 0, in this order."""
+    return f"aggregate(sequence({first}, {last}), 0.0D, (s, j) -> s + get({values}, j))"
+
+
+def _middle(values: str) -> str:
+    """SQL for an array's mean, taken about its first entry: equal entries have exactly their value as mean."""
+    return f"get({values}, 0) + try_divide(aggregate({values}, 0.0D, (s, v) -> s + (v - get({values}, 0))), size({values}))"
+
+
+def _deviation(values: str, middle: str) -> str:
+    """SQL for the sample deviation of an array about ``middle``, a column, as it is read for every entry."""
+    squares = f"aggregate({values}, 0.0D, (s, v) -> s + (v - {middle}) * (v - {middle}))"
+    return f"CASE WHEN size({values}) > 1 THEN sqrt({squares} / (size({values}) - 1)) END"
+
+
+def _series_arrays(prices: DataFrame, tasks: int) -> DataFrame:
+    """One row per symbol: its days, closes, one-observation returns and sums of ten closes, and its known volumes with their
+    days, as arrays in the order of days. A symbol has a row per day, so an array has MAX_DAYS entries at most."""
+    dealt = prices.select("symbol", "date", "close", F.col("volume").cast("double").alias("volume")).where("date IS NOT NULL").repartition(tasks, "symbol")
+    whole = dealt.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", "close", "volume"))).alias("__p"))
+    split = whole.selectExpr("symbol", "__p", "__p.date AS __days", "__p.close AS __closes", "filter(__p, x -> x.volume IS NOT NULL) AS __known")
+    return split.selectExpr(
         "symbol",
-        "event_key",
-        payload.alias("event"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(1).alias("kind"), F.col("feature_cutoff_date").alias("date")),
-                F.struct(F.lit(2).alias("kind"), F.col("reaction_start_date").alias("date")),
-            )
-        ).alias("m"),
-    ).select("symbol", "event_key", "event", "m.kind", "m.date")
-    rows = prices.select("symbol", "date", "close", "volume", F.lit(0).alias("kind")).unionByName(
-        markers, allowMissingColumns=True
+        "__days",
+        "__closes",
+        "transform(__closes, (c, i) -> try_divide(c, get(__closes, i - 1)) - 1) AS __returns",
+        f"transform(__closes, (c, i) -> {_added('__closes', 'greatest(i - 9, 0)', 'i')}) AS __tens",
+        "exists(__p, x -> x.close IS NULL OR x.close = 0) AS __gaps",
+        "__known.date AS __volume_days",
+        "__known.volume AS __volumes",
     )
-    # one explicit shuffle: every window and the regrouping below cluster by symbol or something finer
-    rows = rows.repartition(tasks, "symbol")
-    series = with_forward_returns(price_features(rows, ["symbol", "kind"]), ["symbol", "kind"])
-    state = ", ".join(["history_days", "close", *PRICE_FEATURES])
-    ahead = ", ".join(f"forward_{k}d" for k in LABEL_WINDOWS)
-    running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    placed = series.selectExpr(
-        "symbol",
-        "event_key",
-        "event",
-        "kind",
-        "date",
-        f"last(CASE WHEN kind = 0 THEN struct({state}) END, true)"
-        f" OVER (PARTITION BY symbol ORDER BY date, kind {running}) AS back",
-        f"last(CASE WHEN kind = 0 THEN struct({ahead}) END, true)"
-        f" OVER (PARTITION BY symbol ORDER BY date DESC, kind {running}) AS ahead",
-        "max(kind = 0) OVER (PARTITION BY symbol) AS has_prices",
+
+
+def _spans(row: str, volume_row: str) -> list[str]:
+    """The stretches of a symbol's arrays that deviations are taken of; returns that are missing don't count."""
+    out = []
+    for k in VOLATILITY_WINDOWS:
+        span = f"slice(__returns, greatest({row} - {k}, 0) + 1, {k})"
+        out.append(f"CASE WHEN {row} > {k} THEN CASE WHEN __gaps THEN array_compact({span}) ELSE {span} END END AS __returns_{k}")
+    for k in VOLUME_WINDOWS:
+        first = f"greatest({volume_row} - {k}, 1)"
+        out.append(f"CASE WHEN {volume_row} >= {k} THEN slice(__volumes, {first}, {volume_row} - {first}) END AS __volumes_{k}")
+    return out
+
+
+_SPANS = [*[f"__returns_{k}" for k in VOLATILITY_WINDOWS], *[f"__volumes_{k}" for k in VOLUME_WINDOWS]]
+
+
+def _features_at(row: str, volume_row: str) -> list[str]:
+    """The trailing features of ``price_features`` for one row of a symbol's arrays: ``row`` of its days and ``volume_row`` of
+    its known volumes, counted from 1; with the spans and their middles as columns."""
+    close = f"get(__closes, {row} - 1)"
+    out = [f"try_divide({close}, get(__closes, {row} - 1 - {k})) - 1 AS return_{k}d" for k in RETURN_WINDOWS]
+    spread = lambda k: _deviation(f"__returns_{k}", f"__middle_returns_{k}")
+    out += [f"{spread(k)} * sqrt({DAYS_PER_YEAR}) AS volatility_{k}d" for k in VOLATILITY_WINDOWS]
+    volume = f"get(__volumes, {volume_row} - 1)"
+    for k in VOLUME_WINDOWS:
+        mean, deviation = f"__mean_volumes_{k}", f"__deviation_volumes_{k}"
+        out.append(f"CASE WHEN {mean} > 0 THEN {volume} / {mean} END AS volume_ratio_{k}d")
+        out.append(f"CASE WHEN {deviation} > 0 THEN ({volume} - {mean}) / {deviation} END AS volume_zscore_{k}d")
+    # the same blocks as in with_ma_distance, added in the same order
+    sums = lambda lags, block: " + ".join(block(n) for n in lags)
+    ten = lambda n: f"get(__tens, {row} - 1 - {n})"
+    fifty = lambda n: f"({sums(range(n, n + 50, 10), ten)})"
+    totals = {20: sums((0, 10), ten), 50: fifty(0), 200: sums((0, 50, 100, 150), fifty)}
+    for k in MA_WINDOWS:
+        mean = f"(({totals[k]}) / {k})"
+        out.append(f"CASE WHEN {row} >= {k} AND {mean} > 0 THEN ({close} - {mean}) / {mean} END AS distance_from_{k}dma")
+    for k in DRAWDOWN_WINDOWS:
+        high = f"array_max(slice(__closes, greatest({row} - {k}, 0) + 1, {k}))"
+        out.append(f"CASE WHEN {row} >= {k} AND {high} > 0 THEN ({close} - {high}) / {high} END AS drawdown_from_{k}d_high")
+    return out
+
+
+def _price_state(events: DataFrame, prices: DataFrame, tasks: int) -> DataFrame:
+    """Attach each event's price features at its cutoff (``back``) and forward returns from its reaction start (``ahead``).
+
+    Most days of a series are no event's cutoff. So a symbol's prices become arrays, one row per symbol, and only its events'
+    rows are worked out: both tables are dealt by symbol, joined, and each event finds its places in the days by halves.
+    """
+    series = _series_arrays(prices, tasks).withColumn("has_prices", F.lit(True))
+    joined = events.repartition(tasks, "symbol").join(series.hint("merge"), "symbol", "left")
+    ahead = f"CASE WHEN reaction_start_date IS NOT NULL THEN {_days_before('__days', 'reaction_start_date', '<')} END"
+    placed = joined.selectExpr(
+        "*",
+        f"{_days_before('__days', 'feature_cutoff_date', '<=')} AS __row",
+        f"{_days_before('__volume_days', 'feature_cutoff_date', '<=')} AS __volume_row",
+        f"{ahead} AS __ahead",
     )
-    merged = (
-        placed.where("kind > 0")
-        .groupBy("symbol", "event_key")
-        .agg(
-            F.expr("first(event, true) AS event"),
-            F.expr("first(CASE WHEN kind = 1 AND date IS NOT NULL THEN back END, true) AS back"),
-            F.expr("first(CASE WHEN kind = 2 AND date IS NOT NULL THEN ahead END, true) AS ahead"),
-            F.expr("max(has_prices) AS has_prices"),
-        )
+    # step by step, as a lambda would work out anew for every entry what stands inside it
+    middles = placed.selectExpr("*", *_spans("__row", "__volume_row")).selectExpr(
+        "*",
+        *[f"{_middle(c)} AS __middle{c[1:]}" for c in _SPANS],
+        *[f"try_divide(aggregate(__volumes_{k}, 0.0D, (s, v) -> s + v), size(__volumes_{k})) AS __mean_volumes_{k}" for k in VOLUME_WINDOWS],
     )
-    return merged.selectExpr(
-        "event.*", "has_prices", "coalesce(back.history_days, 0) AS price_history_days", "back", "ahead"
+    spread = middles.selectExpr("*", *[f"{_deviation(f'__volumes_{k}', f'__middle_volumes_{k}')} AS __deviation_volumes_{k}" for k in VOLUME_WINDOWS])
+    back = ", ".join(["get(__closes, __row - 1) AS close", *_features_at("__row", "__volume_row")])
+    forward = ", ".join(f"try_divide(get(__closes, __ahead + {k}), get(__closes, __ahead)) - 1 AS forward_{k}d" for k in LABEL_WINDOWS)
+    return spread.selectExpr(
+        *events.columns, "coalesce(has_prices, false) AS has_prices", "__row AS price_history_days", f"struct({back}) AS back", f"struct({forward}) AS ahead"
     )
 
 

@@ -3,15 +3,16 @@
 Every (feature, value) is counted once, per split, and the counts are written down. Each value also has a bin that keeps the
 order of values: logarithmic around the feature's approximate median, in units of its spread, so that no bin holds a feature's
 bulk. Running counts are put together in two levels, over the bins of a feature and over the values of a bin, so that no
-task sorts a feature's values as a whole. From them quantiles, distinct counts, variances and KS distances are read in one
-pass; the same pass over the distances from the median gives the MAD.
+task sorts a feature's values as a whole. The lower level is only worked out for bins that can hold what is asked for: a
+quantile's rank, or a KS distance beyond those at the bins' ends. The distances from the median give the MAD in the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitline.operators.quantiles import ks_p_value
@@ -20,8 +21,8 @@ from pitline.session import stage, tasks_for
 SPLITS = ("train", "val", "test")
 PROBS = (0.001, 0.25, 0.5, 0.75, 0.999)
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
-#: Bins per unit of the logarithm: a bin in the bulk is about a 30,000th of the spread wide.
-FINENESS = 4096
+#: Bins per unit of the logarithm: a bin in the bulk is about an 8,000th of the spread wide.
+FINENESS = 1024
 EDGE = 1 << 40
 #: Values, near all of them different, that one task counts ahead of the shuffle.
 VALUES_PER_TASK = 2_000_000
@@ -31,21 +32,29 @@ RANKED_PER_TASK = 500_000
 ROUNDED_BELOW = "1e5D"
 
 
-def _long(df: DataFrame, columns: Sequence[str], keep: Sequence[str], digits: int | None) -> DataFrame:
+def _is_number(dtype: str) -> bool:
+    return dtype in NUMERIC or dtype.startswith("decimal")
+
+
+def _near(value: Column, digits: int | None) -> Column:
+    """The value to so many decimals, half away from zero, in floating point as other engines round; zero has no sign."""
+    if digits is None:
+        return value
+    whole = F.floor(F.abs(value) * F.lit(10.0**digits) + F.lit(0.5)).cast("double")
+    return F.when(F.abs(value) < F.expr(ROUNDED_BELOW), F.sign(value) * whole / F.lit(10.0**digits) + F.lit(0.0)).otherwise(value)
+
+
+def _long(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """(keep..., feature, value, text): numbers as values, anything else as text."""
     types = dict(df.dtypes)
 
     def entry(c: str) -> str:
-        number = types[c] in NUMERIC or types[c].startswith("decimal")
+        number = _is_number(types[c])
         value, text = (f"cast(`{c}` AS double)", "cast(NULL AS string)") if number else ("cast(NULL AS double)", f"cast(`{c}` AS string)")
         return f"struct('{c}' AS feature, {value} AS value, {text} AS text)"
 
     entries = ", ".join(map(entry, columns))
-    rows = df.selectExpr(*keep, f"explode(array({entries})) AS e").select("*", "e.*").drop("e")
-    if digits is None:
-        return rows
-    near = f"CASE WHEN abs(value) < {ROUNDED_BELOW} THEN round(value, {digits}) + 0.0D ELSE value END"
-    return rows.withColumn("value", F.expr(near))
+    return df.selectExpr(*keep, f"explode(array({entries})) AS e").select("*", "e.*").drop("e")
 
 
 #: Numbers below this are first taken to SNAP_DIGITS decimals where a last decimal must not depend on the order of sums: a mean
@@ -68,7 +77,7 @@ def last_decimal(value: str, digits: int) -> str:
 def distinct_values(df: DataFrame, columns: Sequence[str], digits: int) -> DataFrame:
     """(feature, distinct): how many values each feature has to ``digits`` decimals, snapped first. Read twice, see ``count_values``."""
     tasks = tasks_for(df.sparkSession, df.count() * len(columns), VALUES_PER_TASK)
-    rows = _long(df.select(*[f"`{c}`" for c in columns]).repartition(tasks), columns, [], None)
+    rows = _long(df.select(*[f"`{c}`" for c in columns]).repartition(tasks), columns, [])
     near = f"CASE WHEN abs(value) < {ROUNDED_BELOW} THEN ({last_decimal('value', digits)}) / 1e{digits}D ELSE value END"
     once = rows.selectExpr("feature", f"{near} AS value", "text").distinct()
     return once.groupBy("feature").agg(F.expr("count_if(value IS NOT NULL OR text IS NOT NULL) AS distinct"))
@@ -93,10 +102,25 @@ def count_values(
     don't count as other values. The counts and the centres, one row per feature, are written to the shared
     folder; the centres are broadcast. Rows are counted first and dealt out, so ``df`` should be cheap to read twice.
     """
+    types = dict(df.dtypes)
+    numbers = [c for c in columns if _is_number(types[c])]
+    texts = [c for c in columns if c not in numbers]
     tasks = tasks_for(df.sparkSession, df.count() * len(columns), VALUES_PER_TASK)
-    df = df.select(*[f"`{c}`" for c in dict.fromkeys([split, *columns])]).repartition(tasks)
-    counts = [F.count(F.lit(1)).alias("n"), *[F.expr(f"count_if(split = '{s}') AS n_{s}") for s in splits]]
-    return _binned(_long(df, columns, [f"`{split}` AS split"], digits).groupBy("feature", "value", "text").agg(*counts))
+    marks = [f"cast(coalesce(`{split}` = '{s}', false) AS bigint) AS n_{s}" for s in splits]
+    counts = [F.count(F.lit(1)).alias("n"), *[F.sum(f"n_{s}").alias(f"n_{s}") for s in splits]]
+    parts = []
+    # a row is dealt out as one array and taken apart behind the shuffle; a value's feature is its place, a number, until it is counted
+    if numbers:
+        entries = ", ".join(f"cast(`{c}` AS double)" for c in numbers)
+        dealt = df.selectExpr(f"array({entries}) AS e", *marks).repartition(tasks).selectExpr("*", "posexplode(e) AS (place, value)")
+        parts.append(dealt.select("place", _near(F.col("value"), digits).alias("value"), F.lit(None).cast("string").alias("text"), *[f"n_{s}" for s in splits]))
+    if texts:
+        entries = ", ".join(f"cast(`{c}` AS string)" for c in texts)
+        dealt = df.selectExpr(f"array({entries}) AS e", *marks).repartition(tasks).selectExpr("*", "posexplode(e) AS (place, text)")
+        parts.append(dealt.selectExpr(f"place + {len(numbers)} AS place", "cast(NULL AS double) AS value", "text", *[f"n_{s}" for s in splits]))
+    counted = reduce(DataFrame.unionByName, parts).groupBy("place", "value", "text").agg(*counts)
+    names = ", ".join(f"'{c}'" for c in [*numbers, *texts])
+    return _binned(counted.selectExpr(f"get(array({names}), place) AS feature", "value", "text", "n", *[f"n_{s}" for s in splits]))
 
 
 def count_values_by_slice(df: DataFrame, columns: Sequence[str], slices: dict[str, str]) -> DataFrame:
@@ -105,7 +129,7 @@ def count_values_by_slice(df: DataFrame, columns: Sequence[str], slices: dict[st
     One scan; every row feeds one aggregation by grouping sets. Rows without a value of a slice are only in the others.
     """
     names = list(slices)
-    rows = _long(df, columns, [f"cast({e} AS string) AS `{n}`" for n, e in slices.items()], None)
+    rows = _long(df, columns, [f"cast({e} AS string) AS `{n}`" for n, e in slices.items()])
     base = ["feature", "value", "text"]
     sets = [base, *[[*base, n] for n in names]]
     by = [F.col(f"`{c}`") for c in [*base, *names]]
@@ -153,6 +177,36 @@ def running_counts(rows: DataFrame, counts: Sequence[str], carry: Sequence[str]
     )
 
 
+def opened_counts(rows: DataFrame, counts: Sequence[str], opened: str) -> DataFrame:
+    """``running_counts`` of the values in ``opened`` bins alone; any other bin is one row, with its largest value and the counts
+    up to its end. ``opened`` is SQL over a bin's ``<count>``, ``upto_<count>`` and ``total_<count>``; bins of one value stay closed.
+
+    The bins are written down, some thousands per feature at most; those opened are broadcast, and their values dealt by count.
+    """
+    bins = rows.groupBy("feature", "bin").agg(
+        *[F.sum(c).alias(c) for c in counts], F.min("value").alias("low"), F.max("value").alias("value"), F.count(F.lit(1)).alias("__rows")
+    )
+    running = "PARTITION BY feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    ends = bins.selectExpr(
+        "*", *[f"sum({c}) OVER ({running}) AS upto_{c}" for c in counts], *[f"sum({c}) OVER (PARTITION BY feature) AS total_{c}" for c in counts]
+    )
+    marked = stage(ends.selectExpr("*", f"low < value AND coalesce({opened}, false) AS __open"))
+    found = ["feature", "value", *counts, *[f"upto_{c}" for c in counts], *[f"total_{c}" for c in counts]]
+    held = marked.where("__open").agg(F.expr("coalesce(sum(__rows), 0)")).first()[0]
+    starts = marked.where("__open").selectExpr("feature", "bin", *[f"upto_{c} - {c} AS __before_{c}" for c in counts], *[f"total_{c}" for c in counts])
+    inside = rows.select("feature", "bin", "value", *counts).join(F.broadcast(starts), ["feature", "bin"])
+    inside = inside.repartition(tasks_for(rows.sparkSession, held, RANKED_PER_TASK), "feature", "bin")
+    within = "PARTITION BY feature, bin ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    summed = inside.selectExpr("*", *[f"__before_{c} + sum({c}) OVER ({within}) AS upto_{c}" for c in counts])
+    return summed.select(*found).unionByName(marked.where("NOT __open").select(*found))
+
+
+def _rank_inside(p: float, count: str = "n") -> str:
+    """SQL for whether a bin holds one of the ranks that enclose p * (n - 1)."""
+    pos = f"({p}D * (total_{count} - 1))"
+    return f"(upto_{count} - {count} <= ceil({pos}) AND floor({pos}) < upto_{count})"
+
+
 def _quantile(p: float, count: str = "n") -> str:
     """Linear interpolation between the two values whose ranks enclose p * (n - 1), written as other engines do; between equal
     values, infinite ones too, it is that value."""
@@ -193,8 +247,14 @@ def value_profile(counted: DataFrame, probs: Sequence[float] = PROBS, splits: Se
         spread.append(f"CASE WHEN {have} > 1 THEN {squares} / ({have} - 1) END AS variance{c[1:]}")
     kept = [c for c in whole.columns if not c.startswith("__")]
     stats = whole.selectExpr(*kept, "__centre + try_divide(__s1_n, present) AS mean", *spread)
-    ranked = running_counts(counted.where("value IS NOT NULL"), names)
     share = lambda s: f"upto_n_{s} / nullif(total_n_{s}, 0)"
+    start = lambda s: f"(upto_n_{s} - n_{s}) / nullif(total_n_{s}, 0)"
+    opened = [_rank_inside(p) for p in probs]
+    for s in splits[1:]:
+        # nowhere in a bin are two splits further apart than one at the bin's end and the other at its start
+        reach = f"greatest({share(splits[0])} - {start(s)}, {share(s)} - {start(splits[0])})"
+        opened.append(f"coalesce({reach} > max(abs({share(splits[0])} - {share(s)})) OVER (PARTITION BY feature), false)")
+    ranked = opened_counts(counted.where("value IS NOT NULL"), names, " OR ".join(opened))
     gaps = [f"max(abs({share(splits[0])} - {share(s)})) AS ks_{s}" for s in splits[1:]]
     read = ranked.groupBy("feature").agg(*[F.expr(f"{_quantile(p)} AS {quantile_name(p)}") for p in probs], *[F.expr(g) for g in gaps])
     return stats.join(read, "feature", "left")

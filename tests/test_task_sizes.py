@@ -6,6 +6,7 @@ import io
 
 from pitline import standins
 from pitline.operators import preprocess, prices, profiles
+from pitline.operators.asof import asof_join
 from pitline.operators.calendar import trading_calendar
 from pitline.operators.history import join_dealt, label_known_dates, with_prior_history
 from pitline.operators.quantiles import ks_distance
@@ -113,3 +114,59 @@ def test_prices_and_events_are_added_up_in_bounded_tasks(spark, monkeypatch):
     assert _plan(standins.prices(spark, sf)).count("Exchange ") == 1
     assert f", {-(-orders // 100)}), REPARTITION_BY_NUM" in _plan(standins.announcements(spark, sf, dealt=True))
     assert "REPARTITION" not in _plan(standins.announcements(spark, sf))
+
+
+def test_market_features_are_worked_out_at_events_alone(spark):
+    """Only events' rows of a series are needed: no window may run over all prices, and the features are those of the windows."""
+    start = dt.date(2020, 1, 1)
+    # a year with gaps in days and volumes, a series of constant closes and volumes, a short one, and one without volumes
+    rows = [("a", start + dt.timedelta(k), 100.0 + (k * 37 % 23) / 7, None if k % 5 == 0 else 10.0 + k % 9) for k in range(400) if k % 11]
+    rows += [("b", start + dt.timedelta(k), 0.1, 0.1) for k in range(300)] + [("c", start + dt.timedelta(k), 5.0 + k, 3.0 + k) for k in range(6)]
+    rows += [("d", start + dt.timedelta(k), float(k % 3), None) for k in range(70)]
+    px = spark.createDataFrame(rows, "symbol string, date date, close double, volume double")
+    bench = px.where("symbol = 'a'").select("date", "close")
+    events = [(f"{s}_{k}", s, dt.datetime(2020, 1, 1, 12) + dt.timedelta(k)) for s in "abcde" for k in range(0, 401, 3)]
+    ev = spark.createDataFrame(events, "event_key string, symbol string, result_announcement_datetime timestamp_ntz")
+    found = prices.event_market_features(ev, px, bench, trading_calendar(px), keep_skipped=True, price="price")
+    assert "stddev_samp" not in _plan(found)
+    series = prices.with_forward_returns(prices.price_features(px)).selectExpr("*", "date AS day")
+    columns = ["history_days", "close", *prices.PRICE_FEATURES]
+    back = asof_join(found.select("event_key", "symbol", "feature_cutoff_date"), series, ["symbol"], "feature_cutoff_date", "day", columns)
+    expected = {r.event_key: r for r in back.collect()}
+    got = found.collect()
+    assert len(got) == len(events) and any(r.volatility_60d for r in got) and any(r.drawdown_from_252d_high for r in got)
+    for r in got:
+        e = expected[r.event_key]
+        assert r.price_history_days == (e.history_days or 0) and r.price == e.close
+        for c in prices.PRICE_FEATURES:
+            assert (r[c] is None) == (e[c] is None), (r.event_key, c, r[c], e[c])
+            assert r[c] is None or abs(r[c] - e[c]) < 1e-11, (r.event_key, c, r[c], e[c])
+    ahead = asof_join(found.select("event_key", "symbol", "reaction_start_date"), series, ["symbol"], "reaction_start_date", "day", ["forward_1d", "forward_5d"], "forward")
+    later = {r.event_key: r for r in ahead.collect()}
+    for r in got:
+        if r.return_5d_after is not None:
+            assert r.return_5d_after == later[r.event_key].forward_5d and r.return_1d_after == later[r.event_key].forward_1d
+
+
+def test_values_are_ranked_in_bins_that_can_matter(spark, monkeypatch):
+    opened = []
+    real = profiles.opened_counts
+    monkeypatch.setattr(profiles, "opened_counts", lambda *given: opened.append(real(*given)) or opened[-1])
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'val' ELSE 'train' END AS split", "sin(id) + (id % 3) / 3.0D AS x")
+    counted = profiles.count_values(df, ["x"], splits=("train", "val"), digits=10)
+    r = profiles.value_profile(counted, (0.25, 0.5), ("train", "val")).first()
+    assert opened[0].count() < 12_000 < counted.count()
+    values = sorted(v.x for v in df.select(profiles._near(df.x, 10).alias("x")).collect())
+    low, high = values[9_999], values[10_000]
+    assert r.q0_5 == low + 0.5 * (high - low)
+    ranked = profiles.running_counts(counted, ["n_train", "n_val"]).selectExpr("max(abs(upto_n_train / total_n_train - upto_n_val / total_n_val)) AS ks")
+    assert r.ks_val == ranked.first().ks
+
+
+def test_values_are_rounded_half_away_from_zero(spark):
+    given = [0.25, -0.25, 0.35, -0.04, 1e5 + 0.25, float("inf"), None, 0.0, -0.0]
+    df = spark.createDataFrame([("train", v) for v in given], "split string, x double")
+    counted = profiles.count_values(df, ["x"], digits=1)
+    assert {(str(r.value), r.n, r.n_train) for r in counted.collect()} == {
+        ("0.3", 1, 1), ("-0.3", 1, 1), ("0.4", 1, 1), ("0.0", 3, 3), ("100000.25", 1, 1), ("inf", 1, 1), ("None", 1, 1)
+    }
