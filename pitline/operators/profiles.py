@@ -265,7 +265,7 @@ def deviation_profile(counted: DataFrame, medians: DataFrame) -> DataFrame:
     feature, which are broadcast. Infinite values count; a feature of which most values are infinite has no MAD."""
     far = counted.where("value IS NOT NULL").join(F.broadcast(medians), "feature").selectExpr("feature", "n", "abs(value - median) AS value", "spread")
     binned = far.selectExpr("*", f"{_bin('value', '0.0D', 'coalesce(spread, 1.0D)')} AS bin")
-    return running_counts(binned, ["n"]).groupBy("feature").agg(F.expr(f"{_quantile(0.5)} AS mad"), F.max("value").alias("top"))
+    return opened_counts(binned, ["n"], _rank_inside(0.5)).groupBy("feature").agg(F.expr(f"{_quantile(0.5)} AS mad"), F.max("value").alias("top"))
 
 
 def usability(
@@ -291,10 +291,14 @@ def usability(
     profile = stage(value_profile(counted)) if profile is None else profile
     medians = profile.where("q0_5 IS NOT NULL").select("feature", F.col("q0_5").alias("median"))
     spread = deviation_profile(counted, medians)
-    known = df.sparkSession.createDataFrame(
-        [(c, group_of(c), types[c], types[c] in ("float", "double"), types[c] in NUMERIC, c in targets) for c in columns],
-        "feature string, feature_group string, dtype string, floating boolean, numeric boolean, is_target boolean",
-    )
+    flags = lambda c: (types[c] in ("float", "double"), types[c] in NUMERIC, c in targets)
+    # spelled as SQL: rows from the driver's Python would start a Python worker on every core
+    entries = [
+        f"struct('{c}' AS feature, '{group_of(c)}' AS feature_group, '{types[c]}' AS dtype, {f} AS floating, {n} AS numeric, {t} AS is_target)"
+        for c in columns
+        for f, n, t in [flags(c)]
+    ]
+    known = df.sparkSession.range(1).selectExpr(f"inline(array({', '.join(entries)}))")
     # one row per feature on every side
     rows = profile.join(F.broadcast(known), "feature").join(F.broadcast(spread), "feature", "left")
     missing = lambda s: f"(1 - present{s} / n{s})"

@@ -170,3 +170,18 @@ def test_values_are_rounded_half_away_from_zero(spark):
     assert {(str(r.value), r.n, r.n_train) for r in counted.collect()} == {
         ("0.3", 1, 1), ("-0.3", 1, 1), ("0.4", 1, 1), ("0.0", 3, 3), ("100000.25", 1, 1), ("inf", 1, 1), ("None", 1, 1)
     }
+
+
+def test_deviations_are_ranked_in_the_bin_of_their_median(spark, monkeypatch):
+    opened = []
+    real = profiles.opened_counts
+    monkeypatch.setattr(profiles, "opened_counts", lambda *given: opened.append(real(*given)) or opened[-1])
+    df = spark.range(30_001).selectExpr("'train' AS split", "sin(id) AS x", "cast(id % 7 AS double) AS y")
+    counted = profiles.count_values(df, ["x", "y"])
+    medians = spark.createDataFrame([("x", 0.125), ("y", 3.0)], "feature string, median double")
+    found = {r.feature: r for r in profiles.deviation_profile(counted, medians).collect()}
+    away = sorted(abs(v.x - 0.125) for v in df.select("x").collect())
+    assert (found["x"].mad, found["x"].top) == (away[15_000], away[-1])
+    assert (found["y"].mad, found["y"].top) == (2.0, 3.0)
+    bins = profiles.FINENESS * 5
+    assert opened[0].count() < bins + 200 < counted.count()
